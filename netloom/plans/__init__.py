@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("score_queries",)
+MODULES = ("score_queries", "group_queries", "client_queries", "probe_queries")
 
 
 def load() -> None:

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from netloom.plans.views import VIEWS
 
@@ -18,6 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def wall_clock(df: DataFrame) -> DataFrame:
+    """Zoned timestamps (date_trunc makes them) as UTC wall clocks."""
+    zoned = [name for name, kind in df.dtypes if kind == "timestamp"]
+    return df.withColumns({n: F.col(f"`{n}`").cast("timestamp_ntz") for n in zoned}) if zoned else df
+
+
 class Tables:
     """Resolves driver tables and the views over them for one scale folder."""
 
@@ -27,7 +34,7 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            return self.sql(VIEWS[name])
+            return wall_clock(self.sql(VIEWS[name]))
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
@@ -36,9 +43,19 @@ class Tables:
         return self.spark.sql(text, **{name: self(name) for name in names})
 
 
+def _mentioned(sql: str) -> list[str]:
+    """Views a text uses, directly or through other views, in definition order."""
+    used = {name for name in VIEWS if re.search(rf"\b{name}\b", sql)}
+    while True:
+        more = {v for name in used for v in re.findall(r"\{(t_\w+)\}", VIEWS[name])} - used
+        if not more:
+            return [name for name in VIEWS if name in used]
+        used |= more
+
+
 def _with_views(sql: str) -> str:
     """Prefix the views a reference SQL mentions as common table expressions."""
-    used = [name for name in VIEWS if re.search(rf"\b{name}\b", sql)]
+    used = _mentioned(sql)
     if not used:
         return sql
     parts = []
@@ -58,7 +75,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: wall_clock(fn(Tables(spark, folder)))
         if sql is not None:
             ORACLES[name] = _with_views(sql)
         return fn

@@ -81,4 +81,19 @@ SELECT DISTINCT user_id AS client, CASE event_type WHEN 'click' THEN 'Count' WHE
  concat('h', CAST(user_id % 4 AS STRING)) AS hash, user_id % 5 <> 0 AS active FROM {events}""",
     "t_plugins_known": """
 SELECT * FROM (VALUES ('Count',NULL,'h0','allowed'),('Count',2,NULL,'obsolete'),('Flow',1,'h1','allowed'),('Flow',NULL,'h2','disabled'),('Fake',NULL,NULL,'allowed'),('Spoof',1,'h9','allowed')) AS k(name,version,hash,status)""",
+    "t_clients": """
+SELECT DISTINCT c_custkey AS id, c_name AS name, CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS tag, concat('note ', CAST(c_nationkey AS STRING)) AS devel_note FROM {customer}""",
+    "t_activity_types": """
+SELECT * FROM (VALUES ('login',NULL),('logout',NULL),('counts','Count'),('flow','Flow'),('fake','Fake')) AS a(name,plugin)""",
+    "t_bandwidth": """
+SELECT date_trunc('hour', ts) AS timestamp, user_id AS client, 500000 * (1 + event_id % 3) AS win_len,
+ MAX(CASE WHEN event_id % 2 = 0 THEN CAST(round(value*1000) AS BIGINT) ELSE 0 END) AS in_max, MAX(CASE WHEN event_id % 2 = 1 THEN CAST(round(value*1000) AS BIGINT) ELSE 0 END) AS out_max
+ FROM {events} GROUP BY date_trunc('hour', ts), user_id, event_id % 3""",
+    "t_speed": """
+SELECT date_trunc('hour', ts) AS timestamp, user_id AS client, CAST(event_id % 40 AS INT) AS pos, COUNT(*) * 2 AS in_time, SUM(CAST(round(value*1000) AS BIGINT)) AS in_bytes,
+ SUM(event_id % 3) AS out_time, SUM(CAST(round(value*500) AS BIGINT)) AS out_bytes FROM {events} GROUP BY date_trunc('hour', ts), user_id, event_id % 40""",
+    "t_ping_requests": """
+SELECT * FROM (VALUES (0,'a.example.org'),(1,'b.example.org'),(2,'c.example.org'),(3,'d.example.org')) AS r(id,host)""",
+    "t_cert_requests": """
+SELECT * FROM (VALUES (0,'www.h0.example.org',443),(1,'www.h1.example.org',443),(2,'www.h2.example.org',993),(3,'www.h3.example.org',443),(4,'www.h4.example.org',465)) AS r(id,host,port)""",
 }
