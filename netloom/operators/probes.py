@@ -138,9 +138,13 @@ def cert_name_mismatch(certs: DataFrame, requests: DataFrame) -> DataFrame:
         F.size(names) > 1,
         F.concat(F.get(names, 0), F.lit(" and "), (F.size(names) - 1).cast("string"), F.lit(" others")),
     ).otherwise(F.col("name"))
-    same = [seen["request"] == wrong["request"], seen["value"] == wrong["value"], seen["name"].eqNullSafe(wrong["name"])]
-    return seen.join(wrong.withColumn("label", label), same).select(
-        wrong["request"], "host", "port", wrong["value"], F.col("label").alias("name"), "client", "batch", "count"
+    wrong = wrong.select(
+        "host", "port", label.alias("label"),
+        *[F.col(c).alias(f"_{c}") for c in ("request", "value", "name")],
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("request", "value", "name")]
+    return seen.join(wrong, same).select(
+        "request", "host", "port", "value", F.col("label").alias("name"), "client", "batch", "count"
     )
 
 

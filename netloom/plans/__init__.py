@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-MODULES = ("score_queries", "group_queries", "client_queries", "probe_queries")
+MODULES = (
+    "score_queries", "group_queries", "client_queries", "probe_queries",
+    "set_queries", "join_queries", "lan_queries",
+)
 
 
 def load() -> None:
