@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.functions.times import col
+from netloom.functions.times import col, let
 
 # The forms of addresses.
 V4_FORM = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
@@ -41,28 +41,33 @@ def v4_text(num) -> Column:
 
 def _v6_hex(c: Column) -> Column:
     """IPv6 text as 32 hex digits; NULL for other text."""
-    # A dotted tail becomes two groups first.
-    tail = F.regexp_extract(c, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
-    tail_hex = F.lpad(F.hex(v4_num(tail)), 8, "0")
-    plain = F.when(tail == "", c).otherwise(
-        F.concat(
-            F.substring(c, F.lit(1), F.length(c) - F.length(tail)),
-            F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4),
+    empty = F.array().cast("array<string>")
+
+    def undotted(c: Column) -> Column:
+        """A dotted tail as two groups."""
+        tail = F.regexp_extract(c, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+        tail_hex = F.lpad(F.hex(v4_num(tail)), 8, "0")
+        head = F.substring(c, F.lit(1), F.length(c) - F.length(tail))
+        groups = F.concat(F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4))
+        return F.when(F.contains(c, F.lit(".")), F.concat(head, groups)).otherwise(c)
+
+    def groups_of(sides: Column) -> Column:
+        """Groups of both sides of "::", with the zero groups it stands for."""
+        side = lambda i: F.when(F.get(sides, F.lit(i)) == "", empty).otherwise(F.split(F.get(sides, F.lit(i)), ":", -1))
+        filled = let(
+            F.struct(side(0).alias("l"), side(1).alias("r")),
+            lambda s: F.concat(
+                s["l"], F.array_repeat(F.lit("0"), F.greatest(F.lit(1), 8 - F.size(s["l"]) - F.size(s["r"]))), s["r"]
+            ),
         )
-    )
-    sides = F.split(plain, "::", -1)
-    groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
-    left = groups(F.get(sides, F.lit(0)))
-    right = F.when(F.size(sides) == 2, groups(F.get(sides, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    missing = 8 - F.size(left) - F.size(right)
-    fill = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
-    every = F.concat(left, fill, right)
-    sound = (
-        plain.rlike(V6_FORM)
-        & F.when(F.size(sides) == 2, missing >= 1).otherwise((F.size(sides) == 1) & (missing == 0))
-        & F.forall(every, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
-    )
-    return F.when(sound, F.upper(F.concat_ws("", F.transform(every, lambda g: F.lpad(g, 4, "0")))))
+        return F.when(F.size(sides) == 2, filled).when(F.size(sides) == 1, side(0))
+
+    def digits(groups: Column) -> Column:
+        sound = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+        return F.when(sound, F.upper(F.concat_ws("", F.transform(groups, lambda g: F.lpad(g, 4, "0")))))
+
+    sides = let(undotted(c), lambda plain: F.split(plain, "::", -1))
+    return let(let(sides, groups_of), digits)
 
 
 def ip_bin(c) -> Column:
@@ -76,21 +81,36 @@ def _byte_text(hexed: Column, start: int) -> Column:
     return F.conv(F.substring(hexed, start, 2), 16, 10)
 
 
+def _v6_text(hexed: Column) -> Column:
+    """32 hex digits as canonical text."""
+    group = lambda i: F.lower(F.regexp_replace(F.substring(hexed, 1 + 4 * i, 4), "^0{1,3}", ""))
+
+    def shortened(groups: Column) -> Column:
+        # The longest run of zero groups becomes "::", the leftmost among equals.
+        short = groups
+        for run in range(2, 9):
+            zeros = r"(?:^|:)0(?::0){%d}(?:$|:)" % (run - 1)
+            short = F.when(
+                groups.rlike(zeros), F.regexp_replace(groups, f"^(.*?){zeros}(.*)$", "$1::$2")
+            ).otherwise(short)
+        return short
+
+    return let(F.concat_ws(":", *[group(i) for i in range(8)]), shortened)
+
+
 def ip_text(b) -> Column:
-    """4 or 16 bytes as canonical text (longest run of zero groups as "::")."""
-    hexed = F.hex(col(b))
-    dotted = lambda at: F.concat_ws(".", *[_byte_text(hexed, at + 2 * i) for i in range(4)])
-    groups = F.concat_ws(
-        ":", *[F.lower(F.regexp_replace(F.substring(hexed, 1 + 4 * i, 4), "^0{1,3}", "")) for i in range(8)]
-    )
-    # The longest run wins, the leftmost among equals.
-    short = groups
-    for run in range(2, 9):
-        pattern = r"^(.*?)(?:^|:)0(?::0){%d}(?:$|:)(.*)$" % (run - 1)
-        short = F.when(groups.rlike(r"(^|:)0(:0){%d}(:|$)" % (run - 1)), F.regexp_replace(groups, pattern, "$1::$2")).otherwise(short)
-    mapped = F.substring(hexed, 1, 24) == MAPPED_PREFIX
-    v6 = F.when(mapped, F.concat(F.lit("::ffff:"), dotted(25))).otherwise(short)
-    return F.when(F.length(hexed) == 8, dotted(1)).when(F.length(hexed) == 32, v6)
+    """4 or 16 bytes as canonical text."""
+
+    def text(hexed: Column) -> Column:
+        dotted = lambda at: F.concat_ws(".", *[_byte_text(hexed, at + 2 * i) for i in range(4)])
+        mapped = F.substring(hexed, 1, 24) == MAPPED_PREFIX
+        return (
+            F.when(F.length(hexed) == 8, dotted(1))
+            .when((F.length(hexed) == 32) & mapped, F.concat(F.lit("::ffff:"), dotted(25)))
+            .when(F.length(hexed) == 32, _v6_text(hexed))
+        )
+
+    return let(F.hex(col(b)), text)
 
 
 def ip_canon(c) -> Column:
@@ -111,13 +131,16 @@ def halves(c) -> Column:
     A prefix of n bits then means the same masking in both families.
     """
     c = col(c)
-    hexed = _v6_hex(c)
-    part = lambda at: F.conv(F.substring(hexed, at, 16), 16, -10).cast("long")
-    is_v6 = F.contains(c, F.lit(":"))
-    return F.struct(
-        F.when(is_v6, part(1)).otherwise(F.shiftleft(v4_num(c), 32)).alias("hi"),
-        F.when(is_v6, part(17)).otherwise(F.when(v4_num(c).isNotNull(), F.lit(0).cast("long"))).alias("lo"),
+
+    def of_hex(hexed: Column) -> Column:
+        part = lambda at: F.conv(F.substring(hexed, at, 16), 16, -10).cast("long")
+        return F.struct(part(1).alias("hi"), part(17).alias("lo"))
+
+    v4 = let(
+        v4_num(c),
+        lambda n: F.struct(F.shiftleft(n, 32).alias("hi"), F.when(n.isNotNull(), F.lit(0).cast("long")).alias("lo")),
     )
+    return F.when(F.contains(c, F.lit(":")), let(_v6_hex(c), of_hex)).otherwise(v4)
 
 
 def mask_halves(hi: Column, lo: Column, bits: Column) -> tuple[Column, Column]:
@@ -132,11 +155,16 @@ def mask_halves(hi: Column, lo: Column, bits: Column) -> tuple[Column, Column]:
 def ip_net(c, bits: int) -> Column:
     """Network address (text) of the first `bits` bits of an address."""
     c = col(c)
-    pair = halves(c)
-    hi, lo = mask_halves(pair["hi"], pair["lo"], F.lit(bits))
-    v4 = v4_text(F.shiftrightunsigned(hi, 32))
-    v6 = ip_text(F.unhex(F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0"))))
-    return F.when(hi.isNotNull(), F.when(F.contains(c, F.lit(":")), v6).otherwise(v4))
+
+    def v6_text(pair: Column) -> Column:
+        hi, lo = mask_halves(pair["hi"], pair["lo"], F.lit(bits))
+        return ip_text(F.unhex(F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0"))))
+
+    def v4_net(pair: Column) -> Column:
+        hi, _ = mask_halves(pair["hi"], pair["lo"], F.lit(bits))
+        return F.when(hi.isNotNull(), v4_text(F.shiftrightunsigned(hi, 32)))
+
+    return F.when(F.contains(c, F.lit(":")), let(halves(c), v6_text)).otherwise(let(halves(c), v4_net))
 
 
 def in_cidr(c, network: str, prefix: int) -> Column:
@@ -144,11 +172,16 @@ def in_cidr(c, network: str, prefix: int) -> Column:
     c = col(c)
     if prefix <= 0:
         return F.lit(False)
-    pair, base = halves(c), halves(F.lit(network))
-    hi, lo = mask_halves(pair["hi"], pair["lo"], F.lit(prefix))
-    want_hi, want_lo = mask_halves(base["hi"], base["lo"], F.lit(prefix))
-    same_family = ip_family(c) == ip_family(F.lit(network))
-    return F.coalesce(same_family & (hi == want_hi) & (lo == want_lo), F.lit(False))
+    if ":" not in network:
+        return F.coalesce(_v4_in(v4_num(c), network, prefix), F.lit(False))
+
+    def same(both: Column) -> Column:
+        hi, lo = mask_halves(both["a"]["hi"], both["a"]["lo"], F.lit(prefix))
+        want_hi, want_lo = mask_halves(both["n"]["hi"], both["n"]["lo"], F.lit(prefix))
+        return (hi == want_hi) & (lo == want_lo)
+
+    inside = let(F.struct(halves(c).alias("a"), halves(F.lit(network)).alias("n")), same)
+    return F.coalesce(F.contains(c, F.lit(":")) & inside, F.lit(False))
 
 
 # Ranges that are not public.
@@ -157,9 +190,10 @@ NOT_PUBLIC_V4 = (
     ("255.255.255.255", 32), ("224.0.0.0", 4), ("0.0.0.0", 32),
     ("192.0.2.0", 24), ("198.51.100.0", 24), ("203.0.113.0", 24), ("169.254.0.0", 16),
 )
-NOT_PUBLIC_V6 = (("::", 128), ("::1", 128), ("ff00::", 8))
 LEGACY_V4 = (("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("224.0.0.0", 4))
-LEGACY_V6 = (("f000::", 8),)
+# Text forms of ::, ::1 and ff00::/8, and of the older f000::/8.
+NOT_PUBLIC_V6 = r"^[0:]+$|^[0:]*:0{0,3}1$|^[0:]*:0\.0\.0\.[01]$|^[fF][fF][0-9a-fA-F]{2}:"
+LEGACY_V6 = r"^[fF]0[0-9a-fA-F]{2}:"
 # Text prefixes of private and link-local addresses.
 PRIVATE_TEXT = r"^(10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.|169\.254\.|[fF][eEdD]..:)"
 
@@ -174,17 +208,11 @@ def _v4_in(num: Column, network: str, prefix: int) -> Column:
 def p_public_ip(c, legacy: bool = False) -> Column:
     """Public addresses only; `legacy` drops the shorter, older list of ranges."""
     c = col(c)
-    num, pair = v4_num(c), halves(c)
-    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
-    v4_bad = any_of([_v4_in(num, n, p) for n, p in (LEGACY_V4 if legacy else NOT_PUBLIC_V4)])
-    if legacy:
-        top = F.shiftrightunsigned(pair["hi"], 56)
-        v6_bad = top == 0xF0
-    else:
-        unspecified_or_loopback = (pair["hi"] == 0) & pair["lo"].isin(0, 1)
-        v6_bad = unspecified_or_loopback | (F.shiftrightunsigned(pair["hi"], 56) == 0xFF)
-    v6 = F.contains(c, F.lit(":"))
-    return F.coalesce(F.when(v6, ~v6_bad).otherwise(~v4_bad), F.lit(False))
+    ranges = LEGACY_V4 if legacy else NOT_PUBLIC_V4
+    in_any = let(v4_num(c), lambda num: reduce(lambda a, b: a | b, [_v4_in(num, n, p) for n, p in ranges]))
+    v6 = c.rlike(V6_FORM) | c.rlike(r"^[0-9A-Fa-f:]*:\d+\.\d+\.\d+\.\d+$")
+    bad_v6 = c.rlike(LEGACY_V6 if legacy else NOT_PUBLIC_V6)
+    return F.when(F.contains(c, F.lit(":")), v6 & ~bad_v6).otherwise(F.coalesce(~in_any, F.lit(False)))
 
 
 def p_private_text(c) -> Column:

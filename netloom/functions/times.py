@@ -10,6 +10,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` evaluated once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hour_of(c: Column | str) -> Column:
     """Start of the hour as a wall clock."""
     return F.date_trunc("hour", col(c)).cast("timestamp_ntz")

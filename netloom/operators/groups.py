@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions.scalars import saturate
 from netloom.functions.times import hour_of
+from netloom.operators.ordering import counter_delta
 
 BUCKETS = 40  # Fixed value: speed buckets per histogram.
 SPEED_ARRAYS = ("in_time", "in_bytes", "out_time", "out_bytes")
@@ -233,3 +235,18 @@ def firewall_hits(log: DataFrame, addresses: DataFrame | None, min_routers: int,
         .agg(F.count(F.lit(1)).alias("routers"), F.sum("n").alias("packets"))
         .where((F.col("routers") > min_routers) & (F.col("packets") > min_packets))
     )
+
+
+CAPTURE_COUNTERS = ("captured", "dropped", "dropped_driver")
+
+
+def capture_stats(counters: DataFrame) -> DataFrame:
+    """Packets captured and dropped since the last snapshot, per client and interface.
+
+    `counters` are cumulative per (client, iface, snapshot) and direction.
+    """
+    both = counters.groupBy("client", "iface", "snapshot").agg(
+        *[F.sum(c).alias(c) for c in CAPTURE_COUNTERS]
+    )
+    deltas = counter_delta(both, ["client", "iface"], ["snapshot"], F.trunc("snapshot", "month"), CAPTURE_COUNTERS)
+    return deltas.withColumns({c: saturate(c, 31) for c in CAPTURE_COUNTERS})

@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "score_queries", "group_queries", "client_queries", "probe_queries",
-    "set_queries", "join_queries", "lan_queries",
+    "set_queries", "join_queries", "lan_queries", "packet_queries", "limit_queries",
 )
 
 

@@ -141,7 +141,7 @@ def enriched(t):
 
 @query(
     "s06_export_blacklist",
-    f"WITH {SQL_LIST.strip()} SELECT server, remote, clients, score, mode FROM listed WHERE remote NOT LIKE '10.%' ORDER BY remote, server",
+    f"WITH {SQL_LIST.strip()} SELECT server, remote, clients, score, mode FROM listed WHERE remote NOT LIKE '10.%' ORDER BY server, remote",
 )
 def exported_blacklist(t):
     from netloom.sources.exports import blacklist_rows

@@ -62,11 +62,12 @@ def _with_views(sql: str) -> str:
     for name in used:
         body = re.sub(r"\{(\w+)\}", r"\1", VIEWS[name])
         parts.append(f"{name} AS ({body})")
-    head = "WITH " + ",\n".join(parts)
+    views = ",\n".join(parts)
     sql = sql.strip()
-    if sql[:5].upper() == "WITH ":
-        return f"{head},\n{sql[5:]}"
-    return f"{head}\n{sql}"
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(lead):
+            return f"{lead}{views},\n{sql[len(lead):]}"
+    return f"WITH {views}\n{sql}"
 
 
 def query(name: str, sql: str | None = None):

@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions.net import p_private_text
 
 BLACKLIST_COLUMNS = ("server", "remote", "clients", "score", "mode")
-# Addresses of one's own end that must not leave the site are private ones.
-CONNECTION_COLUMNS = (
-    "server", "remote", "remote_port", "local", "local_port",
-    "start_time_utc", "end_time_utc", "login_attempts", "clients_total",
-)
+CONNECTION_COLUMNS = ("remote", "remote_port", "local", "local_port", "start", "end")
 
 
 def _write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", parts=()) -> None:
@@ -24,7 +20,7 @@ def _write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", pa
 def blacklist_rows(listed: DataFrame, omit: DataFrame) -> DataFrame:
     """Blacklist without omitted addresses, in report order."""
     kept = listed.join(omit.select(F.col("address").alias("remote")), "remote", "left_anti")
-    return kept.select(*BLACKLIST_COLUMNS).orderBy("remote", "server")
+    return kept.select(*BLACKLIST_COLUMNS).orderBy("server", "remote")
 
 
 def export_blacklist(listed: DataFrame, omit: DataFrame, path: str) -> None:
@@ -32,13 +28,18 @@ def export_blacklist(listed: DataFrame, omit: DataFrame, path: str) -> None:
 
 
 def bad_connection_rows(connections: DataFrame, omit: DataFrame, day: str | None = None) -> DataFrame:
-    """Bad connections to export: not omitted, private local addresses blanked."""
-    kept = connections.join(omit.select(F.col("address").alias("remote")), "remote", "left_anti")
+    """Bad connections to export: no omitted remote, no private local address."""
+    ended = F.to_date(F.coalesce("end_time_utc", "start_time_utc"))
+    kept = (
+        connections.withColumn("day", ended)
+        .where(F.col("local").isNull() | ~p_private_text("local"))
+        .join(omit.select(F.col("address").alias("remote")), "remote", "left_anti")
+    )
     if day is not None:
-        kept = kept.where(F.to_date("start_time_utc") == F.lit(day).cast("date"))
-    local = F.when(~p_private_text("local"), F.col("local"))
-    return kept.withColumn("local", local).select(
-        *CONNECTION_COLUMNS, F.to_date("start_time_utc").alias("day")
+        kept = kept.where(F.col("day") == F.lit(day).cast("date"))
+    return kept.select(
+        "server", "day", "remote", "remote_port", "local", "local_port",
+        F.col("start_time_utc").alias("start"), F.col("end_time_utc").alias("end"),
     )
 
 
