@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,27 +67,37 @@ def rate_limit(messages: DataFrame, inflow: int, interval_s: int, factor: int =
     can be run for every possible state at once: that table of outcomes turns a
     chunk into one row. The rows of a client are then composed in order, and
     each chunk is replayed with its now known state. A busy client is spread
-    over as many tasks as it has chunks.
+    over as many tasks as it has chunks, and a task streams its chunks in order.
     """
     full = inflow * factor
     interval_us = interval_s * 1_000_000
     chunk_us = interval_us * chunk_refills
+    parts = ["client", "chunk"]
     rows = messages.select("client", "id", micros("ts").alias("us"), "cost").withColumn(
         "chunk", F.floor(F.col("us") / chunk_us)
     )
 
-    def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "id"])
-        chunk = int(pdf["chunk"].iloc[0])
-        state = np.arange(full + 1)
-        tick = chunk * chunk_refills
-        for us, cost in zip(pdf["us"].to_numpy(), pdf["cost"].to_numpy()):
-            now = us // interval_us
-            state = _refill(state, now - tick, inflow, full)
-            tick = now
-            state = np.where(cost < state, state - cost, state)
-        state = _refill(state, (chunk + 1) * chunk_refills - tick, inflow, full)
-        return pd.DataFrame({"client": [pdf["client"].iloc[0]], "chunk": [chunk], "after": [state]})
+    def outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, tick = None, None, 0
+
+        def closed():
+            """The table of the chunk that ended: state after, by state before."""
+            return (*key, _refill(state, (key[1] + 1) * chunk_refills - tick, inflow, full))
+
+        for pdf in batches:
+            done = []
+            for client, chunk, us, cost in zip(pdf["client"], pdf["chunk"], pdf["us"], pdf["cost"]):
+                if (client, chunk) != key:
+                    if key is not None:
+                        done.append(closed())
+                    key, state, tick = (client, chunk), np.arange(full + 1), chunk * chunk_refills
+                now = us // interval_us
+                if now > tick:
+                    state, tick = _refill(state, now - tick, inflow, full), now
+                state = np.where(cost < state, state - cost, state)
+            yield pd.DataFrame(done, columns=["client", "chunk", "after"])
+        if key is not None:
+            yield pd.DataFrame([closed()], columns=["client", "chunk", "after"])
 
     def composed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
@@ -97,27 +109,24 @@ def rate_limit(messages: DataFrame, inflow: int, interval_s: int, factor: int =
             state, previous = int(after[int(state)]), chunk
         return pd.DataFrame({"client": pdf["client"], "chunk": pdf["chunk"], "before": before})
 
-    def replayed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "id"])
-        state, accepted = int(pdf["before"].iloc[0]), []
-        tick = int(pdf["chunk"].iloc[0]) * chunk_refills
-        for us, cost in zip(pdf["us"].to_numpy(), pdf["cost"].to_numpy()):
-            now = us // interval_us
-            state, tick = int(_refill(state, now - tick, inflow, full)), now
-            ok = cost < state
-            state -= int(cost) if ok else 0
-            accepted.append(bool(ok))
-        return pd.DataFrame({"client": pdf["client"], "id": pdf["id"], "accepted": accepted})
+    def replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, tick = None, 0, 0
+        for pdf in batches:
+            accepted = []
+            for client, chunk, before, us, cost in zip(pdf["client"], pdf["chunk"], pdf["before"], pdf["us"], pdf["cost"]):
+                if (client, chunk) != key:
+                    key, state, tick = (client, chunk), before, chunk * chunk_refills
+                now = us // interval_us
+                state, tick = min(state + (now - tick) * inflow, full), now
+                accepted.append(cost < state)
+                state -= cost if cost < state else 0
+            yield pd.DataFrame({"client": pdf["client"], "id": pdf["id"], "accepted": accepted})
 
     kind = messages.schema["client"].dataType.simpleString()
     id_kind = messages.schema["id"].dataType.simpleString()
-    tables = rows.groupBy("client", "chunk").applyInPandas(
-        outcomes, f"client {kind}, chunk long, after array<long>"
-    )
+    in_order = lambda df: df.repartition(*parts).sortWithinPartitions(*parts, "us", "id")
+    tables = in_order(rows).mapInPandas(outcomes, f"client {kind}, chunk long, after array<long>")
+    # One row per chunk: bounded by the time a client is seen.
     states = tables.groupBy("client").applyInPandas(composed, f"client {kind}, chunk long, before long")
-    flags = (
-        rows.join(states, ["client", "chunk"])
-        .groupBy("client", "chunk")
-        .applyInPandas(replayed, f"client {kind}, id {id_kind}, accepted boolean")
-    )
+    flags = in_order(rows.join(states, parts)).mapInPandas(replayed, f"client {kind}, id {id_kind}, accepted boolean")
     return messages.join(flags, ["client", "id"])
