@@ -5,7 +5,7 @@ from importlib import import_module
 MODULES = (
     "score_queries", "group_queries", "client_queries", "probe_queries",
     "set_queries", "join_queries", "lan_queries", "packet_queries", "limit_queries",
-    "codec_queries", "archive_queries",
+    "codec_queries", "archive_queries", "source_queries", "frame_queries",
 )
 
 

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from netloom.functions.net import p_private_text
 
 BLACKLIST_COLUMNS = ("server", "remote", "clients", "score", "mode")
-CONNECTION_COLUMNS = ("remote", "remote_port", "local", "local_port", "start", "end")
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def _write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", parts=()) -> None:
-    """The output committer publishes a finished job only."""
-    writer = df.write.mode("overwrite").option("header", header).option("sep", sep)
+    """The output committer publishes a finished job only.
+
+    With folders, rows are first brought together by folder; adaptive execution
+    splits a folder that is too large for one task.
+    """
+    gathered = df.hint("rebalance", *parts) if parts else df
+    writer = gathered.write.mode("overwrite").option("header", header).option("sep", sep)
+    writer = writer.option("timestampNTZFormat", MICROS)
     (writer.partitionBy(*parts) if parts else writer).csv(path)
 
 
@@ -44,7 +50,7 @@ def bad_connection_rows(connections: DataFrame, omit: DataFrame, day: str | None
 
 
 def export_bad_connections(connections: DataFrame, omit: DataFrame, path: str, day: str | None = None) -> None:
-    """One folder per (server, day); a hot server is still written by many tasks."""
+    """One folder per (server, day)."""
     _write_csv(bad_connection_rows(connections, omit, day), path, parts=("server", "day"))
 
 
