@@ -6,7 +6,7 @@ from netloom import schemas
 from netloom.operators import reputation
 from netloom.plans.lan_queries import SQL_REPUTATION
 from netloom.plans.registry import query
-from netloom.plans.score_queries import SQL_BAD, bad
+from netloom.plans.score_queries import SQL_BAD, bad, bad_fake
 from netloom.session import scratch_folder
 from netloom.sources import exports, tables
 
@@ -39,36 +39,37 @@ def reputation_files(t):
     return reputation.exploded(tables.read_reputation(t.spark, path))
 
 
-SQL_EXPORT = f"""WITH {SQL_BAD.strip()}, al AS (SELECT * FROM anyc UNION SELECT * FROM sshc)
+SQL_EXPORT = f"""WITH {SQL_BAD.strip()}, un AS ({{rows}}),
+ al AS (SELECT * REPLACE (CASE WHEN remote_port % 2 = 0 THEN concat('198.51.100.', remote_port % 200) ELSE local END AS local) FROM un)
  SELECT server, CAST(COALESCE(end_time_utc, start_time_utc) AS DATE) AS day, remote, remote_port, local, local_port, start_time_utc AS start, end_time_utc AS "end"
  FROM al WHERE local NOT LIKE '192.168.%' AND remote NOT LIKE '10.%'"""
 
 
-def public_bad(t):
-    """Bad connections with some public local addresses."""
-    public = F.concat(F.lit("198.51.100."), (F.col("remote_port") % 200).cast("string"))
-    return bad(t).withColumn("local", F.when(F.col("remote_port") % 2 == 0, public).otherwise(F.col("local")))
+def public(connections):
+    """Some connections with a public local address."""
+    address = F.concat(F.lit("198.51.100."), (F.col("remote_port") % 200).cast("string"))
+    return connections.withColumn("local", F.when(F.col("remote_port") % 2 == 0, address).otherwise(F.col("local")))
 
 
-@query(
-    "s05_export_bad_connections",
-    SQL_EXPORT.replace("al AS (SELECT * FROM anyc UNION SELECT * FROM sshc)",
-    "al AS (SELECT * REPLACE (CASE WHEN remote_port % 2 = 0 THEN concat('198.51.100.', remote_port % 200) ELSE local END AS local) FROM (SELECT * FROM anyc UNION SELECT * FROM sshc))"),
-)
+def omitted(t):
+    return t("t_fake_logs").where("remote LIKE '10.%'").select(F.col("remote").alias("address")).distinct()
+
+
+@query("s05_export_rows", SQL_EXPORT.format(rows="SELECT * FROM anyc UNION SELECT * FROM sshc"))
+def export_rows(t):
+    return exports.bad_connection_rows(public(bad(t)), omitted(t))
+
+
+@query("s05_export_bad_connections", SQL_EXPORT.format(rows="SELECT * FROM anyc"))
 def exported(t):
     path = scratch_folder(t.spark, "bad-connections")
-    omit = t("t_fake_logs").where("remote LIKE '10.%'").select(F.col("remote").alias("address")).distinct()
-    exports.export_bad_connections(public_bad(t), omit, path)
+    exports.export_bad_connections(public(bad_fake(t)), omitted(t), path)
     schema = (
         "remote string, remote_port long, local string, local_port int, start timestamp_ntz, end timestamp_ntz, server string, day date"
     )
     return t.spark.read.schema(schema).option("header", True).csv(path)
 
 
-def lines(t, sql):
-    return t.sql(sql)
-
-
 @query("s08_address_list", "SELECT DISTINCT remote AS address FROM t_fake_logs WHERE id % 5 > 0")
 def address_list(t):
     text = t.sql(
