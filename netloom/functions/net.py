@@ -136,10 +136,8 @@ def halves(c) -> Column:
         part = lambda at: F.conv(F.substring(hexed, at, 16), 16, -10).cast("long")
         return F.struct(part(1).alias("hi"), part(17).alias("lo"))
 
-    v4 = let(
-        v4_num(c),
-        lambda n: F.struct(F.shiftleft(n, 32).alias("hi"), F.when(n.isNotNull(), F.lit(0).cast("long")).alias("lo")),
-    )
+    # Text that is no address has a NULL `hi`.
+    v4 = F.struct(F.shiftleft(v4_num(c), 32).alias("hi"), F.lit(0).cast("long").alias("lo"))
     return F.when(F.contains(c, F.lit(":")), let(_v6_hex(c), of_hex)).otherwise(v4)
 
 
@@ -291,7 +289,6 @@ def cidr_join(df: DataFrame, address: str, prefixes: DataFrame, how: str = "inne
         df.select(F.col(address).alias("_address"))
         .distinct()
         .select("_address", ip_family("_address").alias("_family"), halves("_address").alias("_a"))
-        .where(F.col("_a.hi").isNotNull())
         .join(F.broadcast(lengths), "_family")  # two rows
         .select("_address", "_family", "_a", F.explode("_lengths").alias("_bits"))
     )

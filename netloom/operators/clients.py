@@ -10,6 +10,7 @@ from netloom.operators.ordering import carry_forward, exact_median, latest, neig
 from netloom.schemas import enum_name, enum_rank
 
 LOGGED = ("login", "logout")
+EVERYONE = -1  # Stands for all clients while a report is computed.
 
 
 def sessions(activities: DataFrame, now) -> DataFrame:
@@ -28,24 +29,19 @@ def sessions(activities: DataFrame, now) -> DataFrame:
 
 def uptime_report(activities: DataFrame, now) -> DataFrame:
     """Shortest, longest, mean and median session per client, and of all (NULL client)."""
-    lengths = sessions(activities, now).select("client", (micros("end") - micros("start")).alias("us"))
-    stats = [
+    lengths = sessions(activities, now).select(
+        F.explode(F.array("client", F.lit(EVERYONE))).alias("client"),
+        (micros("end") - micros("start")).alias("us"),
+    )
+    stats = lengths.groupBy("client").agg(
         F.count(F.lit(1)).alias("sessions"),
         F.min("us").alias("min"),
         F.max("us").alias("max"),
         F.avg("us").alias("avg"),
-    ]
-    per_client = lengths.groupBy("client").agg(*stats).join(
-        exact_median(lengths, ["client"], "us"), "client"
-    )
-    everyone = lengths.withColumn("client", F.lit(-1).cast("long"))
-    total = (
-        everyone.groupBy("client").agg(*stats)
-        .join(exact_median(everyone, ["client"], "us"), "client")
-        .withColumn("client", F.lit(None).cast("long"))
     )
-    report = per_client.unionByName(total)
-    return report.withColumns({c: F.col(c) / 1e6 for c in ("min", "max", "avg", "median")})
+    report = stats.join(exact_median(lengths, ["client"], "us"), "client")
+    seconds = {c: F.col(c) / 1e6 for c in ("min", "max", "avg", "median")}
+    return report.withColumns(seconds).withColumn("client", F.nullif(F.col("client"), F.lit(EVERYONE)))
 
 
 def client_sessions(activities: DataFrame, now) -> DataFrame:

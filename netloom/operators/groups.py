@@ -135,15 +135,21 @@ def bandwidth_avg(stats: DataFrame) -> DataFrame:
     )
 
 
+def _cell_sums(df: DataFrame, keys, columns, size: int, cell: str) -> DataFrame:
+    """Arrays of `size` sums per key; `cell` is the SQL of one summand of {c} at {i}.
+
+    One aggregation, combined map-side. The sums are given as SQL text: there
+    are many, and the driver builds text faster than column objects.
+    """
+    sums = [f"sum({cell.format(c=c, i=i)}) AS {c}__{i}" for c in columns for i in range(size)]
+    wide = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("clients"), *[F.expr(text) for text in sums])
+    arrays = [f"array({', '.join(f'{c}__{i}' for i in range(size))}) AS {c}" for c in columns]
+    return wide.selectExpr(*keys, "clients", *arrays)
+
+
 def array_sum(df: DataFrame, keys, columns, size: int = BUCKETS) -> DataFrame:
-    """Element-wise sum of fixed-size arrays in one aggregation, without exploding."""
-    element = lambda c, i: F.sum(F.get(F.col(c), i))
-    sums = [element(c, i).alias(f"{c}__{i}") for c in columns for i in range(size)]
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("clients"), *sums)
-    return out.select(
-        *keys, "clients",
-        *[F.array(*[F.col(f"{c}__{i}") for i in range(size)]).alias(c) for c in columns],
-    )
+    """Element-wise sum of fixed-size arrays, without exploding them."""
+    return _cell_sums(df, keys, columns, size, "get({c}, {i})")
 
 
 def bandwidth_sums(stats: DataFrame, members: DataFrame) -> DataFrame:
@@ -152,24 +158,8 @@ def bandwidth_sums(stats: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def dense_arrays(df: DataFrame, keys, pos: str, columns, size: int = BUCKETS) -> DataFrame:
-    """Fixed-size arrays from (key, position, value) rows; missing positions are zero.
-
-    Positions are summed first, so no list holds more than `size` entries.
-    """
-    cells = df.groupBy(*keys, pos).agg(*[F.sum(c).alias(c) for c in columns])
-    listed = cells.groupBy(*keys).agg(
-        *[
-            F.map_from_entries(F.collect_list(F.struct(F.col(pos), F.col(c)))).alias(c)
-            for c in columns
-        ]
-    )
-    indexes = F.sequence(F.lit(0), F.lit(size - 1))
-
-    def filled(c: str) -> Column:
-        cell = lambda i: F.coalesce(F.try_element_at(F.col(c), i), F.lit(0)).cast("long")
-        return F.transform(indexes, cell).alias(c)
-
-    return listed.select(*keys, *[filled(c) for c in columns])
+    """Fixed-size arrays from (key, position, value) rows; missing positions are zero."""
+    return _cell_sums(df, keys, columns, size, f"CASE WHEN {pos} = {{i}} THEN {{c}} ELSE 0 END").drop("clients")
 
 
 def refused_by_addr(refused: DataFrame) -> DataFrame:

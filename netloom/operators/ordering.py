@@ -113,44 +113,44 @@ def carry_forward(df: DataFrame, keys, order, bucket: Column, value: str, name:
 
 
 # Fixed steps of the median search over microseconds: hours, seconds, exact.
-MEDIAN_STEPS = (3_600_000_000, 1_000_000, 1)
+HOUR, SECOND = 3_600_000_000, 1_000_000
+
+
+def _narrowed(targets: DataFrame, cells: DataFrame, keys, within, cell: str) -> DataFrame:
+    """Targets (keys, within, _rank) moved into the cell their rank falls in."""
+    order = Window.partitionBy(*keys, *within).orderBy(cell)
+    upto = cells.withColumn("_upto", F.sum("_c").over(order))
+    start = F.col("_upto") - F.col("_c")
+    inside = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= start)
+    return (
+        targets.join(upto, [*keys, *within])
+        .where(inside)
+        .select(*keys, cell, (F.col("_rank") - start).alias("_rank"))
+    )
 
 
 def exact_median(df: DataFrame, keys, value: str) -> DataFrame:
-    """Exact median of a long column per key, without sorting a key in one task.
+    """Exact median of a column of microseconds per key, without sorting a key in one task.
 
-    The two middle ranks are narrowed step by step: counts per wide cell, then
-    per finer cell inside the cell a rank falls in. A window only ever sees the
-    cells of one step (at most one step's width divided by the next).
+    The two middle ranks are narrowed to an hour, to a second and to a value.
+    Counts per second serve the first two steps, so the rows are read twice. A
+    window sees the hours of a key, the seconds of an hour or the values of a
+    second, never the rows.
     """
-    rows = df.select(*keys, F.col(value).alias("_v"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    targets = sizes.select(
-        *keys,
-        F.explode(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2"))).alias("_rank"),
-        F.lit(0).cast("long").alias("_parent"),
-    ).distinct()
-    parent_width = None
-    for width in MEDIAN_STEPS:
-        parent = F.lit(0).cast("long") if parent_width is None else F.floor(F.col("_v") / parent_width)
-        cells = (
-            rows.withColumn("_parent", parent)
-            .join(targets.select(*keys, "_parent").distinct(), [*keys, "_parent"], "left_semi")
-            .groupBy(*keys, "_parent", F.floor(F.col("_v") / width).alias("_cell"))
-            .agg(F.count(F.lit(1)).alias("_c"))
-        )
-        order = Window.partitionBy(*keys, "_parent").orderBy("_cell")
-        upto = cells.withColumn("_upto", F.sum("_c").over(order))
-        inside = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))
-        targets = (
-            targets.join(upto, [*keys, "_parent"])
-            .where(inside)
-            .select(
-                *keys,
-                (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("_rank"),
-                F.col("_cell").alias("_parent"),
-                F.col("_rank").alias("_was") if parent_width is None else F.col("_was"),
-            )
-        )
-        parent_width = width
-    return targets.groupBy(*keys).agg(F.avg("_parent").alias("median"))
+    rows = df.select(*keys, F.col(value).alias("_v"), F.floor(F.col(value) / SECOND).alias("_second"))
+    seconds = (
+        rows.groupBy(*keys, "_second").agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_hour", F.floor(F.col("_second") / (HOUR // SECOND)))
+    )
+    hours = seconds.groupBy(*keys, "_hour").agg(F.sum("_c").alias("_c"))
+    middle = F.explode(F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2"))))
+    targets = hours.groupBy(*keys).agg(F.sum("_c").alias("_n")).select(*keys, "_n", middle.alias("_rank"))
+    targets = _narrowed(targets.drop("_n"), hours, keys, [], "_hour")
+    targets = _narrowed(targets, seconds, keys, ["_hour"], "_second")
+    values = (
+        rows.join(targets.select(*keys, "_second").distinct(), [*keys, "_second"], "left_semi")
+        .groupBy(*keys, "_second", "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    found = _narrowed(targets, values, keys, ["_second"], "_v")
+    return found.groupBy(*keys).agg(F.avg("_v").alias("median"))

@@ -26,17 +26,17 @@ def first(t):
     return limits.first_bursts(t("t_fake_logs"))
 
 
-@query(
-    "t08_rate_limit",
-    # A walk over the messages of a client: tokens after each, by recursion.
-    """WITH RECURSIVE m AS (SELECT user_id % 20 AS client, event_id AS id, ts, 1 + event_id % 7 AS cost, epoch_us(ts) // 3600000000 AS tick,
+# A walk over the messages of a client: tokens after each, by recursion.
+SQL_BUCKETS = """WITH RECURSIVE m AS (SELECT user_id % 20 AS client, event_id AS id, ts, 1 + event_id % 7 AS cost, epoch_us(ts) // 3600000000 AS tick,
      ROW_NUMBER() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM events),
     w AS (SELECT client, n, id, tick, cost, CAST(15 AS BIGINT) AS had, CASE WHEN cost < 15 THEN 15 - cost ELSE 15 END AS rest FROM m WHERE n = 1
      UNION ALL SELECT m.client, m.n, m.id, m.tick, m.cost, least(15, w.rest + 3 * (m.tick - w.tick)),
      CASE WHEN m.cost < least(15, w.rest + 3 * (m.tick - w.tick)) THEN least(15, w.rest + 3 * (m.tick - w.tick)) - m.cost ELSE least(15, w.rest + 3 * (m.tick - w.tick)) END
      FROM w JOIN m ON m.client = w.client AND m.n = w.n + 1)
-    SELECT client, id, cost, cost < had AS accepted FROM w""",
-)
+    SELECT client, id, cost, cost < had AS accepted FROM w"""
+
+
+@query("t08_rate_limit", SQL_BUCKETS)
 def limited(t):
     messages = t("events").select(
         (F.col("user_id") % 20).alias("client"), F.col("event_id").alias("id"), "ts", (1 + F.col("event_id") % 7).alias("cost")

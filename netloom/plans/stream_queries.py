@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from netloom.functions.times import hour_of
 from netloom.plans import lan_queries, packet_queries
 from netloom.plans.client_queries import SQL_SESSIONS
-from netloom.plans.limit_queries import SQL_NUMBERED
+from netloom.plans.limit_queries import SQL_BUCKETS, SQL_NUMBERED
 from netloom.plans.probe_queries import SQL_SPOOF
 from netloom.plans.registry import Tables, query, wall_clock
 from netloom.plans.views import VIEWS
@@ -157,7 +157,7 @@ def stream_bursts(t):
     return run(t, stream, "bursts", mode="append")
 
 
-@query("t08_stream_rate_limit", None)
+@query("t08_stream_rate_limit", SQL_BUCKETS.replace("id, cost, cost <", "id, cost <"))
 def stream_limited(t):
     stateful.use_rocksdb(t.spark)
     messages = streamed(t)("events").select(
@@ -175,7 +175,11 @@ def stream_sessions(t):
     return run(t, stateful.stream_client_sessions(streamed(t)("t_activities")), "sessions", mode="append")
 
 
-@query("t05_stream_refused", None)
+# Attempts without an answer come out when the watermark passes their time-out.
+@query(
+    "t05_stream_refused",
+    packet_queries.SQL_ATTEMPTS + " AND (nak IS NOT NULL OR s + INTERVAL '12 hours' < (SELECT MAX(ts) - INTERVAL '10 seconds' FROM ev))",
+)
 def stream_refused(t):
     stateful.use_rocksdb(t.spark)
     events = packet_queries.connection_events(streamed(t))

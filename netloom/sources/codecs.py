@@ -1,10 +1,9 @@
 """Bulk decoding of probe messages from a table of binary payloads.
 
 A landing table has one message per row (client, received, payload, ...). Each
-decoder turns it into one row per record. Messages with fixed-width numbers are
-read with built-in expressions; those with variable records run in Arrow
-batches, one payload at a time, and keep no state between payloads. A message
-that ends in the middle of a record is dropped whole.
+decoder turns it into one row per record, in Arrow batches, one payload at a
+time and with no state between payloads: a narrow job without a shuffle. A
+message that ends in the middle of a record is dropped whole.
 """
 
 from __future__ import annotations
@@ -252,91 +251,88 @@ def decode_certs(df: DataFrame) -> DataFrame:
     )
 
 
-def number_at(payload: Column, position: Column, width: int) -> Column:
-    """Unsigned number of `width` bytes at a byte position; saturates in a long."""
-    digits = F.conv(F.hex(F.substring(payload, position + 1, F.lit(width))), 16, 10)
-    return F.least(digits.cast("decimal(20,0)"), F.lit(MAX_LONG).cast("decimal(20,0)")).cast("long")
+# A bandwidth message is made of 64-bit numbers: stamp, number of
+# windows, (length, in, out) per window, number of buckets, (kbit/s, seconds and
+# bytes in, seconds and bytes out) per bucket.
+WINDOW_NUMBERS, BUCKET_NUMBERS = 3, 5
 
 
-def _records(payload: str, start: Column, count: Column, widths: dict[str, int]) -> Column:
-    """Array of fixed-width records: field names with their widths."""
-    size = sum(widths.values())
+def _tuples(numbers, start: int, count: int, width: int) -> list[tuple]:
+    return [tuple(map(_cut, numbers[at : at + width])) for at in range(start, start + count * width, width)]
 
-    def record(i: Column) -> Column:
-        fields, at = [i.alias("i")], 0
-        for name, width in widths.items():
-            fields.append(number_at(F.col(payload), start + i * size + at, width).alias(name))
-            at += width
-        return F.struct(*fields)
 
-    steps = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array().cast("array<long>"))
-    return F.transform(steps, record)
+def _bandwidth(payload: bytes) -> tuple[int, list[tuple], list[tuple]]:
+    """Stamp, windows and buckets of a whole message."""
+    numbers = struct.unpack(f"!{len(payload) // 8}Q", payload)
+    stamp, windows = numbers[:2]
+    after = 2 + WINDOW_NUMBERS * windows
+    buckets = numbers[after]
+    if len(numbers) != after + 1 + BUCKET_NUMBERS * buckets:
+        raise ValueError("message is cut off")
+    return stamp, _tuples(numbers, 2, windows, WINDOW_NUMBERS), _tuples(numbers, after + 1, buckets, BUCKET_NUMBERS)
 
 
-WINDOW_FIELDS = dict.fromkeys(("win_len", "in_max", "out_max"), 8)
-BUCKET_FIELDS = dict.fromkeys(("kbit", "in_time", "in_bytes", "out_time", "out_bytes"), 8)
-
-
-def _bandwidth_heads(df: DataFrame, last: Column | None) -> DataFrame:
-    """Stamp and counts of bandwidth messages; whole and current ones only."""
-    p = F.col("payload")
-    heads = df.withColumn("stamp", number_at(p, F.lit(0), 8)).withColumn("windows", number_at(p, F.lit(8), 8))
-    heads = heads.withColumn("at", F.lit(16) + F.col("windows") * 24)
-    heads = heads.withColumn("buckets", number_at(p, F.col("at"), 8))
-    whole = F.length(p) == F.col("at") + 8 + F.col("buckets") * 40
-    return heads.where(whole if last is None else whole & (F.col("stamp") >= last))
+def _current(df: DataFrame, last: Column | None) -> DataFrame:
+    """Answers that are not older than the snapshot before."""
+    return df if last is None else df.where(F.col("stamp") >= last)
 
 
 def decode_bandwidth(df: DataFrame, last: Column | None = None) -> DataFrame:
     """Peak windows of bandwidth messages (client, payload); answers older than `last` go."""
-    heads = _bandwidth_heads(df, last)
-    rows = F.inline(_records("payload", F.lit(16).cast("long"), F.col("windows"), WINDOW_FIELDS))
-    return heads.select("client", "stamp", rows).drop("i")
+
+    def parse(payload: bytes) -> list[tuple]:
+        stamp, windows, _ = _bandwidth(payload)
+        return [(stamp, *window) for window in windows]
+
+    return _current(
+        explode_payload(df.select("client", "payload"), parse, "stamp long, win_len long, in_max long, out_max long"), last
+    )
 
 
 def decode_bandwidth_buckets(df: DataFrame, last: Column | None = None) -> DataFrame:
     """Speed buckets of bandwidth messages (client, payload)."""
-    heads = _bandwidth_heads(df, last)
-    rows = F.inline(_records("payload", F.col("at") + 8, F.col("buckets"), BUCKET_FIELDS))
-    return heads.select("client", "stamp", rows).drop("i")
 
+    def parse(payload: bytes) -> list[tuple]:
+        stamp, _, buckets = _bandwidth(payload)
+        return [(stamp, *bucket) for bucket in buckets]
 
-# Fixed value: more than this many 32-bit words of counters are 64-bit numbers.
-WIDE_COUNTS = 32
-CAPTURE_FIELDS = dict.fromkeys(("captured", "dropped", "dropped_driver"), 4)
+    ddl = "stamp long, kbit long, in_time long, in_bytes long, out_time long, out_bytes long"
+    return _current(explode_payload(df.select("client", "payload"), parse, ddl), last)
 
 
-def _count_heads(df: DataFrame, last: Column | None) -> DataFrame:
-    p = F.col("payload")
-    heads = df.withColumn("stamp", number_at(p, F.lit(0), 8)).withColumn("interfaces", number_at(p, F.lit(8), 4))
-    heads = heads.withColumn("at", F.lit(12) + F.col("interfaces") * 12)
-    whole = F.length(p) >= F.col("at")
-    return heads.where(whole if last is None else whole & (F.col("stamp") >= last))
+# A count message is a 64-bit stamp, the number of interfaces,
+# three 32-bit numbers per interface, then pairs of packets and bytes. More than
+# 32 words of pairs are 64-bit numbers.
+COUNT_HEAD = "!QI"
+WIDE_COUNTS = 32
+CAPTURES = ("captured", "dropped", "dropped_driver")
 
 
 def decode_counts(df: DataFrame, last: Column | None = None, types: int = 16) -> DataFrame:
     """Packet counters of count messages (client, payload): position, count and size."""
-    words = F.expr("(length(payload) - at) div 4")
-    heads = _count_heads(df, last).withColumn("words", words)
-    pairs = lambda width: _records(
-        "payload", F.col("at"), F.least(F.expr(f"words div {width // 2}"), F.lit(types)).cast("long"),
-        {"count": width, "size": width},
-    )
-    rows = F.when(F.col("words") > WIDE_COUNTS, pairs(8)).otherwise(pairs(4))
-    out = heads.select("client", "stamp", F.inline(rows))
-    return out.select(
-        "client", "stamp", F.col("i").cast("int").alias("type"),
-        saturate("count", 63).alias("count"), saturate("size", 63).alias("size"),
+
+    def parse(payload: bytes) -> list[tuple]:
+        stamp, interfaces = struct.unpack_from(COUNT_HEAD, payload)
+        at = 12 + 12 * interfaces
+        words = (len(payload) - at) // 4
+        form = f"!{words // 2}Q" if words > WIDE_COUNTS else f"!{words}I"
+        numbers = struct.unpack_from(form, payload, at)
+        pairs = zip(numbers[0::2], numbers[1::2])
+        return [(stamp, i, _cut(count), _cut(size)) for i, (count, size) in zip(range(types), pairs)]
+
+    return _current(
+        explode_payload(df.select("client", "payload"), parse, "stamp long, type int, count long, size long"), last
     )
 
 
 def decode_captures(df: DataFrame, last: Column | None = None) -> DataFrame:
     """Capture statistics of count messages (client, payload) per interface."""
-    heads = _count_heads(df, last)
-    out = heads.select(
-        "client", "stamp", F.inline(_records("payload", F.lit(12).cast("long"), F.col("interfaces"), CAPTURE_FIELDS))
-    )
-    return out.select(
-        "client", "stamp", F.col("i").cast("int").alias("interface"),
-        *[saturate(c, 31).alias(c) for c in CAPTURE_FIELDS],
-    )
+
+    def parse(payload: bytes) -> list[tuple]:
+        stamp, interfaces = struct.unpack_from(COUNT_HEAD, payload)
+        numbers = struct.unpack_from(f"!{3 * interfaces}I", payload, 12)
+        return [(stamp, i, *numbers[3 * i : 3 * i + 3]) for i in range(interfaces)]
+
+    ddl = "stamp long, interface int, " + ", ".join(f"{c} long" for c in CAPTURES)
+    rows = explode_payload(df.select("client", "payload"), parse, ddl)
+    return _current(rows, last).withColumns({c: saturate(c, 31) for c in CAPTURES})
