@@ -20,13 +20,17 @@ def latest(df: DataFrame, keys, *order: Column | str) -> DataFrame:
 
 
 def _bucket_edges(df: DataFrame, keys, bucket: Column, order, values, first: bool) -> DataFrame:
-    """First (or last) values of every (key, bucket)."""
+    """First (or last) values of every (key, bucket).
+
+    The leading order column alone is a plain minimum or maximum, which the
+    hash aggregate can combine without sorting.
+    """
+    bucketed = df.withColumn("_bucket", bucket).groupBy(*keys, "_bucket")
+    if values == [order[0]]:
+        edge = (F.min if first else F.max)(order[0])
+        return bucketed.agg(edge.alias(order[0])).select(*keys, "_bucket", F.struct(order[0]).alias("_edge"))
     pick = F.min_by if first else F.max_by
-    return (
-        df.withColumn("_bucket", bucket)
-        .groupBy(*keys, "_bucket")
-        .agg(pick(F.struct(*values), F.struct(*order)).alias("_edge"))
-    )
+    return bucketed.agg(pick(F.struct(*values), F.struct(*order)).alias("_edge"))
 
 
 def neighbour(df: DataFrame, keys, order, bucket: Column, values: dict[str, str], ahead: bool = True) -> DataFrame:

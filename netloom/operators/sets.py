@@ -32,19 +32,13 @@ def set_versions(log: DataFrame) -> DataFrame:
 def set_content(log: DataFrame, name: str | None = None) -> DataFrame:
     """Addresses in each set (or in one) now.
 
-    The last operation is taken per (epoch, address) before the newest epoch
-    is known, so the log is read and shuffled once, with a map-side combine.
+    The last operation is taken per (epoch, address); the epochs that are not
+    the newest of their set go by a semi join with one row per set.
     """
     wanted = log if name is None else log.where(F.col("store") == name)
-    newest = F.max_by(F.struct("version", "is_add"), F.struct("epoch", "version")).alias("last")
-    per_address = wanted.groupBy(*ADDRESS).agg(F.max("epoch").alias("epoch"), newest)
-    # An address last touched in an older epoch is not in the set.
     epochs = wanted.groupBy("store").agg(F.max("epoch").alias("epoch"))
-    return (
-        per_address.where(F.col("last.is_add"))
-        .join(epochs, ["store", "epoch"], "left_semi")
-        .select("store", "address")
-    )
+    last = _last_operation(wanted, ["store", "epoch", "address"])
+    return last.where("is_add").join(epochs, ["store", "epoch"], "left_semi").select("store", "address")
 
 
 def set_diff(current: DataFrame, wanted: DataFrame, epoch: Column, version: Column, keep: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,12 @@ def documents(t):
     return reputation.exploded(reputation.reputation(t("t_incidents")))
 
 
-@query("a24_reputation_json")
+@query(
+    "a24_reputation_json",
+    f"""WITH c AS ({SQL_REPUTATION}),
+    k AS (SELECT ip, kind, string_agg(concat('"', date, '":', cnt), ',' ORDER BY date) AS days FROM c GROUP BY 1, 2)
+    SELECT ip, concat('{{', string_agg(concat('"', kind, '":{{', days, '}}'), ',' ORDER BY kind), '}}') AS data FROM k GROUP BY 1""",
+)
 def json_documents(t):
     return reputation.to_json(reputation.reputation(t("t_incidents")))
 

@@ -285,7 +285,15 @@ def canon(t):
 SQL_V6_FORMS = """concat('2001:DB8:', CAST(user_id AS STRING), ':0:0:', CAST(event_id % 9 AS STRING), '::', CAST(1 + event_id % 50 AS STRING))"""
 
 
-@query("x01_ip_canon_v6")
+@query(
+    "x01_ip_canon_v6",
+    # The written groups are 2001:db8:u:0:0:e:0:x; the longest run of zeros depends on u and e.
+    """WITH p AS (SELECT event_id, user_id AS u, event_id % 9 AS e, 1 + event_id % 50 AS x FROM events)
+    SELECT event_id, concat('2001:DB8:', u, ':0:0:', e, '::', x) AS ip,
+    CASE WHEN u = 0 AND e = 0 THEN concat('2001:db8::', x) WHEN u = 0 THEN concat('2001:db8::', e, ':0:', x)
+     WHEN e = 0 THEN concat('2001:db8:', u, '::', x) ELSE concat('2001:db8:', u, '::', e, ':0:', x) END AS canon,
+    CASE WHEN u = 0 THEN '2001:db8::' ELSE concat('2001:db8:', u, '::') END AS net FROM p""",
+)
 def canon_v6(t):
     rows = t.sql(f"SELECT event_id, {SQL_V6_FORMS} AS ip FROM {{events}}")
     return rows.select("event_id", "ip", net.ip_canon("ip").alias("canon"), net.ip_net("ip", 64).alias("net"))

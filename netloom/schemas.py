@@ -132,8 +132,15 @@ SPEED_EDGES_KBIT = (
 
 
 def seed(spark: SparkSession, rows, ddl: str) -> DataFrame:
-    """A constant dimension; its size is fixed by the tables above."""
-    return spark.createDataFrame(list(rows), ddl)
+    """A constant dimension; its size is fixed by the tables above.
+
+    Inline values have a known size, so joins with them need no shuffle.
+    """
+    literal = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    lines = ", ".join(f"({', '.join(map(literal, row))})" for row in rows)
+    columns = [field.split() for field in ddl.split(", ")]
+    typed = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in columns)
+    return spark.sql(f"SELECT {typed} FROM VALUES {lines} AS t({', '.join(name for name, _ in columns)})")
 
 
 def scores(spark: SparkSession) -> DataFrame:
