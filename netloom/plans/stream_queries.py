@@ -19,7 +19,7 @@ class StreamTables(Tables):
     def __call__(self, name):
         if name in VIEWS:
             return wall_clock(self.sql(VIEWS[name]))
-        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+        schema = self.spark.read.parquet(f"{self.folder}/{name}*.parquet").schema
         # The glob makes the single file a stream of files.
         return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}*.parquet")
 

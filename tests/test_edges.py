@@ -255,3 +255,14 @@ def test_changed_certificates(rows):
     assert values(got, "batch", "value", "change") == [
         (T0 + timedelta(1), "a", "removed"), (T0 + timedelta(2), "a", "added"), (T0 + timedelta(2), "b", "removed"),
     ]
+
+
+def test_sampling_groups(spark):
+    from netloom.operators.selection import assign_groups
+
+    members = assign_groups(spark.range(4000), seed=5)
+    assert members.count() == 4000 * 5
+    sizes = {r.name: r["count"] for r in members.groupBy("name").count().collect()}
+    assert len(sizes) == 2 + 4 + 8 + 16 + 32
+    assert all(sizes[f"rand-2-{i}"] > 1800 for i in (1, 2)) and all(sizes[f"rand-32-{i}"] > 70 for i in range(1, 33))
+    assert values(members) == values(assign_groups(spark.range(4000), seed=5))
