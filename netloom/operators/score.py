@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.schemas import enum_name, enum_rank
+from netloom.session import lookup_side
 
 SCORE_KEYS = ("server", "remote", "client")
 MIN_CLIENT_SCORE = 100  # Fixed value: a client's score counts from here on.
@@ -90,28 +91,27 @@ def blacklist(scores: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def bad_fake_connections(logs: DataFrame, listed: DataFrame, servers: DataFrame) -> DataFrame:
-    """Connections of hard-listed remotes per (server, remote, remote_port, local)."""
+    """Connections of hard-listed remotes per (server, remote, remote_port, local).
+
+    The list selects the events before they are grouped: the groups are almost
+    as many as the events, the listed remotes are few.
+    """
     hard = listed.where(F.col("mode") == "hard").select("server", "remote", F.col("clients").alias("total"))
-    ports = servers.select("server", F.col("port").alias("server_port"))
-    keys = ["server", "remote", "remote_port", "local"]
-    # Reduce before the joins: the list and the ports are functions of the key.
-    reduced = (
+    ports = servers.select("server", F.col("port").alias("local_port"))
+    return (
         logs.where(F.col("remote_port").isNotNull())
-        .groupBy(*keys)
+        .join(hard, ["server", "remote"])
+        .groupBy("server", "remote", "remote_port", "local")
         .agg(
             F.min("timestamp").alias("start_time_utc"),
             F.max("timestamp").alias("end_time_utc"),
             F.count_if(F.col("event") == "login").alias("login_attempts"),
+            F.min("total").alias("clients_total"),
         )
-    )
-    return (
-        reduced.join(hard, ["server", "remote"])
         .join(ports, "server")
         .select(
-            *keys,
-            F.col("server_port").alias("local_port"),
-            "start_time_utc", "end_time_utc", "login_attempts",
-            F.col("total").alias("clients_total"),
+            "server", "remote", "remote_port", "local", "local_port",
+            "start_time_utc", "end_time_utc", "login_attempts", "clients_total",
         )
     )
 
@@ -133,10 +133,14 @@ def bad_ssh_connections(sessions: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def bad_connections(logs, listed, servers, sessions) -> DataFrame:
-    """Distinct union of the honeypot and SSH bad connections."""
+    """Distinct union of the honeypot and SSH bad connections.
+
+    Both parts use the list, so it is computed once.
+    """
+    hard = lookup_side(listed.where(F.col("mode") == "hard"))
     return (
-        bad_fake_connections(logs, listed, servers)
-        .unionByName(bad_ssh_connections(sessions, listed))
+        bad_fake_connections(logs, hard, servers)
+        .unionByName(bad_ssh_connections(sessions, hard))
         .distinct()
     )
 

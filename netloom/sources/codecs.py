@@ -23,6 +23,7 @@ from netloom.functions.times import to_abs_time
 
 DAY_MS = 86_400_000  # Fixed value: records older than this are dropped.
 MAX_LONG = 2**63 - 1
+BATCH_RECORDS = 20_000  # Records a task holds before it passes them on.
 
 
 class Reader:
@@ -66,17 +67,24 @@ def explode_payload(df: DataFrame, parse: Callable[..., list[tuple]], ddl: str,
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, origin = [], []
-            for i, values in enumerate(zip(*[batch.column(c).to_pylist() for c in inputs])):
+
+            def packed() -> pa.RecordBatch:
+                index = pa.array(origin, pa.int64())
+                columns = [batch.column(f.name).take(index) for f in kept]
+                columns += [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
+                return pa.RecordBatch.from_arrays(columns, names=names)
+
+            for i, values in enumerate(zip(*[batch.column(c) for c in inputs])):
                 try:
-                    records = parse(*values)
+                    records = parse(*[v.as_py() for v in values])
                 except (struct.error, IndexError, ValueError):
                     continue  # unreadable message
                 rows += records
                 origin += [i] * len(records)
-            index = pa.array(origin, pa.int64())
-            columns = [batch.column(f.name).take(index) for f in kept]
-            columns += [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                if len(rows) >= BATCH_RECORDS:
+                    yield packed()
+                    rows, origin = [], []
+            yield packed()
 
     return df.mapInArrow(decode, StructType([*kept, *found]))
 

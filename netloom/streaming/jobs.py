@@ -125,13 +125,13 @@ def stream_closed_hours(stream: DataFrame, keys, aggregates, column: str = "time
     return closed.withColumn("since", F.col("w.start")).drop("w")
 
 
-def stream_hourly_buckets(partial: DataFrame, target: str, checkpoint: str, keys=("timestamp", "client", "pos"), sums=("in_time", "in_bytes", "out_time", "out_bytes")) -> None:
+def stream_hourly_buckets(partial: DataFrame, target: str, checkpoint: str, keys=("timestamp", "client", "pos"), sums=("in_time", "in_bytes", "out_time", "out_bytes"), lateness: str = "2 hours") -> None:
     """Add partial reports (cells of a histogram) to hourly totals.
 
-    The state store holds the running totals; each batch writes the totals it
-    changed, and `read_latest` gives the table.
+    The state store holds the running totals of the hours that may still change;
+    each batch writes the totals it changed, and `read_latest` gives the table.
     """
-    totals = partial.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    totals = timed(partial, "timestamp", lateness).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
     write_batches(totals, target, checkpoint)
 
 
