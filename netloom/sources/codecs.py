@@ -98,6 +98,11 @@ def _cut(number: int) -> int:
 # packets in/out, bytes in/out, ports local/remote, first in/out, last in/out.
 FLOW_HEAD = "!IQ"
 FLOW_RECORD = "!BIIQQHHQQQQ"
+# The record with its two addresses, by family.
+FLOW_FORMS = tuple(
+    (FLOW_RECORD + ends, struct.calcsize(FLOW_RECORD + ends), family)
+    for ends, family in (("4s4s", AF_INET), ("16s16s", AF_INET6))
+)
 # Bits of the flags.
 FLOW_V6, FLOW_UDP = 1, 2
 FLOW_EVENTS = {"seen_start_in": 4, "seen_start_out": 8, "seen_end_in": 16, "seen_end_out": 32, "seen_rst": 64}
@@ -111,16 +116,19 @@ def decode_flows(df: DataFrame, conf_id: int | None = None, max_records: int | N
     """
 
     def parse(payload: bytes) -> list[tuple]:
-        reader = Reader(payload)
-        conf, clock = reader.fields(FLOW_HEAD)
+        conf, clock = struct.unpack_from(FLOW_HEAD, payload)
         if conf_id is not None and conf != conf_id:
             return []
-        records = []
-        while reader.more():
-            flags, *numbers = reader.fields(FLOW_RECORD)
-            ends = [reader.address(bool(flags & FLOW_V6)) for _ in range(2)]
-            if all(t == 0 or clock - t <= DAY_MS for t in numbers[6:]):
-                records.append((clock, flags, *map(_cut, numbers), *ends))
+        at, oldest, records = struct.calcsize(FLOW_HEAD), clock - DAY_MS, []
+        while at < len(payload):
+            form, size, family = FLOW_FORMS[payload[at] & FLOW_V6]
+            flags, *numbers, local, remote = struct.unpack_from(form, payload, at)
+            at += size
+            if max(numbers) > MAX_LONG:
+                numbers = map(_cut, numbers)
+            record = (clock, flags, *numbers, inet_ntop(family, local), inet_ntop(family, remote))
+            if all(t == 0 or t >= oldest for t in record[8:12]):
+                records.append(record)
         return records if max_records is None or len(records) <= max_records else []
 
     raw = explode_payload(
