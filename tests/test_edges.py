@@ -266,3 +266,13 @@ def test_sampling_groups(spark):
     assert len(sizes) == 2 + 4 + 8 + 16 + 32
     assert all(sizes[f"rand-2-{i}"] > 1800 for i in (1, 2)) and all(sizes[f"rand-32-{i}"] > 70 for i in range(1, 33))
     assert values(members) == values(assign_groups(spark.range(4000), seed=5))
+
+
+def test_messages_larger_than_a_batch(rows):
+    n = codecs.BATCH_RECORDS + 5
+    record = struct.pack("!QcBHH", 1000, b"P", 4, 1, 2) + bytes([192, 0, 2, 1])
+    head = struct.pack("!Q", 2000)
+    data = [("big", T0, bytearray(head + record * n)), ("none", T0, bytearray(head)), ("small", T0, bytearray(head + record))]
+    got = codecs.decode_refused(rows(data, "client string, received timestamp_ntz, payload binary").coalesce(1))
+    assert values(got.groupBy("client").count()) == [("big", n), ("small", 1)]
+    assert values(got.select("timestamp").distinct()) == [(T0 - timedelta(seconds=1),)]
