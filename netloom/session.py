@@ -35,17 +35,25 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "netloom") -
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` with a reliable checkpoint.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without that setting (a test) gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session on one
+    machine that has no such setting (a test) gets a folder of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="netloom-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise `df` with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="netloom-checkpoint-"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -63,7 +71,5 @@ def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate files, in the cluster's shared folder if it has one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="netloom-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder for intermediate files in the shared folder."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"

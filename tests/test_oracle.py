@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from netloom.plans.registry import DRIVER_TABLES
+from netloom.plans.registry import DRIVER_TABLES, QUERIES
 from tools.check import compare
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,7 +18,7 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     verdict, _ = compare(spark, con, FOLDER, name, entry.oracle_sql().get(name))
     assert not verdict.startswith("FAIL"), verdict
