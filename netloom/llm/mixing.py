@@ -89,7 +89,7 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
                 if other != dimension:
                     weighed, mass = attach(weighed, other), mass * F.col(f"_{other}")
             sums = weighed.groupBy(F.col(dimension).alias("value")).agg(F.sum(mass).alias("mass"))
-            old = factors[dimension].withColumnRenamed("factor", "old")
+            old = factors[dimension].select("value", F.col("factor").alias("old"))
             fitted = goals[dimension].join(sums, "value").join(old, "value")
             fitted = fitted.select("value", (F.col("target") / F.col("mass")).alias("factor"), "old")
             factors[dimension] = written(fitted.where("mass > 0"), f"mix-factor-{dimension}")
