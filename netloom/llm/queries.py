@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec, token_counts
+from netloom.llm import (
+    exact_dedup,
+    language_id,
+    mixing,
+    near_dedup,
+    quality_rules,
+    sentencepiece_codec,
+    token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +68,8 @@ def exact(table):
 @query("op1_mixing", mixing.report_sql())
 def mixed(table):
     return mixing.mixing_report(table("documents"))
+
+
+@query("op9_quality_rules", quality_rules.REPORT_SQL)
+def quality(table):
+    return quality_rules.quality_report(table("documents"))
