@@ -14,6 +14,7 @@ from netloom.llm import (
     quality_rules,
     sentencepiece_codec,
     token_counts,
+    warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +74,8 @@ def mixed(table):
 @query("op9_quality_rules", quality_rules.REPORT_SQL)
 def quality(table):
     return quality_rules.quality_report(table("documents"))
+
+
+@query("op3_warc_revisits", warc.REPORT_SQL)
+def revisits(table):
+    return warc.revisit_report(table("pages"))
