@@ -12,10 +12,10 @@ from netloom.session import scratch_folder
 SLICE_BYTES = 4_000_000  # text handled at once inside a task
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` as a table in the shared folder: later steps read it back, whatever executor made it."""
     path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

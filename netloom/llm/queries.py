@@ -13,7 +13,9 @@ from netloom.llm import (
     near_dedup,
     quality_rules,
     sentencepiece_codec,
+    suffix_dedup,
     token_counts,
+    training_order,
     warc,
 )
 
@@ -79,3 +81,13 @@ def quality(table):
 @query("op3_warc_revisits", warc.REPORT_SQL)
 def revisits(table):
     return warc.revisit_report(table("pages"))
+
+
+@query("op2_training_order")
+def ordered(table):
+    return training_order.order_report(table("documents"))
+
+
+@query("op8_suffix_dedup")
+def repeats(table):
+    return suffix_dedup.suffix_report(table("documents"))
