@@ -11,13 +11,16 @@ from netloom.llm.common import written
 from netloom.llm.graph import components
 from netloom.llm.sentencepiece_codec import mixed
 
-KEPT = 64  # values of a sketch
-# Two texts of similarity 0.8 share about 51 of the 64 smallest values of their
-# union; fewer than 32 happens to less than one pair in ten million.
-LEAST_SHARED = 32
+KEPT = 64  # values of a first sketch
+WIDE = 512  # values of the sketch of a text that passed the first
+# Two texts of similarity 0.8 share about 51 of the 64 (410 of the 512) smallest
+# values of their union. Fewer than these, five standard deviations below, happen
+# to less than one pair in a million; sets that fit into a sketch are exact.
+LEAST_SHARED = {KEPT: 32, WIDE: 362}
+SLACK = 45  # values by which the overlap of two wide sketches can stay below its mean, likewise
 PERCENT = 80
 SLICE = 2_000_000  # bytes handled at once inside a task
-FIRST_PIVOTS, MORE = 16, 8  # pivots of a list in the second round, and the factor of each further one
+FIRST_PIVOTS, MORE = 1, 4  # pivots of a list in the second round, and the factor of each further one
 
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[65:91] += np.uint64(32)
@@ -112,14 +115,9 @@ def _set_maker(width: int):
     return sets
 
 
-def _needed(n: Column, kept: int) -> Column:
-    """Values that the sketches of two linked texts share at least, by the size of one set.
-
-    While a set and every set that can be linked with it fit whole into their
-    sketches, that is its share of the intersection.
-    """
-    whole = F.ceil(n * PERCENT / 100)
-    return F.when(n * 100 < kept * PERCENT, whole).otherwise(F.lit(kept // 2)).cast("int")
+def _needed(n: str, kept: int) -> Column:
+    """Values that the sketches of two linked texts share at least, by the size of one set."""
+    return F.least(F.ceil(F.col(n) * PERCENT / 100), F.lit(LEAST_SHARED[kept])).cast("int")
 
 
 def _alike(x: str, y: str) -> Column:
@@ -127,44 +125,92 @@ def _alike(x: str, y: str) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
 
 
+def _enough(meet: Column, x: Column, y: Column) -> Column:
+    """Sets of sizes x and y with `meet` common values have the similarity."""
+    return meet * 100 >= (x + y - meet) * PERCENT
+
+
+def _overlap(x: Column, y: Column) -> Column:
+    """Values that the wide sketches of two linked sets of sizes x and y share at least."""
+    meet = F.ceil((x + y) * PERCENT / (100 + PERCENT))
+    larger = F.greatest(x, y)
+    return F.when(larger <= WIDE, meet).otherwise(meet * WIDE / larger - SLACK)
+
+
 class _Candidates:
     """Distinct sets that can have a partner, their sketches, inverted lists and full sets."""
 
-    def __init__(self, table: DataFrame, classes: DataFrame, text: str, width: int, kept: int):
-        self.kept = kept
+    def __init__(self, table: DataFrame, classes: DataFrame, text: str, width: int):
         reps = table.select("line", "s.n", "s.sketch").join(classes.select(F.col("rep").alias("line")), "line")
-        values = reps.select("line", "n", F.explode("sketch").alias("value"))
-        common = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        narrow = reps.select("line", F.explode("sketch").alias("value"))
+        common = narrow.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        passed = (
+            narrow.join(common.select("value"), "value").groupBy("line").agg(F.count(F.lit(1)).alias("shared"))
+            .join(reps.select("line", "n"), "line").where(F.col("shared") >= _needed("n", KEPT)).select("line", "n")
+        )
+        data = table.select("line", F.col(f"row.`{text}`").cast("binary").alias("data")).join(passed, "line")
+        self.sets = written(data.select("line", "n", _set_maker(width)("data").alias("items")), "near-sets")
+        self.live = written(self._prefixes(), "near-live")
+
+    def _prefixes(self) -> DataFrame:
+        """Per set: size, number of common values in its sketch, and the values of its inverted lists.
+
+        Common values are ordered by frequency, rare ones first. Two linked sets
+        share one of their first spare + 1 common values.
+        """
+        wide = self.sets.select("line", F.explode(F.slice("items", 1, WIDE)).alias("value"))
+        common = wide.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         shared = (
-            values.join(common, "value").groupBy("line", "n")
+            wide.join(common, "value").groupBy("line")
             .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"), F.sum("df").alias("weight"))
-            .withColumn("spare", F.size("shared") - _needed(F.col("n"), kept))
+            .join(self.sets.select("line", "n"), "line")
+            .withColumn("spare", F.size("shared") - _needed("n", WIDE))
             .where("spare >= 0")
         )
-        # Rare values first: two linked sets share one of their first spare + 1 common values.
         prefix = F.transform(F.slice("shared", 1, F.col("spare") + 1), lambda x: x["value"])
-        live = shared.select("line", "n", "weight", prefix.alias("prefix"))
-        self.live = written(live.join(reps.select("line", "sketch"), "line"), "near-live")
-        raw = table.select("line", F.col(f"row.`{text}`").cast("binary").alias("data"))
-        data = raw.join(self.live.select("line"), "line")
-        self.sets = written(data.select("line", _set_maker(width)("data").alias("items")), "near-sets")
+        return shared.select("line", "n", F.size("shared").alias("common"), "weight", prefix.alias("prefix"))
 
     def lists(self) -> DataFrame:
-        return self.live.select(F.explode("prefix").alias("value"), "line", "n", "weight")
+        """(value, line, n, weight, room): room is how many common values stand at or after this one."""
+        at = self.live.select("line", "n", "weight", "common", F.posexplode("prefix").alias("at", "value"))
+        return at.select("value", "line", "n", "weight", (F.col("common") - F.col("at")).alias("room"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose full sets have the similarity."""
+        """Pairs (line, pivot) whose full sets have the similarity, as links (a, b)."""
         pairs = pairs.select(F.least("line", "pivot").alias("a"), F.greatest("line", "pivot").alias("b")).distinct()
-        sketch = self.live.select("line", "sketch")
+        sketch = self.sets.select("line", F.slice("items", 1, KEPT).alias("sketch"))
         both = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
-        union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, self.kept)
+        union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, KEPT)
         hit = F.array_intersect("sa", "sb")
-        near = both.withColumn("union", union).where(F.size(F.array_intersect("union", hit)) * 2 >= F.size("union"))
+        near = both.withColumn("union", union)
+        near = near.where(F.size(F.array_intersect("union", hit)) * KEPT >= F.size("union") * LEAST_SHARED[KEPT])
         near = written(near.select("a", "b"), "near-pairs")
-        full = near.join(self.sets.toDF("a", "xa"), "a").join(self.sets.toDF("b", "xb"), "b")
+        items = self.sets.select("line", "items")
+        full = near.join(items.toDF("a", "xa"), "a").join(items.toDF("b", "xb"), "b")
         meet = F.size(F.array_intersect("xa", "xb"))
-        alike = meet * 100 >= (F.size("xa") + F.size("xb") - meet) * PERCENT
-        return written(full.where(alike).select("a", "b"), "near-links")
+        return written(full.where(_enough(meet, F.size("xa"), F.size("xb"))).select("a", "b"), "near-links")
+
+
+def _possible() -> Column:
+    """A member and a pivot of a list can be linked and have no earlier value in common.
+
+    Two sets with `_overlap` common values share one that has at least so many at
+    or after it in both; only in the list of such a value must they meet.
+    """
+    x, y = F.col("n"), F.col("pn")
+    return _alike("n", "pn") & (F.least("room", "pr") >= _overlap(x, y))
+
+
+def _feasible(lists: DataFrame) -> DataFrame:
+    """Members that can be linked with some member of their list, by sizes and room."""
+    ends = lists.groupBy("value").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("members")
+    )
+    n = F.col("n")
+    low = F.greatest("low", F.ceil(n * PERCENT / 100))
+    high = F.least("high", F.floor(n * 100 / PERCENT))
+    can = F.col("room") >= F.least(_overlap(n, low), _overlap(n, high))
+    return lists.join(ends.where("members > 1"), "value").where(can).drop("low", "high", "members")
 
 
 def _links(found: _Candidates) -> DataFrame:
@@ -176,19 +222,19 @@ def _links(found: _Candidates) -> DataFrame:
     members of other components, more of them each round, until none is left:
     every pair of a list is then compared or already in one component.
     """
-    lists = found.lists()
+    lists = _feasible(found.lists())
     top = lists.groupBy("value").agg(
-        F.max(F.struct("weight", F.col("line").alias("pivot"), F.col("n").alias("pn"))).alias("top"),
+        F.max(F.struct("weight", F.col("line").alias("pivot"), F.col("n").alias("pn"), F.col("room").alias("pr"))).alias("top"),
         F.count(F.lit(1)).alias("members"),
     )
-    top = top.where("members > 1").select("value", "top.pivot", "top.pn")
+    top = top.where("members > 1").select("value", "top.pivot", "top.pn", "top.pr")
     open_ = written(lists.join(top, "value").where("line <> pivot"), "near-lists")
-    links = found.verified(open_.where(_alike("n", "pn")).select("line", "pivot"))
-    open_ = open_.drop("pivot", "pn")
+    links = found.verified(open_.where(_possible()).select("line", "pivot"))
+    open_ = open_.drop("pivot", "pn", "pr")
     pivots = FIRST_PIVOTS
     while True:
         label = components(links)
-        named = open_.join(label.withColumnRenamed("node", "line"), "line", "left")
+        named = _feasible(open_).join(label.withColumnRenamed("node", "line"), "line", "left")
         named = named.withColumn("label", F.coalesce("label", "line"))
         sizes = named.groupBy("value", "label").agg(F.count(F.lit(1)).alias("size"))
         main = (
@@ -203,18 +249,21 @@ def _links(found: _Candidates) -> DataFrame:
         order = Window.partitionBy("value").orderBy(F.desc("weight"), "line")
         chosen = (
             named.where("label <> main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots)
-            .select("value", F.col("line").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("pl"))
+            .select(
+                "value", F.col("line").alias("pivot"), F.col("n").alias("pn"), F.col("room").alias("pr"),
+                F.col("label").alias("pl"),
+            )
         )
         chosen = written(chosen, "near-pivots")
-        pairs = named.join(chosen, "value").where((F.col("label") != F.col("pl")) & _alike("n", "pn"))
+        pairs = named.join(chosen, "value").where((F.col("label") != F.col("pl")) & _possible())
         links = links.unionByName(found.verified(pairs.select("line", "pivot")))
         used = chosen.select("value", F.col("pivot").alias("line"))
-        open_ = named.select("value", "line", "n", "weight").join(used, ["value", "line"], "left_anti")
+        open_ = named.select("value", "line", "n", "weight", "room").join(used, ["value", "line"], "left_anti")
         pivots *= MORE
 
 
 def group(
-    df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, kept: int = KEPT
+    df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """(rows as `line` and `row`, their groups: line, id, n, label) of near duplicates.
 
@@ -233,16 +282,16 @@ def group(
     base = df.select(
         F.monotonically_increasing_id().alias("line"),
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
-        _sketcher(width, kept)(F.col(text).cast("binary")).alias("s"),
+        _sketcher(width, KEPT)(F.col(text).cast("binary")).alias("s"),
     )
-    table = written(base, "near-rows")
+    table = written(base, "near-rows", compression="zstd")
     prints = table.select("line", F.col(f"row.`{key}`").alias("id"), "s.n", "s.f1", "s.f2")
     same = ["n", "f1", "f2"]
     classes = written(
         prints.where("n > 0").groupBy(*same).agg(F.min("line").alias("rep"), F.count(F.lit(1)).alias("copies")),
         "near-classes",
     )
-    links = _links(_Candidates(table, classes, text, width, kept))
+    links = _links(_Candidates(table, classes, text, width))
     labels = components(links).withColumnRenamed("node", "rep")
     rep = classes.join(labels, "rep", "left").select(*same, F.coalesce("label", "rep").alias("label"))
     grouped = prints.join(rep, same, "left").select("line", "id", "n", "label")
