@@ -85,10 +85,6 @@ def latest_earlier(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) ->
     inside = Window.partitionBy("page", "_bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("page").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     best = cell.where("full").groupBy("page", "_bucket").agg(F.max(F.struct("at", "id")).alias("last"))
-    bucket = best.select(
-        F.col("page").alias("_page"), F.col("_bucket").alias("_from"), "last",
-        F.lead("_bucket").over(Window.partitionBy("page").orderBy("_bucket")).alias("_to"),
-    )
     near = cell.withColumn("_near", F.max(F.when(F.col("full"), F.struct("at", "id"))).over(inside))
     cells = near.where("_near IS NULL").select("page", "_bucket").distinct()
     # The buckets of an address, not its records, are put in order.
@@ -150,8 +146,8 @@ def resolve_revisits(
 
 
 # Capture records from the pages: a response each, and two revisits of it, some
-# with other validators, some before any response. The same text runs in Spark
-# and DuckDB.
+# with other validators, some before any response. {spread} makes three rows of
+# a page; the rest of the text is the same in Spark and DuckDB.
 RECORDS_SQL = """SELECT 3 * page_id + k AS record_id, url,
   CASE k WHEN 0 THEN 'response' ELSE 'revisit' END AS kind,
   1700000000 + (page_id % 97) * 86400 + (page_id % 1009) * 61 + CASE k WHEN 0 THEN 0 WHEN 1 THEN 3600 ELSE page_id % 7 * 90000 - 90000 END AS seconds,
@@ -160,13 +156,13 @@ RECORDS_SQL = """SELECT 3 * page_id + k AS record_id, url,
     CASE WHEN page_id % 5 > 1 THEN concat('Last-Modified: ', CAST(page_id - page_id % 3 AS STRING), chr(10)) ELSE '' END,
     'Content-Length: ', CAST(CASE k WHEN 0 THEN length(html) ELSE 0 END AS STRING), chr(10),
     'Cache-Control: max-age=', CAST(60 * (k + 1) AS STRING)) AS headers
-FROM {pages} CROSS JOIN (VALUES (0), (1), (2)) AS v(k)"""
+FROM (SELECT *, {spread} AS k FROM {pages}) AS p"""
 
 
 def revisit_report(pages: DataFrame) -> DataFrame:
     """Resolution of every revisit record derived from a table of pages."""
     spark = pages.sparkSession
-    records = spark.sql(RECORDS_SQL, pages=pages).withColumn("at", F.timestamp_seconds("seconds"))
+    records = spark.sql(RECORDS_SQL.replace("{spread}", "explode(array(0, 1, 2))"), pages=pages).withColumn("at", F.timestamp_seconds("seconds"))
     found = resolve_revisits(records)
     value = lambda name: F.col("headers")[name]
     return found.select(
@@ -177,7 +173,7 @@ def revisit_report(pages: DataFrame) -> DataFrame:
     )
 
 
-REPORT_SQL = rf"""WITH records AS ({RECORDS_SQL.format(pages="pages")}),
+REPORT_SQL = rf"""WITH records AS ({RECORDS_SQL.format(pages="pages", spread="unnest([0, 1, 2])")}),
 shaped AS (SELECT *, regexp_matches(trim(url), '^(?i)https?://[^/?#]+') AS http,
   regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '^(?i)https?://([^/?#]+)', 1)), '^www[.]', ''), ':(80|443)$', '') AS host,
   regexp_replace(regexp_extract(trim(url), '^(?i)https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS path,
