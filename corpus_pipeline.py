@@ -7,32 +7,50 @@ last return the columns of the documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec
-from netloom.llm.common import written
+from netloom.llm.common import scratch_of, written
+
+
+def stage(fn):
+    """A stage drops the intermediate tables of the one before, whose result is stored by then."""
+
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        with scratch_of(spark, "pipeline"):
+            return fn(spark, docs, folder)
+
+    return run_stage
 
 
+@stage
 def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language can be told; texts without letters go."""
     return language_id.keep_identified(docs)
 
 
+@stage
 def exact(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One row of each text."""
     return exact_dedup.drop_copies(docs)
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8)."""
     return near_dedup.drop_near_copies(docs)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """A sample whose token shares follow tempered source, language and topic targets."""
     return mixing.sample(docs)
 
 
+@stage
 def pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids under merge-dropout, with the flag that they decode to the text."""
     coded = sentencepiece_codec.encode(docs, lossless="lossless")
@@ -54,6 +72,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, folder: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, folder), f"stage-{name.replace(' ', '-')}")
+    for name, step in STAGES[:-1]:
+        docs = written(step(spark, docs, folder), f"stage-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, folder)

@@ -3,18 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from netloom.session import scratch_folder
 
 SLICE_BYTES = 4_000_000  # text handled at once inside a task
 
 
+_owners: list[str] = []
+_tables: dict[str, list[str]] = {}
+
+
+@contextmanager
+def scratch_of(spark: SparkSession, owner: str):
+    """Tables that `written` makes in this block are deleted when the owner's next block begins.
+
+    For steps whose results are stored before the next one starts.
+    """
+    for path in _tables.pop(owner, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _owners.append(owner)
+    try:
+        yield
+    finally:
+        _owners.pop()
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` as a table in the shared folder: later steps read it back, whatever executor made it."""
     path = scratch_folder(df.sparkSession, name)
+    if _owners:
+        _tables.setdefault(_owners[-1], []).append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

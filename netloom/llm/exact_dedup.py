@@ -121,7 +121,9 @@ def _identified(df: DataFrame, text: str, prime: int, huge: int, chunk: int) ->
         F.when(F.octet_length(raw) < huge, raw).alias("data"),
     )
     table = written(
-        base.select("line", "n_bytes", "sha", "row", _text_fingerprint(prime)("data").alias("f")), "exact-rows"
+        base.select("line", "n_bytes", "sha", "row", _text_fingerprint(prime)("data").alias("f")),
+        "exact-rows",
+        compression="zstd",
     )
     slim = table.select("line", "n_bytes", "sha", "f.f1", "f.f2")
     large = table.where(F.col("n_bytes") >= huge).select("line", F.col(f"row.`{text}`").cast("binary").alias("data"))
