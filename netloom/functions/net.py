@@ -242,22 +242,27 @@ def parse_addr_port(c) -> Column:
     inner = F.concat(F.regexp_extract(c, form, 1), F.regexp_extract(c, form, 2))
     return F.struct(
         F.when(c.rlike(form), inner).otherwise(c).alias("address"),
-        F.nullif(F.regexp_extract(c, form, 3), F.lit("")).cast("int").alias("port"),
+        F.nullif(F.regexp_extract(c, form, 3), F.lit("")).try_cast("int").alias("port"),
     )
 
 
 def parse_set_item(c) -> Column:
-    """Item of a firewall set: `ip[,proto:port][/range]`; a full-length range is none."""
+    """Item of a firewall set: `ip[/range][,proto:port]`; a full-length range is none.
+
+    All fields are NULL if the text has another form, or a number is too large.
+    """
     c = col(c)
     form = r"^([^,/]+)(?:/(\d+))?(?:,(udp|tcp):(\d+))?$"
     address = F.regexp_extract(c, form, 1)
-    bits = F.nullif(F.regexp_extract(c, form, 2), F.lit("")).cast("int")
+    number = lambda i: F.nullif(F.regexp_extract(c, form, i), F.lit(""))
+    bits, port = number(2).try_cast("int"), number(4).try_cast("int")
     whole = F.when(F.contains(address, F.lit(":")), 128).otherwise(32)
+    readable = c.rlike(form) & (number(2).isNull() | (bits <= whole)) & (number(4).isNull() | (port <= 65535))
     return F.struct(
-        address.alias("ip"),
-        F.nullif(F.regexp_extract(c, form, 3), F.lit("")).alias("proto"),
-        F.nullif(F.regexp_extract(c, form, 4), F.lit("")).cast("int").alias("port"),
-        F.nullif(bits, whole).alias("prefix"),
+        F.when(readable, address).alias("ip"),
+        F.when(readable, number(3)).alias("proto"),
+        F.when(readable, port).alias("port"),
+        F.when(readable, F.nullif(bits, whole)).alias("prefix"),
     )
 
 

@@ -66,9 +66,11 @@ def greedy_windows(events: DataFrame, keys, ts: str, length_us: int, start: str
     """Add the start of each event's window.
 
     A window opens at the first event after the previous window's length has
-    passed, per key. Keys whose events all fit in one window need no chain.
+    passed, per key (NULL is a key). Keys whose events all fit in one window need
+    no chain.
     """
-    timed = events.withColumn("_t", micros(ts))
+    timed = events.withColumns({"_t": micros(ts), "_key": F.struct(*keys)})
+    keys = ["_key"]
     spans = timed.groupBy(*keys).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
     first = spans.select(*keys, F.col("_first").alias("_node"))
     long_keys = spans.where(F.col("_last") - F.col("_first") > length_us).select(*keys)
@@ -81,4 +83,4 @@ def greedy_windows(events: DataFrame, keys, ts: str, length_us: int, start: str
         starts.withColumnRenamed("_node", "_t"), [*keys, "_t"], "left"
     )
     filled = carry_forward(marked, keys, ["_t"], F.floor(F.col("_t") / HOUR_US), "_start", "_opened")
-    return filled.withColumn(start, from_micros(F.col("_opened"))).drop("_t", "_start", "_opened")
+    return filled.withColumn(start, from_micros(F.col("_opened"))).drop("_t", "_key", "_start", "_opened")

@@ -10,7 +10,6 @@ from netloom.operators.ordering import carry_forward, exact_median, latest, neig
 from netloom.schemas import enum_name, enum_rank
 
 LOGGED = ("login", "logout")
-EVERYONE = -1  # Stands for all clients while a report is computed.
 
 
 def sessions(activities: DataFrame, now) -> DataFrame:
@@ -28,20 +27,24 @@ def sessions(activities: DataFrame, now) -> DataFrame:
 
 
 def uptime_report(activities: DataFrame, now) -> DataFrame:
-    """Shortest, longest, mean and median session per client, and of all (NULL client)."""
-    lengths = sessions(activities, now).select(
-        F.explode(F.array("client", F.lit(EVERYONE))).alias("client"),
-        (micros("end") - micros("start")).alias("us"),
-    )
-    stats = lengths.groupBy("client").agg(
+    """Shortest, longest, mean and median session per client, and of all.
+
+    `everyone` marks the row of all sessions, whose client is NULL; sessions
+    without a client have a row of their own.
+    """
+    spans = sessions(activities, now)
+    nobody = F.lit(None).cast(spans.schema["client"].dataType).alias("client")
+    who = F.array(F.struct(F.lit(False).alias("everyone"), "client"), F.struct(F.lit(True).alias("everyone"), nobody))
+    lengths = spans.select(F.explode(who).alias("who"), (micros("end") - micros("start")).alias("us"))
+    stats = lengths.groupBy("who").agg(
         F.count(F.lit(1)).alias("sessions"),
         F.min("us").alias("min"),
         F.max("us").alias("max"),
         F.avg("us").alias("avg"),
     )
-    report = stats.join(exact_median(lengths, ["client"], "us"), "client")
+    report = stats.join(exact_median(lengths, ["who"], "us"), "who")
     seconds = {c: F.col(c) / 1e6 for c in ("min", "max", "avg", "median")}
-    return report.withColumns(seconds).withColumn("client", F.nullif(F.col("client"), F.lit(EVERYONE)))
+    return report.withColumns(seconds).select("who.*", "sessions", *seconds)
 
 
 def client_sessions(activities: DataFrame, now) -> DataFrame:

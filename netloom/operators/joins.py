@@ -17,16 +17,13 @@ def resolve_ids(df: DataFrame, dim: DataFrame, key: str, name: str = "name", id_
 
 
 def cross_lookup(clients: DataFrame, types: DataFrame, client: str, kind: str) -> DataFrame:
-    """The pair of ids of one client name and one type name (a product of two single rows)."""
-    one = clients.where(F.col("name") == client).select(F.col("id").alias("client"))
-    two = types.where(F.col("name") == kind).select(F.col("id").alias("type"))
-    # The names are unique, so this is one row with one row. The equality on a
-    # constant keeps it a hash join.
-    return (
-        one.withColumn("_one", F.lit(1))
-        .join(two.withColumn("_one", F.lit(1)), "_one")
-        .drop("_one")
-    )
+    """The pair of ids of one client name and one type name, no row if either is unknown.
+
+    A repeated name stands for its smallest id, so each side is one row.
+    """
+    one = clients.where(F.col("name") == client).agg(F.min("id").alias("client"))
+    two = types.where(F.col("name") == kind).agg(F.min("id").alias("type"))
+    return one.crossJoin(F.broadcast(two)).dropna()  # one row with one row
 
 
 def exclude(df: DataFrame, omit: DataFrame, column: str, omit_column: str = "address") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions.net import drop_subnets, p_unicast_mac
 from netloom.functions.times import trunc_to
-from netloom.operators.ordering import top_k
+from netloom.operators.ordering import first_k
 
 KEY = ["proto", "src", "dst", "port"]
 COUNTERS = ["d_count", "d_size", "d_dsize", "u_count", "u_size", "u_dsize"]
@@ -81,14 +81,20 @@ def topk_with_other(df: DataFrame, k: int = SOURCE_LIMIT, keys=("src",), counter
 
     Ties are broken by the item's key. An existing remainder row takes no rank.
     """
-    is_other = (F.col("proto") == OTHER["proto"]) & (F.col("dst") == OTHER["dst"]) & (F.col("port") == OTHER["port"])
-    items = top_k(df.where(~is_other), list(keys), [F.desc("u_count"), "proto", "dst", "port"], k)
-    folded = items.select(
-        *[c for c in df.columns if c not in OTHER],
-        *[F.when(F.col("in_top"), F.col(c)).otherwise(F.lit(v)).alias(c) for c, v in OTHER.items()],
+    is_other = F.lit(True)
+    for c, v in OTHER.items():
+        is_other = is_other & F.col(c).eqNullSafe(v)
+    top = first_k(df.where(~is_other), list(keys), [F.desc("u_count"), "proto", "dst", "port"], k)
+    # The remainder is everything less the top: no row of the tail is ranked for it.
+    all_rows = df.select(*keys, *[F.lit(v).alias(c) for c, v in OTHER.items()], F.lit(1).alias("_rows"), *counters)
+    moved = top.withColumn("_rows", F.explode(F.array(F.lit(1), F.lit(-1)))).select(
+        *keys,
+        *[F.when(F.col("_rows") > 0, F.col(c)).otherwise(F.lit(v)).alias(c) for c, v in OTHER.items()],
+        "_rows", *[(F.col(c) * F.col("_rows")).alias(c) for c in counters],
     )
-    everything = folded.unionByName(df.where(is_other))
-    return everything.groupBy(*keys, *OTHER).agg(*[F.sum(c).alias(c) for c in counters])
+    whole = all_rows.unionByName(moved).groupBy(*keys, *OTHER)
+    sums = whole.agg(F.sum("_rows").alias("_rows"), *[F.sum(c).alias(c) for c in counters])
+    return sums.where("_rows > 0").drop("_rows")
 
 
 def lan_report(df: DataFrame) -> DataFrame:

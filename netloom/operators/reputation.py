@@ -31,9 +31,10 @@ def documents(rows: DataFrame) -> DataFrame:
     """One document {kind: {date: count}} per address from history rows.
 
     A list holds the days of one kind, then the kinds of one address: both are
-    bounded by the calendar and the kinds, not by the incidents.
+    bounded by the calendar and the kinds, not by the incidents. Rows without a
+    kind or a date have no place in a document and go; readers report such lines.
     """
-    per_kind = rows.groupBy("ip", "kind").agg(
+    per_kind = rows.where("kind IS NOT NULL AND date IS NOT NULL").groupBy("ip", "kind").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("date").cast("string"), "cnt")))).alias("days")
     )
     return per_kind.groupBy("ip").agg(
@@ -55,11 +56,11 @@ def from_json(lines: DataFrame) -> DataFrame:
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """History rows of documents."""
+    """History rows of documents; a date that is none goes."""
     kinds = docs.select("ip", F.explode("data").alias("kind", "days"))
     return kinds.select("ip", "kind", F.explode("days").alias("date", "cnt")).withColumn(
-        "date", F.col("date").cast("date")
-    )
+        "date", F.col("date").try_cast("date")
+    ).where("date IS NOT NULL")
 
 
 def merge_reputation(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.schemas import enum_name, enum_rank
-from netloom.session import lookup_side
 
 SCORE_KEYS = ("server", "remote", "client")
 MIN_CLIENT_SCORE = 100  # Fixed value: a client's score counts from here on.
@@ -133,11 +132,8 @@ def bad_ssh_connections(sessions: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def bad_connections(logs, listed, servers, sessions) -> DataFrame:
-    """Distinct union of the honeypot and SSH bad connections.
-
-    Both parts use the list, so it is computed once.
-    """
-    hard = lookup_side(listed.where(F.col("mode") == "hard"))
+    """Distinct union of the honeypot and SSH bad connections."""
+    hard = listed.where(F.col("mode") == "hard")
     return (
         bad_fake_connections(logs, hard, servers)
         .unionByName(bad_ssh_connections(sessions, hard))

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every netloom job relies on: UTC wall clocks, adaptive plans that
 # coalesce small shuffle partitions and split skewed join partitions.
@@ -58,19 +57,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Rows up to which a materialised side is broadcast.
-BROADCAST_ROWS = 200_000
-
-
-def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a side that several joins use; broadcast it if its row count allows.
-
-    A larger side is left to the planner, which shuffles both.
-    """
-    kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= limit else kept
-
-
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate files in the shared folder."""
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"

@@ -3,7 +3,8 @@
 A landing table has one message per row (client, received, payload, ...). Each
 decoder turns it into one row per record, in Arrow batches, one payload at a
 time and with no state between payloads: a narrow job without a shuffle. A
-message that ends in the middle of a record is dropped whole.
+message that cannot be read is left out whole; the same call with
+`rejected=True` returns those messages, unchanged, with the reason.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 from netloom.functions.scalars import bit, saturate
 from netloom.functions.times import to_abs_time
@@ -57,6 +58,37 @@ class Reader:
 LENGTH = "!L"
 
 
+# What a parser raises for a message that it cannot read.
+UNREADABLE = (struct.error, IndexError, ValueError)
+
+
+def _read(parse: Callable[..., list[tuple]], values) -> list[tuple]:
+    plain = [v.as_py() for v in values]
+    if any(v is None for v in plain):
+        raise ValueError("message is missing")
+    return parse(*plain)
+
+
+def unreadable(df: DataFrame, parse: Callable[..., list[tuple]], inputs=("payload",)) -> DataFrame:
+    """The rows whose message `parse` cannot read, with the `reason`."""
+    schema = StructType([*df.schema.fields, StructField("reason", StringType())])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad, reasons = [], []
+            for i, values in enumerate(zip(*[batch.column(c) for c in inputs])):
+                try:
+                    _read(parse, values)
+                except UNREADABLE as error:
+                    bad.append(i)
+                    reasons.append(str(error))
+            rows = batch.take(pa.array(bad, pa.int64()))
+            columns = [*rows.columns, pa.array(reasons, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "reason"])
+
+    return df.mapInArrow(check, schema)
+
+
 def explode_payload(df: DataFrame, parse: Callable[..., list[tuple]], ddl: str, inputs=("payload",)) -> DataFrame:
     """Replace the `inputs` columns by the records `parse` finds in them."""
     kept = [f for f in df.schema.fields if f.name not in inputs]
@@ -76,9 +108,9 @@ def explode_payload(df: DataFrame, parse: Callable[..., list[tuple]], ddl: str,
 
             for i, values in enumerate(zip(*[batch.column(c) for c in inputs])):
                 try:
-                    records = parse(*[v.as_py() for v in values])
-                except (struct.error, IndexError, ValueError):
-                    continue  # unreadable message
+                    records = _read(parse, values)
+                except UNREADABLE:
+                    continue  # see `unreadable`
                 rows += records
                 origin += [i] * len(records)
                 if len(rows) >= BATCH_RECORDS:
@@ -90,10 +122,22 @@ def explode_payload(df: DataFrame, parse: Callable[..., list[tuple]], ddl: str,
 
 
 def _cut(number: int) -> int:
-    """Unsigned 64-bit numbers saturate in a long."""
+    """Unsigned 64-bit counts saturate in a long."""
     return min(number, MAX_LONG)
 
 
+def _stamp(*numbers: int) -> None:
+    """Stamps and clocks that are no longs make a message unreadable."""
+    if max(numbers) > MAX_LONG:
+        raise ValueError("stamp out of range")
+
+
+def _within(records: list[tuple], most: int | None) -> list[tuple]:
+    if most is not None and len(records) > most:
+        raise ValueError("too many records")
+    return records
+
+
 # The flow message (configuration, clock) and its record: flags,
 # packets in/out, bytes in/out, ports local/remote, first in/out, last in/out.
 FLOW_HEAD = "!IQ"
@@ -108,29 +152,32 @@ FLOW_V6, FLOW_UDP = 1, 2
 FLOW_EVENTS = {"seen_start_in": 4, "seen_start_out": 8, "seen_end_in": 16, "seen_end_out": 32, "seen_rst": 64}
 
 
-def decode_flows(df: DataFrame, conf_id: int | None = None, max_records: int | None = None) -> DataFrame:
+def decode_flows(df: DataFrame, conf_id: int | None = None, max_records: int | None = None, rejected: bool = False) -> DataFrame:
     """Flow records of messages (client, received, payload).
 
     Messages of another configuration, and those with more than `max_records`
-    fresh records, are dropped.
+    fresh records, are rejected.
     """
 
     def parse(payload: bytes) -> list[tuple]:
         conf, clock = struct.unpack_from(FLOW_HEAD, payload)
         if conf_id is not None and conf != conf_id:
-            return []
+            raise ValueError("another configuration")
+        _stamp(clock)
         at, oldest, records = struct.calcsize(FLOW_HEAD), clock - DAY_MS, []
         while at < len(payload):
             form, size, family = FLOW_FORMS[payload[at] & FLOW_V6]
             flags, *numbers, local, remote = struct.unpack_from(form, payload, at)
             at += size
-            if max(numbers) > MAX_LONG:
-                numbers = map(_cut, numbers)
+            _stamp(*numbers[4:])
+            numbers[:4] = map(_cut, numbers[:4])
             record = (clock, flags, *numbers, inet_ntop(family, local), inet_ntop(family, remote))
             if all(t == 0 or t >= oldest for t in record[8:12]):
                 records.append(record)
-        return records if max_records is None or len(records) <= max_records else []
+        return _within(records, max_records)
 
+    if rejected:
+        return unreadable(df, parse)
     raw = explode_payload(
         df, parse,
         "clock long, flags int, count_in long, count_out long, size_in long, size_out long, port_local int, port_remote int, "
@@ -151,7 +198,7 @@ REFUSED_HEAD = "!Q"
 REFUSED_RECORD = "!QcBHH"
 
 
-def decode_refused(df: DataFrame, max_records: int | None = None) -> DataFrame:
+def decode_refused(df: DataFrame, max_records: int | None = None, rejected: bool = False) -> DataFrame:
     """Refused connections of messages (client, received, payload)."""
 
     def parse(payload: bytes) -> list[tuple]:
@@ -161,10 +208,13 @@ def decode_refused(df: DataFrame, max_records: int | None = None) -> DataFrame:
         while reader.more():
             time, reason, family, local, remote = reader.fields(REFUSED_RECORD)
             address = reader.address(family != 4)
+            _stamp(clock, time)
             if clock - time <= DAY_MS:
-                records.append((_cut(clock - time), address, local, remote, reason.decode("latin-1")))
-        return records if max_records is None or len(records) <= max_records else []
+                records.append((clock - time, address, local, remote, reason.decode("latin-1")))
+        return _within(records, max_records)
 
+    if rejected:
+        return unreadable(df, parse)
     raw = explode_payload(df, parse, "age long, address string, local_port int, remote_port int, reason string")
     return raw.select(
         "client", _ago("received", "age").alias("timestamp"),
@@ -183,17 +233,17 @@ FAKE_EVENTS = ("connect", "disconnect", "lost", "extra", "timeout", "login")
 FAKE_DETAILS = ("name", "password", "reason", "method", "uri", "host")
 
 
-def decode_fake_logs(df: DataFrame, version: int = 2, servers: DataFrame | None = None, logins_only: bool = True, max_bytes: int | None = None) -> DataFrame:
+def decode_fake_logs(df: DataFrame, version: int = 2, servers: DataFrame | None = None, logins_only: bool = True, max_bytes: int | None = None, rejected: bool = False) -> DataFrame:
     """Honeypot events of messages (client, received, payload).
 
     Version 1 messages hold no port and no local address. Messages longer than
-    three times `max_bytes` are dropped; other events than logins unless asked for.
+    three times `max_bytes` are rejected; other events than logins unless asked for.
     """
     head = FAKE_HEADS[min(version, 2)]
 
     def parse(payload: bytes) -> list[tuple]:
         if max_bytes is not None and len(payload) > 3 * max_bytes:
-            return []
+            raise ValueError("message is too long")
         reader, records = Reader(payload), []
         while reader.more():
             age, event, family, details, code, *port = reader.fields(head)
@@ -209,6 +259,8 @@ def decode_fake_logs(df: DataFrame, version: int = 2, servers: DataFrame | None
                 records.append((age, FAKE_EVENTS[event], remote, local, port[0] if port else None, code.decode("latin-1"), *found))
         return records
 
+    if rejected:
+        return unreadable(df, parse)
     raw = explode_payload(
         df, parse,
         "age long, event string, remote string, local string, remote_port int, code string, "
@@ -224,7 +276,7 @@ def decode_fake_logs(df: DataFrame, version: int = 2, servers: DataFrame | None
 PING_REPLY = "!L"
 
 
-def decode_pings(df: DataFrame) -> DataFrame:
+def decode_pings(df: DataFrame, rejected: bool = False) -> DataFrame:
     """Ping replies of messages (client, batch, hosts, payload).
 
     `hosts` lists the (request, amount) a message answers, in order. A reply is
@@ -239,10 +291,12 @@ def decode_pings(df: DataFrame) -> DataFrame:
             records.append((host["request"], address.decode("ascii") or None, times))
         return records
 
+    if rejected:
+        return unreadable(df, parse, ("hosts", "payload"))
     return explode_payload(df, parse, "request long, ip string, rtts array<long>", ("hosts", "payload"))
 
 
-def decode_certs(df: DataFrame) -> DataFrame:
+def decode_certs(df: DataFrame, rejected: bool = False) -> DataFrame:
     """Certificate replies of messages (client, batch, hosts, payload), one row per chain link.
 
     `hosts` lists the (request, want_details, want_params) a message answers.
@@ -260,6 +314,8 @@ def decode_certs(df: DataFrame) -> DataFrame:
                 records.append((host["request"], cipher, proto, i, len(value) > 40, value, name, expiry or None))
         return records
 
+    if rejected:
+        return unreadable(df, parse, ("hosts", "payload"))
     return explode_payload(
         df, parse,
         "request long, cipher string, proto string, ord int, is_full boolean, value string, name string, expiry string",
@@ -281,6 +337,7 @@ def _bandwidth(payload: bytes) -> tuple[int, list[tuple], list[tuple]]:
     """Stamp, windows and buckets of a whole message."""
     numbers = struct.unpack(f"!{len(payload) // 8}Q", payload)
     stamp, windows = numbers[:2]
+    _stamp(stamp)
     after = 2 + WINDOW_NUMBERS * windows
     buckets = numbers[after]
     if len(numbers) != after + 1 + BUCKET_NUMBERS * buckets:
@@ -293,25 +350,29 @@ def _current(df: DataFrame, last: Column | None) -> DataFrame:
     return df if last is None else df.where(F.col("stamp") >= last)
 
 
-def decode_bandwidth(df: DataFrame, last: Column | None = None) -> DataFrame:
+def decode_bandwidth(df: DataFrame, last: Column | None = None, rejected: bool = False) -> DataFrame:
     """Peak windows of bandwidth messages (client, payload); answers older than `last` go."""
 
     def parse(payload: bytes) -> list[tuple]:
         stamp, windows, _ = _bandwidth(payload)
         return [(stamp, *window) for window in windows]
 
+    if rejected:
+        return unreadable(df, parse)
     return _current(
         explode_payload(df.select("client", "payload"), parse, "stamp long, win_len long, in_max long, out_max long"), last
     )
 
 
-def decode_bandwidth_buckets(df: DataFrame, last: Column | None = None) -> DataFrame:
+def decode_bandwidth_buckets(df: DataFrame, last: Column | None = None, rejected: bool = False) -> DataFrame:
     """Speed buckets of bandwidth messages (client, payload)."""
 
     def parse(payload: bytes) -> list[tuple]:
         stamp, _, buckets = _bandwidth(payload)
         return [(stamp, *bucket) for bucket in buckets]
 
+    if rejected:
+        return unreadable(df, parse)
     ddl = "stamp long, kbit long, in_time long, in_bytes long, out_time long, out_bytes long"
     return _current(explode_payload(df.select("client", "payload"), parse, ddl), last)
 
@@ -324,8 +385,12 @@ WIDE_COUNTS = 32
 CAPTURES = ("captured", "dropped", "dropped_driver")
 
 
-def decode_counts(df: DataFrame, last: Column | None = None, types: int = 16) -> DataFrame:
-    """Packet counters of count messages (client, payload): position, count and size."""
+def decode_counts(df: DataFrame, last: Column | None = None, rejected: bool = False) -> DataFrame:
+    """Packet counters of count messages (client, payload): position, count and size.
+
+    All pairs of a message come out; those past the known types have no row in
+    the dimension of count types.
+    """
 
     def parse(payload: bytes) -> list[tuple]:
         stamp, interfaces = struct.unpack_from(COUNT_HEAD, payload)
@@ -333,22 +398,27 @@ def decode_counts(df: DataFrame, last: Column | None = None, types: int = 16) ->
         words = (len(payload) - at) // 4
         form = f"!{words // 2}Q" if words > WIDE_COUNTS else f"!{words}I"
         numbers = struct.unpack_from(form, payload, at)
-        pairs = zip(numbers[0::2], numbers[1::2])
-        return [(stamp, i, _cut(count), _cut(size)) for i, (count, size) in zip(range(types), pairs)]
+        _stamp(stamp)
+        return [(stamp, i, _cut(numbers[2 * i]), _cut(numbers[2 * i + 1])) for i in range(len(numbers) // 2)]
 
+    if rejected:
+        return unreadable(df, parse)
     return _current(
         explode_payload(df.select("client", "payload"), parse, "stamp long, type int, count long, size long"), last
     )
 
 
-def decode_captures(df: DataFrame, last: Column | None = None) -> DataFrame:
+def decode_captures(df: DataFrame, last: Column | None = None, rejected: bool = False) -> DataFrame:
     """Capture statistics of count messages (client, payload) per interface."""
 
     def parse(payload: bytes) -> list[tuple]:
         stamp, interfaces = struct.unpack_from(COUNT_HEAD, payload)
+        _stamp(stamp)
         numbers = struct.unpack_from(f"!{3 * interfaces}I", payload, 12)
         return [(stamp, i, *numbers[3 * i : 3 * i + 3]) for i in range(interfaces)]
 
+    if rejected:
+        return unreadable(df, parse)
     ddl = "stamp long, interface int, " + ", ".join(f"{c} long" for c in CAPTURES)
     rows = explode_payload(df.select("client", "payload"), parse, ddl)
     return _current(rows, last).withColumns({c: saturate(c, 31) for c in CAPTURES})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,15 +12,21 @@ from netloom.operators.reputation import from_json, to_json
 from netloom.schemas import TABLES
 
 
+JDBC_SPLIT = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
 def read_table(spark: SparkSession, name: str, path: str | None = None, jdbc: dict | None = None) -> DataFrame:
     """A telemetry table, from parquet files or over JDBC.
 
-    `jdbc` holds the reader options; with partitionColumn, lowerBound,
-    upperBound and numPartitions the read is split over the executors.
+    `jdbc` holds the reader options. It must have partitionColumn, lowerBound,
+    upperBound and numPartitions, which split the read over the executors.
     """
     if path is not None:
         return spark.read.schema(TABLES[name]).parquet(path)
-    rows = spark.read.format("jdbc").options(dbtable=name, **(jdbc or {})).load()
+    missing = [option for option in JDBC_SPLIT if option not in (jdbc or {})]
+    if missing:
+        raise ValueError(f"the read would be one task without {', '.join(missing)}")
+    rows = spark.read.format("jdbc").options(dbtable=name, **jdbc).load()
     wanted = spark.createDataFrame([], TABLES[name]).schema
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
 
@@ -33,9 +41,27 @@ def write_table(df: DataFrame, path: str, time: str | None = None) -> None:
     (out if time is None else out.partitionBy("day")).parquet(path)
 
 
+def _incident_lines(spark: SparkSession, paths) -> DataFrame:
+    """Incident lines with `raw`, the line itself where it is damaged or lacks a field."""
+    schema = spark.createDataFrame([], TABLES["incidents"]).schema
+    lines = spark.read.schema(schema.add("raw", "string")).option("columnNameOfCorruptRecord", "raw").csv(paths)
+    fields = [F.col(c) for c in lines.columns if c != "raw"]
+    lacking = reduce(lambda a, b: a | b, [c.isNull() for c in fields])
+    return lines.withColumn("raw", F.when(lacking, F.coalesce("raw", F.to_csv(F.struct(*fields)))).otherwise(F.col("raw")))
+
+
 def read_incidents(spark: SparkSession, paths) -> DataFrame:
-    """Header-less `ip,date,count,kind` lines; .gz and .bz2 files are unpacked."""
-    return spark.read.schema(TABLES["incidents"]).csv(paths)
+    """Header-less `ip,date,count,kind` lines; .gz and .bz2 files are unpacked.
+
+    Damaged lines and lines without one of the fields are in `rejected_incidents`.
+    """
+    return _incident_lines(spark, paths).where(F.col("raw").isNull()).drop("raw")
+
+
+def rejected_incidents(spark: SparkSession, paths) -> DataFrame:
+    """Lines (raw) that `read_incidents` leaves out, with the reason."""
+    lines = _incident_lines(spark, paths).where(F.col("raw").isNotNull())
+    return lines.select("raw", F.lit("damaged or incomplete line").alias("reason"))
 
 
 def write_incidents(df: DataFrame, path: str) -> None:
@@ -71,10 +97,23 @@ def read_address_list(spark: SparkSession, path: str) -> DataFrame:
 SET_RULE = r"^\s*add\s+(\S+)\s+(\S+)"
 
 
+def _item() -> Column:
+    return parse_set_item(F.regexp_extract("value", SET_RULE, 2))
+
+
+def rejected_set_rules(lines: DataFrame) -> DataFrame:
+    """Rules that `parse_set_rules` leaves out as it cannot read their item, with the reason."""
+    bad = F.col("value").rlike(SET_RULE) & _item().getField("ip").isNull()
+    return lines.where(bad).withColumn("reason", F.lit("unreadable item"))
+
+
 def parse_set_rules(lines: DataFrame) -> DataFrame:
-    """Rules `add <set> <item>` as (set, ip, proto, port, prefix); other lines go."""
-    rules = lines.where(F.col("value").rlike(SET_RULE))
-    item = parse_set_item(F.regexp_extract("value", SET_RULE, 2))
+    """Rules `add <set> <item>` as (set, ip, proto, port, prefix); other lines go.
+
+    Rules whose item cannot be read are in `rejected_set_rules`.
+    """
+    rules = lines.where(F.col("value").rlike(SET_RULE) & _item().getField("ip").isNotNull())
+    item = _item()
     carried = [c for c in lines.columns if c != "value"]
     return rules.select(*carried, F.regexp_extract("value", SET_RULE, 1).alias("set"), item.alias("i")).select(
         *carried, "set", "i.*"
@@ -99,8 +138,26 @@ LAN_NUMBER = r"^[\d.]+$"
 UNDEFINED, NO_NAME = "UNDEFINED", "none"
 
 
+def _whole(number: Column) -> Column:
+    """The whole part of a decimal number, exact in all digits; NULL if it is none or no long."""
+    digits = F.substring_index(number, ".", 1)
+    digits = F.when(digits == "", "0").otherwise(digits)
+    return F.when(number.rlike(LAN_NUMBER) & number.try_cast("double").isNotNull(), digits.try_cast("long"))
+
+
+def rejected_lan_flows(lines: DataFrame) -> DataFrame:
+    """Lines that `parse_lan_flows` leaves out, with the reason."""
+    parts = F.split("value", ",")
+    counters = [_whole(F.trim(F.get(parts, F.lit(len(LAN_TEXT) + i)))) for i in range(len(LAN_COUNTERS))]
+    bad = reduce(lambda a, b: a | b, [c.isNull() for c in counters])
+    return lines.where(bad).withColumn("reason", F.lit("a counter is missing or unreadable"))
+
+
 def parse_lan_flows(lines: DataFrame) -> DataFrame:
-    """Local traffic lines (column value); a line without its counters goes, a missing name is 'none'."""
+    """Local traffic lines (column value); a missing name is 'none'.
+
+    Lines without all counters are in `rejected_lan_flows`.
+    """
     parts = F.split("value", ",")
     at = lambda i: F.trim(F.get(parts, F.lit(i)))
     columns = [
@@ -108,7 +165,7 @@ def parse_lan_flows(lines: DataFrame) -> DataFrame:
         for i, (name, form) in enumerate(LAN_TEXT.items())
     ]
     for i, name in enumerate(LAN_COUNTERS, start=len(LAN_TEXT)):
-        columns.append(F.when(at(i).rlike(LAN_NUMBER), at(i).try_cast("double").cast("long")).alias(name))
+        columns.append(_whole(at(i)).alias(name))
     last = len(LAN_TEXT) + len(LAN_COUNTERS)
     columns.append(F.when(at(last).rlike(LAN_NAME), at(last)).otherwise(NO_NAME).alias("resolved"))
     carried = [c for c in lines.columns if c != "value"]
@@ -119,17 +176,33 @@ def read_lan_flows(spark: SparkSession, path: str) -> DataFrame:
     return parse_lan_flows(spark.read.text(path))
 
 
+def _redirections(lines: DataFrame, marker: str) -> DataFrame:
+    """Log lines with the marker, their fields as columns; a field may stand anywhere in the line."""
+    field = lambda key: F.nullif(F.regexp_extract("value", rf"(?:^|\s){key}=(\S*)", 1), F.lit(""))
+    port = field("DPT").try_cast("int")
+    return lines.where(F.contains("value", F.lit(marker))).withColumns({
+        "suffix": F.regexp_extract(F.substring_index("value", marker, -1), "^([^:]*)", 1),
+        "src": field("SRC"), "dst": field("DST"), "proto": field("PROTO"),
+        "dport": F.when(port.between(0, 65535), port),
+    })
+
+
+_COMPLETE = "src IS NOT NULL AND dst IS NOT NULL AND proto IS NOT NULL AND dport IS NOT NULL"
+
+
 def parse_fw_log(lines: DataFrame, marker: str = "fake-open-") -> DataFrame:
     """Kernel firewall log lines (column value) as redirections of probed ports.
 
-    `marker` is the text in front of the set's suffix in the log prefix.
+    `marker` is the text in front of the set's suffix in the log prefix. Marked
+    lines without addresses, protocol or port are in `rejected_fw_log`.
     """
-    form = marker + r"([^:]*).*SRC=([^ ]*).*DST=([^ ]*).*PROTO=([^ ]*).*DPT=([^ ]*)"
-    part = lambda i: F.regexp_extract("value", form, i)
-    return lines.where(F.col("value").rlike(form)).select(
-        *[c for c in lines.columns if c != "value"],
-        part(1).alias("suffix"), part(2).alias("src"), part(3).alias("dst"),
-        part(4).alias("proto"), part(5).cast("int").alias("dport"),
-    ).withColumn(
-        "item", F.concat("src", F.lit(","), "proto", F.lit(":"), F.col("dport").cast("string"), F.lit(","), "dst")
-    )
+    carried = [c for c in lines.columns if c != "value"]
+    item = F.concat("src", F.lit(","), "proto", F.lit(":"), F.col("dport").cast("string"), F.lit(","), "dst")
+    found = _redirections(lines, marker).where(_COMPLETE)
+    return found.select(*carried, "suffix", "src", "dst", "proto", "dport", item.alias("item"))
+
+
+def rejected_fw_log(lines: DataFrame, marker: str = "fake-open-") -> DataFrame:
+    """Marked lines that `parse_fw_log` leaves out, with the reason."""
+    bad = _redirections(lines, marker).where(f"NOT ({_COMPLETE})")
+    return bad.select(*lines.columns, F.lit("an address, the protocol or the port is missing or unreadable").alias("reason"))
