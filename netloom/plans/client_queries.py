@@ -23,6 +23,15 @@ def sessions(t):
     return clients.sessions(t("t_activities"), NOW)
 
 
+SQL_NULL_SESSIONS = SQL_SESSIONS.strip().replace("t_activities", "(SELECT * REPLACE (CASE WHEN id % 7 > 0 THEN client END AS client) FROM t_activities)")
+
+
+@query("w04_sessions_nulls", f'WITH {SQL_NULL_SESSIONS} SELECT client, start, "end", open FROM se')
+def sessions_of_nulls(t):
+    client = F.when(F.col("id") % 7 > 0, F.col("client"))
+    return clients.sessions(t("t_activities").withColumn("client", client), NOW)
+
+
 @query("t15_client_sessions", f'WITH {SQL_SESSIONS.strip()} SELECT client, start, "end", ended FROM se')
 def client_sessions(t):
     return clients.client_sessions(t("t_activities"), NOW)

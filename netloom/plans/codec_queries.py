@@ -157,6 +157,48 @@ def counts(t):
     return codecs.decode_counts(messages(t, count_payload()))
 
 
+def damaged(t, payload):
+    """Messages of which every fifth has a stamp past the longs and every seventh is cut off."""
+    broken = F.when(eid() % 5 == 0, F.concat(F.lit(b"\xff" * 8), F.substring("payload", 9, 100_000)))
+    broken = broken.when(eid() % 7 == 0, F.substring("payload", 1, 11)).otherwise(F.col("payload"))
+    return t("events").select(
+        uid().alias("client"), F.col("ts").alias("received"), eid(), payload.alias("payload")
+    ).withColumn("payload", broken)
+
+
+# The event of a damaged message, and whether its stamp is at fault.
+SQL_DAMAGED = "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'stamp out of range' ELSE 'unreadable' END AS reason FROM events WHERE event_id % 5 = 0 OR event_id % 7 = 0"
+
+
+def reasons(rejected):
+    """The number of a rejected message and whether its stamp is at fault."""
+    reason = F.when(F.col("reason") == "stamp out of range", F.col("reason")).otherwise("unreadable")
+    return rejected.select("event_id", reason.alias("reason"))
+
+
+@query("s18_rejected", SQL_DAMAGED)
+def rejected_flows(t):
+    clock = F.when(eid() % 5 == 0, F.lit(b"\xff" * 8)).otherwise(be(CLOCK, 8))
+    whole = F.concat(be(7, 4), clock, repeated(flow_record, count()))
+    cut = (eid() % 5 > 0) & (eid() % 7 == 0)
+    payload = F.when(cut, F.substring(whole, 1, 20)).otherwise(whole)
+    rows = t("events").select(uid().alias("client"), F.col("ts").alias("received"), eid(), payload.alias("payload"))
+    return reasons(codecs.decode_flows(rows, conf_id=7, rejected=True))
+
+
+@query("s22_rejected", SQL_DAMAGED)
+def rejected_counts(t):
+    return reasons(codecs.decode_counts(damaged(t, count_payload()), rejected=True))
+
+
+@query(
+    "s22_decode_damaged",
+    "SELECT user_id AS client, 1700000000 + event_id AS stamp, CAST(i AS INTEGER) AS type, event_id + i AS count, event_id * 10 + i AS size FROM events, (SELECT unnest(range(16)) AS i) WHERE event_id % 5 > 0 AND event_id % 7 > 0",
+)
+def damaged_counts(t):
+    return codecs.decode_counts(damaged(t, count_payload()))
+
+
 @query(
     "s22_decode_captures",
     "SELECT user_id AS client, 1700000000 + event_id AS stamp, 0 AS interface, event_id AS captured, event_id % 7 AS dropped, CAST(0 AS BIGINT) AS dropped_driver FROM events",

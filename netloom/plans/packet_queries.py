@@ -458,3 +458,17 @@ def deltas(t):
     rows = t("events").withColumn("delta", F.col("event_id"))
     out = counter_delta(rows, ["user_id"], ["ts", "event_id"], hour_of("ts"), ["delta"])
     return out.select("user_id", "event_id", "delta")
+
+
+@query(
+    "w07_counter_delta_nulls",
+    """WITH e AS (SELECT CASE WHEN event_id % 7 > 0 THEN user_id END AS user_id, event_id, ts FROM events)
+    SELECT user_id, event_id, event_id - LAG(event_id, 1, 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM e""",
+)
+def deltas_of_nulls(t):
+    from netloom.operators.ordering import counter_delta
+
+    user = F.when(F.col("event_id") % 7 > 0, F.col("user_id"))
+    rows = t("events").withColumns({"user_id": user, "delta": F.col("event_id")})
+    out = counter_delta(rows, ["user_id"], ["ts", "event_id"], hour_of("ts"), ["delta"])
+    return out.select("user_id", "event_id", "delta")

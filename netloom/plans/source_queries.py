@@ -96,6 +96,48 @@ def set_rules(t):
     return tables.parse_set_rules(t("t_packets").select("id", text.alias("value")))
 
 
+@query("s03_rejected", "SELECT event_id, 'damaged or incomplete line' AS reason FROM events WHERE event_id % 5 = 0 OR event_id % 7 = 0")
+def rejected_incidents(t):
+    """Every fifth line has a date that is none, every seventh has no kind."""
+    path = scratch_folder(t.spark, "damaged-incidents")
+    t.sql(
+        """SELECT concat('198.51.100.1,', CASE WHEN event_id % 5 = 0 THEN 'x' ELSE '2024-01-01' END, ',', event_id,
+        CASE WHEN event_id % 7 = 0 THEN '' ELSE ',scan' END) AS value FROM {events}"""
+    ).write.text(path)
+    number = F.regexp_extract("raw", r"^[^,]*,[^,]*,(\d+)", 1).cast("long")
+    return tables.rejected_incidents(t.spark, path).select(number.alias("event_id"), "reason")
+
+
+def damaged_rules(t):
+    return t.sql(
+        """SELECT event_id, concat('add s 198.51.100.', event_id % 250, CASE event_id % 6 WHEN 0 THEN ',tcp:99999999999' WHEN 1 THEN ',tcp:http' WHEN 2 THEN '/99'
+        WHEN 3 THEN ',udp:53' WHEN 4 THEN '/24' ELSE '' END) AS value FROM {events}"""
+    )
+
+
+@query("s09_rejected", "SELECT event_id, 'unreadable item' AS reason FROM events WHERE event_id % 6 < 3")
+def rejected_rules(t):
+    return tables.rejected_set_rules(damaged_rules(t)).select("event_id", "reason")
+
+
+@query(
+    "s09_damaged_rules",
+    """SELECT event_id, 's' AS "set", concat('198.51.100.', event_id % 250) AS ip, CASE WHEN event_id % 6 = 3 THEN 'udp' END AS proto,
+    CASE WHEN event_id % 6 = 3 THEN CAST(53 AS INTEGER) END AS port, CASE WHEN event_id % 6 = 4 THEN CAST(24 AS INTEGER) END AS prefix FROM events WHERE event_id % 6 >= 3""",
+)
+def readable_rules(t):
+    return tables.parse_set_rules(damaged_rules(t))
+
+
+@query(
+    "s12_rejected",
+    "SELECT event_id FROM events WHERE event_id % 5 = 0",
+)
+def rejected_lan(t):
+    text = t.sql("SELECT event_id, concat('TCP,a,b,443,', CASE WHEN event_id % 5 = 0 THEN '1.2.3' ELSE '9007199254740993' END, ',1,1,1,1,1') AS value FROM {events}")
+    return tables.rejected_lan_flows(text).select("event_id")
+
+
 @query("s10_greylist", "SELECT ip AS address FROM t_incidents")
 def greylist(t):
     path = scratch_folder(t.spark, "greylist")
@@ -131,6 +173,16 @@ def fw_log(t):
     return tables.parse_fw_log(text)
 
 
+@query("s15_rejected", "SELECT id FROM t_packets WHERE id % 4 < 3")
+def rejected_fw(t):
+    """Lines with a port that is none, without a port, and with one that is too large."""
+    text = t.sql(
+        """SELECT id, concat('kernel: fake-open-telnet: IN=eth1 OUT= SRC=', addr_remote, ' DST=', addr_local, ' PROTO=TCP DPT=',
+        CASE id % 4 WHEN 0 THEN 'x' WHEN 1 THEN '' WHEN 2 THEN '99999999999' ELSE '23' END) AS value FROM {t_packets}"""
+    )
+    return tables.rejected_fw_log(text).select("id")
+
+
 @query("s11_dump_activities", "SELECT c.name, a.timestamp, a.activity FROM t_activities a JOIN t_clients c ON c.id = a.client ORDER BY 2, 1, 3")
 def dumped_activities(t):
     return exports.dump_activities(t("t_activities"), t("t_clients"))

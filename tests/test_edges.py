@@ -2,14 +2,16 @@
 
 import struct
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
 from netloom import schemas
 from netloom.functions import predicates, scalars, times, tls
-from netloom.operators import clients, groups, joins, lan, packets, probes, score, sets
-from netloom.sources import codecs, frames
+from netloom.operators import chains, clients, groups, joins, lan, ordering, packets, probes, reputation, score, sets
+from netloom.sources import codecs, frames, tables
 
 T0 = datetime(2024, 1, 1)
 
@@ -276,3 +278,80 @@ def test_messages_larger_than_a_batch(rows):
     got = codecs.decode_refused(rows(data, "client string, received timestamp_ntz, payload binary").coalesce(1))
     assert values(got.groupBy("client").count()) == [("big", n), ("small", 1)]
     assert values(got.select("timestamp").distinct()) == [(T0 - timedelta(seconds=1),)]
+
+
+def test_damaged_messages_do_not_end_the_job(rows):
+    good = struct.pack("!QI", 5, 0) + struct.pack("!34Q", *[2**53 + 1] * 34)
+    bad = [struct.pack("!QI", 2**63 + 1, 0) + good[12:], good[:9], None]
+    df = rows([(1, bytearray(good))] + [(2, None if b is None else bytearray(b)) for b in bad], "client long, payload binary")
+    kept = codecs.decode_counts(df).collect()
+    assert [(r.client, r.type, r.count_, r.size) for r in rows_named(kept)] == [(1, i, 2**53 + 1, 2**53 + 1) for i in range(17)]
+    rejected = codecs.decode_counts(df, rejected=True).collect()
+    assert [r.client for r in rejected] == [2, 2, 2] and rejected[0].reason == "stamp out of range"
+    assert codecs.decode_captures(df, rejected=True).count() == 3
+    wide = struct.pack("!4Q", 2**63 + 1, 0, 0, 0)
+    assert codecs.decode_bandwidth(rows([(1, bytearray(wide))], "client long, payload binary")).count() == 0
+
+
+def rows_named(found):
+    """Rows of counters; `count` is a method of a row."""
+    return [SimpleNamespace(client=r["client"], type=r["type"], count_=r["count"], size=r["size"]) for r in found]
+
+
+def test_unreadable_text(rows):
+    items = ["1.2.3.4,tcp:http", "1.2.3.4,tcp:99999999999", "1.2.3.4/33", "2001:db8::1/64,udp:53"]
+    lines = rows([(f"add s {item}",) for item in items], "value string")
+    assert values(tables.parse_set_rules(lines)) == [("s", "2001:db8::1", "udp", 53, 64)]
+    assert tables.rejected_set_rules(lines).count() == 3
+    log = "kernel: fake-open-telnet: DPT=23 PROTO=TCP DST=192.0.2.1 SRC=198.51.100.1"
+    lines = rows([(log,), (log.replace("23", "x"),), (log.replace("23", ""),), ("other",)], "value string")
+    assert values(tables.parse_fw_log(lines)) == [("telnet", "198.51.100.1", "192.0.2.1", "TCP", 23, "198.51.100.1,TCP:23,192.0.2.1")]
+    assert tables.rejected_fw_log(lines).count() == 2
+    flow = "TCP,a,b,443,9007199254740993,.5,1.9,1,1,1"
+    lines = rows([(flow,), (flow.replace("1.9", "1.2.3"),), ("TCP",)], "value string")
+    assert values(tables.parse_lan_flows(lines), "d_count", "d_size", "d_dsize") == [(9007199254740993, 0, 1)]
+    assert tables.rejected_lan_flows(lines).count() == 2
+
+
+def test_reputation_of_damaged_rows(rows):
+    df = rows([("8.8.8.8", None, 3, "scan"), ("8.8.8.8", datetime(2024, 1, 1).date(), 3, None), ("8.8.8.8", datetime(2024, 1, 1).date(), 4, "scan")], "ip string, date date, cnt long, kind string")
+    docs = reputation.reputation(df)
+    assert [r["cnt"] for r in reputation.exploded(docs).collect()] == [4]
+    odd = rows([("8.8.8.8", {"scan": {"x": 1, "2024-01-01": 2}})], f"ip string, data {reputation.DOCUMENT}")
+    assert [r["cnt"] for r in reputation.exploded(odd).collect()] == [2]
+
+
+def test_null_keys_are_keys(rows):
+    data = [(None, T0 + timedelta(seconds=s), s) for s in (0, 5, 4000, 4005)]
+    df = rows(data, "k string, ts timestamp_ntz, id long")
+    hour = F.date_trunc("hour", "ts")
+    assert [r.n for r in ordering.ranked(df, ["k"], ["ts"], hour, "n").orderBy("id").collect()] == [1, 2, 3, 4]
+    starts = chains.greedy_windows(df, ["k"], "ts", 10_000_000).orderBy("id").collect()
+    assert [(r.start - T0).seconds for r in starts] == [0, 0, 4000, 4000]
+    got = ordering.exact_median(df.withColumn("us", F.col("id")), ["k"], "us").collect()
+    assert [(r.k, r.median) for r in got] == [(None, 2002.5)]
+
+
+def test_uptime_of_unknown_clients(rows):
+    data = [(1, None, T0, "login"), (2, None, T0 + timedelta(minutes=1), "logout"), (3, -1, T0, "login"), (4, -1, T0 + timedelta(minutes=3), "logout")]
+    df = rows(data, "id long, client long, timestamp timestamp_ntz, activity string")
+    got = values(clients.uptime_report(df, "2024-01-02 00:00:00"), "everyone", "client", "sessions", "max")
+    assert got == [(False, -1, 1, 180.0), (False, None, 1, 60.0), (True, None, 2, 180.0)]
+
+
+def test_remainder_row(rows):
+    ddl = "proto string, src string, dst string, port string, " + ", ".join(f"{c} long" for c in lan.COUNTERS)
+    data = [("TCP", None, f"d{i}", "1", i, i, i, i, i, i) for i in range(5)] + [(None, "s", "d", "1", *[1] * 6)]
+    got = values(lan.topk_with_other(rows(data, ddl), 2), "src", "dst", "u_count")
+    assert got == [("s", "d", 1), (None, "d3", 3), (None, "d4", 4), (None, "other", 3)]
+
+
+def test_jdbc_reads_are_split(spark):
+    with pytest.raises(ValueError, match="numPartitions"):
+        tables.read_table(spark, "incidents", jdbc={"url": "jdbc:none", "partitionColumn": "id", "lowerBound": "0", "upperBound": "9"})
+
+
+def test_repeated_names_give_one_pair(rows):
+    names = rows([(1, "a"), (2, "a"), (3, "b")], "id long, name string")
+    assert values(joins.cross_lookup(names, names, "a", "b")) == [(1, 3)]
+    assert joins.cross_lookup(names, names, "a", "none").count() == 0
