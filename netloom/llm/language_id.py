@@ -19,6 +19,7 @@ DIMENSIONS = 1024
 GRAM = 3
 PER_LABEL = 400  # texts of each label that a profile learns from
 MAX_LABELS = 1000
+SALTS = 64  # parts of a label whose first keys are chosen apart
 SCALE = 1 << 20  # profile sums are integers of this resolution, so their order does not matter
 SLICE = 1_000_000  # characters handled at once
 GRAMS_KEPT = 40_000  # n-gram vectors a Python worker remembers before it starts anew
@@ -182,8 +183,12 @@ def fit(
     rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(key).isNotNull())
     rows = rows.where(where) if where is not None else rows
     rows = rows.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(text).alias("text"))
-    first = Window.partitionBy("label").orderBy(F.xxhash64("key", F.lit(seed)), "key")
-    chosen = rows.drop("text").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label).drop("n")
+    # Salted parts of a label come first, so that no task sees more of a frequent label than its part.
+    chosen = rows.drop("text").withColumn("part", F.spark_partition_id() % SALTS)
+    for group in (("label", "part"), ("label",)):
+        first = Window.partitionBy(*group).orderBy(F.xxhash64("key", F.lit(seed)), "key")
+        chosen = chosen.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label).drop("n")
+    chosen = chosen.drop("part")
     # At most per_label * MAX_LABELS keys.
     sample = rows.join(F.broadcast(chosen.distinct()), ["key", "label"], "left_semi").select("label", "text")
 
