@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from netloom.functions.times import col
+from netloom.schemas import SPEED_EDGES_KBIT
 
 
 def bit(c, mask: int) -> Column:
@@ -36,14 +39,16 @@ def bytes_to_kbit(size) -> Column:
     return F.floor(col(size) * 8 / 1000).cast("long")
 
 
-# Stretches of equally wide speed buckets as (last edge in kbit/s,
-# edge before the first bucket, width, position of the first bucket).
-SPEED_STRETCHES = (
-    (1_000, 0, 250, 0),
-    (20_000, 1_000, 1_000, 4),
-    (100_000, 20_000, 10_000, 23),
-    (1_000_000, 100_000, 100_000, 31),
-)
+def _stretches(edges):
+    """Stretches of equally wide buckets: (last edge, edge before the first bucket, width, position of the first)."""
+    steps = list(enumerate(zip([0, *edges], edges)))
+    for width, group in groupby(steps, lambda step: step[1][1] - step[1][0]):
+        buckets = list(group)
+        first, (before, _) = buckets[0]
+        yield buckets[-1][1][1], before, width, first
+
+
+SPEED_STRETCHES = tuple(_stretches(SPEED_EDGES_KBIT))
 
 
 def speed_bucket(bytes_per_second: Column) -> Column:
@@ -75,24 +80,39 @@ def icmp_reason(family, code) -> Column:
     return F.when(f == 4, v4).otherwise(v6)
 
 
-# Name patterns of network owners, first match wins.
-OWNER_CLASSES = (
-    ("Akamai", r"^AKAMAI-(\d+|PA|ARIN-\d+)$|^AIBV$|^AKAMAI$|^EU-AKAMAI-\d+$"),
-    ("Twitter", r"^TWITTER-NETWORK$|^IE-TWITTER-INTL-"),
-    ("Google", r"^GOOGLE$"),
-    ("Microsoft", r"^MICROSOFT$|^MSFT-GFS$|^MSFT$|^MICROSOFT-1BLK"),
-    ("Ebay", r"^EBAY-\d+$"),
-    ("Seznam", r"^SEZNAM-CZ$"),
-    ("FIO", r"^FIO-BANKA-NET$"),
-    ("Facebook", r"^(ATL1|LAX1|SJC1|SEA1)$|^FACEBOOK-INC$|^TFBNET\d+$|^IAD1$|^THEFA-\d+$|^IAD2$|^HKG\d+$|^PEO\d+$"),
+# Name patterns of networks with their owners, first match wins.
+NETWORK_OWNERS = (
+    (r"^AKAMAI-(\d+|PA|ARIN-\d+)$", "Akamai"),
+    (r"^AIBV$", "Akamai"),
+    (r"^AKAMAI$", "Akamai"),
+    (r"^EU-AKAMAI-\d+$", "Akamai"),
+    (r"^TWITTER-NETWORK$", "Twitter"),
+    (r"^IE-TWITTER-INTL-", "Twitter"),
+    (r"^GOOGLE$", "Google"),
+    (r"^MICROSOFT$", "Microsoft"),
+    (r"^MSFT-GFS$", "Microsoft"),
+    (r"^MSFT$", "Microsoft"),
+    (r"^MICROSOFT-1BLK", "Microsoft"),
+    (r"^EBAY-\d+$", "Ebay"),
+    (r"^SEZNAM-CZ$", "Seznam"),
+    (r"^FIO-BANKA-NET$", "FIO"),
+    (r"^(ATL1|LAX1|SJC1|SEA1)$", "Facebook"),
+    (r"^FACEBOOK-INC$", "Facebook"),
+    (r"^TFBNET\d+$", "Facebook"),
+    (r"^IAD1$", "Facebook"),
+    (r"^THEFA-\d+$", "Facebook"),
+    (r"^IAD2$", "Facebook"),
+    (r"^HKG\d+$", "Facebook"),
+    (r"^PEO\d+$", "Facebook"),
 )
 
 
-def owner_class(network: Column) -> Column:
-    """Well-known owner of a network name; NULL for others."""
-    result = F.when(F.lit(False), F.lit(None).cast("string"))
-    for owner, pattern in OWNER_CLASSES:
-        result = result.when(network.rlike(pattern), owner)
+def owner_class(network: Column, owners=NETWORK_OWNERS) -> Column:
+    """Owner of a network name by the first pattern found in it; NULL for others."""
+    result = F.lit(None).cast("string")
+    for owner, rows in groupby(reversed(owners), lambda row: row[1]):
+        pattern = "|".join(text for text, _ in reversed(list(rows)))
+        result = F.when(network.rlike(pattern), owner).otherwise(result)
     return result
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions.predicates import p_login, redact_credentials
 from netloom.functions.times import bin_start, hour_of, now_literal
 from netloom.operators.groups import BUCKETS, SPEED_ARRAYS, array_sum
 from netloom.operators.ordering import latest
@@ -33,6 +34,23 @@ def recompute_last(source: DataFrame, target: DataFrame, column: str, build) ->
     return closed.unionByName(build(open_rows))
 
 
+CREDENTIALS = ["timestamp", "server", "remote", "name", "password", "remote_port"]
+
+
+def credential_attempts(logs: DataFrame, target: DataFrame, keep: bool = True) -> DataFrame:
+    """Archive of login attempts that gave a name and a password, its newest day built again.
+
+    Without `keep`, names and passwords of the logs go first, and so the attempts.
+    """
+
+    def build(rows: DataFrame) -> DataFrame:
+        given = F.col("name").isNotNull() & F.col("password").isNotNull()
+        return redact_credentials(rows, keep).where(p_login() & given).select(*CREDENTIALS, "_date")
+
+    dated = lambda df: df.withColumn("_date", F.to_date("timestamp"))
+    return recompute_last(dated(logs), dated(target.select(*CREDENTIALS)), "_date", build).drop("_date")
+
+
 def closed_until(df: DataFrame, column: str, delay: str, now=None) -> DataFrame:
     """Rows that can no longer change: older than `delay` before `now` or the newest row."""
     if now is not None:

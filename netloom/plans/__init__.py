@@ -6,7 +6,7 @@ MODULES = (
     "score_queries", "group_queries", "client_queries", "probe_queries",
     "set_queries", "join_queries", "lan_queries", "packet_queries", "limit_queries",
     "codec_queries", "archive_queries", "source_queries", "frame_queries",
-    "stream_queries", "selection_queries",
+    "stream_queries", "selection_queries", "default_queries",
 )
 
 

@@ -62,6 +62,29 @@ def recomputed(t):
     return archive.recompute_last(rows, target, "date", groups.activity_daily)
 
 
+SQL_ATTEMPTS = """lg AS (SELECT timestamp, server, remote, CASE WHEN id % 5 > 0 THEN concat('user', CAST(client AS VARCHAR)) END AS name,
+ CASE WHEN id % 7 > 0 THEN concat('pw', CAST(id % 50 AS VARCHAR)) END AS password, remote_port FROM t_fake_logs WHERE event = 'login'),
+ok AS (SELECT * FROM lg WHERE name IS NOT NULL AND password IS NOT NULL),
+md AS (SELECT MAX(CAST(timestamp AS DATE)) AS day FROM ok WHERE timestamp < TIMESTAMP '2024-01-20 09:00:00')"""
+
+
+@query(
+    "a41_credential_attempts",
+    f"""WITH {SQL_ATTEMPTS} SELECT timestamp, server, remote, name, password, remote_port FROM ok, md WHERE CAST(timestamp AS DATE) >= day
+    UNION ALL SELECT timestamp, server, remote, name, 'archived', remote_port FROM ok, md WHERE CAST(timestamp AS DATE) < day""",
+)
+def attempts(t):
+    """Rows of an older archive are marked, those of its newest day are stale and vanish."""
+    logs = t("t_fake_logs").withColumns({
+        "name": F.when(F.col("id") % 5 > 0, F.concat(F.lit("user"), F.col("client").cast("string"))).cast("binary"),
+        "password": F.when(F.col("id") % 7 > 0, F.concat(F.lit("pw"), (F.col("id") % 50).cast("string"))).cast("binary"),
+    })
+    old = logs.where("event = 'login' AND name IS NOT NULL AND password IS NOT NULL AND timestamp < TIMESTAMP_NTZ '2024-01-20 09:00:00'")
+    target = old.withColumn("password", F.lit("archived").cast("binary"))
+    archived = archive.credential_attempts(logs, target)
+    return archived.withColumns({c: F.col(c).cast("string") for c in ("name", "password")})
+
+
 @query("t12_closed_until", "SELECT * FROM t_firewall_log WHERE time < (SELECT MAX(time) - INTERVAL '3 hours' FROM t_firewall_log)")
 def closed(t):
     return archive.closed_until(t("t_firewall_log"), "time", "3 hours")

@@ -9,14 +9,14 @@ SQL_NUMBERED = """nu AS (SELECT server, remote, id, timestamp, ROW_NUMBER() OVER
  FROM t_fake_logs WHERE event = 'login')"""
 
 
-@query(
-    "t07_login_bursts",
-    f"""WITH RECURSIVE {SQL_NUMBERED},
+SQL_BURSTS = f"""WITH RECURSIVE {SQL_NUMBERED},
     al AS (SELECT server, remote, n, timestamp FROM nu WHERE n = 5
      UNION ALL SELECT al.server, al.remote, x.n, x.timestamp FROM al JOIN LATERAL
      (SELECT MIN(n) AS n, MIN(timestamp) AS timestamp FROM nu WHERE nu.server = al.server AND nu.remote = al.remote AND nu.n >= al.n + 5 AND nu.timestamp >= al.timestamp + INTERVAL '2 days') x ON x.n IS NOT NULL)
-    SELECT al.server, al.remote, nu.id, nu.timestamp, al.n FROM al JOIN nu ON nu.server = al.server AND nu.remote = al.remote AND nu.n = al.n""",
-)
+    SELECT al.server, al.remote, nu.id, nu.timestamp, al.n FROM al JOIN nu ON nu.server = al.server AND nu.remote = al.remote AND nu.n = al.n"""
+
+
+@query("t07_login_bursts", SQL_BURSTS)
 def bursts(t):
     return limits.login_bursts(t("t_fake_logs"), holdback_us=2 * 86_400_000_000)
 

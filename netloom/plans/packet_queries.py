@@ -81,6 +81,24 @@ def windowed_flows(t):
     return packets.assemble_flows(layered(t), window=bin_start("ts", DAY_US))
 
 
+SQL_GAP = "INTERVAL '6 hours'"
+# Flows that end after a silence; `ends` is the time of a session's last packet.
+SQL_SESSIONS = f"""{SQL_PACKETS},
+ ok AS (SELECT * FROM pk WHERE layer = 'I' AND direction <> 'unknown' AND app_protocol IN ('T', 'U')),
+ mk AS (SELECT *, ts - LAG(ts) OVER fl > {SQL_GAP} AS opens FROM ok
+  WINDOW fl AS (PARTITION BY client, ip_protocol, app_protocol, addr_local, addr_remote, port_local, port_remote ORDER BY ts, id)),
+ nu AS (SELECT *, SUM(CASE WHEN opens THEN 1 ELSE 0 END) OVER
+  (PARTITION BY client, ip_protocol, app_protocol, addr_local, addr_remote, port_local, port_remote ORDER BY ts, id) AS n FROM mk),
+ se AS (SELECT *, MIN(ts) OVER s AS start, MAX(ts) OVER s AS ends FROM nu
+  WINDOW s AS (PARTITION BY client, ip_protocol, app_protocol, addr_local, addr_remote, port_local, port_remote, n))"""
+
+
+@query("t04_flow_sessions", f"WITH {SQL_SESSIONS} SELECT start, client, {SQL_FLOWS.replace('FROM pk', 'FROM se')}")
+def flow_sessions(t):
+    sessions = packets.assemble_flows(layered(t), window=F.session_window("ts", "6 hours"))
+    return sessions.withColumn("start", F.col("start.start"))
+
+
 HOURS = (3_600_000_000, 7_200_000_000, 21_600_000_000)
 
 
@@ -160,24 +178,27 @@ def refused(t):
     return packets.classify_refused(connection_events(t), 12 * 3_600_000_000)
 
 
-@query(
-    "f24_capture_warnings",
-    """WITH RECURSIVE od AS (SELECT id % 3 AS client, id, ts, 'layer' AS kind FROM t_packets WHERE id % 7 = 0
+SQL_WARNINGS = """WITH RECURSIVE od AS (SELECT id % 3 AS client, id, ts, 'layer' AS kind FROM t_packets WHERE id % 7 = 0
         UNION ALL SELECT id % 3, id, ts, 'direction' FROM t_packets WHERE id % 5 = 0 UNION ALL SELECT id % 3, id, ts, 'pppoe' FROM t_packets WHERE id % 11 = 0),
         st AS (SELECT client, kind, MIN(ts) AS s FROM od GROUP BY 1, 2 UNION ALL
          SELECT st.client, st.kind, (SELECT MIN(ts) FROM od WHERE od.client = st.client AND od.kind = st.kind AND od.ts > st.s + INTERVAL '24 hours') AS s2 FROM st WHERE s2 IS NOT NULL),
         nu AS (SELECT od.*, st.s, ROW_NUMBER() OVER (PARTITION BY od.client, od.kind, st.s ORDER BY od.ts, od.id) AS n
          FROM od JOIN st ON od.client = st.client AND od.kind = st.kind AND od.ts BETWEEN st.s AND st.s + INTERVAL '24 hours')
-        SELECT client, kind, s AS start, ts FROM nu WHERE n = 10""",
-)
-def warnings(t):
-    odd = t("t_packets").select(
+        SELECT client, kind, s AS start, ts FROM nu WHERE n = 10"""
+
+
+def odd_packets(t):
+    return t("t_packets").select(
         (F.col("id") % 3).alias("client"), "id", "ts",
         F.when(F.col("id") % 7 == 0, "?").otherwise("E").alias("layer"),
         F.when(F.col("id") % 5 == 0, "unknown").otherwise("in").alias("direction"),
         F.when(F.col("id") % 11 == 0, "P").otherwise("I").alias("app_protocol"),
     )
-    return packets.capture_warnings(odd, DAY_US)
+
+
+@query("f24_capture_warnings", SQL_WARNINGS)
+def warnings(t):
+    return packets.capture_warnings(odd_packets(t), DAY_US)
 
 
 def kept(name, where, build):

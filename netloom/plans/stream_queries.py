@@ -49,6 +49,18 @@ def stream_flows(t):
     return run(t, stream, "flows", ["start", *packet_queries.packets.FLOW_KEY])
 
 
+# Sessions still open at the end of the input stay in the state.
+@query(
+    "t04_stream_flow_sessions",
+    f"""WITH {packet_queries.SQL_SESSIONS}, wm AS (SELECT date_trunc('millisecond', MAX(ts)) - INTERVAL '1 minute' AS mark FROM ok),
+    cl AS (SELECT se.* FROM se, wm WHERE ends + {packet_queries.SQL_GAP} <= mark)
+    SELECT start, client, {packet_queries.SQL_FLOWS.replace('FROM pk', 'FROM cl')}""",
+)
+def stream_sessions_of_flows(t):
+    stream = jobs.stream_flow_sessions(packet_queries.layered(streamed(t)), "6 hours")
+    return run(t, stream, "flow-sessions", mode="append")
+
+
 # In append mode the last open window stays in the state: the watermark of the
 # only batch is the newest time less the lateness.
 @query(

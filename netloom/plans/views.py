@@ -4,6 +4,14 @@ Each view is one SQL text that Spark and DuckDB both run, so a query and its
 reference SQL start from equal rows. `{name}` marks a driver table.
 """
 
+from netloom.schemas import LIMITS, SCORES
+
+
+def _values(rows, *names: str) -> str:
+    """Constant rows as a query text."""
+    return f"SELECT * FROM (VALUES {', '.join(map(repr, rows))}) AS v({', '.join(names)})"
+
+
 VIEWS = {
     "t_members": """
 SELECT client, in_group, name FROM (
@@ -61,13 +69,8 @@ SELECT CASE WHEN l_returnflag='R' THEN 'UDP' ELSE 'TCP' END AS proto, concat('02
  CAST(l_quantity AS BIGINT) AS u_count, CAST(round(l_extendedprice) AS BIGINT) AS u_size, date_trunc('hour', l_shipdate) AS hour FROM {lineitem}""",
     "t_spoof": """
 SELECT event_id AS id, user_id AS client, CAST(ts AS DATE) AS batch, event_id % 3 = 0 AS spoofed, event_id % 6 = 0 AS addr_matches FROM {events}""",
-    "t_scores": """
-SELECT * FROM (VALUES ('telnet','connect',4),('telnet','login',20),('telnet_alt','connect',4),('telnet_alt','login',20),('http','connect',10),('http','login',10),('squid_http_proxy','connect',10),('squid_http_proxy','login',10),('http_proxy','connect',10),('http_proxy','login',10),('polipo_http_proxy','connect',10),('polipo_http_proxy','login',10)) AS s(server,event,score)""",
-    "t_limits": """
-SELECT * FROM (VALUES ('telnet',4,500,'hard'),('telnet',3,300,'soft'),('telnet',2,1000,'soft'),('telnet_alt',4,500,'hard'),('telnet_alt',3,300,'soft'),('telnet_alt',2,1000,'soft'),
- ('http',4,500,'hard'),('http',3,300,'soft'),('http',2,1000,'soft'),('http_proxy',4,500,'hard'),('http_proxy',3,300,'soft'),('http_proxy',2,1000,'soft'),
- ('squid_http_proxy',4,500,'hard'),('squid_http_proxy',3,300,'soft'),('squid_http_proxy',2,1000,'soft'),('polipo_http_proxy',4,500,'hard'),('polipo_http_proxy',3,300,'soft'),('polipo_http_proxy',2,1000,'soft'),
- ('ssh_honey',3,300,'soft'),('ssh_honey',4,500,'hard')) AS l(server,clients,score,mode)""",
+    "t_scores": _values(SCORES, "server", "event", "score"),
+    "t_limits": _values(LIMITS, "server", "clients", "score", "mode"),
     "t_incidents": """
 SELECT concat(CASE WHEN user_id % 10 = 0 THEN '10.0.' ELSE '198.18.' END, CAST(user_id % 7 AS STRING), '.', CAST(1 + user_id % 200 AS STRING)) AS ip,
  CAST(ts AS DATE) AS date, 1 + event_id % 3 AS cnt, CASE WHEN event_id % 2 = 0 THEN 'ssh' ELSE 'telnet' END AS kind FROM {events}""",
