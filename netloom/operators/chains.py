@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions.times import from_micros, micros
 from netloom.operators.ordering import carry_forward
-from netloom.session import cut_lineage
+from netloom.session import discard, stored
 
 HOUR_US = 3_600_000_000
 
@@ -46,20 +46,29 @@ def first_from(points: DataFrame, keys, origin: str, at: Column, value: str, str
 
 
 def chain(successors: DataFrame, starts: DataFrame, keys, node: str) -> DataFrame:
-    """Nodes reached from the starts by following successors (keys, node, found)."""
-    marked = cut_lineage(starts.select(*keys, node))
-    jump = cut_lineage(successors.where(F.col("found").isNotNull()).select(*keys, node, "found"))
+    """Nodes reached from the starts by following successors (keys, node, found).
+
+    Each round's tables are stored in the shared folder, so a lost executor costs
+    a round at most; jumps are deleted once the longer ones are stored.
+    """
+    spark = starts.sparkSession
+    marked, _ = stored(starts.select(*keys, node), "chain-marked")
+    jump, path = stored(successors.where(F.col("found").isNotNull()).select(*keys, node, "found"), "chain-jump")
     while True:
-        reached = cut_lineage(
-            marked.join(jump, [*keys, node]).select(*keys, F.col("found").alias(node))
+        reached, place = stored(
+            marked.join(jump, [*keys, node]).select(*keys, F.col("found").alias(node)), "chain-marked"
         )
         if reached.isEmpty():
+            discard(spark, place)
+            discard(spark, path)
             return marked
         marked = marked.unionByName(reached)
         far = jump.select(*keys, F.col(node).alias("found"), F.col("found").alias("_next"))
-        jump = cut_lineage(
-            jump.join(far, [*keys, "found"]).select(*keys, node, F.col("_next").alias("found"))
+        jump, longer = stored(
+            jump.join(far, [*keys, "found"]).select(*keys, node, F.col("_next").alias("found")), "chain-jump"
         )
+        discard(spark, path)
+        path = longer
 
 
 def greedy_windows(events: DataFrame, keys, ts: str, length_us: int, start: str = "start") -> DataFrame:

@@ -49,14 +49,19 @@ def shared_base(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="netloom-")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` with a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate files in the shared folder."""
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
+    """`df` as a table in the shared folder, and its folder. What reads it starts from the files."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that no later step reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from netloom import schemas
 from netloom.functions import predicates, scalars, times, tls
-from netloom.operators import chains, clients, groups, joins, lan, ordering, packets, probes, reputation, score, sets
+from netloom.operators import archive, chains, clients, groups, joins, lan, ordering, packets, probes, reputation, score, sets
 from netloom.sources import codecs, frames, tables
 
 T0 = datetime(2024, 1, 1)
@@ -355,3 +355,24 @@ def test_repeated_names_give_one_pair(rows):
     names = rows([(1, "a"), (2, "a"), (3, "b")], "id long, name string")
     assert values(joins.cross_lookup(names, names, "a", "b")) == [(1, 3)]
     assert joins.cross_lookup(names, names, "a", "none").count() == 0
+
+
+def test_credential_attempts(rows):
+    ddl = "timestamp timestamp_ntz, server string, remote string, name binary, password binary, remote_port int, event string"
+    at = lambda day, hour=0: datetime(2024, 1, day, hour)
+    logs = rows(
+        [
+            (at(1), "s", "a", b"u", b"p", 1, "login"),
+            (at(2), "s", "b", b"u", b"\xff\x00", 2, "login"),
+            (at(2, 5), "s", "c", None, b"p", 3, "login"),
+            (at(3), "s", "d", b"u", None, 4, "login"),
+            (at(3), "s", "e", b"u", b"p", 5, "connect"),
+            (at(3), None, None, b"", b"", None, "login"),
+        ],
+        ddl,
+    )
+    target = rows([(at(1), "s", "old", b"u", b"p", 1, "login"), (at(2, 1), "s", "stale", b"u", b"p", 1, "login")], ddl)
+    ports = lambda df: sorted((r.remote or "", bytes(r.password)) for r in df.collect())
+    assert ports(archive.credential_attempts(logs, target)) == [("", b""), ("b", b"\xff\x00"), ("old", b"p")]
+    assert ports(archive.credential_attempts(logs, target.limit(0))) == [("", b""), ("a", b"p"), ("b", b"\xff\x00")]
+    assert ports(archive.credential_attempts(logs, target, keep=False)) == [("old", b"p")]

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from netloom import session
 from netloom.functions.times import hour_of, micros
 from netloom.operators import chains, limits, ordering, packets
 
@@ -157,3 +158,11 @@ def test_capture_warnings(rows):
     got = packets.capture_warnings(df)
     # Windows of 16 packets (0-15, 16-31, 32-39); the last one is too short.
     assert sorted(r.ts for r in got.collect()) == [BASE + timedelta(minutes=9), BASE + timedelta(minutes=25)]
+
+
+def test_chain_leaves_no_superseded_tables(rows, tmp_path, monkeypatch):
+    steps = rows([("k", n, n + 1) for n in range(20)], "k string, n long, found long")
+    monkeypatch.setattr(session, "shared_base", lambda spark: str(tmp_path))
+    reached = chains.chain(steps, rows([("k", 3)], "k string, n long"), ["k"], "n")
+    assert sorted(r.n for r in reached.collect()) == list(range(3, 21))
+    assert not list(tmp_path.glob("chain-jump-*"))

@@ -88,3 +88,19 @@ def test_a_repeated_batch_counts_once(spark, tmp_path):
         stream = spark.readStream.schema("n long").parquet(str(tmp_path / "in"))
         jobs.write_batches(stream, out, str(tmp_path / state), "append")
     assert spark.read.parquet(out).count() == 10
+
+
+def test_flow_sessions_close_after_a_silence(spark, tmp_path):
+    """A session over two batches, out of order, is one flow; a gap makes two."""
+    ddl = (
+        "client long, ts timestamp_ntz, direction string, length long, layer string, ip_protocol int, app_protocol string, "
+        "addr_local string, addr_remote string, port_local int, port_remote int, tcp_flags int"
+    )
+    at = lambda s: T0 + timedelta(seconds=s)
+    packet = lambda s, client=1: (client, at(s), "in", 10, "I", 4, "T", "l", "r", 1, 2, 0)
+    data = [[packet(0), packet(100)], [packet(160), packet(130)], [packet(400)]]
+    stream = files(spark, str(tmp_path / "in"), [*data, [packet(9_000, 2)], [packet(9_001, 2)]], ddl)
+    flows = jobs.stream_flow_sessions(stream, "2 minutes")
+    jobs.write_batches(flows, str(tmp_path / "out"), str(tmp_path / "state"), "append")
+    got = spark.read.parquet(str(tmp_path / "out")).where("client = 1").orderBy("start_in").collect()
+    assert [(r.start_in, r.stop_in, r.count_in, r.size_in) for r in got] == [(at(0), at(160), 4, 40), (at(400), at(400), 1, 10)]
