@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -11,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netloom.llm.bpe_arrays import SPACE, PieceModel, blank_words, marked, merge_all, piece_model, points_of, utf8_size
+from netloom.llm.bpe_arrays import SPACE, PairTable, PieceModel, blank_words, marked, merge_all, piece_model, points_of, utf8_size
 from netloom.llm.common import free_name, slices
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
-LANES = 4  # independent draws a pre-token can meet; an occurrence's keyed hash picks one
+BITS = 40  # candidates up to which what an occurrence drops is a bit pattern; it stays below the words' numbers
 REMEMBERED = 300_000  # pre-tokens a Python worker remembers before it starts anew
+SEGMENTATIONS = 1_000_000  # segmentations it remembers before that
 
 _MIX_A, _MIX_B, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -30,48 +32,132 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _spread(offsets: np.ndarray, merged: np.ndarray) -> np.ndarray:
+    return mixed((offsets.astype(np.uint64) << np.uint64(32)) | merged.astype(np.uint64))
+
+
+def _symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all pre-tokens, the length of each, and the places of blank signs of the text itself.
+
+    Those signs are kept apart from the blanks as U+10FFFF, which no piece holds: they become bytes.
+    """
+    points, sizes = points_of([marked(w) for w in words])
+    literal = np.frombuffer("".join("\0" + w for w in words).encode("utf-32-le"), np.uint32) == ord(SPACE)
+    return np.where(literal, 0x10FFFF, points), sizes, literal
+
+
+@lru_cache(maxsize=2)
+def _prefix_tree(path: str) -> tuple[PairTable, np.ndarray]:
+    """(node, character piece) -> node over the results of all merges, from node 0; and the piece that ends at a node, or -1."""
+    model = piece_model(path)
+    steps, ends = {}, {}
+    for merged in set(model.joined.values()):
+        node = 0
+        for char in model.pieces[merged]:
+            node = steps.setdefault((node, int(model.char_id[ord(char)])), len(steps) + 1)
+        ends[node] = merged
+    piece_of = np.full(len(steps) + 1, -1, np.int32)
+    piece_of[list(ends)] = list(ends.values())
+    return PairTable(steps), piece_of
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """`array` with room for `size` values, doubled as often as needed."""
+    while size > len(array):
+        array = np.concatenate((array, np.zeros_like(array)))
+    return array
+
+
 class Codec:
-    """Encodes and decodes batches of texts; remembers the pieces of (pre-token, lane)."""
+    """Encodes and decodes batches of texts.
+
+    What is remembered never decides a result: a segmentation is kept under its
+    pre-token and the exact set of candidates that an occurrence drops.
+    """
 
-    def __init__(self, path: str, seed: int, dropout: float, lanes: int):
+    def __init__(self, path: str, seed: int, dropout: float):
         if not 0 <= dropout < 1:
             raise ValueError("dropout must be at least 0 and below 1")
         self.model: PieceModel = piece_model(path)
         self.seed = np.uint64(seed & (2**64 - 1))
         self.bound = np.uint64(int(dropout * 2**64))
-        self.lanes = lanes if dropout else 1
+        if self.bound:
+            self.tree, self.piece_of = _prefix_tree(path)
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.at = np.full(1 << 16, -1, np.int64)  # by pre-token * lanes + lane
-        self.size = np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.int32)
-        self.used = 0
+        # Candidate merges of each pre-token: their number, where they start, and the hashes of all.
+        self.many, self.start = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.spread, self.spreads = np.zeros(1 << 18, np.uint64), 0
+        # Segmentations: pre-token << BITS | dropped candidates, sorted, and the number of each.
+        self.keys, self.numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 18, np.int32), 0
+
+    def _draw(self, keys, spread) -> np.ndarray:
+        return mixed(keys ^ spread) < self.bound
 
     def _dropped(self, keys, offsets, merged) -> np.ndarray:
-        draw = mixed(keys ^ mixed((offsets.astype(np.uint64) << np.uint64(32)) | merged.astype(np.uint64)))
-        return draw < self.bound
-
-    def _learn(self, words: list[str], lanes: np.ndarray, slots: np.ndarray) -> None:
-        """Segment (pre-token, lane) pairs: the agenda of each runs without the candidates its key drops."""
-        # A blank sign in the text itself is kept apart from the blanks: it becomes bytes.
-        points, sizes = points_of([marked(w) for w in words])
-        literal = np.frombuffer("".join("\0" + w for w in words).encode("utf-32-le"), np.uint32) == ord(SPACE)
-        points = np.where(literal, -2, points)
-        starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(points)) - np.repeat(starts, sizes)
-        spread = mixed((points.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
-        keys = mixed(np.add.reduceat(spread, starts) ^ mixed(lanes.astype(np.uint64) ^ self.seed))
-        symbols, survivors = merge_all(
-            self.model, np.where(literal, 0x10FFFF, points), sizes, keys, self._dropped
-        )
+        return self._draw(keys, _spread(offsets, merged))
+
+    def _meet(self, words: list[str]) -> None:
+        """Number new pre-tokens and list their candidates: every place where a piece of two or more characters stands."""
+        first = len(self.number)
+        self.number.update(zip(words, range(first, first + len(words))))
+        self.many, self.start = (_room(x, len(self.number)) for x in (self.many, self.start))
+        if not words or not self.bound:
+            return
+        points, sizes, _ = _symbols(words)
+        chars = self.model.char_id[points]
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        node = self.tree.find(np.zeros(len(chars), np.int64), chars)
+        at, size = np.flatnonzero(node >= 0), 1
+        node = node[at]
+        places, pieces = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        while len(at):
+            whole = self.piece_of[node] >= 0
+            places.append(at[whole])
+            pieces.append(self.piece_of[node[whole]])
+            on = at + size < ends[at]
+            at = at[on]
+            node = self.tree.find(node[on], chars[at + size])
+            at, node, size = at[node >= 0], node[node >= 0], size + 1
+        place, piece = np.concatenate(places), np.concatenate(pieces)
+        order = np.argsort(place, kind="stable")
+        place, piece = place[order], piece[order]
+        owner = np.repeat(np.arange(len(words)), sizes)[place]
+        many = np.bincount(owner, minlength=len(words))
+        self.many[first : len(self.number)] = many
+        self.start[first : len(self.number)] = self.spreads + np.cumsum(many) - many
+        self.spread = _room(self.spread, self.spreads + len(piece))
+        self.spread[self.spreads : self.spreads + len(piece)] = _spread(place - (np.cumsum(sizes) - sizes)[owner], piece)
+        self.spreads += len(piece)
+
+    def _patterns(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each occurrence drops, as bits (the last bit for pre-tokens with too many candidates), and which are such."""
+        many = self.many[words]
+        ends = np.cumsum(many)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), many)
+        pick = np.arange(len(owner)) + (self.start[words] - (ends - many))[owner]
+        hits = np.flatnonzero(self._draw(keys[owner], self.spread[pick]))
+        owner = owner[hits]
+        wide = many > BITS
+        bit = np.where(wide[owner], 0, hits - (ends - many)[owner])
+        # Sums of different powers below 2 ** BITS are exact.
+        drops = np.bincount(owner, weights=np.ldexp(1.0, bit), minlength=len(words))
+        return np.where(wide, 0, drops).astype(np.int64), wide & (drops > 0)
+
+    def _learn(self, words: list[str], keys: np.ndarray) -> None:
+        """Segment pre-tokens: the agenda of each runs without the candidates its key drops."""
+        points, sizes, literal = _symbols(words)
+        symbols, survivors = merge_all(self.model, points, sizes, keys, self._dropped)
         # U+10FFFF stands for the literal sign while merging; the order of characters is unchanged.
         points_left = -1 - symbols
         loose = symbols < 0
         if literal.any():
-            real = points[points_loose_places(points, self.model, literal)]
-            points_left[loose] = np.where(real == -2, ord(SPACE), real)
+            places = np.flatnonzero(literal | (self.model.char_id[points] < 0))  # no pieces, so they never merge
+            points_left[loose] = np.where(literal[places], ord(SPACE), points[places])
         widths = np.where(loose, utf8_size(points_left), 1)
         ends = np.cumsum(widths)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
@@ -83,37 +169,51 @@ class Codec:
                 out[here + k] = self.model.byte_id[byte]
         owner = np.repeat(np.arange(len(words)), survivors)
         sizes_out = np.bincount(owner, weights=widths, minlength=len(words)).astype(np.int64)
-        while self.used + len(out) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids = _room(self.ids, self.used + len(out))
         self.ids[self.used : self.used + len(out)] = out
-        self.at[slots] = self.used + np.cumsum(sizes_out) - sizes_out
-        self.size[slots] = sizes_out
+        self.at = np.concatenate((self.at, self.used + np.cumsum(sizes_out) - sizes_out))
+        self.size = np.concatenate((self.size, sizes_out))
         self.used += len(out)
 
+    def _segmented(self, words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The number of each occurrence's segmentation."""
+        drops, alone = self._patterns(words, keys)
+        shared = np.flatnonzero(~alone)
+        kinds, example, kind = np.unique(words[shared] << BITS | drops[shared], return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, kinds)
+        known = np.append(self.keys, -1)[at] == kinds
+        # Occurrences with the same word and the same drops share one run, under the key of any of them.
+        runs = np.concatenate((shared[example[~known]], np.flatnonzero(alone)))
+        numbers = len(self.at) + np.arange(len(runs))
+        if len(runs):
+            names = list(self.number)
+            self._learn([names[k] for k in words[runs].tolist()], keys[runs])
+        fresh = numbers[: len(runs) - int(alone.sum())]
+        found = np.empty(len(kinds), np.int64)
+        found[known] = self.numbers[at[known]]
+        found[~known] = fresh
+        self.keys, self.numbers = np.insert(self.keys, at[~known], kinds[~known]), np.insert(self.numbers, at[~known], fresh)
+        out = np.empty(len(words), np.int64)
+        out[shared] = found[kind]
+        out[alone] = numbers[len(fresh) :]
+        return out
+
     def encode(self, texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > REMEMBERED or max(len(self.at), self.used // 4, self.spreads // 8) > SEGMENTATIONS:
             self._forget()
         split = [blank_words(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         if not counts.sum():
             return np.zeros(0, np.int32), counts
         number = self.number
-        for word in set().union(*split).difference(number):
-            number[word] = len(number)
+        self._meet(list(set().union(*split).difference(number)))
         words = np.fromiter(
             (n for part in split for n in map(number.__getitem__, part)), np.int64, int(counts.sum())
         )
         place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-        lane = mixed(np.repeat(mixed(keys.astype(np.uint64) ^ self.seed), counts) + place.astype(np.uint64))
-        slots = words * self.lanes + (lane % np.uint64(self.lanes)).astype(np.int64)
-        while len(number) * self.lanes > len(self.at):
-            self.at = np.concatenate((self.at, np.full_like(self.at, -1)))
-            self.size = np.concatenate((self.size, np.zeros_like(self.size)))
-        fresh = np.unique(slots[self.at[slots] < 0])
-        if len(fresh):
-            names = list(number)
-            self._learn([names[k] for k in (fresh // self.lanes).tolist()], fresh % self.lanes, fresh)
+        drawn = mixed(np.repeat(mixed(keys.astype(np.uint64) ^ self.seed), counts) + place.astype(np.uint64))
+        slots = self._segmented(words, drawn)
         sizes = self.size[slots]
         ends = np.cumsum(sizes)
         pick = np.arange(ends[-1]) + np.repeat(self.at[slots] - (ends - sizes), sizes)
@@ -131,11 +231,6 @@ class Codec:
         return [data[a + 1 : b] if b > a else b"" for a, b in zip(cuts, cuts[1:])]
 
 
-def points_loose_places(points: np.ndarray, model: PieceModel, literal: np.ndarray) -> np.ndarray:
-    """Places of the characters that are no piece, in order; they never merge."""
-    return np.flatnonzero(literal | (model.char_id[np.where(literal, 0, points)] < 0))
-
-
 _codecs: dict[tuple, Codec] = {}
 
 
@@ -158,7 +253,6 @@ def encode(
     key: str = "doc_id",
     seed: int = 7,
     dropout: float = DROPOUT,
-    lanes: int = LANES,
     model_path: str | None = None,
     ids: str = "token_ids",
     lossless: str | None = None,
@@ -166,10 +260,9 @@ def encode(
     """Add the token ids of each text under merge-dropout.
 
     Pre-tokens are segmented with an agenda ordered by rank, then from the left.
-    A candidate merge is skipped when the keyed hash of (seed, pre-token, lane,
-    place, merged piece) falls below `dropout`. The lane of an occurrence is the
-    keyed hash of (seed, `key`, its place in the text) modulo `lanes`, so a word
-    is cut in up to `lanes` ways within an epoch, and other seeds give others.
+    A candidate merge is skipped when the keyed hash of (seed, `key`, place of the
+    pre-token in the text, offset, merged piece) falls below `dropout`, so every
+    occurrence of a word has draws of its own, and other seeds give others.
     The result depends on nothing else: a lost task gives the same ids again.
     With `dropout` 0 the ids are those of the library, but for texts that hold
     U+2581 itself, which becomes bytes here so that decoding gives it back.
@@ -187,7 +280,7 @@ def encode(
         added.append(T.StructField(lossless, T.BooleanType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(path, seed, dropout, lanes)
+        tool = codec(path, seed, dropout)
         for part in slices(batches, text, 2_000_000):
             texts = part.column(text).to_pylist()
             keys = part.column(drawn).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -208,7 +301,7 @@ def decode(df: DataFrame, ids: str = "token_ids", name: str = "text", model_path
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(path, 0, 0.0, 1)
+        tool = codec(path, 0, 0.0)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

@@ -240,6 +240,48 @@ def test_without_dropout_equals_the_library(small):
         assert r["token_ids"] == library.encode(r["text"] or "")
 
 
+def cut_by_force(tool, word, key):
+    """Pieces of one occurrence: the best undropped pair of neighbours merges until none is left."""
+    model = tool.model
+    chars = sentencepiece_codec.SPACE + word.replace(" ", sentencepiece_codec.SPACE)
+    symbols = [(k, int(model.char_id[ord(c)]), c) for k, c in enumerate(chars)]
+    while True:
+        found = []
+        for k, ((a, left, _), (_, right, _)) in enumerate(zip(symbols, symbols[1:])):
+            merged = model.joined.get((left, right))
+            if merged is not None and not tool._dropped(np.array([key]), np.array([a]), np.array([merged]))[0]:
+                found.append((model.rank[merged], k, merged))
+        if not found:
+            return [i for _, p, c in symbols for i in ([p] if p >= 0 else [int(model.byte_id[b]) for b in c.encode()])]
+        _, k, merged = min(found)
+        symbols[k : k + 2] = [(symbols[k][0], merged, "")]
+
+
+def test_every_occurrence_draws_for_itself():
+    tool = sentencepiece_codec.Codec(MODEL, 7, 0.1)
+    texts = ["and the " * 5000, "the", "internationalization-" * 12 + " xs" * 40 + " \U0001f600the  the"] * 2
+    keys = np.array([3, 5, 8, 3, 9, 11], np.uint64)
+    for first in (0, 3):  # the second time most segmentations are remembered
+        ids, counts = tool.encode(texts[first : first + 3], keys[first : first + 3])
+        ends = np.cumsum(counts)
+        for k in (1, 2):
+            base = sentencepiece_codec.mixed(keys[first + k : first + k + 1] ^ tool.seed)
+            words = sentencepiece_codec.blank_words(texts[first + k])
+            want = [i for n, w in enumerate(words) for i in cut_by_force(tool, w, sentencepiece_codec.mixed(base + np.uint64(n))[0])]
+            assert ids[ends[k - 1] : ends[k]].tolist() == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_drop_rate_of_a_repeated_word(spark, seed):
+    model = sentencepiece_codec.piece_model(MODEL)
+    blank = int(model.char_id[ord(sentencepiece_codec.SPACE)])
+    pairs = [p for p in "abcdefghijklmnopqrstuvwxyz" if (blank, int(model.char_id[ord(p)])) in model.joined]
+    df = spark.createDataFrame([(k, f"{p} " * 4000 + p) for k, p in enumerate(pairs[:4])], "doc_id long, text string")
+    for r in sentencepiece_codec.encode(df, seed=seed).collect():
+        # One merge in the word: two pieces where it is dropped.
+        assert 0.08 < len(r["token_ids"]) / 4001 - 1 < 0.12
+
+
 # --- token counts
 
 
