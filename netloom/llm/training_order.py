@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -13,15 +14,18 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.llm.common import slices, written
 from netloom.llm.sentencepiece_codec import mixed
+from netloom.session import scratch_folder
 
 RANKS = "byte_bpe_50k.tiktoken"
 END = 50256  # id after each text and in the rest of its last sequence
 LENGTH = 1024  # tokens of a sequence
 SHARD = 65_536  # sequences of a shard
 ROUNDS = 6
+PASSES = 3  # ranges of shards that are written one after the other, so that a shuffle holds a third of the records
 # A record in a shard file is the sequence as little-endian uint16 and two zero bytes.
 CLOSING = "\0\0"
 
@@ -97,17 +101,8 @@ def sequences(df: DataFrame, text: str = "text", key: str = "doc_id", length: in
     return docs.mapInArrow(run, f"task int, nth bigint, key {kind}, part int, n_tokens int, tokens binary")
 
 
-def in_training_order(
-    df: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 5, length: int = LENGTH, shard: int = SHARD
-) -> DataFrame:
-    """(shard, slot, byte_offset, key, part, n_tokens, tokens), sorted by slot inside each shard's partition.
-
-    Sequences are numbered densely: those of earlier tasks, then those before in
-    the task; the start of each task is a table of one row per task. The slot of
-    a sequence is the keyed permutation of its number, so slots are 0 .. N - 1,
-    each once. Shard s holds the slots from s * `shard` on, and a record stands
-    at `byte_offset` of its shard's file. An empty table has no sequences.
-    """
+def _placed(df: DataFrame, text: str, key: str, seed: int, length: int, shard: int) -> tuple[DataFrame, int]:
+    """Every sequence with its place, in no order, and how many there are."""
     table = written(sequences(df, text, key, length), "order-sequences", compression="zstd")
     tasks = table.groupBy("task").agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect()  # one row per task
     starts, total = [], 0
@@ -120,40 +115,113 @@ def in_training_order(
     def slot(index: pa.Array) -> pa.Array:
         return pa.array(permuted(index.to_numpy(zero_copy_only=False), total, seed), pa.int64())
 
-    stride = 2 * length + len(CLOSING)
     # One row per task of the scan: bounded by the number of tasks.
     numbered = table.join(F.broadcast(offsets), "task").withColumn("slot", slot(F.col("start") + F.col("nth")))
-    placed = numbered.select(
+    return numbered.select(
         F.expr(f"slot div {shard}").cast("int").alias("shard"), "slot",
-        (F.col("slot") % shard * stride).alias("byte_offset"), "key", "part", "n_tokens", "tokens",
-    )
-    return placed.repartition("shard").sortWithinPartitions("shard", "slot")
+        (F.col("slot") % shard * _stride(length)).alias("byte_offset"), "key", "part", "n_tokens", "tokens",
+    ), total
+
+
+def _stride(length: int) -> int:
+    return 2 * length + len(CLOSING)
 
 
-def write_shards(ordered: DataFrame, path: str) -> None:
+def _by_slot(placed: DataFrame, first: int, end: int) -> DataFrame:
+    """The records of shards `first` to `end` - 1: a partition per shard, in order."""
+    return placed.repartitionById(max(1, end - first), F.col("shard") - first).sortWithinPartitions("shard", "slot")
+
+
+def in_training_order(
+    df: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 5, length: int = LENGTH, shard: int = SHARD
+) -> DataFrame:
+    """(shard, slot, byte_offset, key, part, n_tokens, tokens), a partition per shard, sorted by slot.
+
+    Sequences are numbered densely: those of earlier tasks, then those before in
+    the task; the start of each task is a table of one row per task. The slot of
+    a sequence is the keyed permutation of its number, so slots are 0 .. N - 1,
+    each once. Shard s holds the slots from s * `shard` on, and a record stands
+    at `byte_offset` of its shard's file. An empty table has no sequences.
+    """
+    placed, total = _placed(df, text, key, seed, length, shard)
+    return _by_slot(placed, 0, -(-total // shard))
+
+
+def write_shards(ordered: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write fixed-stride shard files `shard=K/part-*`: records of a shard in slot order, no header.
 
     Spark's own writer commits whole tasks, so a lost executor leaves no half
     file. Every record ends with two zero bytes.
     """
     record = ordered.select("shard", F.col("tokens").cast("string").alias("value"))
-    record.write.partitionBy("shard").option("lineSep", CLOSING).text(path)
+    record.write.mode(mode).partitionBy("shard").option("lineSep", CLOSING).text(path)
 
 
 def position(slot: int, length: int = LENGTH, shard: int = SHARD) -> tuple[int, int]:
     """(shard, byte offset) of a slot: where reading goes on after a stop."""
-    return slot // shard, slot % shard * (2 * length + len(CLOSING))
+    return slot // shard, slot % shard * _stride(length)
 
 
 def read_shard(spark: SparkSession, path: str, number: int, length: int = LENGTH) -> DataFrame:
     """(place, tokens) of a shard: records of fixed length, read in splits."""
-    stride = 2 * length + len(CLOSING)
+    stride = _stride(length)
     records = spark.sparkContext.binaryRecords(f"{path}/shard={number}/part-*", stride)
     rows = records.zipWithIndex().map(lambda x: (x[1], bytearray(x[0][: 2 * length])))
     return spark.createDataFrame(rows, "place bigint, tokens binary")
 
 
-def order_report(df: DataFrame) -> DataFrame:
-    """Every sequence of the documents with its place and its tokens, in training order inside each shard."""
-    ordered = in_training_order(df)
-    return ordered.withColumnRenamed("key", "doc_id")
+@contextmanager
+def _shuffles_deleted(spark: SparkSession):
+    """Shuffle files of a write in this block go when it has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _shard_records(spark: SparkSession, path: str, number: int, length: int):
+    """(place, record) of a shard in one partition, in order; the places come from the file."""
+    kind = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+    settings = {f"{kind}.recordLength": str(_stride(length)), "mapreduce.input.fileinputformat.split.minsize": str(2**40)}
+    io = "org.apache.hadoop.io"
+    return spark.sparkContext.newAPIHadoopFile(
+        f"{path}/shard={number}/part-*", kind, f"{io}.LongWritable", f"{io}.BytesWritable", conf=settings
+    )
+
+
+def order_report(
+    df: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 5, length: int = LENGTH, shard: int = SHARD,
+    path: str | None = None,
+) -> DataFrame:
+    """Every sequence of the documents with its place, in training order; its tokens are read from the shard files.
+
+    The shards are written to `path`, or to a new folder of the shared one. The
+    list of places is dealt into the same partitions as the files; a file that
+    has another number of records, or a record in another place, is an error.
+    """
+    spark = df.sparkSession
+    placed, total = _placed(df, text, key, seed, length, shard)
+    shards = -(-total // shard)
+    index = _by_slot(placed.drop("tokens").withColumnRenamed("key", "doc_id"), 0, shards)
+    schema = T.StructType([*index.schema.fields, T.StructField("tokens", T.BinaryType())])
+    if not total:
+        return spark.createDataFrame([], schema)
+    path = path or scratch_folder(spark, "order-shards")
+    cuts = [shards * k // PASSES for k in range(PASSES + 1)]
+    with _shuffles_deleted(spark):
+        for first, end in zip(cuts, cuts[1:]):
+            if first < end:
+                some = placed.where(F.col("slot").between(first * shard, end * shard - 1))
+                write_shards(_by_slot(some, first, end), path, "append")
+    records = spark.sparkContext.union([_shard_records(spark, path, k, length) for k in range(shards)])
+
+    def joined(pair):
+        row, (place, record) = pair
+        if row["slot"] % shard != place:
+            raise ValueError(f"slot {row['slot']} is record {place} of its shard")
+        return (*row, record[: 2 * length])
+
+    return spark.createDataFrame(index.rdd.zip(records).map(joined), schema, verifySchema=False)

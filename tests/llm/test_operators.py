@@ -127,6 +127,32 @@ def test_shards_are_fixed_stride(spark, small, tmp_path):
     assert data == bytes(rows[777]["tokens"])
 
 
+def test_report_is_read_from_shard_files(spark, small, hostile, tmp_path):
+    folder = tmp_path / "shards"
+    report = training_order.order_report(small, length=64, shard=500, path=str(folder))
+    want = training_order.in_training_order(small, length=64, shard=500).withColumnRenamed("key", "doc_id")
+    assert report.columns == want.columns
+    rows = report.collect()
+    assert rows == want.orderBy("slot").collect()
+    stride = 130
+    for r in rows:
+        assert (r["shard"], r["byte_offset"]) == training_order.position(r["slot"], 64, 500)
+    sizes = Counter(r["shard"] for r in rows)
+    assert len(sizes) > 2 and len(list(folder.glob("shard=*"))) == len(sizes)
+    for number, n in sizes.items():
+        (file,) = (folder / f"shard={number}").glob("part-*")
+        assert file.stat().st_size == n * stride
+    # What the report returns is what the file holds.
+    (file,) = (folder / "shard=1").glob("part-*")
+    data = bytearray(file.read_bytes())
+    data[3 * stride : 3 * stride + 2] = b"\x07\x01"
+    file.write_bytes(bytes(data))
+    (folder / "shard=1" / f".{file.name}.crc").unlink(missing_ok=True)
+    changed = report.where("slot = 503").collect()[0]
+    assert bytes(changed["tokens"])[:2] == b"\x07\x01"
+    assert training_order.order_report(hostile.limit(0)).count() == 0
+
+
 def test_sequences_give_the_texts_back(hostile):
     rows = training_order.in_training_order(hostile.where("doc_id > 1"), length=32).collect()
     encoder = training_order._encoder(public_tokenizers.path(training_order.RANKS))
