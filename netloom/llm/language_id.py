@@ -189,6 +189,8 @@ def fit(
         first = Window.partitionBy(*group).orderBy(F.xxhash64("key", F.lit(seed)), "key")
         chosen = chosen.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label).drop("n")
     chosen = chosen.drop("part")
+    if rows.select("label").distinct().limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     # At most per_label * MAX_LABELS keys.
     sample = rows.join(F.broadcast(chosen.distinct()), ["key", "label"], "left_semi").select("label", "text")
 
@@ -211,11 +213,8 @@ def fit(
         sums.groupBy("label")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("total"))
         .orderBy("label")
-        .limit(MAX_LABELS + 1)
         .collect()
     )
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
     matrix = np.array([r["total"] for r in rows], np.float64).reshape(len(rows), dimensions)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return Profiles([r["label"] for r in rows], matrix / np.where(norms, norms, 1), dimensions, gram, seed)
@@ -271,8 +270,14 @@ def language_report(df: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(df: DataFrame, least: float = 0.05) -> DataFrame:
-    """Rows whose language the profiles can tell: a letter, and a cosine of at least `least`."""
+def keep_identified(df: DataFrame) -> DataFrame:
+    """Rows with a letter, whatever their cosine: that of a very short text is near the noise.
+
+    Without a labelled row nothing is learned, and all rows with a letter stay too.
+    """
+    profiles = fit(df, where=~held_out())
+    if not profiles.labels:
+        return df.where(F.col("text").rlike(r"\p{L}"))
     names = free_name(df, "lang_pred"), free_name(df, "lang_score")
-    found = identify(df, fit(df, where=~held_out()), name=names[0], score=names[1])
-    return found.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least)).drop(*names)
+    found = identify(df, profiles, name=names[0], score=names[1])
+    return found.where(F.col(names[0]) != UNDETERMINED).drop(*names)

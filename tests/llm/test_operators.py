@@ -231,6 +231,14 @@ def test_language_hostile(hostile):
     assert language_id.language_report(hostile.limit(0)).count() == 0
 
 
+def test_short_and_unlabelled_texts_stay(spark, small):
+    short = spark.createDataFrame([(-k, t, "en", "a", 1) for k, t in enumerate(["Avec.", "A.", "日", "12"], 1)], small.schema)
+    kept = {r["doc_id"] for r in language_id.keep_identified(small.unionByName(short)).where("doc_id < 0").collect()}
+    assert kept == {-1, -2, -3}
+    bare = short.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in language_id.keep_identified(bare).collect()} == kept
+
+
 def test_profile_is_the_bundle_of_bound_vectors():
     space = language_id.Space(64, 3, 1)
     got = space.profile(["Ab, c"])[0]
