@@ -49,7 +49,8 @@ def count_tokens(
     Begin, end and special tokens are not added, and their strings inside texts
     are ordinary text. A null or empty text has 0 tokens; a column called `name`
     is replaced. Pre-tokens of a slice of the batch are ragged arrays; each round
-    applies the lowest-rank pair of every sequence (`bpe_arrays.merge_all`).
+    applies the lowest-rank pair of every sequence (`bpe_arrays.merge_all`). What stays
+    above `bpe_arrays.LONG` symbols after cutting uses a heap agenda of its own.
     """
     path = model_path or public_tokenizers.path(MODEL)
     kept = df.drop(name)
