@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from netloom.llm import (
     exact_dedup,
     language_id,
+    line_dedup,
     mixing,
     near_dedup,
+    periodic_runs,
     quality_rules,
     sentencepiece_codec,
     suffix_dedup,
     token_counts,
     training_order,
     warc,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +94,18 @@ def ordered(table):
 @query("op8_suffix_dedup")
 def repeats(table):
     return suffix_dedup.suffix_report(table("documents"))
+
+
+@query("op11_whitening")
+def whitened(table):
+    return whitening.whitening_report(table("embeddings"))
+
+
+@query("op12_line_dedup", line_dedup.REPORT_SQL)
+def lines(table):
+    return line_dedup.line_report(table("documents"))
+
+
+@query("op13_periodic_runs")
+def periodic(table):
+    return periodic_runs.runs_report(table("documents"))
