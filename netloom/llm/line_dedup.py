@@ -33,9 +33,9 @@ def key_of(line: bytes) -> bytes:
     return line.strip(BLANKS).translate(_LOWER)
 
 
-def _points(key: bytes) -> int:
-    """Code points of UTF-8 bytes."""
-    return len(key) if key.isascii() else sum(b & 0xC0 != 0x80 for b in key)
+def _long(key: bytes, least: int) -> bool:
+    """The key has `least` code points; one takes four bytes at most."""
+    return len(key) >= least and (len(key) >= 4 * least or len(key.decode("utf-8", "replace")) >= least)
 
 
 def _prints(key: bytes) -> bytes:
@@ -47,7 +47,7 @@ def line_keys(data: bytes, least: int = LEAST) -> list[bytes | None]:
     found = []
     for line in data.split(b"\n"):
         key = key_of(line)
-        found.append(_prints(key) if len(key) >= least and _points(key) >= least else None)
+        found.append(_prints(key) if _long(key, least) else None)
     return found
 
 
