@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.functions.times import hour_of, micros
-from netloom.operators.chains import chain, first_from
-from netloom.operators.ordering import ranked
+from netloom.functions.times import from_micros, hour_of, micros
+from netloom.operators.chains import chained
+from netloom.operators.ordering import earlier_rows, ranked
 
 BURST_KEY = ["server", "remote"]
 MAX_ATTEMPTS = 5  # Fixed value: logins that raise an alarm.
@@ -22,23 +22,20 @@ CAPACITY_FACTOR = 5  # Fixed value: a full bucket holds this many refills.
 def login_bursts(logs: DataFrame, attempts: int = MAX_ATTEMPTS, holdback_us: int = HOLDBACK_US, keys=BURST_KEY) -> DataFrame:
     """Logins that raise an alarm: the n-th since the last alarm, after its silence.
 
-    The logins of a key are numbered; the alarm after login i is the later of
-    login i + n and the first login after the silence, so alarms form a chain.
+    The alarm after login i is the later of login i + n and the first login after
+    the silence, so alarms form a chain. `n` is the number of a login in its key.
     """
     keys = list(keys)
-    logins = logs.where(F.col("event") == "login").select(*keys, "id", "timestamp")
-    numbered = ranked(logins, keys, ["timestamp", "id"], hour_of("timestamp"), "n")
-    points = numbered.withColumn("_t", micros("timestamp"))
-    many = points.groupBy(*keys).agg(F.max("n").alias("_total")).where(F.col("_total") >= attempts)
-    points = points.join(many, keys)
-    after = first_from(points, keys, "n", F.col("_t") + holdback_us, "n", strict=False)
-    totals = after.join(many, keys).withColumn("_next", F.greatest(F.col("found"), F.col("n") + attempts))
-    successors = totals.where(F.col("found").isNotNull() & (F.col("_next") <= F.col("_total"))).select(
-        *keys, "n", F.col("_next").alias("found")
+    logins = logs.where((F.col("event") == "login") & F.col("timestamp").isNotNull())
+    points = logins.select(F.struct(*keys).alias("_k"), micros("timestamp").alias("_t"), "id")
+    chunks = chained(points, holdback_us, attempts, "id")
+    before = F.coalesce(F.sum(F.size("rows")).over(earlier_rows("_chunk")), F.lit(0)).cast("long")
+    placed = chunks.withColumn("_before", before).select("_k", "_before", "rows", F.explode("hits").alias("_i"))
+    hit = F.element_at("rows", F.col("_i") + 1)
+    return placed.select(
+        "_k.*", hit["id"].alias("id"), from_micros(hit["_t"]).alias("timestamp"),
+        (F.col("_before") + F.col("_i") + 1).alias("n"),
     )
-    starts = many.select(*keys, F.lit(attempts).cast("long").alias("n"))
-    alarms = chain(successors, starts, keys, "n")
-    return alarms.join(points.drop("_t", "_total"), [*keys, "n"]).select(*keys, "id", "timestamp", "n")
 
 
 def first_bursts(logs: DataFrame, attempts: int = MAX_ATTEMPTS, keys=BURST_KEY) -> DataFrame:

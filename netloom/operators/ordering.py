@@ -9,7 +9,7 @@ equality takes NULL for a value like any other, as a window does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,11 @@ def _keyed(df: DataFrame, keys, bucket: Column) -> DataFrame:
     return df.withColumns({"_k": F.struct(*keys), "_bucket": bucket})
 
 
+def earlier_rows(order: str) -> WindowSpec:
+    """The rows of the same `_k` before this one."""
+    return Window.partitionBy("_k").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def latest(df: DataFrame, keys, *order: Column | str) -> DataFrame:
     """The row with the greatest `order` per key; an aggregate, combined map-side."""
     rest = [c for c in df.columns if c not in keys]

@@ -7,7 +7,6 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from netloom import session
 from netloom.functions.times import hour_of, micros
 from netloom.operators import chains, limits, ordering, packets
 
@@ -160,9 +159,29 @@ def test_capture_warnings(rows):
     assert sorted(r.ts for r in got.collect()) == [BASE + timedelta(minutes=9), BASE + timedelta(minutes=25)]
 
 
-def test_chain_leaves_no_superseded_tables(rows, tmp_path, monkeypatch):
-    steps = rows([("k", n, n + 1) for n in range(20)], "k string, n long, found long")
-    monkeypatch.setattr(session, "shared_base", lambda spark: str(tmp_path))
-    reached = chains.chain(steps, rows([("k", 3)], "k string, n long"), ["k"], "n")
-    assert sorted(r.n for r in reached.collect()) == list(range(3, 21))
-    assert not list(tmp_path.glob("chain-jump-*"))
+@pytest.mark.parametrize("chunks", [1, 256])
+def test_chains_over_many_chunks(rows, monkeypatch, chunks):
+    """One key has 90 % of the rows; blocks of one chunk and of many; sparse and dense stretches."""
+    monkeypatch.setattr(chains, "BLOCK_CHUNKS", chunks)
+    rnd = random.Random(11)
+    data, t = [], 0
+    for i in range(4000):
+        t += rnd.choice((0, 1, 3, 20, 20, 200, 5000 if i % 50 == 0 else 7))
+        data.append(("hot" if i % 10 else rnd.choice(["a", None]), i, BASE + timedelta(seconds=t)))
+    df = rows(data, "k string, id long, ts timestamp_ntz")
+    got = {r.id: r.start for r in chains.greedy_windows(df, ["k"], "ts", 60_000_000).collect()}
+    logs = df.selectExpr("'telnet' AS server", "k AS remote", "'login' AS event", "id", "ts AS timestamp")
+    alarms = {(r.id, r.n) for r in limits.login_bursts(logs, 4, 60_000_000).collect()}
+    want, bursts = {}, set()
+    for key in ("hot", "a", None):
+        start = quiet = None
+        since = 0
+        for n, (_, number, ts) in enumerate(sorted((r for r in data if r[0] == key), key=lambda r: (r[2], r[1])), 1):
+            if start is None or ts > start + timedelta(seconds=60):
+                start = ts
+            want[number] = start
+            since += 1
+            if since >= 4 and (quiet is None or ts >= quiet):
+                bursts.add((number, n))
+                since, quiet = 0, ts + timedelta(seconds=60)
+    assert got == want and alarms == bursts
