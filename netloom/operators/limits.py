@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.times import from_micros, hour_of, micros
 from netloom.operators.chains import chained
 from netloom.operators.ordering import earlier_rows, ranked
+from netloom.session import stored
 
 BURST_KEY = ["server", "remote"]
 MAX_ATTEMPTS = 5  # Fixed value: logins that raise an alarm.
@@ -49,8 +48,55 @@ def first_bursts(logs: DataFrame, attempts: int = MAX_ATTEMPTS, keys=BURST_KEY)
 CHUNK_REFILLS = 60
 
 
-def _refill(state, ticks, inflow, full):
-    return np.minimum(state + ticks * inflow, full)
+class _Map:
+    """Tokens after some messages as a function of the tokens before, on [0, full].
+
+    The function is piecewise: on the tokens up to (and with) `upto` of a piece,
+    and above that of the piece before, it is slope * tokens + shift, with slope
+    0 or 1. A message cuts the pieces whose values its cost divides, a refill
+    those that it fills up; equal neighbours join, so a filled bucket is one piece.
+    """
+
+    def __init__(self, full, kind):
+        self.full = full
+        self.upto, self.slope, self.shift = (np.array([x], kind) for x in (full, 1, 0))
+
+    def _cut(self, value) -> None:
+        """Cut pieces so that none has values on both sides of `value`."""
+        at = value - self.shift
+        below = np.append(-1, self.upto[:-1])
+        where = np.flatnonzero((self.slope == 1) & (below < at) & (at < self.upto))
+        if len(where):
+            self.upto = np.insert(self.upto, where, at[where])
+            self.slope = np.insert(self.slope, where, 1)
+            self.shift = np.insert(self.shift, where, self.shift[where])
+
+    def _join(self) -> None:
+        last = np.append((self.slope[1:] != self.slope[:-1]) | (self.shift[1:] != self.shift[:-1]), True)
+        if not last.all():
+            self.upto, self.slope, self.shift = self.upto[last], self.slope[last], self.shift[last]
+
+    def refill(self, tokens) -> None:
+        self.shift = self.shift + tokens
+        self._cut(self.full)
+        over = self.slope * self.upto + self.shift > self.full
+        self.slope, self.shift = np.where(over, 0, self.slope), np.where(over, self.full, self.shift)
+        self._join()
+
+    def pay(self, cost) -> None:
+        self._cut(cost)
+        accepted = self.slope * self.upto + self.shift > cost
+        self.shift = np.where(accepted, self.shift - cost, self.shift)
+        self._join()
+
+    def pieces(self) -> list[dict]:
+        columns = zip(self.upto.tolist(), self.slope.tolist(), self.shift.tolist())
+        return [{"upto": u, "slope": int(s), "shift": c} for u, s, c in columns]
+
+
+def _value(pieces: list[dict], tokens):
+    piece = next(p for p in pieces if tokens <= p["upto"])
+    return piece["slope"] * tokens + piece["shift"]
 
 
 def rate_limit(messages: DataFrame, inflow: int, interval_s: int, factor: int = CAPACITY_FACTOR, chunk_refills: int = CHUNK_REFILLS) -> DataFrame:
@@ -58,72 +104,87 @@ def rate_limit(messages: DataFrame, inflow: int, interval_s: int, factor: int =
 
     A bucket starts full at inflow * factor tokens, gains `inflow` every
     `interval_s` (epoch-aligned) and pays the cost of a message that is less
-    than its content.
-
-    The state is one small integer, so the messages of a (client, time chunk)
-    can be run for every possible state at once: that table of outcomes turns a
-    chunk into one row. The rows of a client are then composed in order, and
-    each chunk is replayed with its now known state. A busy client is spread
-    over as many tasks as it has chunks, and a task streams its chunks in order.
+    than its content. Costs are whole or not; NULL is a client like any other. A
+    message without a cost or time is not accepted and costs nothing.
+
+    The messages of a (client, time chunk) are one task's work and become a
+    piecewise linear function of the tokens before them. The functions of a
+    client are applied in order, anew wherever the bucket is surely full again,
+    and each chunk is replayed with its now known tokens. The work does not depend
+    on the capacity, and no task holds more of a client than a chunk's messages
+    and one function per chunk.
     """
     full = inflow * factor
     interval_us = interval_s * 1_000_000
-    chunk_us = interval_us * chunk_refills
-    parts = ["client", "chunk"]
-    rows = messages.select("client", "id", micros("ts").alias("us"), "cost").withColumn(
-        "chunk", F.floor(F.col("us") / chunk_us)
+    whole = messages.schema["cost"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    number, kind = ("bigint", np.int64) if whole else ("double", np.float64)
+    valid = F.col("cost").isNotNull() & F.col("ts").isNotNull()
+    row = F.struct(*[F.col(f"`{c}`") for c in messages.columns])
+    message = F.struct(
+        F.floor(micros("ts") / interval_us).alias("tick"), micros("ts").alias("us"), F.col("id"),
+        F.col("cost").cast(number).alias("cost"), row.alias("row"),
     )
-
-    def outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, tick = None, None, 0
-
-        def closed():
-            """The table of the chunk that ended: state after, by state before."""
-            return (*key, _refill(state, (key[1] + 1) * chunk_refills - tick, inflow, full))
-
-        for pdf in batches:
-            done = []
-            for client, chunk, us, cost in zip(pdf["client"], pdf["chunk"], pdf["us"], pdf["cost"]):
-                if (client, chunk) != key:
-                    if key is not None:
-                        done.append(closed())
-                    key, state, tick = (client, chunk), np.arange(full + 1), chunk * chunk_refills
-                now = us // interval_us
-                if now > tick:
-                    state, tick = _refill(state, now - tick, inflow, full), now
-                state = np.where(cost < state, state - cost, state)
-            yield pd.DataFrame(done, columns=["client", "chunk", "after"])
-        if key is not None:
-            yield pd.DataFrame([closed()], columns=["client", "chunk", "after"])
-
-    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        state, previous, before = full, None, []
-        for chunk, after in zip(pdf["chunk"], pdf["after"]):
-            if previous is not None:
-                state = _refill(state, (chunk - previous - 1) * chunk_refills, inflow, full)
-            before.append(int(state))
-            state, previous = int(after[int(state)]), chunk
-        return pd.DataFrame({"client": pdf["client"], "chunk": pdf["chunk"], "before": before})
-
-    def replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, tick = None, 0, 0
-        for pdf in batches:
-            accepted = []
-            for client, chunk, before, us, cost in zip(pdf["client"], pdf["chunk"], pdf["before"], pdf["us"], pdf["cost"]):
-                if (client, chunk) != key:
-                    key, state, tick = (client, chunk), before, chunk * chunk_refills
-                now = us // interval_us
-                state, tick = min(state + (now - tick) * inflow, full), now
-                accepted.append(cost < state)
-                state -= cost if cost < state else 0
-            yield pd.DataFrame({"client": pdf["client"], "id": pdf["id"], "accepted": accepted})
-
-    kind = messages.schema["client"].dataType.simpleString()
-    id_kind = messages.schema["id"].dataType.simpleString()
-    in_order = lambda df: df.repartition(*parts).sortWithinPartitions(*parts, "us", "id")
-    tables = in_order(rows).mapInPandas(outcomes, f"client {kind}, chunk long, after array<long>")
-    # One row per chunk: bounded by the time a client is seen.
-    states = tables.groupBy("client").applyInPandas(composed, f"client {kind}, chunk long, before long")
-    flags = in_order(rows.join(states, parts)).mapInPandas(replayed, f"client {kind}, id {id_kind}, accepted boolean")
-    return messages.join(flags, ["client", "id"])
+    grouped = messages.where(valid).groupBy(
+        F.struct("client").alias("_k"), F.floor(micros("ts") / (interval_us * chunk_refills)).alias("_chunk")
+    ).agg(F.sort_array(F.collect_list(message)).alias("rows"))
+
+    pieces = f"array<struct<upto: {number}, slope: int, shift: {number}>>"
+
+    @F.arrow_udf(pieces)
+    def contract(ticks: pa.Array, costs: pa.Array) -> pa.Array:
+        out = []
+        for times, prices in zip(ticks.to_pylist(), costs.to_pylist()):
+            tokens, before = _Map(full, kind), times[0]
+            for tick, cost in zip(times, prices):
+                if tick > before:
+                    tokens.refill((tick - before) * inflow)
+                    before = tick
+                tokens.pay(cost)
+            out.append(tokens.pieces())
+        value = pa.int64() if whole else pa.float64()
+        return pa.array(out, pa.list_(pa.struct([("upto", value), ("slope", pa.int32()), ("shift", value)])))
+
+    @F.arrow_udf(f"array<{number}>")
+    def walk(parts: pa.Array) -> pa.Array:
+        """Tokens at the first message of each chunk; the bucket is full at the first of them."""
+        out = []
+        for chunks in parts.to_pylist():
+            tokens, tick, found = full, None, []
+            for chunk in chunks:
+                if tick is not None:
+                    tokens = min(tokens + (chunk["first"] - tick) * inflow, full)
+                found.append(tokens)
+                tokens, tick = _value(chunk["pieces"], tokens), chunk["last"]
+            out.append(found)
+        return pa.array(out, pa.list_(pa.int64() if whole else pa.float64()))
+
+    @F.arrow_udf("array<boolean>")
+    def replay(ticks: pa.Array, costs: pa.Array, tokens: pa.Array) -> pa.Array:
+        out = []
+        for times, prices, left in zip(ticks.to_pylist(), costs.to_pylist(), tokens.to_pylist()):
+            before, flags = times[0], []
+            for tick, cost in zip(times, prices):
+                left, before = min(left + (tick - before) * inflow, full), tick
+                flags.append(cost < left)
+                left -= cost if cost < left else 0
+            out.append(flags)
+        return pa.array(out, pa.list_(pa.bool_()))
+
+    chunks, _ = stored(grouped, "limit-chunks")
+    slim = chunks.select(
+        "_k", "_chunk", contract("rows.tick", "rows.cost").alias("pieces"),
+        F.element_at("rows.tick", 1).alias("first"), F.element_at("rows.tick", -1).alias("last"),
+    )
+    order = Window.partitionBy("_k").orderBy("_chunk")
+    # After so long a silence the bucket is full, whatever it held.
+    idle = (F.col("first") - F.lag("last").over(order)) * inflow >= full
+    runs = slim.withColumn("_full", F.when(idle, 1).otherwise(0)).withColumn("_run", F.sum("_full").over(order))
+    parts = F.sort_array(F.collect_list(F.struct("_chunk", "first", "last", "pieces"))).alias("parts")
+    walked = runs.groupBy("_k", "_run").agg(parts).select("_k", "parts", walk("parts").alias("tokens"))
+    known = walked.select("_k", F.inline(F.arrays_zip(F.col("parts._chunk").alias("_chunk"), F.col("tokens").alias("tokens"))))
+    flagged = chunks.join(known, ["_k", "_chunk"]).select(
+        "rows", replay("rows.tick", "rows.cost", "tokens").alias("flags")
+    )
+    each = flagged.select(F.inline(F.arrays_zip(F.col("rows.row").alias("row"), F.col("flags").alias("accepted"))))
+    rest = messages.where(~valid).select(row.alias("row"), F.lit(False).alias("accepted"))
+    return each.unionByName(rest).select("row.*", "accepted")

@@ -215,9 +215,10 @@ def classify_refused(events: DataFrame, timeout_us: int = ATTEMPT_TIMEOUT) -> Da
     the time-out has the reason 'T'.
     """
     attempts = greedy_windows(events, CONNECTION, "ts", timeout_us, "timestamp")
-    keys = [*CONNECTION, "timestamp"]
+    # One struct is the key: its equality takes NULL for a value like any other.
+    attempts = attempts.select(F.struct(*CONNECTION, "timestamp").alias("_a"), "ts", "kind", "reason")
     first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("ts")))
-    decided = attempts.groupBy(*keys).agg(
+    decided = attempts.groupBy("_a").agg(
         first("syn").alias("syn"), first("ack").alias("ack"), first("nak").alias("nak"),
         F.min_by("reason", F.when(F.col("kind") == "nak", F.col("ts"))).alias("first_reason"),
     ).where(F.col("syn").isNotNull())
@@ -227,13 +228,13 @@ def classify_refused(events: DataFrame, timeout_us: int = ATTEMPT_TIMEOUT) -> Da
     # Refusals that came before the opening: the last of them names the reason.
     early = (
         attempts.where(F.col("kind") == "nak").drop("kind")
-        .join(refused.where(F.col("nak") <= F.col("syn")).select(*keys, "syn"), keys)
+        .join(refused.where(F.col("nak") <= F.col("syn")).select("_a", "syn"), "_a")
         .where(F.col("ts") <= F.col("syn"))
-        .groupBy(*keys)
+        .groupBy("_a")
         .agg(F.max_by("reason", "ts").alias("early_reason"))
     )
     reason = F.coalesce("early_reason", "first_reason", F.lit("T"))
-    return refused.join(early, keys, "left").select(*keys, reason.alias("reason"))
+    return refused.join(early, "_a", "left").select("_a.*", reason.alias("reason"))
 
 
 ODD_WINDOW = 15 * 60 * 1_000_000  # Fixed value: microseconds between warnings.

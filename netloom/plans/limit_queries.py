@@ -42,3 +42,27 @@ def limited(t):
         (F.col("user_id") % 20).alias("client"), F.col("event_id").alias("id"), "ts", (1 + F.col("event_id") % 7).alias("cost")
     )
     return limits.rate_limit(messages, inflow=3, interval_s=3600, chunk_refills=12).drop("ts")
+
+
+# Messages of clients without a number are one client's.
+@query(
+    "t08_rate_limit_nulls",
+    SQL_BUCKETS.replace("user_id % 20", "CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 20 END")
+    .replace("m.client = w.client", "m.client IS NOT DISTINCT FROM w.client"),
+)
+def limited_nulls(t):
+    client = F.when(F.col("user_id") % 4 != 0, F.col("user_id") % 20)
+    messages = t("events").select(client.alias("client"), F.col("event_id").alias("id"), "ts", (1 + F.col("event_id") % 7).alias("cost"))
+    return limits.rate_limit(messages, inflow=3, interval_s=3600, chunk_refills=12).drop("ts")
+
+
+# Half and quarter tokens, exact in doubles; a message costs at most 3.5 of 15.
+@query(
+    "t08_rate_limit_fractions",
+    SQL_BUCKETS.replace("1 + event_id % 7 AS cost", "CAST((1 + event_id % 14) AS DOUBLE) / 4 AS cost").replace("CAST(15 AS BIGINT)", "CAST(15 AS DOUBLE)")
+    .replace("15 - cost ELSE 15 END", "15 - cost ELSE CAST(15 AS DOUBLE) END"),
+)
+def limited_fractions(t):
+    cost = (1 + F.col("event_id") % 14).cast("double") / 4
+    messages = t("events").select((F.col("user_id") % 20).alias("client"), F.col("event_id").alias("id"), "ts", cost.alias("cost"))
+    return limits.rate_limit(messages, inflow=3, interval_s=3600, chunk_refills=12).drop("ts")

@@ -37,6 +37,13 @@ def run(t, stream, name, keys=None, mode="update"):
     return jobs.read_latest(t.spark, out, keys)
 
 
+def run_to_end(t, source, build, column, name, each=None, marker=None):
+    """Run a stream over all its input, close what is open, and read what it wrote."""
+    out, state = scratch_folder(t.spark, name), scratch_folder(t.spark, f"{name}-state")
+    jobs.write_to_end(source, build, column, out, state, each=each, marker=marker)
+    return t.spark.read.schema(build(source).schema).parquet(out).drop("batch")
+
+
 @query("t01_stream_packet_counts", packet_queries.SQL_COUNTS.format(start="date_trunc('hour', ts)"))
 def stream_counts(t):
     stream = jobs.stream_packet_counts(packet_queries.layered(streamed(t)), "1 hour", servers=(packet_queries.SERVER,))
@@ -49,32 +56,26 @@ def stream_flows(t):
     return run(t, stream, "flows", ["start", *packet_queries.packets.FLOW_KEY])
 
 
-# Sessions still open at the end of the input stay in the state.
 @query(
     "t04_stream_flow_sessions",
-    f"""WITH {packet_queries.SQL_SESSIONS}, wm AS (SELECT date_trunc('millisecond', MAX(ts)) - INTERVAL '1 minute' AS mark FROM ok),
-    cl AS (SELECT se.* FROM se, wm WHERE ends + {packet_queries.SQL_GAP} <= mark)
+    f"""WITH {packet_queries.SQL_SESSIONS}, cl AS (SELECT * FROM se)
     SELECT start, client, {packet_queries.SQL_FLOWS.replace('FROM pk', 'FROM cl')}""",
 )
 def stream_sessions_of_flows(t):
-    stream = jobs.stream_flow_sessions(packet_queries.layered(streamed(t)), "6 hours")
-    return run(t, stream, "flow-sessions", mode="append")
+    build = lambda rows: jobs.stream_flow_sessions(rows, "6 hours")
+    return run_to_end(t, packet_queries.layered(streamed(t)), build, "ts", "flow-sessions", marker=jobs.FLOW_MARKER)
 
 
-# In append mode the last open window stays in the state: the watermark of the
-# only batch is the newest time less the lateness.
 @query(
     "t02_stream_peaks",
     f"""WITH {packet_queries.SQL_PACKETS}, w AS (SELECT unnest([1, 2, 6]) AS h),
-    wm AS (SELECT date_trunc('millisecond', MAX(ts)) - INTERVAL '20 seconds' AS mark FROM pk),
     s AS (SELECT client, CAST(h * 3600000000 AS BIGINT) AS win_len, make_timestamp(epoch_us(ts) // (h * 3600000000) * (h * 3600000000)) AS start,
      SUM(CASE WHEN direction = 'in' THEN length ELSE 0 END) AS i, SUM(CASE WHEN direction = 'in' THEN 0 ELSE length END) AS o FROM pk, w GROUP BY 1, 2, 3)
-    SELECT date_trunc('day', start) AS timestamp, client, win_len, CAST(MAX(i) AS BIGINT) AS in_max, CAST(MAX(o) AS BIGINT) AS out_max FROM s, wm
-    WHERE date_trunc('day', start) + INTERVAL '1 day' <= mark GROUP BY 1, 2, 3""",
+    SELECT date_trunc('day', start) AS timestamp, client, win_len, CAST(MAX(i) AS BIGINT) AS in_max, CAST(MAX(o) AS BIGINT) AS out_max FROM s GROUP BY 1, 2, 3""",
 )
 def stream_peaks(t):
-    stream = jobs.stream_peaks(packet_queries.layered(streamed(t)), "1 day", packet_queries.HOURS)
-    return run(t, stream, "peaks", mode="append")
+    build = lambda rows: jobs.stream_peaks(rows, "1 day", packet_queries.HOURS)
+    return run_to_end(t, packet_queries.layered(streamed(t)), build, "ts", "peaks")
 
 
 @query(
@@ -134,13 +135,11 @@ def stream_pairs(t):
     f"""WITH {lan_queries.SQL_FRAMES}, su AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS start, {lan_queries.SQL_LAN_SUMS} GROUP BY ALL),
     rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY start, src ORDER BY u_count DESC, proto, dst, port) AS rn FROM su)
     SELECT start, CASE WHEN rn <= 3 THEN proto ELSE 'both' END AS proto, src, CASE WHEN rn <= 3 THEN dst ELSE 'other' END AS dst,
-    CASE WHEN rn <= 3 THEN port ELSE 'all' END AS port, {lan_queries.COUNTER_SUMS} FROM rk WHERE start + INTERVAL '6 hours' <= (SELECT MAX(ts) - INTERVAL '10 seconds' FROM fr) GROUP BY 1, 2, 3, 4, 5""",
+    CASE WHEN rn <= 3 THEN port ELSE 'all' END AS port, {lan_queries.COUNTER_SUMS} FROM rk GROUP BY 1, 2, 3, 4, 5""",
 )
 def stream_lan(t):
-    stream = jobs.stream_lan_summary(lan_queries.frames(streamed(t)), "6 hours")
-    out, state = scratch_folder(t.spark, "lan"), scratch_folder(t.spark, "lan-state")
-    jobs.write_batches(stream, out, state, "append", jobs.fold_lan(3))
-    return t.spark.read.parquet(out).drop("batch")
+    build = lambda rows: jobs.stream_lan_summary(rows, "6 hours")
+    return run_to_end(t, lan_queries.frames(streamed(t)), build, "ts", "lan", jobs.fold_lan(3), jobs.LAN_MARKER)
 
 
 @query(
@@ -165,8 +164,8 @@ def process_once(t):
 )
 def stream_bursts(t):
     stateful.use_rocksdb(t.spark)
-    stream = stateful.stream_login_bursts(streamed(t)("t_fake_logs"), holdback_us=2 * 86_400_000_000)
-    return run(t, stream, "bursts", mode="append")
+    build = lambda rows: stateful.stream_login_bursts(rows, holdback_us=2 * 86_400_000_000)
+    return run_to_end(t, streamed(t)("t_fake_logs"), build, "timestamp", "bursts", marker=jobs.LOGIN_MARKER)
 
 
 @query("t08_stream_rate_limit", SQL_BUCKETS.replace("id, cost, cost <", "id, cost <"))
@@ -175,7 +174,7 @@ def stream_limited(t):
     messages = streamed(t)("events").select(
         (F.col("user_id") % 20).alias("client"), F.col("event_id").alias("id"), "ts", (1 + F.col("event_id") % 7).alias("cost")
     )
-    return run(t, stateful.stream_rate_limit(messages, 3, 3600), "limited", mode="append")
+    return run_to_end(t, messages, lambda rows: stateful.stream_rate_limit(rows, 3, 3600), "ts", "limited")
 
 
 @query(
@@ -184,15 +183,11 @@ def stream_limited(t):
 )
 def stream_sessions(t):
     stateful.use_rocksdb(t.spark)
-    return run(t, stateful.stream_client_sessions(streamed(t)("t_activities")), "sessions", mode="append")
+    return run_to_end(t, streamed(t)("t_activities"), stateful.stream_client_sessions, "timestamp", "sessions", marker=jobs.SESSION_MARKER)
 
 
-# Attempts without an answer come out when the watermark passes their time-out.
-@query(
-    "t05_stream_refused",
-    packet_queries.SQL_ATTEMPTS + " AND (nak IS NOT NULL OR s + INTERVAL '12 hours' < (SELECT MAX(ts) - INTERVAL '10 seconds' FROM ev))",
-)
+@query("t05_stream_refused", packet_queries.SQL_ATTEMPTS)
 def stream_refused(t):
     stateful.use_rocksdb(t.spark)
     events = packet_queries.connection_events(streamed(t))
-    return run(t, stateful.stream_refused(events, 12 * 3_600_000_000), "refused", mode="append")
+    return run_to_end(t, events, lambda rows: stateful.stream_refused(rows, 12 * 3_600_000_000), "ts", "refused")

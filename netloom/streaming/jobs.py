@@ -43,6 +43,40 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "up
     return query
 
 
+# The time of a closing marker, past any event, and one that pandas can hold.
+END_OF_TIME = "2200-01-01 00:00:00"
+# Values with which a closing marker passes the filters of flows, local traffic, alarms and sessions.
+FLOW_MARKER = {"direction": "in", "layer": "I", "ip_protocol": 4, "app_protocol": "T"}
+LAN_MARKER = {"direction": "in", "proto": "T", "mac_local": "02:00:00:00:00:01", "mac_remote": "02:00:00:00:00:01"}
+LOGIN_MARKER = {"event": "login"}
+SESSION_MARKER = {"activity": "login"}
+
+
+def write_to_end(source: DataFrame, build: Callable[[DataFrame], DataFrame], column: str, path: str, checkpoint: str, mode: str = "append", each: Callable | None = None, marker: dict | None = None) -> None:
+    """Write all a finite stream gives, also what waits for a watermark: open windows, sessions and attempts.
+
+    `build` makes the stream from `source`, whose event time is `column`. Once
+    the input is read, closing markers, rows of that time only, move the watermark
+    past every event; what it closes comes out in order. The markers' own windows
+    stay open, so nothing of them is written. `marker` gives the values with which
+    a row passes the filters of the stream; the rest is NULL. The checkpoint ends
+    here: rows that come after would be late.
+    """
+    spark = source.sparkSession
+    markers = f"{checkpoint}-markers"
+    schema = source.schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(markers)
+    closing = spark.readStream.schema(schema).parquet(markers)
+    stream = build(source.unionByName(closing))
+    write_batches(stream, path, checkpoint, mode, each)
+    values = {**(marker or {}), column: END_OF_TIME}
+    row = spark.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    # The watermark of a batch moves after it: the second marker sees the first one's.
+    for _ in range(2):
+        row.write.mode("append").parquet(markers)
+        write_batches(stream, path, checkpoint, mode, each)
+
+
 def read_latest(spark: SparkSession, path: str, keys) -> DataFrame:
     """Rows of a written stream; of a key that was updated, the last state."""
     return latest(spark.read.parquet(path), list(keys), "batch").drop("batch")

@@ -104,20 +104,40 @@ def test_login_bursts(events, rows):
     assert found == want
 
 
-def test_rate_limit(events, rows):
-    data, _ = events
-    messages = [(k, i, ts, 1 + i % 6) for k, i, ts, _ in data]
-    df = rows(messages, "client string, id long, ts timestamp_ntz, cost long")
-    found = {r.id: r.accepted for r in limits.rate_limit(df, 4, 60, chunk_refills=10).collect()}
-    tick_of = lambda ts: int((ts - datetime(1970, 1, 1)).total_seconds()) // 60
+def walked_limit(messages, inflow, seconds, full):
+    """Accepted ids by walking the messages of each client."""
+    tick_of = lambda ts: int((ts - datetime(1970, 1, 1)).total_seconds()) // seconds
+    accepted = set()
     for group in by_key(messages).values():
-        tokens, tick = 20, None
+        tokens, tick = full, None
         for _, number, ts, cost in group:
             now = tick_of(ts)
-            tokens = tokens if tick is None else min(20, tokens + 4 * (now - tick))
+            tokens = tokens if tick is None else min(full, tokens + inflow * (now - tick))
             tick = now
-            assert found[number] == (cost < tokens)
-            tokens -= cost if cost < tokens else 0
+            if cost < tokens:
+                accepted.add(number)
+                tokens -= cost
+    return accepted
+
+
+@pytest.mark.parametrize(("cost", "kind", "factor"), [(1, "long", 5), (0.75, "double", 5), (1, "long", 1_000_000)])
+def test_rate_limit(events, rows, cost, kind, factor):
+    """Whole and fractional costs, a NULL client, and a capacity of millions in the same time."""
+    data, _ = events
+    messages = [(k if i % 9 else None, i, ts, cost * (1 + i % 6)) for i, (k, _, ts, _) in enumerate(data)]
+    if factor > 5:
+        messages = [(k, i, ts, c * 3_000_000) for k, i, ts, c in messages]
+    df = rows(messages, f"client string, id long, ts timestamp_ntz, cost {kind}").withColumn("row", F.lit("x"))
+    got = limits.rate_limit(df, 4, 60, factor, chunk_refills=10)
+    flags = {r.id: r.accepted for r in got.collect()}
+    assert len(flags) == len(messages) and {i for i, f in flags.items() if f} == walked_limit(messages, 4, 60, 4 * factor)
+    assert set(flags.values()) == {True, False}
+
+
+def test_rate_limit_without_cost_or_time(rows):
+    data = [(1, 1, BASE, 3), (1, 2, BASE, None), (1, 3, None, 1), (1, 4, BASE, 3)]
+    df = rows(data, "client long, id long, ts timestamp_ntz, cost long")
+    assert {r.id: r.accepted for r in limits.rate_limit(df, 1, 60).collect()} == {1: True, 2: False, 3: False, 4: False}
 
 
 # Events of one connection as (second, kind, reason), and the reasons reported.

@@ -1,10 +1,12 @@
 """Streams in several micro-batches: state, late rows and retries."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from netloom.operators import packets
+from conftest import values
+from netloom.operators import limits, packets
 from netloom.streaming import jobs, stateful
 
 T0 = datetime(2024, 1, 1)
@@ -48,35 +50,80 @@ def test_peaks_equal_the_batch_form(spark, tmp_path):
     assert sorted(map(key, got.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).collect())) == sorted(map(key, want.collect()))
 
 
-def test_alarms_over_batches(spark, tmp_path):
+def shuffled(rows, time_of):
+    """Three batches of rows in time order, in which neighbours across their edges are exchanged."""
+    rows = sorted(rows, key=time_of)
+    third = len(rows) // 3
+    parts = [rows[:third], rows[third : 2 * third], rows[2 * third :]]
+    for a, b in zip(parts, parts[1:]):
+        a[-6:], b[:6] = b[:6], a[-6:]
+    return [random.Random(5).sample(p, len(p)) for p in parts]
+
+
+def drained(spark, tmp_path, rows, time_of, ddl, build, column, marker=None):
+    """The rows of a stream over three micro-batches out of order, written to the end."""
     stateful.use_rocksdb(spark)
-    at = lambda s: T0 + timedelta(seconds=s)
+    stream = files(spark, str(tmp_path / "in"), shuffled(rows, time_of), ddl)
+    jobs.write_to_end(stream, build, column, str(tmp_path / "out"), str(tmp_path / "state"), marker=marker)
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_alarms_equal_the_batch_form(spark, tmp_path):
+    rnd = random.Random(1)
     ddl = "id long, server string, remote string, event string, timestamp timestamp_ntz"
-    row = lambda i, s: (i, "telnet", "r", "login", at(s))
-    batches = [[row(1, 0), row(2, 1)], [row(3, 2), row(4, 3)], [row(5, 4), row(6, 200), row(7, 201), row(8, 202)]]
-    stream = files(spark, str(tmp_path / "in"), batches, ddl)
-    alarms = stateful.stream_login_bursts(stream, attempts=3, holdback_us=120_000_000)
-    jobs.write_batches(alarms, str(tmp_path / "out"), str(tmp_path / "state"), "append")
-    got = sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    # Third login; then silence until 122 s; 4 and 5 count for the next alarm.
-    assert got == [3, 6]
+    data = [(i, "telnet", rnd.choice(["a", "b", None]), "login" if i % 7 else "command", T0 + timedelta(seconds=4 * i)) for i in range(300)]
+    build = lambda rows: stateful.stream_login_bursts(rows, 4, 60_000_000, "2 minutes")
+    got = drained(spark, tmp_path, data, lambda r: r[4], ddl, build, "timestamp", jobs.LOGIN_MARKER)
+    want = limits.login_bursts(spark.createDataFrame(data, ddl), 4, 60_000_000)
+    assert values(got, "server", "remote", "id", "timestamp") == values(want, "server", "remote", "id", "timestamp")
 
 
-def test_refusals_over_batches(spark, tmp_path):
-    stateful.use_rocksdb(spark)
-    at = lambda s: T0 + timedelta(seconds=s)
+def test_forgotten_alarms(spark, tmp_path):
+    ddl = "id long, server string, remote string, event string, timestamp timestamp_ntz"
+    data = [(i, "telnet", "a", "login", T0 + timedelta(seconds=s)) for i, s in enumerate((0, 1, 100, 101, 102, 103))]
+    build = lambda rows: stateful.stream_login_bursts(rows, 3, 1_000_000, "2 minutes", 50_000_000)
+    got = drained(spark, tmp_path, data, lambda r: r[4], ddl, build, "timestamp", jobs.LOGIN_MARKER)
+    assert [r.id for r in got.collect()] == [4]
+
+
+def test_limits_equal_the_batch_form(spark, tmp_path):
+    rnd = random.Random(2)
+    ddl = "client long, id long, ts timestamp_ntz, cost long"
+    data = [(rnd.choice([1, 2, None]), i, T0 + timedelta(seconds=3 * i + (i // 100) * 900), 1 + i % 5) for i in range(300)]
+    build = lambda rows: stateful.stream_rate_limit(rows, 4, 30, lateness="2 minutes")
+    got = drained(spark, tmp_path, data, lambda r: r[2], ddl, build, "ts")
+    want = limits.rate_limit(spark.createDataFrame(data, ddl), 4, 30)
+    assert values(got, "client", "id", "accepted") == values(want, "client", "id", "accepted")
+    assert 0 < got.where("accepted").count() < len(data)
+
+
+def test_sessions_equal_the_batch_form(spark, tmp_path):
+    rnd = random.Random(3)
+    ddl = "id long, client long, activity string, timestamp timestamp_ntz"
+    data = [(i, rnd.randint(1, 4), rnd.choice(["login", "logout", "push"]), T0 + timedelta(seconds=2 * i)) for i in range(300)]
+    build = lambda rows: stateful.stream_client_sessions(rows, "2 minutes")
+    got = drained(spark, tmp_path, data, lambda r: r[3], ddl, build, "timestamp", jobs.SESSION_MARKER)
+    want, last = [], {}
+    for _, client, activity, ts in sorted(data, key=lambda r: r[3]):
+        if activity != "push":
+            if last.get(client):
+                want.append((client, last[client], ts, "relogin" if activity == "login" else "logout"))
+            last[client] = ts if activity == "login" else None
+    assert values(got, "client", "start", "end", "ended") == sorted(want, key=repr)
+
+
+def test_refusals_equal_the_batch_form(spark, tmp_path):
+    rnd = random.Random(4)
     ddl = "client long, address string, local_port int, remote_port int, ts timestamp_ntz, kind string, reason string"
-    row = lambda client, s, kind, reason=None: (client, "a", 1, 2, at(s), kind, reason)
-    batches = [
-        [row(1, 0, "syn"), row(2, 0, "syn"), row(3, 0, "syn")],
-        [row(1, 5, "nak", "N"), row(2, 5, "ack")],
-        [row(9, 500, "ack")],
-        [row(9, 501, "ack")],
-    ]
-    stream = files(spark, str(tmp_path / "in"), batches, ddl)
-    jobs.write_batches(stateful.stream_refused(stream), str(tmp_path / "out"), str(tmp_path / "state"), "append")
-    got = sorted((r.client, r.reason) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == [(1, "N"), (3, "T")]
+    data = []
+    for i in range(400):
+        kind = rnd.choice(["syn", "syn", "ack", "nak"])
+        data.append((rnd.choice([1, 2, 3, None]), "a", 1, 2, T0 + timedelta(seconds=5 * i), kind, rnd.choice("NHP") if kind == "nak" else None))
+    build = lambda rows: stateful.stream_refused(rows, lateness="2 minutes")
+    got = drained(spark, tmp_path, data, lambda r: r[4], ddl, build, "ts")
+    want = packets.classify_refused(spark.createDataFrame(data, ddl))
+    columns = [*packets.CONNECTION, "timestamp", "reason"]
+    assert values(got, *columns) == values(want, *columns) and got.count() > 20
 
 
 def test_a_repeated_batch_counts_once(spark, tmp_path):
