@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.common import free_name, written
@@ -17,7 +17,9 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.8
 SHARE = 0.6
 TOLERANCE = 1e-9
-MAX_SWEEPS = 100
+MAX_SWEEPS = 120
+SWEEPS = 8  # sweeps of one plan
+FEW_CELLS = 100_000  # cells that one task sweeps; beyond, every step shuffles
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,45 +65,42 @@ def given(cells: DataFrame, dimension: str, shares: Mapping[str, float]) -> Data
 
 
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
-    """Cells with `rate`: the factor on their tokens that meets all marginal targets.
-
-    The rate of a cell is the product of one factor per dimension. A sweep sets
-    the factors of each dimension in turn so that its margin is met; sweeps end
-    when no factor moved by more than `tolerance`, or after MAX_SWEEPS if the
-    targets contradict each other. Factors are tables with one row per value,
-    and a step is one aggregate over the cells, combined before its shuffle.
+    """Cells with `rate`, the factor on their tokens that meets all marginal targets, and `gap`.
+
+    A sweep multiplies each cell's mass by what its value lacks, one dimension
+    after the other, so that each margin is met in turn. One plan makes SWEEPS
+    sweeps and stores the masses; sweeps end when none of the last one's factors
+    is further from 1 than `tolerance`, or after MAX_SWEEPS. `gap` is that largest
+    distance: above the tolerance the targets contradict each other. Cells of a
+    value without a target get the rate 0. A table of at most FEW_CELLS cells is
+    swept in one task without shuffles, a larger one by a shuffle per dimension.
     """
     names = list(targets)
-    goals = {d: written(targets[d], f"mix-goal-{d}") for d in names}
-    factors = {d: goals[d].select("value", F.lit(1.0).alias("factor")) for d in names}
-
-    def attach(df: DataFrame, dimension: str, how: str = "inner") -> DataFrame:
-        side = factors[dimension].select(F.col("value").alias(dimension), F.col("factor").alias(f"_{dimension}"))
-        return df.join(side, dimension, how)
-
-    live = cells.where("tokens > 0")
-    for _ in range(MAX_SWEEPS):
-        moved = 0.0
-        for dimension in names:
-            weighed = live
-            mass = F.col("tokens").cast("double")
-            for other in names:
-                if other != dimension:
-                    weighed, mass = attach(weighed, other), mass * F.col(f"_{other}")
-            sums = weighed.groupBy(F.col(dimension).alias("value")).agg(F.sum(mass).alias("mass"))
-            old = factors[dimension].select("value", F.col("factor").alias("old"))
-            fitted = goals[dimension].join(sums, "value").join(old, "value")
-            fitted = fitted.select("value", (F.col("target") / F.col("mass")).alias("factor"), "old")
-            factors[dimension] = written(fitted.where("mass > 0"), f"mix-factor-{dimension}")
-            ratio = F.max(F.abs(F.col("factor") / F.col("old") - 1))
-            moved = max(moved, factors[dimension].agg(ratio.alias("r")).first()["r"] or 0.0)
-        if moved <= tolerance:
+    mass, moved = free_name(cells, "mass"), free_name(cells, "moved")
+    goals = {d: free_name(cells, f"goal_{d}") for d in names}
+    live = cells.where("tokens > 0").withColumns({mass: F.col("tokens").cast("double"), moved: F.lit(0.0)})
+    for d in names:
+        live = live.join(targets[d].select(F.col("value").alias(d), F.col("target").alias(goals[d])), d)
+    live = written(live, "mix-mass")
+    few = live.limit(FEW_CELLS + 1).count() <= FEW_CELLS
+    gap = 0.0
+    for _ in range(0, MAX_SWEEPS, SWEEPS):
+        swept = live.coalesce(1) if few else live
+        for _ in range(SWEEPS):
+            swept = swept.withColumn(moved, F.lit(0.0))
+            for d in names:
+                factor = F.col(goals[d]) / F.sum(mass).over(Window.partitionBy(d))
+                swept = swept.withColumn("_factor", factor).withColumns(
+                    {mass: F.col(mass) * F.col("_factor"), moved: F.greatest(moved, F.abs(F.col("_factor") - 1))}
+                )
+        live = written(swept.drop("_factor"), "mix-mass")
+        gap = live.agg(F.max(moved)).first()[0] or 0.0
+        if gap <= tolerance:
             break
-    rated = live
-    rate = F.lit(1.0)
-    for dimension in names:
-        rated, rate = attach(rated, dimension, "left"), rate * F.coalesce(F.col(f"_{dimension}"), F.lit(0.0))
-    return rated.select(*names, "tokens", rate.alias("rate"))
+    rated = live.select(*names, (F.col(mass) / F.col("tokens")).alias("rate"))
+    return cells.where("tokens > 0").join(rated, names, "left").select(
+        *names, "tokens", F.coalesce("rate", F.lit(0.0)).alias("rate"), F.lit(float(gap)).alias("gap")
+    )
 
 
 def calibrated(rated: DataFrame, share: float) -> DataFrame:
@@ -110,17 +109,17 @@ def calibrated(rated: DataFrame, share: float) -> DataFrame:
     If cells with a rate hold fewer tokens than that, all of these are kept.
     """
     rated = written(rated, "mix-rates")
-    total = float(rated.agg(F.sum("tokens")).first()[0] or 0)
     level = 0.0
-    for _ in range(MAX_SWEEPS):
+    while True:  # Each round fills up one more cell at least, or ends.
         full = F.col("rate") * level >= 1
         sums = rated.agg(
+            F.sum("tokens").alias("all"),
             F.sum(F.when(full, F.col("tokens"))).alias("full"),
             F.sum(F.when(~full, F.col("tokens") * F.col("rate"))).alias("open"),
         ).first()
         if not sums["open"]:
             break
-        raised = (share * total - (sums["full"] or 0)) / sums["open"]
+        raised = (share * sums["all"] - (sums["full"] or 0)) / sums["open"]
         if raised <= level * (1 + 1e-12):
             break
         level = raised
