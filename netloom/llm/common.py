@@ -8,7 +8,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.session import scratch_folder
+from netloom.session import discard, scratch_folder
 
 SLICE_BYTES = 4_000_000  # text handled at once inside a task
 
@@ -42,6 +42,13 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the table that `written` made and nothing reads any more."""
+    paths = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for path in paths:
+        discard(df.sparkSession, path)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text of a slice stays near `size`; one row at least."""
     for batch in batches:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import written
+from netloom.llm.common import dropped, written
 from netloom.llm.exact_dedup import _views
 from netloom.llm.sentencepiece_codec import mixed
 
@@ -254,12 +254,15 @@ def repeated_spans(df: DataFrame, text: str = "text", keep: str = NONE) -> tuple
     base = df.select(
         F.monotonically_increasing_id().alias("line"),
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
-        F.arrow_udf(_runs, RUNS)(F.col(text).cast("binary")).alias("runs"),
     )
     table = written(base, "suffix-rows", compression="zstd")
-    runs = table.select("line", F.inline("runs"))
-    shared = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    runs = written(runs.join(shared, "bucket"), "suffix-runs")
+    every = written(
+        table.select("line", F.arrow_udf(_runs, RUNS)(F.col(f"row.`{text}`").cast("binary")).alias("runs")).select("line", F.inline("runs")),
+        "suffix-every", compression="zstd",
+    )
+    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    runs = written(every.join(shared, "bucket"), "suffix-runs", compression="zstd")
+    dropped(every)
     kinds = runs.groupBy("bucket", "content").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("line", "at", "windows")).alias("first")
     ).select("bucket", "content", "copies", "first.*")
@@ -273,7 +276,8 @@ def repeated_spans(df: DataFrame, text: str = "text", keep: str = NONE) -> tuple
     raw = table.select("line", F.col(f"row.`{text}`").cast("binary").alias("data"))
     cut = F.substring("data", F.col("at") + 1, F.col("windows") + (LENGTH - 1))
     pieces = written(
-        wanted.join(raw, "line").select("bucket", "content", "line", "at", "kinds", cut.alias("bytes")), "suffix-pieces"
+        wanted.join(raw, "line").select("bucket", "content", "line", "at", "kinds", cut.alias("bytes")), "suffix-pieces",
+        compression="zstd",
     )
     schema = "bucket bigint, content bigint, earlier array<bigint>, other array<bigint>"
     small = pieces.where(F.col("kinds") <= BUCKET).drop("kinds").repartition("bucket").sortWithinPartitions("bucket")
@@ -281,6 +285,7 @@ def repeated_spans(df: DataFrame, text: str = "text", keep: str = NONE) -> tuple
         _window_by_window(pieces.where(F.col("kinds") > BUCKET).drop("kinds"))
     )
     found = written(found, "suffix-found")
+    dropped(pieces)
     judged = kinds.select("bucket", "content", "copies", F.col("line").alias("fl"), F.col("at").alias("fa")).join(
         found, ["bucket", "content"], "left"
     )
