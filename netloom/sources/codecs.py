@@ -13,7 +13,9 @@ import struct
 from collections.abc import Callable, Iterator
 from socket import AF_INET, AF_INET6, inet_ntop
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -121,6 +123,106 @@ def explode_payload(df: DataFrame, parse: Callable[..., list[tuple]], ddl: str,
     return df.mapInArrow(decode, StructType([*kept, *found]))
 
 
+class Payloads:
+    """The messages of a batch as one byte array, read column by column.
+
+    A decoder works on all messages at once: `number` reads the same field of many
+    places, and `reject` marks messages that cannot be read. The first reason
+    given for a message stays; its records are left out whole.
+    """
+
+    def __init__(self, column: pa.Array):
+        self.reasons = np.full(len(column), None, object)
+        self.reject(column.is_null().to_numpy(zero_copy_only=False), "message is missing")
+        whole = column.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+        data = whole.buffers()[2]
+        self.flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        self.starts, self.ends = offsets[:-1], offsets[1:]
+
+    def reject(self, which: np.ndarray, reason: str) -> None:
+        """Mark messages (a mask or places)."""
+        places = np.flatnonzero(which) if which.dtype == bool else which
+        places = places[[r is None for r in self.reasons[places]]] if len(places) else places
+        self.reasons[places] = reason
+
+    def good(self) -> np.ndarray:
+        return np.equal(self.reasons, None)
+
+    def headed(self, size: int) -> np.ndarray:
+        """Messages that hold a head of `size` bytes; others are rejected."""
+        self.reject(self.ends - self.starts < size, CUT_OFF)
+        return np.flatnonzero(self.good())
+
+    def bytes(self, at: np.ndarray, size: int) -> np.ndarray:
+        """`size` bytes from each place, one row each."""
+        return self.flat[at[:, None] + np.arange(size)] if len(at) else np.zeros((0, size), np.uint8)
+
+    def number(self, at: np.ndarray, size: int) -> np.ndarray:
+        """The unsigned number of `size` bytes at each place."""
+        return self.bytes(at, size).view(f">u{size}").ravel().astype(f"u{size}")
+
+    def stamps(self, which: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Stamps as longs; messages with one past them are rejected."""
+        self.reject(np.unique(which[values > MAX_LONG]), "stamp out of range")
+        return values.astype(np.int64)
+
+
+CUT_OFF = "message is cut off"
+SLICE_BYTES = 4_000_000  # Payload bytes that a task decodes at once.
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ragged lists of so many items: the list of each item, and its place in it."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _payload_slices(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
+    sizes = pc.binary_length(batch.column(name)).fill_null(0).to_numpy(zero_copy_only=False)
+    cuts = np.unique(np.cumsum(sizes) // SLICE_BYTES, return_index=True)[1].tolist()
+    for start, stop in zip(cuts, [*cuts[1:], batch.num_rows]):
+        yield batch.slice(start, stop - start)
+
+
+def explode_columns(df: DataFrame, decode: Callable[[Payloads], tuple], ddl: str, rejected: bool = False) -> DataFrame:
+    """Replace `payload` by the records that `decode` finds, or give the `rejected` messages with the reason.
+
+    `decode` returns the message of each record and the columns of `ddl`.
+    """
+    kept = [f for f in df.schema.fields if rejected or f.name != "payload"]
+    found = [StructField("reason", StringType())] if rejected else _parse_datatype_string(ddl).fields
+    types = [to_arrow_type(f.dataType) for f in found]
+    names = [f.name for f in (*kept, *found)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _payload_slices(batch, "payload"):
+                messages = Payloads(part.column("payload"))
+                origin, columns = decode(messages)
+                good = messages.good()
+                if rejected:
+                    origin = np.flatnonzero(~good)
+                    columns = [messages.reasons[origin].tolist()]
+                elif not good.all():
+                    stays = good[origin]
+                    origin = origin[stays]
+                    columns = [c.filter(pa.array(stays)) if isinstance(c, pa.Array) else c[stays] for c in columns]
+                index = pa.array(origin, pa.int64())
+                arrays = [part.column(f.name).take(index) for f in kept]
+                arrays += [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return df.mapInArrow(run, StructType([*kept, *found]))
+
+
+def _texts(addresses: np.ndarray, family: int) -> np.ndarray:
+    """Text of addresses given as rows of bytes; each distinct address is written once."""
+    raw = np.ascontiguousarray(addresses).view(np.dtype((np.void, addresses.shape[1]))).ravel().tolist()
+    known = {a: inet_ntop(family, a) for a in set(raw)}
+    return np.array([known[a] for a in raw], object)
+
+
 def _cut(number: int) -> int:
     """Unsigned 64-bit counts saturate in a long."""
     return min(number, MAX_LONG)
@@ -138,15 +240,15 @@ def _within(records: list[tuple], most: int | None) -> list[tuple]:
     return records
 
 
-# The flow message (configuration, clock) and its record: flags,
-# packets in/out, bytes in/out, ports local/remote, first in/out, last in/out.
-FLOW_HEAD = "!IQ"
-FLOW_RECORD = "!BIIQQHHQQQQ"
-# The record with its two addresses, by family.
-FLOW_FORMS = tuple(
-    (FLOW_RECORD + ends, struct.calcsize(FLOW_RECORD + ends), family)
-    for ends, family in (("4s4s", AF_INET), ("16s16s", AF_INET6))
+# The flow message (configuration, clock) and its record before the two addresses.
+FLOW_HEAD_BYTES = 12
+FLOW_COUNTS = ("count_in", "count_out", "size_in", "size_out")
+FLOW_TIMES = ("start_in", "start_out", "stop_in", "stop_out")
+FLOW_DTYPE = np.dtype(
+    [("flags", "u1"), ("count_in", ">u4"), ("count_out", ">u4"), ("size_in", ">u8"), ("size_out", ">u8")]
+    + [("port_local", ">u2"), ("port_remote", ">u2"), *[(c, ">u8") for c in FLOW_TIMES]]
 )
+FLOW_BYTES = FLOW_DTYPE.itemsize
 # Bits of the flags.
 FLOW_V6, FLOW_UDP = 1, 2
 FLOW_EVENTS = {"seen_start_in": 4, "seen_start_out": 8, "seen_end_in": 16, "seen_end_out": 32, "seen_rst": 64}
@@ -159,30 +261,54 @@ def decode_flows(df: DataFrame, conf_id: int | None = None, max_records: int | N
     fresh records, are rejected.
     """
 
-    def parse(payload: bytes) -> list[tuple]:
-        conf, clock = struct.unpack_from(FLOW_HEAD, payload)
-        if conf_id is not None and conf != conf_id:
-            raise ValueError("another configuration")
-        _stamp(clock)
-        at, oldest, records = struct.calcsize(FLOW_HEAD), clock - DAY_MS, []
-        while at < len(payload):
-            form, size, family = FLOW_FORMS[payload[at] & FLOW_V6]
-            flags, *numbers, local, remote = struct.unpack_from(form, payload, at)
-            at += size
-            _stamp(*numbers[4:])
-            numbers[:4] = map(_cut, numbers[:4])
-            record = (clock, flags, *numbers, inet_ntop(family, local), inet_ntop(family, remote))
-            if all(t == 0 or t >= oldest for t in record[8:12]):
-                records.append(record)
-        return _within(records, max_records)
-
-    if rejected:
-        return unreadable(df, parse)
-    raw = explode_payload(
-        df, parse,
+    def decode(messages: Payloads) -> tuple:
+        which = messages.headed(FLOW_HEAD_BYTES)
+        head = messages.starts[which]
+        if conf_id is not None:
+            messages.reject(which[messages.number(head, 4) != conf_id], "another configuration")
+        clock = np.zeros(len(messages.starts), np.int64)
+        clock[which] = messages.stamps(which, messages.number(head + 4, 8))
+        # All messages go on by one record a round; the flags of a record tell its length.
+        owner, places, at, active = [], [], head + FLOW_HEAD_BYTES, which
+        while len(active):
+            more = at < messages.ends[active]
+            at, active = at[more], active[more]
+            size = np.where(messages.flat[at] & FLOW_V6, FLOW_BYTES + 32, FLOW_BYTES + 8)
+            whole = at + size <= messages.ends[active]
+            messages.reject(active[~whole], CUT_OFF)
+            owner.append(active[whole])
+            places.append(at[whole])
+            at, active = (at + size)[whole], active[whole]
+        owner = np.concatenate([*owner, np.zeros(0, np.int64)])
+        places = np.concatenate([*places, np.zeros(0, np.int64)])
+        records = messages.bytes(places, FLOW_BYTES).view(FLOW_DTYPE).ravel()
+        times = [messages.stamps(owner, records[c].astype("u8")) for c in FLOW_TIMES]
+        oldest = clock[owner] - DAY_MS
+        fresh = np.logical_and.reduce([(t == 0) | (t >= oldest) for t in times])
+        if max_records is not None:
+            messages.reject(np.bincount(owner[fresh], minlength=len(messages.starts)) > max_records, "too many records")
+        order = np.flatnonzero(fresh)
+        order = order[np.argsort(owner[order], kind="stable")]
+        owner, places, records = owner[order], places[order], records[order]
+        v6 = (records["flags"] & FLOW_V6) != 0
+        texts = np.empty((2, len(order)), object)
+        for is_v6, length, family in ((False, 4, AF_INET), (True, 16, AF_INET6)):
+            own = np.flatnonzero(v6 == is_v6)
+            both = messages.bytes(places[own] + FLOW_BYTES, 2 * length)
+            texts[0, own], texts[1, own] = _texts(both[:, :length], family), _texts(both[:, length:], family)
+        counts = [np.minimum(records[c].astype("u8"), MAX_LONG).astype(np.int64) for c in FLOW_COUNTS]
+        ports = [records[c].astype(np.int32) for c in ("port_local", "port_remote")]
+        columns = [clock[owner], records["flags"].astype(np.int32), *counts, *ports, *[t[order] for t in times], texts[0], texts[1]]
+        return owner, columns
+
+    raw = explode_columns(
+        df, decode,
         "clock long, flags int, count_in long, count_out long, size_in long, size_out long, port_local int, port_remote int, "
         "t_start_in long, t_start_out long, t_stop_in long, t_stop_out long, ip_local string, ip_remote string",
+        rejected,
     )
+    if rejected:
+        return raw
     moment = lambda c: to_abs_time(F.col("received"), F.col("clock"), F.col(f"t_{c}")).alias(c)
     return raw.select(
         "client", "ip_local", "ip_remote", "port_local", "port_remote",
@@ -193,29 +319,54 @@ def decode_flows(df: DataFrame, conf_id: int | None = None, max_records: int | N
     )
 
 
-# The refused message (clock) and its record: time, reason, family, ports.
-REFUSED_HEAD = "!Q"
-REFUSED_RECORD = "!QcBHH"
+# The refused message starts with a clock; its record before the address.
+REFUSED_DTYPE = np.dtype([("time", ">u8"), ("reason", "u1"), ("family", "u1"), ("local", ">u2"), ("remote", ">u2")])
+REFUSED_BYTES = REFUSED_DTYPE.itemsize
 
 
 def decode_refused(df: DataFrame, max_records: int | None = None, rejected: bool = False) -> DataFrame:
     """Refused connections of messages (client, received, payload)."""
 
-    def parse(payload: bytes) -> list[tuple]:
-        reader = Reader(payload)
-        (clock,) = reader.fields(REFUSED_HEAD)
-        records = []
-        while reader.more():
-            time, reason, family, local, remote = reader.fields(REFUSED_RECORD)
-            address = reader.address(family != 4)
-            _stamp(clock, time)
-            if clock - time <= DAY_MS:
-                records.append((clock - time, address, local, remote, reason.decode("latin-1")))
-        return _within(records, max_records)
-
+    def decode(messages: Payloads) -> tuple:
+        which = messages.headed(8)
+        clock = np.zeros(len(messages.starts), np.int64)
+        owner, places, at, active = [], [], messages.starts[which] + 8, which
+        sent = messages.number(messages.starts[which], 8)
+        while len(active):
+            more = at < messages.ends[active]
+            at, active = at[more], active[more]
+            whole = at + REFUSED_BYTES <= messages.ends[active]
+            messages.reject(active[~whole], CUT_OFF)
+            at, active = at[whole], active[whole]
+            size = np.where(messages.flat[at + 9] == 4, 4, 16) + REFUSED_BYTES
+            whole = at + size <= messages.ends[active]
+            messages.reject(active[~whole], CUT_OFF)
+            owner.append(active[whole])
+            places.append(at[whole])
+            at, active = (at + size)[whole], active[whole]
+        owner = np.concatenate([*owner, np.zeros(0, np.int64)])
+        places = np.concatenate([*places, np.zeros(0, np.int64)])
+        # A message without records needs no clock.
+        used = np.bincount(owner, minlength=len(clock))[which] > 0
+        clock[which[used]] = messages.stamps(which[used], sent[used])
+        records = messages.bytes(places, REFUSED_BYTES).view(REFUSED_DTYPE).ravel()
+        age = clock[owner] - messages.stamps(owner, records["time"].astype("u8"))
+        order = np.flatnonzero(age <= DAY_MS)
+        order = order[np.argsort(owner[order], kind="stable")]
+        owner, places, records, age = owner[order], places[order], records[order], age[order]
+        if max_records is not None:
+            messages.reject(np.bincount(owner, minlength=len(clock)) > max_records, "too many records")
+        texts = np.empty(len(order), object)
+        v4 = records["family"] == 4
+        for is_v4, length, family in ((True, 4, AF_INET), (False, 16, AF_INET6)):
+            own = np.flatnonzero(v4 == is_v4)
+            texts[own] = _texts(messages.bytes(places[own] + REFUSED_BYTES, length), family)
+        reasons = np.array([chr(c) for c in range(256)], object)[records["reason"]]
+        return owner, [age, texts, records["local"].astype(np.int32), records["remote"].astype(np.int32), reasons]
+
+    raw = explode_columns(df, decode, "age long, address string, local_port int, remote_port int, reason string", rejected)
     if rejected:
-        return unreadable(df, parse)
-    raw = explode_payload(df, parse, "age long, address string, local_port int, remote_port int, reason string")
+        return raw
     return raw.select(
         "client", _ago("received", "age").alias("timestamp"),
         "address", "local_port", "remote_port", "reason",
@@ -329,20 +480,31 @@ def decode_certs(df: DataFrame, rejected: bool = False) -> DataFrame:
 WINDOW_NUMBERS, BUCKET_NUMBERS = 3, 5
 
 
-def _tuples(numbers, start: int, count: int, width: int) -> list[tuple]:
-    return [tuple(map(_cut, numbers[at : at + width])) for at in range(start, start + count * width, width)]
-
-
-def _bandwidth(payload: bytes) -> tuple[int, list[tuple], list[tuple]]:
-    """Stamp, windows and buckets of a whole message."""
-    numbers = struct.unpack(f"!{len(payload) // 8}Q", payload)
-    stamp, windows = numbers[:2]
-    _stamp(stamp)
-    after = 2 + WINDOW_NUMBERS * windows
-    buckets = numbers[after]
-    if len(numbers) != after + 1 + BUCKET_NUMBERS * buckets:
-        raise ValueError("message is cut off")
-    return stamp, _tuples(numbers, 2, windows, WINDOW_NUMBERS), _tuples(numbers, after + 1, buckets, BUCKET_NUMBERS)
+def _bandwidth(messages: Payloads) -> tuple[np.ndarray, ...]:
+    """Of the whole messages: place, start, stamp, windows, where the number of buckets stands, buckets."""
+    which = messages.headed(16)
+    start = messages.starts[which]
+    size = messages.ends[which] - start
+    numbers = (size // 8).astype(np.uint64)
+    stamp = messages.stamps(which, messages.number(start, 8))
+    windows = messages.number(start + 8, 8)
+    whole = (size % 8 == 0) & (windows < numbers)
+    after = 2 + WINDOW_NUMBERS * np.where(whole, windows, 0).astype(np.int64)
+    whole &= after < numbers.astype(np.int64)
+    buckets = messages.number(start + 8 * np.where(whole, after, 0), 8)
+    whole &= buckets < numbers
+    buckets = np.where(whole, buckets, 0).astype(np.int64)
+    whole &= after + 1 + BUCKET_NUMBERS * buckets == numbers.astype(np.int64)
+    messages.reject(which[~whole], CUT_OFF)
+    return tuple(c[whole] for c in (which, start, stamp, windows.astype(np.int64), after, buckets))
+
+
+def _lists(messages: Payloads, first: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Owner and columns of lists of `width` 64-bit numbers an item, which start at `first`."""
+    owner, place = _spread(counts)
+    at = first[owner] + 8 * width * place
+    most = np.uint64(MAX_LONG)
+    return owner, [np.minimum(messages.number(at + 8 * k, 8), most).astype(np.int64) for k in range(width)]
 
 
 def _current(df: DataFrame, last: Column | None) -> DataFrame:
@@ -353,38 +515,44 @@ def _current(df: DataFrame, last: Column | None) -> DataFrame:
 def decode_bandwidth(df: DataFrame, last: Column | None = None, rejected: bool = False) -> DataFrame:
     """Peak windows of bandwidth messages (client, payload); answers older than `last` go."""
 
-    def parse(payload: bytes) -> list[tuple]:
-        stamp, windows, _ = _bandwidth(payload)
-        return [(stamp, *window) for window in windows]
+    def decode(messages: Payloads) -> tuple:
+        which, start, stamp, windows, _, _ = _bandwidth(messages)
+        owner, columns = _lists(messages, start + 16, windows, WINDOW_NUMBERS)
+        return which[owner], [stamp[owner], *columns]
 
-    if rejected:
-        return unreadable(df, parse)
-    return _current(
-        explode_payload(df.select("client", "payload"), parse, "stamp long, win_len long, in_max long, out_max long"), last
-    )
+    ddl = "stamp long, win_len long, in_max long, out_max long"
+    raw = explode_columns(df if rejected else df.select("client", "payload"), decode, ddl, rejected)
+    return raw if rejected else _current(raw, last)
 
 
 def decode_bandwidth_buckets(df: DataFrame, last: Column | None = None, rejected: bool = False) -> DataFrame:
     """Speed buckets of bandwidth messages (client, payload)."""
 
-    def parse(payload: bytes) -> list[tuple]:
-        stamp, _, buckets = _bandwidth(payload)
-        return [(stamp, *bucket) for bucket in buckets]
+    def decode(messages: Payloads) -> tuple:
+        which, start, stamp, _, after, buckets = _bandwidth(messages)
+        owner, columns = _lists(messages, start + 8 * (after + 1), buckets, BUCKET_NUMBERS)
+        return which[owner], [stamp[owner], *columns]
 
-    if rejected:
-        return unreadable(df, parse)
     ddl = "stamp long, kbit long, in_time long, in_bytes long, out_time long, out_bytes long"
-    return _current(explode_payload(df.select("client", "payload"), parse, ddl), last)
+    raw = explode_columns(df if rejected else df.select("client", "payload"), decode, ddl, rejected)
+    return raw if rejected else _current(raw, last)
 
 
 # A count message is a 64-bit stamp, the number of interfaces,
 # three 32-bit numbers per interface, then pairs of packets and bytes. More than
 # 32 words of pairs are 64-bit numbers.
-COUNT_HEAD = "!QI"
 WIDE_COUNTS = 32
 CAPTURES = ("captured", "dropped", "dropped_driver")
 
 
+def _count_heads(messages: Payloads) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Messages with a head, their stamps, and where the interfaces end."""
+    which = messages.headed(12)
+    start = messages.starts[which]
+    stamp = messages.stamps(which, messages.number(start, 8))
+    return which, stamp, start + 12 + 12 * messages.number(start + 8, 4).astype(np.int64)
+
+
 def decode_counts(df: DataFrame, last: Column | None = None, rejected: bool = False) -> DataFrame:
     """Packet counters of count messages (client, payload): position, count and size.
 
@@ -392,33 +560,41 @@ def decode_counts(df: DataFrame, last: Column | None = None, rejected: bool = Fa
     the dimension of count types.
     """
 
-    def parse(payload: bytes) -> list[tuple]:
-        stamp, interfaces = struct.unpack_from(COUNT_HEAD, payload)
-        at = 12 + 12 * interfaces
-        words = (len(payload) - at) // 4
-        form = f"!{words // 2}Q" if words > WIDE_COUNTS else f"!{words}I"
-        numbers = struct.unpack_from(form, payload, at)
-        _stamp(stamp)
-        return [(stamp, i, _cut(numbers[2 * i]), _cut(numbers[2 * i + 1])) for i in range(len(numbers) // 2)]
-
-    if rejected:
-        return unreadable(df, parse)
-    return _current(
-        explode_payload(df.select("client", "payload"), parse, "stamp long, type int, count long, size long"), last
-    )
+    def decode(messages: Payloads) -> tuple:
+        which, stamp, at = _count_heads(messages)
+        words = (messages.ends[which] - at) // 4
+        messages.reject(which[words < 0], CUT_OFF)
+        which, stamp, at, words = (c[words >= 0] for c in (which, stamp, at, words))
+        width = np.where(words > WIDE_COUNTS, 8, 4)
+        owner, place = _spread(np.where(width == 8, words // 4, words // 2))
+        first = at[owner] + 2 * place * width[owner]
+        pairs = np.zeros((2, len(owner)), np.int64)
+        for size in (4, 8):
+            own = np.flatnonzero(width[owner] == size)
+            for k in range(2):
+                numbers = messages.number(first[own] + k * size, size).astype(np.uint64)
+                pairs[k, own] = np.minimum(numbers, np.uint64(MAX_LONG)).astype(np.int64)
+        return which[owner], [stamp[owner], place.astype(np.int32), pairs[0], pairs[1]]
+
+    raw = explode_columns(df if rejected else df.select("client", "payload"), decode, "stamp long, type int, count long, size long", rejected)
+    return raw if rejected else _current(raw, last)
 
 
 def decode_captures(df: DataFrame, last: Column | None = None, rejected: bool = False) -> DataFrame:
     """Capture statistics of count messages (client, payload) per interface."""
 
-    def parse(payload: bytes) -> list[tuple]:
-        stamp, interfaces = struct.unpack_from(COUNT_HEAD, payload)
-        _stamp(stamp)
-        numbers = struct.unpack_from(f"!{3 * interfaces}I", payload, 12)
-        return [(stamp, i, *numbers[3 * i : 3 * i + 3]) for i in range(interfaces)]
+    def decode(messages: Payloads) -> tuple:
+        which, stamp, at = _count_heads(messages)
+        whole = at <= messages.ends[which]
+        messages.reject(which[~whole], CUT_OFF)
+        which, stamp, at = which[whole], stamp[whole], at[whole]
+        owner, place = _spread((at - messages.starts[which] - 12) // 12)
+        first = messages.starts[which][owner] + 12 + 12 * place
+        numbers = [messages.number(first + 4 * k, 4).astype(np.int64) for k in range(len(CAPTURES))]
+        return which[owner], [stamp[owner], place.astype(np.int32), *numbers]
 
-    if rejected:
-        return unreadable(df, parse)
     ddl = "stamp long, interface int, " + ", ".join(f"{c} long" for c in CAPTURES)
-    rows = explode_payload(df.select("client", "payload"), parse, ddl)
+    rows = explode_columns(df if rejected else df.select("client", "payload"), decode, ddl, rejected)
+    if rejected:
+        return rows
     return _current(rows, last).withColumns({c: saturate(c, 31) for c in CAPTURES})

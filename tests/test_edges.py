@@ -1,5 +1,6 @@
 """Rules at their edges, on hand-made rows."""
 
+import random
 import struct
 from datetime import datetime, timedelta
 from types import SimpleNamespace
@@ -376,3 +377,26 @@ def test_credential_attempts(rows):
     assert ports(archive.credential_attempts(logs, target)) == [("", b""), ("b", b"\xff\x00"), ("old", b"p")]
     assert ports(archive.credential_attempts(logs, target.limit(0))) == [("", b""), ("a", b"p"), ("b", b"\xff\x00")]
     assert ports(archive.credential_attempts(logs, target, keep=False)) == [("old", b"p")]
+
+
+def test_good_and_rejected_messages_are_all(rows):
+    """Messages cut at every length, and of random bytes: each is decoded or rejected, never both, never lost."""
+    rnd = random.Random(9)
+    flow = struct.pack("!IQ", 7, 10**12) + struct.pack("!BIIQQHHQQQQ4s4s", 4, 1, 2, 3, 4, 5, 6, 10**12, 0, 0, 0, b"\1\2\3\4", b"\5\6\7\x08")
+    flow += struct.pack("!BIIQQHHQQQQ16s16s", 1, 1, 2, 2**64 - 1, 4, 5, 6, 0, 0, 0, 10**12, b"\0" * 15 + b"\1", b"\x20\1" + b"\0" * 14)
+    refused = struct.pack("!Q", 10**12) + struct.pack("!QcBHH4s", 10**12 - 5, b"P", 4, 1, 2, b"\1\2\3\4") + struct.pack("!QcBHH16s", 10**12, b"T", 6, 1, 2, b"\0" * 16)
+    band = struct.pack("!2Q3Q1Q5Q", 5, 1, 1, 2, 3, 1, 1, 2, 3, 4, 5)
+    counts = struct.pack("!QI3I4I", 5, 1, 1, 2, 3, 9, 8, 7, 6)
+    decoders = {
+        codecs.decode_flows: flow, codecs.decode_refused: refused, codecs.decode_bandwidth: band,
+        codecs.decode_bandwidth_buckets: band, codecs.decode_counts: counts, codecs.decode_captures: counts,
+    }
+    for decode, whole in decoders.items():
+        payloads = [None, whole, *[whole[:n] for n in range(len(whole))], *[rnd.randbytes(rnd.randint(0, 90)) for _ in range(60)]]
+        df = rows([(i, T0, p) for i, p in enumerate(payloads)], "client long, received timestamp_ntz, payload binary")
+        rejected = {r.client: r.reason for r in decode(df, rejected=True).collect()}
+        found = {r.client for r in decode(df).collect()}
+        assert rejected[0] == "message is missing" and 1 in found and not found & set(rejected)
+        assert all(rejected.values()) and len(rejected) > 20
+    got = codecs.decode_flows(rows([(1, T0, flow)], "client long, received timestamp_ntz, payload binary"))
+    assert values(got, "ip_local", "ip_remote", "size_in", "seen_start_in") == [("1.2.3.4", "5.6.7.8", 3, True), ("::1", "2001::", 2**63 - 1, False)]
