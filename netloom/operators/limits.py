@@ -51,52 +51,52 @@ CHUNK_REFILLS = 60
 class _Map:
     """Tokens after some messages as a function of the tokens before, on [0, full].
 
-    The function is piecewise: on the tokens up to (and with) `upto` of a piece,
-    and above that of the piece before, it is slope * tokens + shift, with slope
-    0 or 1. A message cuts the pieces whose values its cost divides, a refill
-    those that it fills up; equal neighbours join, so a filled bucket is one piece.
+    The function is piecewise. A piece ends at (and with) the tokens `upto`, and
+    its values go from `low` (not with it) to `high`: as fast as the tokens, or
+    not at all where they are equal. A message cuts the pieces whose values its
+    cost divides, a refill those that it fills up; equal neighbours join, so a
+    filled bucket is one piece.
     """
 
     def __init__(self, full, kind):
         self.full = full
-        self.upto, self.slope, self.shift = (np.array([x], kind) for x in (full, 1, 0))
-
-    def _cut(self, value) -> None:
-        """Cut pieces so that none has values on both sides of `value`."""
-        at = value - self.shift
-        below = np.append(-1, self.upto[:-1])
-        where = np.flatnonzero((self.slope == 1) & (below < at) & (at < self.upto))
-        if len(where):
-            self.upto = np.insert(self.upto, where, at[where])
-            self.slope = np.insert(self.slope, where, 1)
-            self.shift = np.insert(self.shift, where, self.shift[where])
-
-    def _join(self) -> None:
-        last = np.append((self.slope[1:] != self.slope[:-1]) | (self.shift[1:] != self.shift[:-1]), True)
-        if not last.all():
-            self.upto, self.slope, self.shift = self.upto[last], self.slope[last], self.shift[last]
+        self.upto, self.low, self.high = (np.array([x], kind) for x in (full, 0, full))
+
+    def _cut(self, value, above: np.ndarray) -> np.ndarray:
+        """Cut the pieces with values on both sides of `value`; `above` marks those that end above it."""
+        where = np.flatnonzero(above & (self.low < value))
+        if not len(where):
+            return above
+        self.upto = np.insert(self.upto, where, self.upto[where] - (self.high[where] - value))
+        self.high = np.insert(self.high, where, value)
+        self.low = np.insert(self.low, where + 1, value)
+        return self.high > value
 
     def refill(self, tokens) -> None:
-        self.shift = self.shift + tokens
-        self._cut(self.full)
-        over = self.slope * self.upto + self.shift > self.full
-        self.slope, self.shift = np.where(over, 0, self.slope), np.where(over, self.full, self.shift)
-        self._join()
+        self.low, self.high = self.low + tokens, self.high + tokens
+        over = self.high > self.full
+        if over.any():
+            self._cut(self.full, over)
+            self.low, self.high = np.minimum(self.low, self.full), np.minimum(self.high, self.full)
+            flat = self.low == self.high
+            last = np.append(~(flat[1:] & flat[:-1] & (self.high[1:] == self.high[:-1])), True)
+            self.upto, self.low, self.high = self.upto[last], self.low[last], self.high[last]
 
     def pay(self, cost) -> None:
-        self._cut(cost)
-        accepted = self.slope * self.upto + self.shift > cost
-        self.shift = np.where(accepted, self.shift - cost, self.shift)
-        self._join()
+        accepted = self.high > cost
+        if accepted.any():
+            accepted = self._cut(cost, accepted)
+            np.subtract(self.low, cost, out=self.low, where=accepted)
+            np.subtract(self.high, cost, out=self.high, where=accepted)
 
     def pieces(self) -> list[dict]:
-        columns = zip(self.upto.tolist(), self.slope.tolist(), self.shift.tolist())
-        return [{"upto": u, "slope": int(s), "shift": c} for u, s, c in columns]
+        columns = zip(self.upto.tolist(), self.low.tolist(), self.high.tolist())
+        return [{"upto": u, "low": a, "high": b} for u, a, b in columns]
 
 
 def _value(pieces: list[dict], tokens):
     piece = next(p for p in pieces if tokens <= p["upto"])
-    return piece["slope"] * tokens + piece["shift"]
+    return piece["high"] - (piece["upto"] - tokens if piece["low"] != piece["high"] else 0)
 
 
 def rate_limit(messages: DataFrame, inflow: int, interval_s: int, factor: int = CAPACITY_FACTOR, chunk_refills: int = CHUNK_REFILLS) -> DataFrame:
@@ -128,7 +128,7 @@ def rate_limit(messages: DataFrame, inflow: int, interval_s: int, factor: int =
         F.struct("client").alias("_k"), F.floor(micros("ts") / (interval_us * chunk_refills)).alias("_chunk")
     ).agg(F.sort_array(F.collect_list(message)).alias("rows"))
 
-    pieces = f"array<struct<upto: {number}, slope: int, shift: {number}>>"
+    pieces = f"array<struct<upto: {number}, low: {number}, high: {number}>>"
 
     @F.arrow_udf(pieces)
     def contract(ticks: pa.Array, costs: pa.Array) -> pa.Array:
@@ -142,7 +142,7 @@ def rate_limit(messages: DataFrame, inflow: int, interval_s: int, factor: int =
                 tokens.pay(cost)
             out.append(tokens.pieces())
         value = pa.int64() if whole else pa.float64()
-        return pa.array(out, pa.list_(pa.struct([("upto", value), ("slope", pa.int32()), ("shift", value)])))
+        return pa.array(out, pa.list_(pa.struct([("upto", value), ("low", value), ("high", value)])))
 
     @F.arrow_udf(f"array<{number}>")
     def walk(parts: pa.Array) -> pa.Array:
