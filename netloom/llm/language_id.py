@@ -18,6 +18,7 @@ UNDETERMINED = "und"
 DIMENSIONS = 1024
 GRAM = 3
 PER_LABEL = 400  # texts of each label that a profile learns from
+SURE = 0.1  # cosine from which a missing language is filled; unrelated vectors have a spread of 0.03
 MAX_LABELS = 1000
 SALTS = 64  # parts of a label whose first keys are chosen apart
 SCALE = 1 << 20  # profile sums are integers of this resolution, so their order does not matter
@@ -270,14 +271,19 @@ def language_report(df: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(df: DataFrame) -> DataFrame:
-    """Rows with a letter, whatever their cosine: that of a very short text is near the noise.
+def keep_identified(df: DataFrame, least: float = SURE) -> DataFrame:
+    """Rows with a letter; those without a language get the predicted one.
 
-    Without a labelled row nothing is learned, and all rows with a letter stay too.
+    A row stays whatever its cosine, since that of a very short text is near the
+    noise; a null language is filled only where the cosine is `least` or more, and
+    given languages are not changed. Rows whose text is null, empty or has no
+    letter go. Without a labelled row nothing is learned, and all rows with a
+    letter stay as they are. Repeated rows and null keys are rows like any other.
     """
     profiles = fit(df, where=~held_out())
     if not profiles.labels:
         return df.where(F.col("text").rlike(r"\p{L}"))
     names = free_name(df, "lang_pred"), free_name(df, "lang_score")
-    found = identify(df, profiles, name=names[0], score=names[1])
-    return found.where(F.col(names[0]) != UNDETERMINED).drop(*names)
+    found = identify(df, profiles, name=names[0], score=names[1]).where(F.col(names[0]) != UNDETERMINED)
+    filled = F.coalesce("lang", F.when(F.col(names[1]) >= least, F.col(names[0])))
+    return found.withColumn("lang", filled).drop(*names)

@@ -239,6 +239,18 @@ def test_short_and_unlabelled_texts_stay(spark, small):
     assert {r["doc_id"] for r in language_id.keep_identified(bare).collect()} == kept
 
 
+def test_missing_languages_are_filled(small):
+    """Labels taken from some rows come back by the text; labels that are there stay."""
+    known = small.where("lang IS NOT NULL AND length(text) > 200")
+    hidden = F.col("doc_id") % 5 == 0
+    df = known.withColumn("lang", F.when(~hidden, F.col("lang")))
+    got = {r["doc_id"]: r["lang"] for r in language_id.keep_identified(df).collect()}
+    want = {r["doc_id"]: (r["lang"], r["doc_id"] % 5 == 0) for r in known.collect()}
+    assert set(got) == set(want) and all(got[k] == lang for k, (lang, gone) in want.items() if not gone)
+    back = [got[k] == lang for k, (lang, gone) in want.items() if gone]
+    assert len(back) > 20 and sum(back) >= 0.9 * len(back)
+
+
 def test_profile_is_the_bundle_of_bound_vectors():
     space = language_id.Space(64, 3, 1)
     got = space.profile(["Ab, c"])[0]
