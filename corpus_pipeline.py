@@ -28,7 +28,7 @@ def stage(fn):
 
 @stage
 def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents whose language can be told; texts without letters go."""
+    """Documents with a letter; a missing language is filled with the predicted one."""
     return language_id.keep_identified(docs)
 
 
