@@ -20,6 +20,7 @@ LEAST_SHARED = {KEPT: 32, WIDE: 362}
 SLACK = 45  # values by which the overlap of two wide sketches can stay below its mean, likewise
 PERCENT = 80
 SLICE = 2_000_000  # bytes handled at once inside a task
+BEFORE = 8  # values before a list's own that a member carries, see `_first_meeting`
 FIRST_PIVOTS, MORE = 1, 4  # pivots of a list in the second round, and the factor of each further one
 
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
@@ -171,9 +172,15 @@ class _Candidates:
         return shared.select("line", "n", F.size("shared").alias("common"), "weight", prefix.alias("prefix"))
 
     def lists(self) -> DataFrame:
-        """(value, line, n, weight, room): room is how many common values stand at or after this one."""
-        at = self.live.select("line", "n", "weight", "common", F.posexplode("prefix").alias("at", "value"))
-        return at.select("value", "line", "n", "weight", (F.col("common") - F.col("at")).alias("room"))
+        """(value, line, n, weight, room, before) of the inverted lists.
+
+        room is how many common values stand at or after this one, before the few
+        right ahead of it.
+        """
+        at = self.live.select("line", "n", "weight", "common", "prefix", F.posexplode("prefix").alias("at", "value"))
+        length = F.least("at", F.lit(BEFORE))
+        before = F.slice("prefix", F.col("at") - length + 1, length)
+        return at.select("value", "line", "n", "weight", (F.col("common") - F.col("at")).alias("room"), before.alias("before"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (line, pivot) whose full sets have the similarity, as links (a, b)."""
@@ -201,6 +208,16 @@ def _possible() -> Column:
     return _alike("n", "pn") & (F.least("room", "pr") >= _overlap(x, y))
 
 
+def _first_meeting() -> Column:
+    """A member and a pivot of a list are not known to have met in an earlier list.
+
+    Near copies share most of their values, so they stand together in many lists.
+    They must be compared in that of their first common value only; one among the
+    values right ahead of this one shows that this is not it.
+    """
+    return ~F.arrays_overlap("before", "pb")
+
+
 def _feasible(lists: DataFrame) -> DataFrame:
     """Members that can be linked with some member of their list, by sizes and room."""
     ends = lists.groupBy("value").agg(
@@ -220,7 +237,8 @@ def _links(found: _Candidates) -> DataFrame:
     common values. A list whose members are then in one component is done. In
     any other, members outside its largest component are compared with all
     members of other components, more of them each round, until none is left:
-    every pair of a list is then compared or already in one component.
+    every pair is then compared in the list of its first common value or already
+    in one component.
     """
     lists = _feasible(found.lists())
     top = lists.groupBy("value").agg(
@@ -251,14 +269,14 @@ def _links(found: _Candidates) -> DataFrame:
             named.where("label <> main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots)
             .select(
                 "value", F.col("line").alias("pivot"), F.col("n").alias("pn"), F.col("room").alias("pr"),
-                F.col("label").alias("pl"),
+                F.col("label").alias("pl"), F.col("before").alias("pb"),
             )
         )
         chosen = written(chosen, "near-pivots")
-        pairs = named.join(chosen, "value").where((F.col("label") != F.col("pl")) & _possible())
+        pairs = named.join(chosen, "value").where((F.col("label") != F.col("pl")) & _possible() & _first_meeting())
         links = links.unionByName(found.verified(pairs.select("line", "pivot")))
         used = chosen.select("value", F.col("pivot").alias("line"))
-        open_ = named.select("value", "line", "n", "weight", "room").join(used, ["value", "line"], "left_anti")
+        open_ = named.select("value", "line", "n", "weight", "room", "before").join(used, ["value", "line"], "left_anti")
         pivots *= MORE
 
 
@@ -300,7 +318,7 @@ def group(
 
 def near_report(df: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    _, groups = group(df, width=width)
+    _, groups = group(df.select("doc_id", "text"), width=width)
     smallest = groups.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"))
     joined = groups.join(smallest, "label", "left")
     component = F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least"))
