@@ -102,20 +102,41 @@ def stream_snapshots(t):
     return run(t, stream, "snapshots", ["snapshot", "client"]).select("snapshot", "client", "id", "value")
 
 
-@query(
-    "t13_stream_hourly_buckets",
-    """SELECT date_trunc('hour', ts) AS timestamp, user_id AS client, CAST(event_id % 40 AS INTEGER) AS pos, COUNT(*) * 2 AS in_time, CAST(SUM(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS in_bytes,
-    COUNT(*) AS out_time, CAST(SUM(event_id) AS BIGINT) AS out_bytes FROM events GROUP BY 1, 2, 3""",
-)
-def stream_buckets(t):
-    partial = streamed(t)("events").select(
+BUCKET_KEYS = ["timestamp", "client", "pos"]
+SQL_HOURLY_BUCKETS = """SELECT date_trunc('hour', ts) AS timestamp, user_id AS client, CAST(event_id % 40 AS INTEGER) AS pos, COUNT(*) * 2 AS in_time, CAST(SUM(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS in_bytes,
+    COUNT(*) AS out_time, CAST(SUM(event_id) AS BIGINT) AS out_bytes FROM events GROUP BY 1, 2, 3"""
+
+
+def partial_buckets(events):
+    return events.select(
         hour_of("ts").alias("timestamp"), F.col("user_id").alias("client"), (F.col("event_id") % 40).cast("int").alias("pos"),
         F.lit(2).alias("in_time"), F.round(F.col("value") * 1000).cast("long").alias("in_bytes"),
         F.lit(1).alias("out_time"), F.col("event_id").alias("out_bytes"),
     )
+
+
+@query("t13_stream_hourly_buckets", SQL_HOURLY_BUCKETS)
+def stream_buckets(t):
     target = scratch_folder(t.spark, "buckets")
-    jobs.stream_hourly_buckets(partial, target, scratch_folder(t.spark, "buckets-state"))
-    return jobs.read_latest(t.spark, target, ["timestamp", "client", "pos"])
+    jobs.stream_hourly_buckets(partial_buckets(streamed(t)("events")), target, scratch_folder(t.spark, "buckets-state"))
+    return jobs.read_latest(t.spark, target, BUCKET_KEYS)
+
+
+@query("t13_compacted_buckets", SQL_HOURLY_BUCKETS)
+def compacted_buckets(t):
+    """Events arrive in four parts, by time; the stream takes up each and its folders are compacted after it."""
+    spark, source = t.spark, scratch_folder(t.spark, "arrivals")
+    target, state = scratch_folder(spark, "buckets"), scratch_folder(spark, "buckets-state")
+    span = t.sql("SELECT min(ts) AS low, max(ts) AS high FROM {events}").first()
+    cuts = [span.low + (span.high - span.low) * k / 4 for k in range(5)] if span.low else []
+    events = t("events").select("event_id", "user_id", "ts", "value")
+    for low, high in zip(cuts, cuts[1:]):
+        part = (F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) | (F.lit(high) == F.lit(span.high)))
+        events.where(part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        jobs.stream_hourly_buckets(partial_buckets(stream), target, state)
+        jobs.compact_batches(spark, target, BUCKET_KEYS, "timestamp", "2 hours")
+    return jobs.read_latest(spark, target, BUCKET_KEYS)
 
 
 @query(

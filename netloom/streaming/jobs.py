@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from netloom.functions.times import bin_start
 from netloom.operators import lan, packets
 from netloom.operators.ordering import latest
+from netloom.session import discard, stored
 
 # Late frames a peak window keeps, by window length in ms.
 KEPT_FRAMES = {500: 12, 1000: 6, 2000: 3, 5000: 2, 10000: 2}
@@ -77,9 +78,72 @@ def write_to_end(source: DataFrame, build: Callable[[DataFrame], DataFrame], col
         write_batches(stream, path, checkpoint, mode, each)
 
 
+def _numbers(spark: SparkSession, path: str, name: str, done: bool = False) -> list[int]:
+    """Numbers of the folders `name`=N below a path, ascending; with `done` only those whose job has ended."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*" + ("/_SUCCESS" if done else ""))
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    folders = [x.getPath().getParent() if done else x.getPath() for x in found]
+    return sorted(int(x.getName().split("=")[1]) for x in folders)
+
+
+def compact_batches(spark: SparkSession, path: str, keys, time: str, lateness: str) -> None:
+    """Merge the batch folders of an updated stream, so that `read_latest` reads few files.
+
+    Rows whose `time` is `lateness` behind the newest one can change no more: they
+    are appended once to `{path}-closed` and never read again here. The last states
+    of the others go to `{path}-open`, whose success mark completes a compaction;
+    what an ended attempt has left is deleted first. `lateness` is the one of the
+    stream's watermark, plus the length of its windows where `time` is their start.
+    The newest batch stays as it is, since a retry may replace it. Folders are deleted
+    one compaction after they were merged, so that readers can finish. One
+    compaction of a path runs at a time. Rows without a time stay open.
+    """
+    merged = _numbers(spark, f"{path}-open", "upto", done=True)
+    before = merged[-1] if merged else -1
+    upto = max([before, *_numbers(spark, path, "batch")[:-1]])
+    if upto == before:
+        return
+    for left in _numbers(spark, f"{path}-closed", "upto"):
+        if left > before:
+            discard(spark, f"{path}-closed/upto={left}")
+    rows = latest(_changing(spark, path, before).where(F.col("batch") <= upto), list(keys), "batch")
+    step, place = stored(rows.drop("batch"), "compacted")
+    edge = step.agg((F.max(time) - F.expr(f"INTERVAL {lateness}")).alias("_edge"))  # one row
+    marked = step.crossJoin(F.broadcast(edge)).withColumn("_closed", F.coalesce(F.col(time) < F.col("_edge"), F.lit(False)))
+    marked.where("_closed").drop("_edge", "_closed").write.parquet(f"{path}-closed/upto={upto}")
+    marked.where("NOT _closed").drop("_edge", "_closed").write.mode("overwrite").parquet(f"{path}-open/upto={upto}")
+    discard(spark, place)
+    for old in merged[:-1]:
+        discard(spark, f"{path}-open/upto={old}")
+    for batch in _numbers(spark, path, "batch"):
+        if batch <= before:
+            discard(spark, f"{path}/batch={batch}")
+
+
+def _changing(spark: SparkSession, path: str, before: int) -> DataFrame:
+    """Rows that may be updated, with `batch`: the open states up to a batch, and the batches after it."""
+    rows = spark.read.parquet(path).where(F.col("batch") > before)
+    if before < 0:
+        return rows
+    kept = spark.read.parquet(f"{path}-open/upto={before}")
+    return rows.unionByName(kept.withColumn("batch", F.lit(before)))
+
+
 def read_latest(spark: SparkSession, path: str, keys) -> DataFrame:
-    """Rows of a written stream; of a key that was updated, the last state."""
-    return latest(spark.read.parquet(path), list(keys), "batch").drop("batch")
+    """Rows of a written stream; of a key that was updated, the last state.
+
+    After `compact_batches` only open states and newer batches are compared; closed
+    rows are read as they are.
+    """
+    merged = _numbers(spark, f"{path}-open", "upto", done=True)
+    before = merged[-1] if merged else -1
+    rows = latest(_changing(spark, path, before), list(keys), "batch").drop("batch")
+    if before < 0:
+        return rows
+    closed = spark.read.option("basePath", f"{path}-closed").parquet(
+        *[f"{path}-closed/upto={n}" for n in _numbers(spark, f"{path}-closed", "upto", done=True) if n <= before]
+    )
+    return rows.unionByName(closed.select(*rows.columns))
 
 
 def timed(stream: DataFrame, column: str, lateness: str) -> DataFrame:

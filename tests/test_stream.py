@@ -151,3 +151,37 @@ def test_flow_sessions_close_after_a_silence(spark, tmp_path):
     jobs.write_batches(flows, str(tmp_path / "out"), str(tmp_path / "state"), "append")
     got = spark.read.parquet(str(tmp_path / "out")).where("client = 1").orderBy("start_in").collect()
     assert [(r.start_in, r.stop_in, r.count_in, r.size_in) for r in got] == [(at(0), at(160), 4, 40), (at(400), at(400), 1, 10)]
+
+
+def test_compaction_keeps_rows_and_bounds_files(spark, tmp_path):
+    """Totals per hour over many arrivals; after each, some hours are closed and some change again."""
+    ddl = "timestamp timestamp_ntz, client long, n long"
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rng, want, touched = random.Random(3), {}, []
+
+    def total():
+        return {(r.timestamp, r.client): r.n for r in jobs.read_latest(spark, out, keys).collect()}
+
+    keys = ["timestamp", "client"]
+    for step in range(6):
+        rows = [(T0 + timedelta(hours=step * 2 - rng.randrange(3)), k % 3, k) for k in range(20)]
+        for hour, client, n in rows:
+            want[hour, client] = want.get((hour, client), 0) + n
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.timed(spark.readStream.schema(ddl).parquet(source), "timestamp", "4 hours")
+        jobs.write_batches(stream.groupBy(*keys).agg(F.sum("n").alias("n")), out, state)
+        jobs.compact_batches(spark, out, keys, "timestamp", "4 hours")
+        touched.append(len([f for f in (tmp_path / "out").iterdir() if f.name.startswith("batch=")]))
+        assert total_of(total(), T0) == total_of(want, T0)
+    assert max(touched) <= 4 and touched[-1] <= touched[2]
+    # What an ended attempt has left behind does not count, and a second call changes nothing.
+    spark.createDataFrame([(T0, 0, 10**6)], ddl).write.parquet(f"{out}-closed/upto=999")
+    assert total_of(total(), T0) == total_of(want, T0)
+    jobs.compact_batches(spark, out, keys, "timestamp", "4 hours")
+    assert total_of(total(), T0) == total_of(want, T0)
+    assert list((tmp_path / "out-closed").glob("upto=*/*.parquet"))
+
+
+def total_of(totals, start):
+    """Totals by hours since `start`, whatever kind of time Spark gave back."""
+    return {(int((h.replace(tzinfo=None) - start).total_seconds()), c): n for (h, c), n in totals.items()}
