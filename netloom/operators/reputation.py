@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions.net import ip_net, p_public_ip
 
 DOCUMENT = "map<string,map<string,bigint>>"
+RAW = "map<string,map<string,string>>"
 KEYS = ["ip", "kind", "date"]
 
 
@@ -51,8 +52,47 @@ def to_json(docs: DataFrame) -> DataFrame:
     return docs.select("ip", F.to_json("data").alias("data"))
 
 
+def _readable(date, count):
+    return date.try_cast("date").isNotNull() & count.try_cast("bigint").isNotNull()
+
+
 def from_json(lines: DataFrame) -> DataFrame:
-    return lines.select("ip", F.from_json("data", DOCUMENT).alias("data"))
+    """Documents of JSON lines; entries without a date or a count are in `rejected_entries`."""
+
+    def days(kind, entries):
+        kept = F.map_filter(entries, _readable)
+        return F.transform_values(kept, lambda date, count: count.try_cast("bigint"))
+
+    return lines.select("ip", F.transform_values(F.from_json("data", RAW), days).alias("data"))
+
+
+def rejected_entries(lines: DataFrame) -> DataFrame:
+    """What `from_json` cannot read of JSON lines (ip, data): ip, raw and reason, in one pass.
+
+    A line without an address or a document, a kind without days, a date that is
+    none and a count that is no long are a row each.
+    """
+
+    def problem(raw, reason: str):
+        return F.struct(raw.cast("string").alias("raw"), F.lit(reason).alias("reason"))
+
+    def of_entry(kind, entry):
+        raw = F.concat_ws(" ", kind, entry["key"], entry["value"])
+        wrong = F.when(entry["key"].try_cast("date").isNull(), "unreadable date").otherwise("unreadable count")
+        return F.struct(raw.alias("raw"), wrong.alias("reason"))
+
+    def of_kind(kind):
+        bad = F.filter(F.map_entries(kind["value"]), lambda e: ~_readable(e["key"], e["value"]))
+        none = F.array(problem(kind["key"], "kind without days"))
+        return F.when(kind["value"].isNull(), none).otherwise(F.transform(bad, lambda e: of_entry(kind["key"], e)))
+
+    doc = F.from_json("data", RAW)
+    found = (
+        F.when(F.length(F.coalesce("ip", F.lit(""))) == 0, F.array(problem(F.col("data"), "no address")))
+        .when(doc.isNull(), F.array(problem(F.col("data"), "unreadable document")))
+        .otherwise(F.flatten(F.transform(F.map_entries(doc), of_kind)))
+    )
+    return lines.select("ip", F.inline(found))
 
 
 def exploded(docs: DataFrame) -> DataFrame:

@@ -108,6 +108,50 @@ def rejected_incidents(t):
     return tables.rejected_incidents(t.spark, path).select(number.alias("event_id"), "reason")
 
 
+@query(
+    "s07_rejected",
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'unreadable document' WHEN 1 THEN 'unreadable date' WHEN 2 THEN 'unreadable count' ELSE 'kind without days' END AS reason
+    FROM events WHERE event_id % 5 < 4""",
+)
+def rejected_reputation(t):
+    """Of five lines one is cut off, one has a bad date, one a bad count and one a kind without days."""
+    path = damaged_reputation(t)
+    number = F.substring_index("ip", ".", -1).cast("long")
+    return tables.rejected_reputation(t.spark, path).select(number.alias("event_id"), "reason")
+
+
+@query(
+    "s07_damaged_reputation",
+    """SELECT concat('a.', event_id) AS ip, 'scan' AS kind, DATE '2024-01-02' AS date, event_id AS cnt FROM events WHERE event_id % 5 > 0""",
+)
+def readable_reputation(t):
+    return reputation.exploded(tables.read_reputation(t.spark, damaged_reputation(t)))
+
+
+def damaged_reputation(t):
+    path = scratch_folder(t.spark, "damaged-reputation")
+    n = F.col("event_id")
+    ends = {0: "", 1: ',"2024-13-01":4}}', 2: ',"2024-01-03":"many"}}', 3: '},"probe":null}', 4: '},"probe":{}}'}
+    end = F.element_at(F.create_map(*[F.lit(x) for pair in ends.items() for x in pair]), (n % 5).cast("int"))
+    t("events").select(F.concat(F.lit("a."), n, F.lit('\t{"scan":{"2024-01-02":'), n, end).alias("value")).write.text(path)
+    return path
+
+
+@query("s08_rejected", "SELECT event_id, 'no address' AS reason FROM events WHERE event_id % 4 IN (1, 2)")
+def rejected_addresses(t):
+    text = t.sql(
+        """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '# none' WHEN 1 THEN 'host.example.org # name' WHEN 2 THEN '198.51.100.256' ELSE '2001:db8::1' END AS value FROM {events}"""
+    )
+    return tables.rejected_address_list(text).select("event_id", "reason")
+
+
+@query("s10_rejected", "SELECT concat('h', event_id) AS raw, 'no address' AS reason FROM events WHERE event_id % 3 = 0")
+def rejected_greylist(t):
+    path = scratch_folder(t.spark, "damaged-greylist")
+    t.sql("SELECT CASE WHEN event_id % 3 = 0 THEN concat('h', event_id) ELSE '198.51.100.7' END AS ip, user_id FROM {events}").write.option("header", True).csv(path)
+    return tables.rejected_greylist(t.spark, path)
+
+
 def damaged_rules(t):
     return t.sql(
         """SELECT event_id, concat('add s 198.51.100.', event_id % 250, CASE event_id % 6 WHEN 0 THEN ',tcp:99999999999' WHEN 1 THEN ',tcp:http' WHEN 2 THEN '/99'

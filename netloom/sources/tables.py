@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions.net import parse_set_item
-from netloom.operators.reputation import from_json, to_json
+from netloom.functions.net import ip_bin, parse_set_item
+from netloom.operators.reputation import from_json, rejected_entries, to_json
 from netloom.schemas import TABLES
 
 
@@ -69,10 +69,18 @@ def write_incidents(df: DataFrame, path: str) -> None:
     df.select("ip", "date", "cnt", "kind").write.mode("overwrite").csv(path)
 
 
+def _reputation_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("ip string, data string").option("sep", "\t").option("quote", "").csv(path)
+
+
 def read_reputation(spark: SparkSession, path: str) -> DataFrame:
-    """`ip<TAB>json` lines as documents."""
-    lines = spark.read.schema("ip string, data string").option("sep", "\t").option("quote", "").csv(path)
-    return from_json(lines)
+    """`ip<TAB>json` lines as documents; what cannot be read of them is in `rejected_reputation`."""
+    return from_json(_reputation_lines(spark, path).where("ip IS NOT NULL"))
+
+
+def rejected_reputation(spark: SparkSession, path: str) -> DataFrame:
+    """Lines and entries (ip, raw) that `read_reputation` leaves out, with the reason."""
+    return rejected_entries(_reputation_lines(spark, path))
 
 
 def write_reputation(docs: DataFrame, path: str) -> None:
@@ -83,10 +91,19 @@ def strip_comment(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"#.*", ""), F.lit(" \t\r"))
 
 
+def _listed(lines: DataFrame) -> DataFrame:
+    """Lines with `address`, their text without a comment; comments and blank lines go."""
+    return lines.withColumn("address", strip_comment(F.col("value"))).where(F.length("address") > 0)
+
+
 def parse_address_list(lines: DataFrame) -> DataFrame:
-    """Addresses in text lines (column value); comments and blank lines go."""
-    text = lines.select(strip_comment(F.col("value")).alias("address"))
-    return text.where(F.length("address") > 0).distinct()
+    """Addresses in text lines (column value); other text is in `rejected_address_list`."""
+    return _listed(lines).where(ip_bin("address").isNotNull()).select("address").distinct()
+
+
+def rejected_address_list(lines: DataFrame) -> DataFrame:
+    """Lines that `parse_address_list` leaves out, with the reason."""
+    return _listed(lines).where(ip_bin("address").isNull()).drop("address").withColumn("reason", F.lit("no address"))
 
 
 def read_address_list(spark: SparkSession, path: str) -> DataFrame:
@@ -124,12 +141,22 @@ def read_set_rules(spark: SparkSession, path: str) -> DataFrame:
     return parse_set_rules(spark.read.text(path))
 
 
-def read_greylist(spark: SparkSession, path: str) -> DataFrame:
-    """First column of a CSV with a header."""
+def _greylist_rows(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("header", True).csv(path)
     return rows.select(F.col(f"`{rows.columns[0]}`").alias("address"))
 
 
+def read_greylist(spark: SparkSession, path: str) -> DataFrame:
+    """Addresses in the first column of a CSV with a header; other columns are not read."""
+    return _greylist_rows(spark, path).where(ip_bin("address").isNotNull())
+
+
+def rejected_greylist(spark: SparkSession, path: str) -> DataFrame:
+    """First fields (raw) that `read_greylist` leaves out, with the reason."""
+    rows = _greylist_rows(spark, path).where(ip_bin("address").isNull())
+    return rows.select(F.col("address").alias("raw"), F.lit("no address").alias("reason"))
+
+
 # Columns of a local traffic line with their forms; counters have no default.
 LAN_TEXT = {"proto": r"^\w+$", "src": r"^[\w.:]+$", "dst": r"^[\w.:]+$", "port": r"^\w+$"}
 LAN_COUNTERS = ("d_count", "d_size", "d_dsize", "u_count", "u_size", "u_dsize")

@@ -78,3 +78,33 @@ def test_blacklist_file(spark, tmp_path):
 def test_every_schema_parses(spark):
     for ddl in schemas.TABLES.values():
         assert spark.createDataFrame([], ddl).columns
+
+
+def test_reputation_lines_are_read_or_rejected(spark, tmp_path):
+    lines = [
+        '198.51.100.1\t{"scan":{"2024-01-01":3,"x":1},"ssh":{"2024-01-02":"many","2024-01-03":4}}',
+        '198.51.100.2\t{"scan":5}',
+        "198.51.100.3\t[1]",
+        "198.51.100.4",
+        '\t{"scan":{"2024-01-01":3}}',
+        "198.51.100.5\t{}",
+        '198.51.100.6\t{"scan":{"2024-01-01":99999999999999999999}}',
+    ]
+    path = str(tmp_path / "r")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    good = {(r.ip, r.kind, str(r.date), r.cnt) for r in reputation.exploded(tables.read_reputation(spark, path)).collect()}
+    assert good == {("198.51.100.1", "scan", "2024-01-01", 3), ("198.51.100.1", "ssh", "2024-01-03", 4)}
+    bad = sorted((r.ip or "", r.reason) for r in tables.rejected_reputation(spark, path).collect())
+    assert ("198.51.100.1", "unreadable date") in bad and ("198.51.100.1", "unreadable count") in bad
+    assert [reason for ip, reason in bad if ip == ""] == ["no address"]
+    assert {ip[-1] for ip, _ in bad if ip} == set("12346")
+
+
+def test_address_lists_are_read_or_rejected(spark, tmp_path):
+    lines = ["198.51.100.1 # seen", "", "# none", "2001:db8::1", "host.example.org", "198.51.100.1"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert {r.address for r in tables.parse_address_list(df).collect()} == {"198.51.100.1", "2001:db8::1"}
+    assert [r.value for r in tables.rejected_address_list(df).collect()] == ["host.example.org"]
+    spark.createDataFrame([("198.51.100.1", 1), (None, 2), ("x", 3)], "ip string, n int").write.option("header", True).csv(str(tmp_path / "g"))
+    assert [r.address for r in tables.read_greylist(spark, str(tmp_path / "g")).collect()] == ["198.51.100.1"]
+    assert sorted(r.raw or "" for r in tables.rejected_greylist(spark, str(tmp_path / "g")).collect()) == ["", "x"]
