@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.predicates import p_trackable
@@ -153,33 +153,41 @@ def speed_histogram(packets: DataFrame, window_us: int = SPEED_WINDOW, unit: str
     sides = F.inline(F.array(*[
         F.struct(F.lit(side).alias("side"), F.col(f"{side}_bytes").alias("bytes")) for side in ("in", "out")
     ]))
-    filled = (
-        sums.select("timestamp", "client", sides)
+    cells = (
+        sums.select("timestamp", "client", "start", sides)
         .withColumn("pos", speed_bucket(F.expr(f"bytes div {seconds}")))
-        .where(F.col("pos").isNotNull())
         .groupBy("timestamp", "client", "pos", "side")
-        .agg((F.count(F.lit(1)) * seconds).alias("time"), F.sum("bytes").alias("bytes"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("start").alias("first"), F.max("start").alias("last"))
     )
-    span = sums.groupBy("client").agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    steps = F.sequence(trunc_to(unit, "first"), trunc_to(unit, "last"), F.expr(f"INTERVAL 1 {unit}"))
-    units = span.select("client", "first", "last", F.explode(steps).alias("timestamp"))
-    last_of_unit = micros(F.col("timestamp") + F.expr(f"INTERVAL 1 {unit}")) - window_us
-    windows = F.expr(f"(least(l, u) - greatest(f, t)) div {window_us} + 1")
-    expected = units.withColumns(
-        {"l": micros("last"), "u": last_of_unit, "f": micros("first"), "t": micros("timestamp")}
-    ).select("timestamp", "client", windows.alias("expected"))
-    present = sums.groupBy("timestamp", "client").agg(F.count(F.lit(1)).alias("present"))
-    empty = (
-        expected.join(present, ["timestamp", "client"], "left")
-        .withColumn("time", (F.col("expected") - F.coalesce("present", F.lit(0))) * seconds)
-        .where(F.col("time") > 0)
-        .select(
-            "timestamp", "client", F.lit(0).cast("int").alias("pos"),
-            F.explode(F.array(F.lit("in"), F.lit("out"))).alias("side"), "time", F.lit(0).cast("long").alias("bytes"),
-        )
+    # One row per client and unit with traffic; its list is bounded by the speed buckets.
+    cell = F.struct("pos", "side", (F.col("n") * seconds).alias("time"), "bytes")
+    units = cells.groupBy("timestamp", "client").agg(
+        F.collect_list(F.when(F.col("pos").isNotNull(), cell)).alias("cells"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+        F.sum(F.when(F.col("side") == "in", F.col("n")).otherwise(0)).alias("present"),
+    )
+    order, step = Window.partitionBy("client").orderBy("timestamp"), F.expr(f"INTERVAL 1 {unit}")
+    units = units.withColumns({"before": F.lag("timestamp").over(order), "after": F.lead("timestamp").over(order)})
+    # A unit stands for itself and the silent ones up to the next.
+    alone = F.col("after").isNull() | F.col("timestamp").isNull()
+    silent = F.sequence(F.col("timestamp"), F.col("after") - step, step)
+    units = units.withColumn("at", F.explode(F.when(alone, F.array("timestamp")).otherwise(silent)))
+    own = F.col("at").eqNullSafe(F.col("timestamp"))
+    begin = F.when(own & F.col("before").isNull(), micros("first")).otherwise(micros("at"))
+    end = F.when(own & F.col("after").isNull(), micros("last")).otherwise(micros(F.col("at") + step) - window_us)
+    units = units.withColumns({"begin": begin, "end": end, "own": own})
+    missing = F.expr(f"((end - begin) div {window_us} + 1 - IF(own, present, 0)) * {seconds}")
+    none = F.slice("cells", 1, 0)
+    lowest = F.array(*[
+        F.struct(F.lit(0).cast("int").alias("pos"), F.lit(side).alias("side"), F.col("missing").alias("time"), F.lit(0).cast("long").alias("bytes"))
+        for side in ("in", "out")
+    ])
+    filled = units.withColumn("missing", missing).select(
+        F.col("at").alias("timestamp"), "client",
+        F.inline(F.concat(F.when(F.col("own"), F.col("cells")).otherwise(none), F.when(F.col("missing") > 0, lowest).otherwise(none))),
     )
     amount = lambda side, c: F.sum(F.when(F.col("side") == side, F.col(c)).otherwise(0))
-    return filled.select(*empty.columns).unionByName(empty).groupBy("timestamp", "client", "pos").agg(
+    return filled.groupBy("timestamp", "client", "pos").agg(
         amount("in", "time").alias("in_time"), amount("in", "bytes").alias("in_bytes"),
         amount("out", "time").alias("out_time"), amount("out", "bytes").alias("out_bytes"),
     )
