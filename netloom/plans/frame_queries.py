@@ -62,6 +62,37 @@ def layers(t):
     return rows.select("id", F.size("layers").alias("layers"), outer["vlan"].alias("vlan"), outer["src"].alias("src"))
 
 
+@query(
+    "s24_rejected",
+    "SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'message is missing' ELSE 'link type is missing' END AS reason FROM events WHERE event_id % 5 = 0 OR event_id % 7 = 0",
+)
+def rejected_frames(t):
+    rows = frame(t).withColumns({
+        "frame": F.when(F.col("id") % 5 > 0, F.col("frame")), "datalink": F.when(F.col("id") % 7 > 0, F.col("datalink")),
+    })
+    return frames.decode_packets(rows, rejected=True).select("id", "reason")
+
+
+@query(
+    "s24_cut_frames",
+    f"""WITH {SQL_FRAMES}, o AS (SELECT *, 14 + CASE WHEN id % 3 = 0 THEN 8 ELSE 0 END AS link, id % 60 AS kept FROM f),
+    p AS (SELECT id, link, least(kept, length) AS kept, length - CASE app_protocol WHEN 'T' THEN 20 ELSE 8 END - id % 30 AS inner_end FROM o)
+    SELECT id, CAST(1 + CASE WHEN kept < link THEN 0 WHEN id % 7 > 0 OR kept < link + 20 THEN 1 ELSE 2 END AS INTEGER) AS layers,
+    CASE WHEN kept < link THEN 0 WHEN id % 7 = 0 AND kept >= link + 20 THEN kept - link - 20 ELSE CAST(kept - link AS BIGINT) END AS inner_length,
+    kept >= inner_end AS whole FROM p""",
+)
+def cut_frames(t):
+    """Frames cut at a length by event id: how deep they can be read."""
+    cut = frame(t).withColumn("frame", F.expr("substring(frame, 1, CAST(id % 60 AS INT))"))
+    inner = F.element_at("layers", -1)
+    depth = F.size("layers")
+    return frames.decode_packets(cut).select(
+        "id", depth.alias("layers"),
+        F.when(depth == 1, F.lit(0).cast("long")).otherwise(inner["length"]).alias("inner_length"),
+        (inner["src"].contains("168") | inner["dst"].contains("168")).alias("whole"),
+    ).withColumn("whole", F.coalesce("whole", F.lit(False)))
+
+
 @query(
     "s25_decode_icmp_nak",
     """SELECT user_id AS client, event_id AS id, concat('203.0.113.', event_id % 50) AS address, CAST(40000 + user_id AS INTEGER) AS local_port, CAST(event_id % 1000 AS INTEGER) AS remote_port,
@@ -69,15 +100,28 @@ def layers(t):
     FROM events WHERE event_id % 4 > 0 AND event_id % 15 <> 4""",
 )
 def naks(t):
+    return frames.decode_icmp_nak(icmp_bodies(t))
+
+
+def icmp_bodies(t):
+    """Unreachable messages by event id; every fourth quotes a UDP packet."""
     ports = F.concat(be(40000 + uid(), 2), be(eid() % 1000, 2), be(0, 4))
-    # Every fourth message quotes a UDP packet.
     protocol = F.when(eid() % 4 == 0, 17).otherwise(6)
     quote = F.concat(
         be(0x45, 1), be(0, 3), be(0, 4), be(64, 1), be(protocol, 1), be(0, 2), v4(192, 168, 1, 1), v4(203, 0, 113, eid() % 50), ports
     )
     body = F.concat(be(3, 1), be(eid() % 15, 1), be(0, 6), quote)
-    rows = t("events").select(uid().alias("client"), eid().alias("id"), F.lit("i").alias("app_protocol"), body.alias("body"))
-    return frames.decode_icmp_nak(rows)
+    return t("events").select(uid().alias("client"), eid().alias("id"), F.lit("i").alias("app_protocol"), body.alias("body"))
+
+
+@query(
+    "s25_rejected",
+    """SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN 'message is cut off' WHEN event_id % 4 = 0 THEN 'quoted packet is not TCP' ELSE 'code is no refusal' END AS reason
+    FROM events WHERE event_id % 11 = 0 OR event_id % 4 = 0 OR event_id % 15 = 4""",
+)
+def rejected_naks(t):
+    cut = F.when(F.col("id") % 11 == 0, F.expr("substring(body, 1, 5)")).otherwise(F.col("body"))
+    return frames.decode_icmp_nak(icmp_bodies(t).withColumn("body", cut), rejected=True).select("id", "reason")
 
 
 @query(

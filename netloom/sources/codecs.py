@@ -185,32 +185,44 @@ def _payload_slices(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch
         yield batch.slice(start, stop - start)
 
 
-def explode_columns(df: DataFrame, decode: Callable[[Payloads], tuple], ddl: str, rejected: bool = False) -> DataFrame:
-    """Replace `payload` by the records that `decode` finds, or give the `rejected` messages with the reason.
-
-    `decode` returns the message of each record and the columns of `ddl`.
+def explode_columns(
+    df: DataFrame, decode: Callable[..., tuple], ddl: str, rejected: bool | None = False, inputs=("payload",)
+) -> DataFrame:
+    """Replace the `inputs` by the records that `decode` finds, or give the `rejected` rows with the reason.
+
+    `decode` takes the messages of the first input and the columns of the others; it returns
+    the message of each record and the columns of `ddl`. With `rejected` None all rows come
+    out as they are, with the records beside them, or else the `problem`.
     """
-    kept = [f for f in df.schema.fields if rejected or f.name != "payload"]
+    tagged = rejected is None
+    kept = [f for f in df.schema.fields if tagged or rejected or f.name not in inputs]
     found = [StructField("reason", StringType())] if rejected else _parse_datatype_string(ddl).fields
+    found += [StructField("problem", StringType())] if tagged else []
     types = [to_arrow_type(f.dataType) for f in found]
     names = [f.name for f in (*kept, *found)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _payload_slices(batch, "payload"):
-                messages = Payloads(part.column("payload"))
-                origin, columns = decode(messages)
+            for part in _payload_slices(batch, inputs[0]):
+                messages = Payloads(part.column(inputs[0]))
+                origin, columns = decode(messages, *[part.column(c) for c in inputs[1:]])
                 good = messages.good()
+                bad = np.flatnonzero(~good)
                 if rejected:
-                    origin = np.flatnonzero(~good)
+                    origin = bad
                     columns = [messages.reasons[origin].tolist()]
                 elif not good.all():
                     stays = good[origin]
                     origin = origin[stays]
                     columns = [c.filter(pa.array(stays)) if isinstance(c, pa.Array) else c[stays] for c in columns]
+                arrays = [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)]
+                if tagged:
+                    read = len(origin)
+                    origin = np.concatenate([origin, bad])
+                    arrays = [pa.concat_arrays([a, pa.nulls(len(bad), a.type)]) for a in arrays]
+                    arrays.append(pa.array([None] * read + messages.reasons[bad].tolist(), pa.string()))
                 index = pa.array(origin, pa.int64())
-                arrays = [part.column(f.name).take(index) for f in kept]
-                arrays += [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)]
+                arrays = [*[part.column(f.name).take(index) for f in kept], *arrays]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return df.mapInArrow(run, StructType([*kept, *found]))
