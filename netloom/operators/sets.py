@@ -44,13 +44,15 @@ def set_content(log: DataFrame, name: str | None = None) -> DataFrame:
 def set_diff(current: DataFrame, wanted: DataFrame, epoch: Column, version: Column, keep: DataFrame | None = None) -> DataFrame:
     """Change log that turns `current` into `wanted` (columns store, address).
 
-    Addresses in `keep` (still seen on the firewalls) are not removed.
+    Addresses in `keep` (still seen on the firewalls) are not removed. Both sides
+    meet in one aggregate, so each is read once.
     """
-    add = wanted.distinct().join(current, ADDRESS, "left_anti").withColumn("is_add", F.lit(True))
-    drop = current.join(wanted, ADDRESS, "left_anti")
+    sides = wanted.select(*ADDRESS, F.lit(True).alias("wanted")).unionByName(current.select(*ADDRESS, F.lit(False).alias("wanted")))
+    changed = sides.groupBy(*ADDRESS).agg(F.min("wanted").alias("only_wanted"), F.max("wanted").alias("is_add"))
+    changes = changed.where(F.col("only_wanted") == F.col("is_add"))
     if keep is not None:
-        drop = drop.join(keep.select("address"), "address", "left_anti")
-    changes = add.unionByName(drop.withColumn("is_add", F.lit(False)))
+        kept = keep.select("address", F.lit(False).alias("is_add"))
+        changes = changes.join(kept, ["address", "is_add"], "left_anti")
     return changes.select("store", epoch.alias("epoch"), version.alias("version"), "is_add", "address")
 
 

@@ -38,16 +38,45 @@ def broken_members(t):
     )
 
 
-@query("s02_sound_tables", "SELECT 'x' AS rule, 'x' AS key WHERE FALSE")
-def sound(t):
-    """The produced archives satisfy their own rules."""
-    counted = groups.counts_by_group(t("t_counts"), t("t_members"))
-    refused = groups.refused_by_addr(t("t_refused"))
+# The archives of counts and refusals, and the rules that they break.
+SQL_ARCHIVES = """c AS (SELECT k.timestamp, m.in_group, k.type, MIN(k.count) AS count_min, AVG(k.count) AS count_avg, MAX(k.count) AS count_max,
+  MIN(k.size) AS size_min, AVG(k.size) AS size_avg, MAX(k.size) AS size_max FROM t_counts k JOIN t_members m ON m.client = k.client GROUP BY 1, 2, 3),
+ a AS (SELECT address, remote_port, reason, date_trunc('hour', timestamp) AS since, COUNT(*) AS conn_count, COUNT(DISTINCT client) AS client_count FROM t_refused GROUP BY 1, 2, 3, 4)"""
+SQL_BROKEN = """SELECT 'count_spread' AS rule, concat_ws('/', timestamp, in_group, type) AS key FROM {counted} WHERE NOT (count_min <= count_avg AND count_avg <= count_max)
+ UNION ALL SELECT 'size_spread', concat_ws('/', timestamp, in_group, type) FROM {counted} WHERE NOT (size_min <= size_avg AND size_avg <= size_max)
+ UNION ALL SELECT 'clients', concat_ws('/', address, remote_port, since) FROM {refused} WHERE client_count > conn_count"""
+
+
+def _archives(t):
+    return groups.counts_by_group(t("t_counts"), t("t_members")), groups.refused_by_addr(t("t_refused"))
+
+
+def _violations(counted, refused):
     return constraints.check_constraints(counted, "count_stats", key=("timestamp", "in_group", "type")).unionByName(
         constraints.check_constraints(refused, "refused_addrs", key=("address", "remote_port", "since"))
     )
 
 
+@query("s02_sound_tables", f"WITH {SQL_ARCHIVES} {SQL_BROKEN.format(counted='c', refused='a')}")
+def sound(t):
+    """The produced archives satisfy their own rules."""
+    return _violations(*_archives(t))
+
+
+@query(
+    "s02_damaged_tables",
+    f"""WITH {SQL_ARCHIVES}, dc AS (SELECT * REPLACE (CASE WHEN type = 1 THEN count_min - 1 ELSE count_max END AS count_max) FROM c),
+    da AS (SELECT * REPLACE (CASE WHEN remote_port = 22 THEN client_count + 1 ELSE client_count END AS client_count) FROM a)
+    {SQL_BROKEN.format(counted='dc', refused='da')}""",
+)
+def damaged_archives(t):
+    """The same archives with a wrong maximum and a client too many."""
+    counted, refused = _archives(t)
+    most = F.when(F.col("type") == 1, F.col("count_min") - 1).otherwise(F.col("count_max"))
+    clients = F.when(F.col("remote_port") == 22, F.col("client_count") + 1).otherwise(F.col("client_count"))
+    return _violations(counted.withColumn("count_max", most), refused.withColumn("client_count", clients))
+
+
 @query("t10_incremental", "SELECT * FROM t_refused WHERE timestamp > (SELECT MAX(timestamp) FROM t_refused WHERE timestamp < TIMESTAMP '2024-01-20')")
 def newer(t):
     source = t("t_refused")
