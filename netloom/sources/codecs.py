@@ -1,15 +1,14 @@
 """Bulk decoding of probe messages from a table of binary payloads.
 
 A landing table has one message per row (client, received, payload, ...). Each
-decoder turns it into one row per record, in Arrow batches, one payload at a
-time and with no state between payloads: a narrow job without a shuffle. A
+decoder turns it into one row per record, in Arrow batches, all payloads of a
+slice at once and with no state between payloads: a narrow job without a shuffle. A
 message that cannot be read is left out whole; the same call with
 `rejected=True` returns those messages, unchanged, with the reason.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator
 from socket import AF_INET, AF_INET6, inet_ntop
 
@@ -26,101 +25,6 @@ from netloom.functions.times import to_abs_time
 
 DAY_MS = 86_400_000  # Fixed value: records older than this are dropped.
 MAX_LONG = 2**63 - 1
-BATCH_RECORDS = 20_000  # Records a task holds before it passes them on.
-
-
-class Reader:
-    """Cursor over one payload (network byte order)."""
-
-    def __init__(self, payload: bytes):
-        self.data, self.at = payload, 0
-
-    def fields(self, form: str) -> tuple:
-        values = struct.unpack_from(form, self.data, self.at)
-        self.at += struct.calcsize(form)
-        return values
-
-    def take(self, size: int) -> bytes:
-        if self.at + size > len(self.data):
-            raise struct.error("message is cut off")
-        self.at += size
-        return self.data[self.at - size : self.at]
-
-    def text(self) -> bytes:
-        """A string with its length in front."""
-        return self.take(self.fields(LENGTH)[0])
-
-    def address(self, v6: bool) -> str:
-        return inet_ntop(AF_INET6, self.take(16)) if v6 else inet_ntop(AF_INET, self.take(4))
-
-    def more(self) -> bool:
-        return self.at < len(self.data)
-
-
-LENGTH = "!L"
-
-
-# What a parser raises for a message that it cannot read.
-UNREADABLE = (struct.error, IndexError, ValueError)
-
-
-def _read(parse: Callable[..., list[tuple]], values) -> list[tuple]:
-    plain = [v.as_py() for v in values]
-    if any(v is None for v in plain):
-        raise ValueError("message is missing")
-    return parse(*plain)
-
-
-def unreadable(df: DataFrame, parse: Callable[..., list[tuple]], inputs=("payload",)) -> DataFrame:
-    """The rows whose message `parse` cannot read, with the `reason`."""
-    schema = StructType([*df.schema.fields, StructField("reason", StringType())])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad, reasons = [], []
-            for i, values in enumerate(zip(*[batch.column(c) for c in inputs])):
-                try:
-                    _read(parse, values)
-                except UNREADABLE as error:
-                    bad.append(i)
-                    reasons.append(str(error))
-            rows = batch.take(pa.array(bad, pa.int64()))
-            columns = [*rows.columns, pa.array(reasons, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "reason"])
-
-    return df.mapInArrow(check, schema)
-
-
-def explode_payload(df: DataFrame, parse: Callable[..., list[tuple]], ddl: str, inputs=("payload",)) -> DataFrame:
-    """Replace the `inputs` columns by the records `parse` finds in them."""
-    kept = [f for f in df.schema.fields if f.name not in inputs]
-    found = _parse_datatype_string(ddl).fields
-    types = [to_arrow_type(f.dataType) for f in found]
-    names = [f.name for f in (*kept, *found)]
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, origin = [], []
-
-            def packed() -> pa.RecordBatch:
-                index = pa.array(origin, pa.int64())
-                columns = [batch.column(f.name).take(index) for f in kept]
-                columns += [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
-                return pa.RecordBatch.from_arrays(columns, names=names)
-
-            for i, values in enumerate(zip(*[batch.column(c) for c in inputs])):
-                try:
-                    records = _read(parse, values)
-                except UNREADABLE:
-                    continue  # see `unreadable`
-                rows += records
-                origin += [i] * len(records)
-                if len(rows) >= BATCH_RECORDS:
-                    yield packed()
-                    rows, origin = [], []
-            yield packed()
-
-    return df.mapInArrow(decode, StructType([*kept, *found]))
 
 
 class Payloads:
@@ -235,21 +139,109 @@ def _texts(addresses: np.ndarray, family: int) -> np.ndarray:
     return np.array([known[a] for a in raw], object)
 
 
-def _cut(number: int) -> int:
-    """Unsigned 64-bit counts saturate in a long."""
-    return min(number, MAX_LONG)
+# Writers of an end by its width in bytes.
+END_TEXT = {6: lambda raw: raw.hex(":"), 4: lambda raw: inet_ntop(AF_INET, raw), 16: lambda raw: inet_ntop(AF_INET6, raw)}
+NO_PLACE = -1
+
+
+def end_texts(messages: Payloads, places: np.ndarray, widths: np.ndarray) -> pa.Array:
+    """Texts of the ends at the places, NULL for no place; each distinct end is written once."""
+    texts, row, filled = [pa.array([], pa.string())], np.zeros(len(places), np.int64), 0
+    known = places != NO_PLACE
+    for width, write in END_TEXT.items():
+        own = np.flatnonzero(known & (widths == width))
+        raw = np.ascontiguousarray(messages.bytes(places[own], width))
+        ends = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(own), [None, pa.py_buffer(raw)])
+        distinct = ends.dictionary_encode()
+        written = pa.array([write(e) for e in distinct.dictionary.to_pylist()], pa.string())
+        texts.append(written.take(distinct.indices))
+        row[own] = filled + np.arange(len(own))
+        filled += len(own)
+    return pa.concat_arrays(texts).take(pa.array(row, mask=~known))
 
 
-def _stamp(*numbers: int) -> None:
-    """Stamps and clocks that are no longs make a message unreadable."""
-    if max(numbers) > MAX_LONG:
-        raise ValueError("stamp out of range")
+def byte_strings(messages: Payloads, places: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The byte strings of so many bytes at the places, NULL for no place."""
+    known = places != NO_PLACE
+    lengths = np.where(known, lengths, 0)
+    owner, place = _spread(lengths)
+    data = messages.flat[places[owner] + place]
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    parts = [pa.py_buffer(np.packbits(known, bitorder="little")), pa.py_buffer(offsets), pa.py_buffer(data)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places), parts).cast(pa.binary())
 
 
-def _within(records: list[tuple], most: int | None) -> list[tuple]:
-    if most is not None and len(records) > most:
-        raise ValueError("too many records")
-    return records
+def _replaced(raw: pa.Array) -> pa.Array:
+    """Byte strings as texts; what is no UTF-8 is replaced."""
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if v is None else v.decode("utf-8", "replace") for v in raw.to_pylist()], pa.string())
+
+
+class Cursors:
+    """A place in each message of a slice, for records of variable length.
+
+    All messages read the same field at once. A message that ends before is
+    rejected and takes no further part.
+    """
+
+    def __init__(self, messages: Payloads):
+        self.messages, self.at, self.live = messages, messages.starts.copy(), messages.good()
+
+    def reject(self, which: np.ndarray, reason: str) -> None:
+        self.messages.reject(which, reason)
+        self.live[which] = False
+
+    def alive(self, which: np.ndarray) -> np.ndarray:
+        return which[self.live[which]]
+
+    def take(self, which: np.ndarray, size) -> tuple[np.ndarray, np.ndarray]:
+        """Of the messages, those with `size` more bytes, and where these start."""
+        after = self.at[which] + size
+        whole = after <= self.messages.ends[which]
+        self.reject(which[~whole], CUT_OFF)
+        which, after = which[whole], after[whole]
+        start, self.at[which] = self.at[which], after
+        return which, start
+
+    def text(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the messages, those with a whole string, where it starts and its length, which stands in front."""
+        which, start = self.take(which, LENGTH_BYTES)
+        length = self.messages.number(start, LENGTH_BYTES).astype(np.int64)
+        read, start = self.take(which, length)
+        return read, start, length[self.live[which]]
+
+
+LENGTH_BYTES = 4
+
+
+class Records:
+    """Fields of one record in each message, kept when the record is whole."""
+
+    def __init__(self, messages: Payloads, *names: str):
+        self.now = {c: np.full(len(messages.starts), NO_PLACE) for c in names}
+        self.owners, self.kept = [], {c: [] for c in names}
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.now[name]
+
+    def keep(self, which: np.ndarray) -> None:
+        """Keep the records of these messages and start anew."""
+        self.owners.append(which)
+        for name, values in self.now.items():
+            self.kept[name].append(values[which])
+
+    def clear(self, *names: str) -> None:
+        for name in names:
+            self.now[name][:] = NO_PLACE
+
+    def gathered(self) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Message and fields of all records, in the order of the messages."""
+        none = [np.zeros(0, np.int64)]
+        owner = np.concatenate([*self.owners, *none])
+        order = np.argsort(owner, kind="stable")
+        return owner[order], {c: np.concatenate([*kept, *none])[order] for c, kept in self.kept.items()}
 
 
 # The flow message (configuration, clock) and its record before the two addresses.
@@ -390,45 +382,77 @@ def _ago(received: str, age_ms: str) -> Column:
     return F.col(received) - F.make_dt_interval(secs=(F.col(age_ms) / 1000).cast("decimal(18,6)"))
 
 
-# Honeypot record heads by protocol version, event and detail names.
-FAKE_HEADS = {1: "!IBBBc", 2: "!IBBBcH"}
+# A honeypot record is age (4 bytes), event, family, number of details, code,
+# from version 2 on a port (2 bytes), then the ends; event and detail names.
+FAKE_HEAD_BYTES = {1: 8, 2: 10}
 FAKE_EVENTS = ("connect", "disconnect", "lost", "extra", "timeout", "login")
 FAKE_DETAILS = ("name", "password", "reason", "method", "uri", "host")
+FAKE_V6 = 1
+
+
+def _fake_logs(messages: Payloads, version: int, logins_only: bool, max_bytes: int | None) -> tuple[np.ndarray, list]:
+    details = range(len(FAKE_DETAILS))
+    ends = [f"{k}_at" for k in details] + [f"{k}_bytes" for k in details]
+    rows = Records(messages, "head", "width", "remote", "local", *ends)
+    if max_bytes is not None:
+        messages.reject(messages.ends - messages.starts > 3 * max_bytes, "message is too long")
+    cursors = Cursors(messages)
+    kinds, left = np.zeros((2, len(messages.starts)), np.int64)
+    active = np.flatnonzero(cursors.live)
+    while True:
+        active = active[cursors.at[active] < messages.ends[active]]
+        if not len(active):
+            break
+        rows.clear("local", *ends)
+        active, head = cursors.take(active, FAKE_HEAD_BYTES[min(version, 2)])
+        rows["head"][active] = head
+        rows["width"][active] = np.where(messages.flat[head + 5] == FAKE_V6, 16, 4)
+        left[active] = messages.flat[head + 6]
+        for end in ("remote", "local")[: 1 if version < 2 else 2]:
+            active, start = cursors.take(active, rows["width"][active])
+            rows[end][active] = start
+        reading = active[left[active] > 0]
+        while len(reading):
+            reading, start = cursors.take(reading, 1)
+            kinds[reading] = messages.flat[start]
+            reading, start, length = cursors.text(reading)
+            for k in details:
+                own = kinds[reading] == k
+                rows[f"{k}_at"][reading[own]], rows[f"{k}_bytes"][reading[own]] = start[own], length[own]
+            left[reading] -= 1
+            reading = reading[left[reading] > 0]
+        active = cursors.alive(active)
+        event = messages.flat[rows["head"][active] + 4]
+        cursors.reject(active[event >= len(FAKE_EVENTS)], "unknown event")
+        wanted = cursors.live[active]
+        if logins_only:
+            wanted &= event == FAKE_EVENTS.index("login")
+        rows.keep(active[wanted])
+        active = cursors.alive(active)
+    owner, found = rows.gathered()
+    head = found["head"]
+    ports = pa.array(messages.number(head + 8, 2), pa.int32()) if version > 1 else pa.nulls(len(head), pa.int32())
+    codes = pa.array([chr(c) for c in range(256)]).take(pa.array(messages.flat[head + 7]))
+    events = pa.array([*FAKE_EVENTS, *[None] * (256 - len(FAKE_EVENTS))]).take(pa.array(messages.flat[head + 4]))
+    addresses = [end_texts(messages, found[c], found["width"]) for c in ("remote", "local")]
+    texts = [byte_strings(messages, found[f"{k}_at"], found[f"{k}_bytes"]) for k in details]
+    return owner, [messages.number(head, 4).astype(np.int64), events, *addresses, ports, codes, *texts]
 
 
 def decode_fake_logs(df: DataFrame, version: int = 2, servers: DataFrame | None = None, logins_only: bool = True, max_bytes: int | None = None, rejected: bool = False) -> DataFrame:
     """Honeypot events of messages (client, received, payload).
 
     Version 1 messages hold no port and no local address. Messages longer than
-    three times `max_bytes` are rejected; other events than logins unless asked for.
+    three times `max_bytes` are rejected; other events than logins go unless asked for.
     """
-    head = FAKE_HEADS[min(version, 2)]
-
-    def parse(payload: bytes) -> list[tuple]:
-        if max_bytes is not None and len(payload) > 3 * max_bytes:
-            raise ValueError("message is too long")
-        reader, records = Reader(payload), []
-        while reader.more():
-            age, event, family, details, code, *port = reader.fields(head)
-            remote = reader.address(family == 1)
-            local = reader.address(family == 1) if version > 1 else None
-            found: list = [None] * len(FAKE_DETAILS)
-            for _ in range(details):
-                kind = reader.take(1)[0]
-                text = reader.text()
-                if kind < len(found):
-                    found[kind] = text
-            if not logins_only or FAKE_EVENTS[event] == "login":
-                records.append((age, FAKE_EVENTS[event], remote, local, port[0] if port else None, code.decode("latin-1"), *found))
-        return records
-
-    if rejected:
-        return unreadable(df, parse)
-    raw = explode_payload(
-        df, parse,
+    raw = explode_columns(
+        df, lambda messages: _fake_logs(messages, version, logins_only, max_bytes),
         "age long, event string, remote string, local string, remote_port int, code string, "
         + ", ".join(f"{name} binary" for name in FAKE_DETAILS),
+        rejected,
     )
+    if rejected:
+        return raw
     raw = raw.withColumn("timestamp", _ago("received", "age")).withColumn("reason", F.col("reason").cast("string"))
     columns = ["client", "timestamp", "event", "remote", "local", "remote_port"]
     if servers is None:
@@ -436,7 +460,46 @@ def decode_fake_logs(df: DataFrame, version: int = 2, servers: DataFrame | None
     return raw.join(servers.select("code", "server"), "code").select(*columns, "server", *FAKE_DETAILS)
 
 
-PING_REPLY = "!L"
+PING_BYTES = 4
+
+
+def _hosts(messages: Payloads, hosts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """First host and number of hosts of each message, and all hosts; messages without are rejected."""
+    messages.reject(hosts.is_null().to_numpy(zero_copy_only=False), "hosts are missing")
+    counts = pc.list_value_length(hosts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = hosts.flatten()
+    owner = np.repeat(np.arange(len(counts)), counts)
+    messages.reject(np.unique(owner[flat.is_null().to_numpy(zero_copy_only=False)]), "hosts are missing")
+    return np.cumsum(counts) - counts, counts, flat
+
+
+def _pings(messages: Payloads, hosts: pa.Array) -> tuple[np.ndarray, list]:
+    first, counts, flat = _hosts(messages, hosts)
+    amounts = pc.struct_field(flat, "amount")
+    none = amounts.is_null().to_numpy(zero_copy_only=False)
+    messages.reject(np.unique(np.repeat(np.arange(len(counts)), counts)[none]), "hosts are missing")
+    amounts = np.maximum(amounts.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0)
+    rows, cursors = Records(messages, "host", "address", "bytes", "times", "amount"), Cursors(messages)
+    for k in range(counts.max(initial=0)):
+        active = np.flatnonzero(cursors.live & (counts > k))
+        host = first + k
+        active, start, length = cursors.text(active)
+        rows["host"][active], rows["bytes"][active] = host[active], length
+        rows["address"][active] = np.where(length > 0, start, NO_PLACE)
+        rows["amount"][active] = np.where(length > 0, amounts[host[active]], 0)
+        active, start = cursors.take(active, PING_BYTES * rows["amount"][active])
+        rows["times"][active] = start
+        rows.keep(active)
+    owner, found = rows.gathered()
+    spread, place = _spread(np.where(found["address"] == NO_PLACE, 0, found["bytes"]))
+    foreign = messages.flat[found["address"][spread] + place] > 127
+    messages.reject(np.unique(owner[spread[foreign]]), "address is no text")
+    offsets = np.concatenate([[0], np.cumsum(found["amount"])])
+    spread, place = _spread(found["amount"])
+    times = messages.number(found["times"][spread] + PING_BYTES * place, PING_BYTES).astype(np.int64)
+    addresses = _replaced(byte_strings(messages, found["address"], found["bytes"]))
+    requests = pc.struct_field(flat, "request").take(pa.array(found["host"]))
+    return owner, [requests, addresses, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(times))]
 
 
 def decode_pings(df: DataFrame, rejected: bool = False) -> DataFrame:
@@ -445,18 +508,47 @@ def decode_pings(df: DataFrame, rejected: bool = False) -> DataFrame:
     `hosts` lists the (request, amount) a message answers, in order. A reply is
     the address text (empty when the name did not resolve) and `amount` times.
     """
+    return explode_columns(df, _pings, "request long, ip string, rtts array<long>", rejected, ("payload", "hosts"))
 
-    def parse(hosts: list[dict], payload: bytes) -> list[tuple]:
-        reader, records = Reader(payload), []
-        for host in hosts:
-            address = reader.text()
-            times = [reader.fields(PING_REPLY)[0] for _ in range(host["amount"])] if address else []
-            records.append((host["request"], address.decode("ascii") or None, times))
-        return records
 
-    if rejected:
-        return unreadable(df, parse, ("hosts", "payload"))
-    return explode_payload(df, parse, "request long, ip string, rtts array<long>", ("hosts", "payload"))
+def _certs(messages: Payloads, hosts: pa.Array) -> tuple[np.ndarray, list]:
+    first, counts, flat = _hosts(messages, hosts)
+    details, params = (
+        pc.struct_field(flat, c).fill_null(False).to_numpy(zero_copy_only=False) for c in ("want_details", "want_params")
+    )
+    texts = ("cipher", "proto", "value", "name", "expiry")
+    rows = Records(messages, "host", "ord", *texts, *[f"{c}_bytes" for c in texts])
+    cursors, links = Cursors(messages), np.zeros(len(counts), np.int64)
+
+    def read(name: str, which: np.ndarray) -> None:
+        which, start, length = cursors.text(which)
+        rows[name][which], rows[f"{name}_bytes"][which] = start, length
+
+    for k in range(counts.max(initial=0)):
+        host = first + k
+        rows.clear(*texts)
+        active, start = cursors.take(np.flatnonzero(cursors.live & (counts > k)), 1)
+        links[active], rows["host"][active] = messages.flat[start], host[active]
+        active = active[links[active] > 0]
+        for name in ("cipher", "proto"):
+            read(name, cursors.alive(active[params[host[active]]]))
+        for i in range(links[active].max(initial=0)):
+            active = cursors.alive(active[links[active] > i])
+            read("value", active)
+            for name in ("name", "expiry"):
+                read(name, cursors.alive(active[details[host[active]]]))
+            active = cursors.alive(active)
+            rows["ord"][active] = i
+            rows.keep(active)
+    owner, found = rows.gathered()
+    known = {c: _replaced(byte_strings(messages, found[c], found[f"{c}_bytes"])) for c in texts}
+    expiry = pc.if_else(pc.equal(known["expiry"], ""), None, known["expiry"])
+    requests = pc.struct_field(flat, "request").take(pa.array(found["host"]))
+    full = pc.greater(pc.utf8_length(known["value"]), FULL_CHARACTERS)
+    return owner, [requests, known["cipher"], known["proto"], found["ord"].astype(np.int32), full, known["value"], known["name"], expiry]
+
+
+FULL_CHARACTERS = 40  # Fixed value: longer values are certificates, shorter ones fingerprints.
 
 
 def decode_certs(df: DataFrame, rejected: bool = False) -> DataFrame:
@@ -464,25 +556,10 @@ def decode_certs(df: DataFrame, rejected: bool = False) -> DataFrame:
 
     `hosts` lists the (request, want_details, want_params) a message answers.
     """
-
-    def parse(hosts: list[dict], payload: bytes) -> list[tuple]:
-        reader, records = Reader(payload), []
-        word = lambda: reader.text().decode("utf-8", "replace")
-        for host in hosts:
-            count = reader.take(1)[0]
-            cipher, proto = (word(), word()) if count and host["want_params"] else (None, None)
-            for i in range(count):
-                value = word()
-                name, expiry = (word(), word()) if host["want_details"] else (None, None)
-                records.append((host["request"], cipher, proto, i, len(value) > 40, value, name, expiry or None))
-        return records
-
-    if rejected:
-        return unreadable(df, parse, ("hosts", "payload"))
-    return explode_payload(
-        df, parse,
+    return explode_columns(
+        df, _certs,
         "request long, cipher string, proto string, ord int, is_full boolean, value string, name string, expiry string",
-        ("hosts", "payload"),
+        rejected, ("payload", "hosts"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from netloom.functions.scalars import endpoint, icmp_reason
-from netloom.sources.codecs import CUT_OFF, Payloads, explode_columns
+from netloom.sources.codecs import CUT_OFF, NO_PLACE, Payloads, end_texts, explode_columns
 
 # Link types, EtherTypes and IP protocol numbers that are told apart.
 LINK_ETHERNET, LINK_TOKEN, LINK_COOKED = 1, 6, 113
@@ -37,7 +37,6 @@ LAYERS = f"layers array<struct<{', '.join(': '.join(f.split()) for f in LAYER.sp
 
 
 LETTERS = pa.array([None, *map(chr, range(1, 128))], pa.string())
-NO_PLACE = -1
 
 
 class Layers:
@@ -68,7 +67,7 @@ class Layers:
         fields = []
         for name, kind in zip(FIELDS, form.value_type):
             if name in ("src", "dst"):
-                fields.append(_ends(messages, found[name], found["width"]))
+                fields.append(end_texts(messages, found[name], found["width"]))
             elif name in ("layer", "app_protocol"):
                 fields.append(LETTERS.take(pa.array(found[name])))
             else:
@@ -78,26 +77,6 @@ class Layers:
         return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(form.value_type)), type=form)
 
 
-# Writers of an end by its width in bytes.
-END_TEXT = {6: lambda raw: raw.hex(":"), 4: lambda raw: inet_ntop(AF_INET, raw), 16: lambda raw: inet_ntop(AF_INET6, raw)}
-
-
-def _ends(messages: Payloads, places: np.ndarray, widths: np.ndarray) -> pa.Array:
-    """Texts of the ends at the places; each distinct end is written once."""
-    texts, row, filled = [pa.array([], pa.string())], np.zeros(len(places), np.int64), 0
-    known = places != NO_PLACE
-    for width, write in END_TEXT.items():
-        own = np.flatnonzero(known & (widths == width))
-        raw = np.ascontiguousarray(messages.bytes(places[own], width))
-        ends = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(own), [None, pa.py_buffer(raw)])
-        distinct = ends.dictionary_encode()
-        written = pa.array([write(e) for e in distinct.dictionary.to_pylist()], pa.string())
-        texts.append(written.take(distinct.indices))
-        row[own] = filled + np.arange(len(own))
-        filled += len(own)
-    return pa.concat_arrays(texts).take(pa.array(row, mask=~known))
-
-
 def _link_layers(messages: Payloads, owner: np.ndarray, links: np.ndarray, layers: Layers) -> tuple[np.ndarray, np.ndarray]:
     """The outer layers of frames with a link header; the frames that carry an IP packet, and where it starts."""
     start, stop = messages.starts[owner], messages.ends[owner]
@@ -274,7 +253,7 @@ def _read_naks(messages: Payloads, letters: pa.Array) -> tuple[np.ndarray, list]
     rows = np.flatnonzero(messages.good()[which])
     which, at, letters = which[rows], at[rows], letters[rows]
     version, ports = version[rows], at + header[rows]
-    remote = _ends(messages, at + np.where(version == 4, 16, 24), np.where(version == 4, 4, 16))
+    remote = end_texts(messages, at + np.where(version == 4, 16, 24), np.where(version == 4, 4, 16))
     family = np.where(letters == "i", 4, 6)
     local, far = (messages.number(ports + k, 2).astype(np.int32) for k in (0, 2))
     return which, [family, messages.flat[first[rows] + 1].astype(np.int32), remote, local, far]

@@ -272,7 +272,7 @@ def test_sampling_groups(spark):
 
 
 def test_messages_larger_than_a_batch(rows):
-    n = codecs.BATCH_RECORDS + 5
+    n = 20_005
     record = struct.pack("!QcBHH", 1000, b"P", 4, 1, 2) + bytes([192, 0, 2, 1])
     head = struct.pack("!Q", 2000)
     data = [("big", T0, bytearray(head + record * n)), ("none", T0, bytearray(head)), ("small", T0, bytearray(head + record))]
