@@ -28,6 +28,7 @@ ROUNDS = 6
 PASSES = 3  # ranges of shards that are written one after the other, so that a shuffle holds a third of the records
 # A record in a shard file is the sequence as little-endian uint16 and two zero bytes.
 CLOSING = "\0\0"
+DIGITS = 8  # of the shard number in a path
 
 
 @lru_cache(maxsize=2)
@@ -64,10 +65,14 @@ def sequences(df: DataFrame, text: str = "text", key: str = "doc_id", length: in
     `tokens` holds `length` little-endian uint16; the last sequence of a text is
     filled with end ids, which n_tokens does not count (the one end id is
     counted). A null or empty text is one sequence with the end id alone.
-    `task` and `nth` number the sequences of each task in order.
+    `task` and `nth` number the sequences of each task in order. Texts are dealt
+    by ranges of key and text, and equal rows over several tasks, so that going
+    through the tasks in order passes all sequences by key, text and part.
     """
     ranks = path or public_tokenizers.path(RANKS)
     docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.withColumns({"_print": F.xxhash64("text"), "_deal": F.rand(1)})
+    docs = docs.repartitionByRange("key", "_print", "_deal").sortWithinPartitions("key", "_print").select("key", "text")
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +108,8 @@ def sequences(df: DataFrame, text: str = "text", key: str = "doc_id", length: in
 
 def _placed(df: DataFrame, text: str, key: str, seed: int, length: int, shard: int) -> tuple[DataFrame, int]:
     """Every sequence with its place, in no order, and how many there are."""
-    table = written(sequences(df, text, key, length), "order-sequences", compression="zstd")
+    with _shuffles_deleted(df.sparkSession):
+        table = written(sequences(df, text, key, length), "order-sequences", compression="zstd")
     tasks = table.groupBy("task").agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect()  # one row per task
     starts, total = [], 0
     for row in tasks:
@@ -137,10 +143,11 @@ def in_training_order(
 ) -> DataFrame:
     """(shard, slot, byte_offset, key, part, n_tokens, tokens), a partition per shard, sorted by slot.
 
-    Sequences are numbered densely: those of earlier tasks, then those before in
-    the task; the start of each task is a table of one row per task. The slot of
-    a sequence is the keyed permutation of its number, so slots are 0 .. N - 1,
-    each once. Shard s holds the slots from s * `shard` on, and a record stands
+    Sequences are numbered densely by key, text (its hash) and part: those of earlier
+    tasks, then those before in the task; the start of each task is a table of one row
+    per task. The slot of a sequence is the keyed permutation of its number, so slots
+    are 0 .. N - 1, each once, and depend on rows and seed alone, not on how the rows
+    are dealt (equal rows may change places). Shard s holds the slots from s * `shard` on, and a record stands
     at `byte_offset` of its shard's file. An empty table has no sequences.
     """
     placed, total = _placed(df, text, key, seed, length, shard)
@@ -150,10 +157,11 @@ def in_training_order(
 def write_shards(ordered: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write fixed-stride shard files `shard=K/part-*`: records of a shard in slot order, no header.
 
-    Spark's own writer commits whole tasks, so a lost executor leaves no half
-    file. Every record ends with two zero bytes.
+    K has eight digits, so files sort by number. Spark's own writer commits whole
+    tasks, so a lost executor leaves no half file. Every record ends with two zero bytes.
     """
-    record = ordered.select("shard", F.col("tokens").cast("string").alias("value"))
+    named = ordered.withColumn("_name", F.lpad(F.col("shard").cast("string"), DIGITS, "0")).sortWithinPartitions("_name", "slot")
+    record = named.select(F.col("_name").alias("shard"), F.col("tokens").cast("string").alias("value"))
     record.write.mode(mode).partitionBy("shard").option("lineSep", CLOSING).text(path)
 
 
@@ -165,7 +173,7 @@ def position(slot: int, length: int = LENGTH, shard: int = SHARD) -> tuple[int,
 def read_shard(spark: SparkSession, path: str, number: int, length: int = LENGTH) -> DataFrame:
     """(place, tokens) of a shard: records of fixed length, read in splits."""
     stride = _stride(length)
-    records = spark.sparkContext.binaryRecords(f"{path}/shard={number}/part-*", stride)
+    records = spark.sparkContext.binaryRecords(f"{path}/shard={number:0{DIGITS}d}/part-*", stride)
     rows = records.zipWithIndex().map(lambda x: (x[1], bytearray(x[0][: 2 * length])))
     return spark.createDataFrame(rows, "place bigint, tokens binary")
 
@@ -182,13 +190,16 @@ def _shuffles_deleted(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def _shard_records(spark: SparkSession, path: str, number: int, length: int):
-    """(place, record) of a shard in one partition, in order; the places come from the file."""
+def _records(spark: SparkSession, path: str, length: int):
+    """(place, record) of all shards, a partition each, in order; the places come from the files.
+
+    One reader lists the files by name; splits are larger than any file.
+    """
     kind = "org.apache.spark.input.FixedLengthBinaryInputFormat"
     settings = {f"{kind}.recordLength": str(_stride(length)), "mapreduce.input.fileinputformat.split.minsize": str(2**40)}
     io = "org.apache.hadoop.io"
     return spark.sparkContext.newAPIHadoopFile(
-        f"{path}/shard={number}/part-*", kind, f"{io}.LongWritable", f"{io}.BytesWritable", conf=settings
+        f"{path}/shard=*/part-*", kind, f"{io}.LongWritable", f"{io}.BytesWritable", conf=settings
     )
 
 
@@ -216,7 +227,7 @@ def order_report(
             if first < end:
                 some = placed.where(F.col("slot").between(first * shard, end * shard - 1))
                 write_shards(_by_slot(some, first, end), path, "append")
-    records = spark.sparkContext.union([_shard_records(spark, path, k, length) for k in range(shards)])
+    records = _records(spark, path, length)
 
     def joined(pair):
         row, (place, record) = pair

@@ -122,7 +122,7 @@ def test_shards_are_fixed_stride(spark, small, tmp_path):
     back = training_order.read_shard(spark, str(tmp_path / "shards"), 1, 64).orderBy("place").collect()
     assert [bytes(r["tokens"]) for r in back] == [bytes(r["tokens"]) for r in rows if r["shard"] == 1]
     number, offset = training_order.position(777, 64, 500)
-    file = next((tmp_path / "shards" / f"shard={number}").glob("part-*"))
+    file = next((tmp_path / "shards" / f"shard={number:08d}").glob("part-*"))
     data = file.read_bytes()[offset : offset + 128]
     assert data == bytes(rows[777]["tokens"])
 
@@ -140,19 +140,47 @@ def test_report_is_read_from_shard_files(spark, small, hostile, tmp_path):
     sizes = Counter(r["shard"] for r in rows)
     assert len(sizes) > 2 and len(list(folder.glob("shard=*"))) == len(sizes)
     for number, n in sizes.items():
-        (file,) = (folder / f"shard={number}").glob("part-*")
+        (file,) = (folder / f"shard={number:08d}").glob("part-*")
         assert file.stat().st_size == n * stride
     # What the report returns is what the file holds.
-    (file,) = (folder / "shard=1").glob("part-*")
+    (file,) = (folder / "shard=00000001").glob("part-*")
     data = bytearray(file.read_bytes())
     data[3 * stride : 3 * stride + 2] = b"\x07\x01"
     file.write_bytes(bytes(data))
-    (folder / "shard=1" / f".{file.name}.crc").unlink(missing_ok=True)
+    (folder / "shard=00000001" / f".{file.name}.crc").unlink(missing_ok=True)
     changed = report.where("slot = 503").collect()[0]
     assert bytes(changed["tokens"])[:2] == b"\x07\x01"
     assert training_order.order_report(hostile.limit(0)).count() == 0
 
 
+def test_slots_do_not_depend_on_the_partitions(spark, small):
+    again = small.limit(40)
+    docs = small.unionByName(again)  # forty rows twice
+    encoder = training_order._encoder(public_tokenizers.path(training_order.RANKS))
+    # By hand: all sequences by key, text hash and part, then the permutation of their numbers.
+    hashed = docs.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS print").collect()
+    listed = []
+    for row in sorted(hashed, key=lambda r: (r["doc_id"], r["print"])):
+        ids = [*encoder.encode_ordinary(row["text"]), training_order.END]
+        for part, start in enumerate(range(0, len(ids), 64)):
+            cut = ids[start : start + 64]
+            listed.append((row["doc_id"], part, len(cut), cut + [training_order.END] * (64 - len(cut))))
+    slots = training_order.permuted(np.arange(len(listed)), len(listed), 5)
+    want = {int(slot): sequence for slot, sequence in zip(slots, listed)}
+    for partitions in (3, 5):
+        rows = training_order.in_training_order(docs.repartition(partitions), length=64, shard=500).collect()
+        assert len(rows) == len(want)
+        for r in rows:
+            assert (r["key"], r["part"], r["n_tokens"], np.frombuffer(r["tokens"], "<u2").tolist()) == want[r["slot"]]
+
+
+def test_many_shards_are_read_in_order(spark, small, tmp_path):
+    report = training_order.order_report(small, length=64, shard=20, path=str(tmp_path / "shards")).collect()
+    want = training_order.in_training_order(small, length=64, shard=20).orderBy("slot").collect()
+    assert len({r["shard"] for r in report}) > 100
+    assert [(r["slot"], r["doc_id"], bytes(r["tokens"])) for r in report] == [(r["slot"], r["key"], bytes(r["tokens"])) for r in want]
+
+
 def test_sequences_give_the_texts_back(hostile):
     rows = training_order.in_training_order(hostile.where("doc_id > 1"), length=32).collect()
     encoder = training_order._encoder(public_tokenizers.path(training_order.RANKS))
