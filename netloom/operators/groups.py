@@ -135,21 +135,40 @@ def bandwidth_avg(stats: DataFrame) -> DataFrame:
     )
 
 
-def _cell_sums(df: DataFrame, keys, columns, size: int, cell: str) -> DataFrame:
-    """Arrays of `size` sums per key; `cell` is the SQL of one summand of {c} at {i}.
+def _cell_sums(cells: DataFrame, keys, columns, size: int) -> DataFrame:
+    """Arrays of `size` sums per key, from rows with `_pos` and `_rows`, and the sum of `_rows` as `clients`.
 
-    One aggregation, combined map-side. The sums are given as SQL text: there
-    are many, and the driver builds text faster than column objects.
+    Sums are held per (key, position), so a key takes the room of its cells, not of
+    all places of all arrays; at most `size` + 1 of them meet to become its arrays.
+    A row without `_pos` adds to no cell. A cell is zero where a row of the key
+    gives it nothing, and NULL when all rows give it NULL.
     """
-    sums = [f"sum({cell.format(c=c, i=i)}) AS {c}__{i}" for c in columns for i in range(size)]
-    wide = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("clients"), *[F.expr(text) for text in sums])
-    arrays = [f"array({', '.join(f'{c}__{i}' for i in range(size))}) AS {c}" for c in columns]
-    return wide.selectExpr(*keys, "clients", *arrays)
+    sums = [F.sum(c).alias(c) for c in columns]
+    summed = cells.groupBy(*keys, "_pos").agg(F.sum("_rows").alias("_rows"), F.count(F.lit(1)).alias("_n"), *sums)
+    cell = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_n", *columns))
+    listed = summed.groupBy(*keys).agg(
+        F.sum("_rows").alias("clients"), F.array_sort(F.collect_list(cell)).alias("_cells")
+    )
+    arrays = []
+    for c in columns:
+        zero = f"CAST(0 AS {summed.schema[c].dataType.simpleString()})"
+        gap = f"array_repeat({zero}, x._pos - coalesce(get(_cells, i - 1)._pos, -1) - 1)"
+        value = f"array(if(x._n < clients, coalesce(x.{c}, {zero}), x.{c}))"
+        rest = f"array_repeat({zero}, {size - 1} - coalesce(get(_cells, size(_cells) - 1)._pos, -1))"
+        arrays.append(f"flatten(array_append(transform(_cells, (x, i) -> concat({gap}, {value})), {rest})) AS {c}")
+    return listed.selectExpr(*keys, "clients", *arrays)
 
 
 def array_sum(df: DataFrame, keys, columns, size: int = BUCKETS) -> DataFrame:
-    """Element-wise sum of fixed-size arrays, without exploding them."""
-    return _cell_sums(df, keys, columns, size, "get({c}, {i})")
+    """Element-wise sum of fixed-size arrays; cells of zeros alone are not moved."""
+    places = df.select(*keys, *columns, F.explode(F.sequence(F.lit(-1), F.lit(size - 1))).alias("_place"))
+    zeros = " AND ".join(f"get({c}, _place) <=> 0" for c in columns)
+    # Place -1 counts the row itself.
+    cells = places.where(f"_place < 0 OR NOT ({zeros})").selectExpr(
+        *keys, "nullif(_place, -1) AS _pos", "if(_place < 0, 1, 0) AS _rows",
+        *[f"if(_place < 0, NULL, get({c}, _place)) AS {c}" for c in columns],
+    )
+    return _cell_sums(cells, keys, columns, size)
 
 
 def bandwidth_sums(stats: DataFrame, members: DataFrame) -> DataFrame:
@@ -159,7 +178,11 @@ def bandwidth_sums(stats: DataFrame, members: DataFrame) -> DataFrame:
 
 def dense_arrays(df: DataFrame, keys, pos: str, columns, size: int = BUCKETS) -> DataFrame:
     """Fixed-size arrays from (key, position, value) rows; missing positions are zero."""
-    return _cell_sums(df, keys, columns, size, f"CASE WHEN {pos} = {{i}} THEN {{c}} ELSE 0 END").drop("clients")
+    place = f"try_cast({pos} AS INT)"
+    cells = df.selectExpr(
+        *keys, f"CASE WHEN {pos} = {place} AND {place} BETWEEN 0 AND {size - 1} THEN {place} END AS _pos", "1 AS _rows", *columns
+    )
+    return _cell_sums(cells, keys, columns, size).drop("clients")
 
 
 def refused_by_addr(refused: DataFrame) -> DataFrame:

@@ -192,6 +192,27 @@ def test_array_sum_of_missing_groups(rows):
     assert row.in_time == [11] * 40 and row.in_bytes == [2] * 40 and row.clients == 2
 
 
+def test_sums_of_arrays_take_the_room_of_their_cells(rows):
+    names = groups.SPEED_ARRAYS
+    df = rows(
+        [("g", 0, 1, 2, 3, 4), ("g", 39, 5, 6, 7, None), ("g", 39, 1, 1, 1, 1), ("g", 40, 9, 9, 9, 9), ("g", None, 9, 9, 9, 9), ("h", 3, None, 0, 0, 0), (None, 77, 1, 1, 1, 1)],
+        "k string, pos int, in_time long, in_bytes long, out_time long, out_bytes long",
+    )
+    dense = groups.dense_arrays(df, ["k"], "pos", names)
+    made = {r.k: r for r in dense.collect()}
+    assert made["g"].in_time == [1] + [0] * 38 + [6] and made["g"].out_bytes == [4] + [0] * 38 + [1]
+    assert made["h"].in_time == [0, 0, 0, None] + [0] * 36 and made["h"].in_bytes == [0] * 40
+    assert made[None].in_time == [0] * 40
+    both = groups.array_sum(dense.unionByName(dense.where("k = 'g'")), ["k"], names)
+    added = {r.k: r for r in both.collect()}
+    assert added["g"].clients == 2 and added["g"].in_time == [2] + [0] * 38 + [12]
+    assert added["h"].in_time == made["h"].in_time and added[None].in_bytes == [0] * 40
+    # No aggregate keeps a sum for every place of every array.
+    for table in (dense, both):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert max(line.count("sum(") for line in plan.splitlines()) <= len(names) + 1
+
+
 def test_predicates_without_parts(rows):
     df = rows([(1,)], "x int")
     assert df.where(predicates.p_and()).count() == 1
