@@ -17,6 +17,7 @@ SPACE = "▁"  # how piece models write a blank
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # piece types of the model format (fixed values)
 NEVER = np.int32(2**31 - 1)  # rank of a pair that does not merge
 LONG = 256  # symbols from which a sequence uses its own agenda instead of the shared rounds
+NONE = 2**62  # no pair
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,16 +57,12 @@ class PairTable:
         size = 1 << self.bits
         self.keys = np.full(size, -1, np.int64)
         self.merged = np.full(size, -1, np.int32)
-        self.probes = 1
         for (left, right), merged in pairs.items():
             key = left << 32 | right
             at = self._home(np.array([key], np.int64))[0]
-            tries = 1
             while self.keys[at] >= 0:
                 at = (at + 1) & (size - 1)
-                tries += 1
             self.keys[at], self.merged[at] = key, merged
-            self.probes = max(self.probes, tries)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * _HASH) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -74,10 +71,16 @@ class PairTable:
         """Merged symbol of each pair, or -1."""
         keys = left.astype(np.int64) << 32 | right
         at = self._home(keys)
-        found = np.where(self.keys[at] == keys, self.merged[at], -1)
-        for _ in range(self.probes - 1):
-            at = (at + 1) & (len(self.keys) - 1)
-            found = np.where(self.keys[at] == keys, self.merged[at], found)
+        there = self.keys[at]
+        found = np.where(there == keys, self.merged[at], -1)
+        # Few places hold another pair; an empty one ends the search.
+        todo = np.flatnonzero((there != keys) & (there >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[todo]]
+            same = there == keys[todo]
+            found[todo[same]] = self.merged[at[todo[same]]]
+            todo = todo[~same & (there >= 0)]
         return np.where((left < 0) | (right < 0), -1, found)
 
 
@@ -130,6 +133,7 @@ class PieceModel:
         self.piece_bytes = np.frombuffer(b"".join(blobs), np.uint8)
         self.piece_size = np.array([len(b) for b in blobs], np.int64)
         self.piece_at = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_chars = np.array([len(p) for p in self.pieces], np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merged symbol and its rank for each pair."""
@@ -143,10 +147,11 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def points_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all words in one array, and the length of each word."""
-    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-    return points, np.fromiter(map(len, words), np.int64, len(words))
+def points_of(words: list[str], lead: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words in one array, each word behind `lead`, and their lengths with it."""
+    joined = lead + lead.join(words) if words else ""
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return points, np.fromiter(map(len, words), np.int64, len(words)) + len(lead)
 
 
 def utf8_size(points: np.ndarray) -> np.ndarray:
@@ -157,7 +162,7 @@ def _never_dropped(keys, offsets, merged):
     return np.zeros(len(merged), bool)
 
 
-def merge_all(model: PieceModel, points, sizes, keys=None, dropped=_never_dropped, plain=True):
+def merge_all(model: PieceModel, points, sizes, keys=None, dropped=_never_dropped, plain=True, done=None):
     """Merge every sequence to the end.
 
     `points` and `sizes` are ragged code points. `dropped(keys, offsets, merged)`
@@ -166,7 +171,8 @@ def merge_all(model: PieceModel, points, sizes, keys=None, dropped=_never_droppe
     U+2581 in a word is the blank symbol. Returns the surviving symbols (a piece
     id, or -1 - code point where a character is no piece) and the count of each
     sequence. Long sequences are first cut where no piece has the two
-    neighbouring characters.
+    neighbouring characters. Pairs of arrays with the place in `points` and the
+    merged symbol of all merges made are appended to the list `done`.
     """
     keys = np.zeros(len(sizes), np.uint64) if keys is None else keys
     symbols = model.char_id[points]
@@ -188,11 +194,11 @@ def merge_all(model: PieceModel, points, sizes, keys=None, dropped=_never_droppe
     alive = np.ones(len(points), bool)
     for k in np.flatnonzero(lengths > LONG):
         a, b = starts[k], starts[k] + lengths[k]
-        _agenda(model, out, alive, a, b, keys[owner[a]], offset, dropped)
+        _agenda(model, out, alive, a, b, keys[owner[a]], offset, dropped, done)
     short = np.repeat(lengths <= LONG, lengths)
     places = np.flatnonzero(short)
     if len(places):
-        _rounds(model, out, alive, places, first[places], keys[owner[places]], offset[places], dropped)
+        _rounds(model, out, alive, places, first[places], keys[owner[places]], offset[places], dropped, done)
     return out[alive], np.bincount(owner[alive], minlength=len(sizes))
 
 
@@ -203,47 +209,52 @@ def _ranked(model, left, right, keys, offsets, dropped):
     return merged, rank
 
 
-def _rounds(model, out, alive, places, first, keys, offset, dropped) -> None:
-    """One merge per sequence and round, of its lowest rank, for all sequences together."""
-    symbols = out[places]
-    last = np.append(first[1:], True)
-    merged, rank = _ranked(model, symbols, np.append(symbols[1:], -1), keys, offset, dropped)
-    rank[last] = NEVER
-    while len(symbols):
-        starts = np.flatnonzero(first)
-        sizes = np.diff(np.append(starts, len(symbols)))
-        best = np.minimum.reduceat(rank, starts)
-        open_ = best < NEVER
-        if not open_.any():
-            break
+def _rounds(model, out, alive, places, first, keys, offset, dropped, done=None) -> None:
+    """One merge per sequence and round, of its lowest rank, for all sequences together.
+
+    Symbols stay in their places, linked to their neighbours. A pair is held as its
+    rank and, below, its offset, so that the least one of a sequence is the pair to merge.
+    """
+    n = len(places)
+    symbols = np.append(out[places], -1)  # the last stands behind and before every sequence
+    begin = np.flatnonzero(first)
+    sizes = np.diff(np.append(begin, n))
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[begin + sizes - 1] = before[begin] = n
+    merged, rank = _ranked(model, symbols[:-1], symbols[after[:-1]], keys, offset, dropped)
+    pairs = np.where(rank < NEVER, rank.astype(np.int64) * LONG + np.arange(n) - np.repeat(begin, sizes), NONE)
+    head = begin  # where the sequences start in `pairs`, which loses those that are done
+    while len(begin):
+        best = np.minimum.reduceat(pairs, head)
+        open_ = best < NONE
         if not open_.all():
-            stay = np.repeat(open_, sizes)
-            symbols, merged, rank, first, last, keys, offset, places = (
-                x[stay] for x in (symbols, merged, rank, first, last, keys, offset, places)
-            )
-            best, sizes = best[open_], sizes[open_]
-        hits = np.flatnonzero(rank == np.repeat(best, sizes))
-        owner = np.repeat(np.arange(len(sizes)), sizes)[hits]
-        at = hits[np.append(True, owner[1:] != owner[:-1])]
+            pairs = pairs[np.repeat(open_, sizes)]
+            begin, sizes, best = begin[open_], sizes[open_], best[open_]
+            head = np.cumsum(sizes) - sizes
+            if not len(begin):
+                break
+        at = begin + best % LONG
+        gone = after[at]
         symbols[at] = merged[at]
         out[places[at]] = merged[at]
-        alive[places[at + 1]] = False
-        last[at] = last[at + 1]
-        stay = np.ones(len(symbols), bool)
-        stay[at + 1] = False
-        symbols, merged, rank, first, last, keys, offset, places = (
-            x[stay] for x in (symbols, merged, rank, first, last, keys, offset, places)
-        )
-        at = at - np.arange(len(at))
-        before = at[~first[at]] - 1
-        touched = np.concatenate((at[~last[at]], before))
-        rank[at] = NEVER
-        merged[touched], rank[touched] = _ranked(
-            model, symbols[touched], symbols[touched + 1], keys[touched], offset[touched], dropped
-        )
-
-
-def _agenda(model, out, alive, a, b, key, offset, dropped) -> None:
+        if done is not None:
+            done.append((places[at], merged[at]))
+        alive[places[gone]] = False
+        far = after[gone]
+        after[at] = far
+        before[far] = at
+        prior = before[at]
+        back = np.flatnonzero(prior < n)
+        left, right = np.concatenate((at, prior[back])), np.concatenate((far, at[back]))
+        joined, rank = _ranked(model, symbols[left], symbols[right], keys[left], offset[left], dropped)
+        merged[left] = joined
+        shift = head - begin
+        pairs[gone + shift] = NONE
+        where = left - np.concatenate((begin, begin[back]))
+        pairs[where + np.concatenate((head, head[back]))] = np.where(rank < NEVER, rank.astype(np.int64) * LONG + where, NONE)
+
+
+def _agenda(model, out, alive, a, b, key, offset, dropped, done=None) -> None:
     """Merge one long sequence with a heap of candidates."""
     before = np.arange(a - 1, b - 1)
     after = np.arange(a + 1, b + 1)
@@ -270,6 +281,8 @@ def _agenda(model, out, alive, a, b, key, offset, dropped) -> None:
         if not (alive[at] and alive[nxt]) or after[at - a] != nxt or out[at] != left or out[nxt] != right:
             continue
         out[at] = merged
+        if done is not None:
+            done.append((np.array([at]), np.array([merged])))
         alive[nxt] = False
         far = int(after[nxt - a])
         after[at - a] = far

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -12,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netloom.llm.bpe_arrays import SPACE, PairTable, PieceModel, blank_words, marked, merge_all, piece_model, points_of, utf8_size
+from netloom.llm.bpe_arrays import SPACE, PairTable, PieceModel, blank_words, merge_all, piece_model, points_of, utf8_size
 from netloom.llm.common import free_name, slices
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 BITS = 40  # candidates up to which what an occurrence drops is a bit pattern; it stays below the words' numbers
-REMEMBERED = 300_000  # pre-tokens a Python worker remembers before it starts anew
+REMEMBERED = 500_000  # pre-tokens a Python worker remembers before it starts anew
+PART = 30_000  # occurrences whose drops are drawn at once
 SEGMENTATIONS = 1_000_000  # segmentations it remembers before that
 
 _MIX_A, _MIX_B, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -41,9 +43,9 @@ def _symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Those signs are kept apart from the blanks as U+10FFFF, which no piece holds: they become bytes.
     """
-    points, sizes = points_of([marked(w) for w in words])
-    literal = np.frombuffer("".join("\0" + w for w in words).encode("utf-32-le"), np.uint32) == ord(SPACE)
-    return np.where(literal, 0x10FFFF, points), sizes, literal
+    points, sizes = points_of(words, " ")
+    literal = points == ord(SPACE)
+    return np.where(literal, 0x10FFFF, np.where(points == ord(" "), ord(SPACE), points)), sizes, literal
 
 
 @lru_cache(maxsize=2)
@@ -72,7 +74,9 @@ class Codec:
     """Encodes and decodes batches of texts.
 
     What is remembered never decides a result: a segmentation is kept under its
-    pre-token and the exact set of candidates that an occurrence drops.
+    pre-token and a set of dropped candidates, with the candidates that its run
+    merged. An occurrence that drops all of that set and nothing that the run
+    merged gives the same run: at every step the best candidate is one it keeps.
     """
 
     def __init__(self, path: str, seed: int, dropout: float):
@@ -87,12 +91,18 @@ class Codec:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        # Candidate merges of each pre-token: their number, where they start, and the hashes of all.
+        self.names: list[str] = []
+        # Candidate merges of each pre-token: their number, where they start, and the place, size in characters and hash of all.
         self.many, self.start = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.spread, self.spreads = np.zeros(1 << 18, np.uint64), 0
-        # Segmentations: pre-token << BITS | dropped candidates, sorted, and the number of each.
+        self.place, self.wide, self.spread = (np.zeros(1 << 18, t) for t in (np.int32, np.int32, np.uint64))
+        self.spreads = 0
+        # The segmentation of each pre-token that drops nothing.
+        self.base = np.zeros(1 << 16, np.int64)
+        # Others: pre-token << BITS | dropped candidates, sorted, and the number of each.
         self.keys, self.numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Segmentations: where the ids start, how many, and the merged candidates as bits.
+        self.at, self.size, self.merges = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.cuts = 0
         self.ids, self.used = np.zeros(1 << 18, np.int32), 0
 
     def _draw(self, keys, spread) -> np.ndarray:
@@ -102,38 +112,57 @@ class Codec:
         return self._draw(keys, _spread(offsets, merged))
 
     def _meet(self, words: list[str]) -> None:
-        """Number new pre-tokens and list their candidates: every place where a piece of two or more characters stands."""
+        """Number new pre-tokens, list their candidates and segment them without a drop."""
         first = len(self.number)
         self.number.update(zip(words, range(first, first + len(words))))
-        self.many, self.start = (_room(x, len(self.number)) for x in (self.many, self.start))
-        if not words or not self.bound:
+        self.names += words
+        self.many, self.start, self.base = (_room(x, len(self.number)) for x in (self.many, self.start, self.base))
+        if not words:
             return
+        if self.bound:
+            self._list(words, first)
+        fresh = np.arange(first, len(self.number))
+        self.base[fresh] = self._learn(fresh, np.zeros(len(words), np.int64))
+
+    def _list(self, words: list[str], first: int) -> None:
+        """List the candidates: every place where a piece of two or more characters stands."""
         points, sizes, _ = _symbols(words)
         chars = self.model.char_id[points]
         ends = np.repeat(np.cumsum(sizes), sizes)
         node = self.tree.find(np.zeros(len(chars), np.int64), chars)
         at, size = np.flatnonzero(node >= 0), 1
         node = node[at]
-        places, pieces = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        places, pieces, wide = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         while len(at):
             whole = self.piece_of[node] >= 0
             places.append(at[whole])
             pieces.append(self.piece_of[node[whole]])
+            wide.append(np.full(len(pieces[-1]), size, np.int32))
             on = at + size < ends[at]
             at = at[on]
             node = self.tree.find(node[on], chars[at + size])
             at, node, size = at[node >= 0], node[node >= 0], size + 1
         place, piece = np.concatenate(places), np.concatenate(pieces)
         order = np.argsort(place, kind="stable")
-        place, piece = place[order], piece[order]
+        place, piece, wide = place[order], piece[order], np.concatenate(wide)[order]
         owner = np.repeat(np.arange(len(words)), sizes)[place]
         many = np.bincount(owner, minlength=len(words))
         self.many[first : len(self.number)] = many
         self.start[first : len(self.number)] = self.spreads + np.cumsum(many) - many
-        self.spread = _room(self.spread, self.spreads + len(piece))
-        self.spread[self.spreads : self.spreads + len(piece)] = _spread(place - (np.cumsum(sizes) - sizes)[owner], piece)
+        place -= (np.cumsum(sizes) - sizes)[owner]
+        self.place, self.wide, self.spread = (_room(x, self.spreads + len(piece)) for x in (self.place, self.wide, self.spread))
+        new = slice(self.spreads, self.spreads + len(piece))
+        self.place[new], self.wide[new], self.spread[new] = place, wide, _spread(place, piece)
         self.spreads += len(piece)
 
+    def _candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All candidates of some pre-tokens: whose each is, its place in the lists, and its number in the pre-token."""
+        many = self.many[words]
+        begins = np.cumsum(many) - many
+        owner = np.repeat(np.arange(len(words)), many)
+        nth = np.arange(len(owner)) - begins[owner]
+        return owner, self.start[words][owner] + nth, nth
+
     def _patterns(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each occurrence drops, as bits (the last bit for pre-tokens with too many candidates), and which are such."""
         many = self.many[words]
@@ -148,10 +177,46 @@ class Codec:
         drops = np.bincount(owner, weights=np.ldexp(1.0, bit), minlength=len(words))
         return np.where(wide, 0, drops).astype(np.int64), wide & (drops > 0)
 
-    def _learn(self, words: list[str], keys: np.ndarray) -> None:
-        """Segment pre-tokens: the agenda of each runs without the candidates its key drops."""
-        points, sizes, literal = _symbols(words)
-        symbols, survivors = merge_all(self.model, points, sizes, keys, self._dropped)
+    def _learn(self, words: np.ndarray, drops: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+        """Segment pre-tokens: the agenda of each runs without the candidates of `drops`, or those its key drops.
+
+        Returns the numbers of the segmentations.
+        """
+        points, sizes, literal = _symbols([self.names[k] for k in words.tolist()])
+        begins = np.cumsum(sizes) - sizes
+        many, done = self.many[words], []
+        short = (many > 0) & (many <= BITS)
+        if keys is not None:
+            symbols, survivors = merge_all(self.model, points, sizes, keys, self._dropped)
+        else:
+            owner, pick, nth = self._candidates(np.where(short, words, words[0])[short])
+            rows = np.flatnonzero(short)[owner]
+            lost = (drops[rows] >> nth & 1).astype(bool)
+            gone = np.sort((begins[rows] + self.place[pick])[lost] << 32 | self.wide[pick][lost])
+            touched = np.zeros(len(points) + 1, bool)
+            touched[gone >> 32] = True
+
+            def left_out(starts, offsets, merged):
+                at = starts.astype(np.int64) + offsets
+                out = touched[at]
+                near = np.flatnonzero(out)
+                seek = at[near] << 32 | self.model.piece_chars[merged[near]]
+                out[near] = gone[np.searchsorted(gone, seek).clip(max=len(gone) - 1)] == seek
+                return out
+
+            how = (begins.astype(np.uint64), left_out) if len(gone) else ()
+            symbols, survivors = merge_all(self.model, points, sizes, *how, done=done if len(owner) else None)
+        merges = np.zeros(len(words), np.int64)
+        if done:
+            # Candidates are sorted by place, then size, as their codes are.
+            codes = (begins[rows] + self.place[pick]) << 32 | self.wide[pick]
+            at, merged = (np.concatenate(x) for x in zip(*done))
+            codes_done = at << 32 | self.model.piece_chars[merged]
+            found = np.searchsorted(codes, codes_done).clip(max=len(codes) - 1)
+            taken = np.zeros(len(codes), bool)
+            taken[found[codes[found] == codes_done]] = True
+            bits = np.bincount(rows[taken], weights=np.ldexp(1.0, nth[taken]), minlength=len(words))
+            merges = bits.astype(np.int64)
         # U+10FFFF stands for the literal sign while merging; the order of characters is unchanged.
         points_left = -1 - symbols
         loose = symbols < 0
@@ -171,46 +236,54 @@ class Codec:
         sizes_out = np.bincount(owner, weights=widths, minlength=len(words)).astype(np.int64)
         self.ids = _room(self.ids, self.used + len(out))
         self.ids[self.used : self.used + len(out)] = out
-        self.at = np.concatenate((self.at, self.used + np.cumsum(sizes_out) - sizes_out))
-        self.size = np.concatenate((self.size, sizes_out))
+        new = slice(self.cuts, self.cuts + len(words))
+        self.at, self.size, self.merges = (_room(x, new.stop) for x in (self.at, self.size, self.merges))
+        self.at[new], self.size[new], self.merges[new] = self.used + np.cumsum(sizes_out) - sizes_out, sizes_out, merges
         self.used += len(out)
+        self.cuts = new.stop
+        return np.arange(new.start, new.stop)
 
     def _segmented(self, words: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The number of each occurrence's segmentation."""
-        drops, alone = self._patterns(words, keys)
-        shared = np.flatnonzero(~alone)
-        kinds, example, kind = np.unique(words[shared] << BITS | drops[shared], return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, kinds)
-        known = np.append(self.keys, -1)[at] == kinds
-        # Occurrences with the same word and the same drops share one run, under the key of any of them.
-        runs = np.concatenate((shared[example[~known]], np.flatnonzero(alone)))
-        numbers = len(self.at) + np.arange(len(runs))
-        if len(runs):
-            names = list(self.number)
-            self._learn([names[k] for k in words[runs].tolist()], keys[runs])
-        fresh = numbers[: len(runs) - int(alone.sum())]
-        found = np.empty(len(kinds), np.int64)
-        found[known] = self.numbers[at[known]]
-        found[~known] = fresh
-        self.keys, self.numbers = np.insert(self.keys, at[~known], kinds[~known]), np.insert(self.numbers, at[~known], fresh)
-        out = np.empty(len(words), np.int64)
-        out[shared] = found[kind]
-        out[alone] = numbers[len(fresh) :]
+        out = self.base[words]
+        if not self.bound:
+            return out
+        # A part at a time, so that its candidates stay in the cache.
+        parts = [self._patterns(words[k : k + PART], keys[k : k + PART]) for k in range(0, len(words), PART)]
+        drops, alone = (np.concatenate(x) for x in zip(*parts))
+        if alone.any():
+            out[alone] = self._learn(words[alone], drops[alone], keys[alone])
+        # A run that merged what an occurrence drops is followed by the one that drops this, too.
+        left = np.flatnonzero(drops & self.merges[out])
+        lost = drops[left] & self.merges[out[left]]
+        while len(left):
+            kinds, kind = np.unique(words[left] << BITS | lost, return_inverse=True)
+            at = np.searchsorted(self.keys, kinds)
+            known = np.append(self.keys, -1)[at] == kinds
+            found = np.empty(len(kinds), np.int64)
+            found[known] = self.numbers[at[known]]
+            fresh = kinds[~known]
+            if len(fresh):
+                found[~known] = self._learn(fresh >> BITS, fresh & ((1 << BITS) - 1))
+                self.keys, self.numbers = np.insert(self.keys, at[~known], fresh), np.insert(self.numbers, at[~known], found[~known])
+            out[left] = found[kind]
+            more = drops[left] & self.merges[out[left]]
+            left, lost = left[more > 0], (lost | more)[more > 0]
         return out
 
     def encode(self, texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
-        if len(self.number) > REMEMBERED or max(len(self.at), self.used // 4, self.spreads // 8) > SEGMENTATIONS:
+        if len(self.number) > REMEMBERED or max(self.cuts, self.used // 4, self.spreads // 8) > SEGMENTATIONS:
             self._forget()
         split = [blank_words(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         if not counts.sum():
             return np.zeros(0, np.int32), counts
-        number = self.number
-        self._meet(list(set().union(*split).difference(number)))
-        words = np.fromiter(
-            (n for part in split for n in map(number.__getitem__, part)), np.int64, int(counts.sum())
-        )
+        listed = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+        different = listed.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._meet([w for w in different if w not in self.number])
+        numbers = np.fromiter(map(self.number.__getitem__, different), np.int64, len(different))
+        words = numbers[listed.indices.to_numpy(zero_copy_only=False)]
         place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
         drawn = mixed(np.repeat(mixed(keys.astype(np.uint64) ^ self.seed), counts) + place.astype(np.uint64))
         slots = self._segmented(words, drawn)

@@ -345,6 +345,21 @@ def test_every_occurrence_draws_for_itself():
             assert ids[ends[k - 1] : ends[k]].tolist() == want
 
 
+def test_runs_are_shared_where_what_is_dropped_never_merges():
+    tool = sentencepiece_codec.Codec(MODEL, 7, 0.1)
+    word = "stations"
+    ids, counts = tool.encode([f"{word} " * 20_000 + word], np.array([4], np.uint64))
+    # Few of the sets of candidates that occurrences drop lead to a run of their own.
+    drops = tool._patterns(np.zeros(20_001, np.int64), sentencepiece_codec.mixed(sentencepiece_codec.mixed(np.array([4], np.uint64) ^ tool.seed) + np.arange(20_001).astype(np.uint64)))[0]
+    assert 1 < tool.cuts < len(np.unique(drops)) / 2
+    want = [
+        i
+        for n in range(300)
+        for i in cut_by_force(tool, word, sentencepiece_codec.mixed(sentencepiece_codec.mixed(np.array([4], np.uint64) ^ tool.seed) + np.uint64(n))[0])
+    ]
+    assert ids[: len(want)].tolist() == want
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_drop_rate_of_a_repeated_word(spark, seed):
     model = sentencepiece_codec.piece_model(MODEL)
