@@ -22,10 +22,11 @@ from netloom.session import scratch_folder
 
 RANKS = "byte_bpe_50k.tiktoken"
 END = 50256  # id after each text and in the rest of its last sequence
+NAME = "<|endoftext|>"  # what the library calls it
 LENGTH = 1024  # tokens of a sequence
 SHARD = 65_536  # sequences of a shard
 ROUNDS = 6
-PASSES = 3  # ranges of shards that are written one after the other, so that a shuffle holds a third of the records
+PASSES = 6  # ranges of shards that are written one after the other, so that a shuffle holds a sixth of the records
 # A record in a shard file is the sequence as little-endian uint16 and two zero bytes.
 CLOSING = "\0\0"
 DIGITS = 8  # of the shard number in a path
@@ -35,7 +36,13 @@ DIGITS = 8  # of the shard number in a path
 def _encoder(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # Without any special token the library would try an empty pattern at every character.
+    return tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={NAME: END})
+
+
+def encoded(encoder: tiktoken.Encoding, text: str) -> np.ndarray:
+    """Ids of a text as an array; a special token's name inside it is plain text."""
+    return encoder.encode_to_numpy(text, disallowed_special=())
 
 
 def permuted(index: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -78,26 +85,23 @@ def sequences(df: DataFrame, text: str = "text", key: str = "doc_id", length: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, nth = _encoder(ranks), TaskContext.get().partitionId(), 0
         for part in slices(batches, "text", 2_000_000):
-            texts = part.column("text").to_pylist()
-            sizes, records, counts = [], [], []
-            for one in texts:
-                ids = encoder.encode_ordinary(one)
-                ids.append(END)
-                full = -(-len(ids) // length)
-                flat = np.full(full * length, END, "<u2")
-                flat[: len(ids)] = ids
-                data = flat.tobytes()
-                sizes.append(full)
-                for k in range(full):
-                    records.append(data[2 * k * length : 2 * (k + 1) * length])
-                    counts.append(min(length, len(ids) - k * length))
-            owner = np.repeat(np.arange(len(texts)), sizes)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ids = [encoded(encoder, one) for one in part.column("text").to_pylist()]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) + 1  # with the end id
+            sizes = -(-lengths // length)
+            begins = np.cumsum(sizes) - sizes
+            flat = np.full(int(sizes.sum()) * length, END, "<u2")
+            for begin, one in zip((begins * length).tolist(), ids):
+                flat[begin : begin + len(one)] = one
+            owner = np.repeat(np.arange(len(ids)), sizes)
+            place = np.arange(len(owner)) - begins[owner]
+            counts = np.minimum(length, lengths[owner] - place * length)
+            cuts = pa.array(np.arange(len(owner) + 1) * 2 * length, pa.int64())
+            records = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(owner), [None, cuts.buffers()[1], pa.py_buffer(flat)])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(owner), task), pa.int32()), pa.array(nth + np.arange(len(owner)), pa.int64()),
                     part.column("key").take(pa.array(owner)), pa.array(place, pa.int32()),
-                    pa.array(counts, pa.int32()), pa.array(records, pa.binary()),
+                    pa.array(counts, pa.int32()), records.cast(pa.binary()),
                 ],
                 names=["task", "nth", "key", "part", "n_tokens", "tokens"],
             )
@@ -121,8 +125,11 @@ def _placed(df: DataFrame, text: str, key: str, seed: int, length: int, shard: i
     def slot(index: pa.Array) -> pa.Array:
         return pa.array(permuted(index.to_numpy(zero_copy_only=False), total, seed), pa.int64())
 
-    # One row per task of the scan: bounded by the number of tasks.
-    numbered = table.join(F.broadcast(offsets), "task").withColumn("slot", slot(F.col("start") + F.col("nth")))
+    # One row per task of the scan: bounded by the number of tasks. Called nondeterministic, the
+    # function runs once a row; else the planner puts a second call into a filter on the slot.
+    numbered = table.join(F.broadcast(offsets), "task").withColumn(
+        "slot", slot.asNondeterministic()(F.col("start") + F.col("nth"))
+    )
     return numbered.select(
         F.expr(f"slot div {shard}").cast("int").alias("shard"), "slot",
         (F.col("slot") % shard * _stride(length)).alias("byte_offset"), "key", "part", "n_tokens", "tokens",

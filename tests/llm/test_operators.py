@@ -174,6 +174,16 @@ def test_slots_do_not_depend_on_the_partitions(spark, small):
             assert (r["key"], r["part"], r["n_tokens"], np.frombuffer(r["tokens"], "<u2").tolist()) == want[r["slot"]]
 
 
+def test_ids_come_as_arrays_and_slots_once(spark, small):
+    encoder = training_order._encoder(public_tokenizers.path(training_order.RANKS))
+    for text in ("", "a <|endoftext|> \u00e9<|endoftext|>\u00fc", " \0 \U0001f600  x\n\n"):
+        assert training_order.encoded(encoder, text).tolist() == encoder.encode_ordinary(text)
+    placed, total = training_order._placed(small, "text", "doc_id", 5, 64, 500)
+    some = placed.where(F.col("slot").between(500, 999))
+    assert some._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r["slot"] for r in some.select("slot").collect()) == list(range(500, min(1000, total)))
+
+
 def test_many_shards_are_read_in_order(spark, small, tmp_path):
     report = training_order.order_report(small, length=64, shard=20, path=str(tmp_path / "shards")).collect()
     want = training_order.in_training_order(small, length=64, shard=20).orderBy("slot").collect()
