@@ -33,12 +33,15 @@ def scratch_of(spark: SparkSession, owner: str):
         _owners.pop()
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """`df` as a table in the shared folder: later steps read it back, whatever executor made it."""
+def written(df: DataFrame, name: str, compression: str = "snappy", by: tuple[str, ...] = ()) -> DataFrame:
+    """`df` as a table in the shared folder: later steps read it back, whatever executor made it.
+
+    A filter on the columns `by` reads only the files of these values.
+    """
     path = scratch_folder(df.sparkSession, name)
     if _owners:
         _tables.setdefault(_owners[-1], []).append(path)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netloom.llm.common import slices, written
+from netloom.llm.common import dropped, slices, written
 from netloom.llm.sentencepiece_codec import mixed
 from netloom.session import scratch_folder
 
@@ -216,24 +216,29 @@ def order_report(
 ) -> DataFrame:
     """Every sequence of the documents with its place, in training order; its tokens are read from the shard files.
 
-    The shards are written to `path`, or to a new folder of the shared one. The
-    list of places is dealt into the same partitions as the files; a file that
-    has another number of records, or a record in another place, is an error.
+    The shards are written to `path`, or to a new folder of the shared one. Sequences
+    are numbered once: they are stored with their slots, apart by the pass that writes
+    them, and a pass reads its own alone. The list of places is dealt into the same
+    partitions as the files; a file that has another number of records, or a record in
+    another place, is an error.
     """
     spark = df.sparkSession
     placed, total = _placed(df, text, key, seed, length, shard)
     shards = -(-total // shard)
-    index = _by_slot(placed.drop("tokens").withColumnRenamed("key", "doc_id"), 0, shards)
-    schema = T.StructType([*index.schema.fields, T.StructField("tokens", T.BinaryType())])
+    schema = placed.withColumnRenamed("key", "doc_id").schema
     if not total:
         return spark.createDataFrame([], schema)
     path = path or scratch_folder(spark, "order-shards")
+    # Pass k has the shards from `cuts[k]` on: the last k with shards * k < (shard + 1) * PASSES.
     cuts = [shards * k // PASSES for k in range(PASSES + 1)]
+    number = F.expr(f"((shard + 1L) * {PASSES} - 1) div {shards}").cast("int")
+    table = written(placed.withColumn("pass", number), "order-placed", "zstd", ("pass",))
+    dropped(placed)
     with _shuffles_deleted(spark):
-        for first, end in zip(cuts, cuts[1:]):
+        for k, (first, end) in enumerate(zip(cuts, cuts[1:])):
             if first < end:
-                some = placed.where(F.col("slot").between(first * shard, end * shard - 1))
-                write_shards(_by_slot(some, first, end), path, "append")
+                write_shards(_by_slot(table.where(F.col("pass") == k).drop("pass"), first, end), path, "append")
+    index = _by_slot(table.drop("pass", "tokens").withColumnRenamed("key", "doc_id"), 0, shards)
     records = _records(spark, path, length)
 
     def joined(pair):

@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips, and hostile inputs."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -191,6 +192,32 @@ def test_many_shards_are_read_in_order(spark, small, tmp_path):
     assert [(r["slot"], r["doc_id"], bytes(r["tokens"])) for r in report] == [(r["slot"], r["key"], bytes(r["tokens"])) for r in want]
 
 
+@pytest.mark.parametrize("shard", [20, 400, 100_000])
+def test_sequences_are_numbered_once_whatever_the_passes(small, tmp_path, monkeypatch, shard):
+    passes, tables = [], []
+
+    def write(ordered, path, mode):
+        passes.append((ordered, ordered._jdf.queryExecution().executedPlan().toString(), [r["shard"] for r in ordered.select("shard").collect()]))
+        training_order_write(ordered, path, mode)
+
+    def keep(*args, **options):
+        tables.append(common_written(*args, **options))
+        return tables[-1]
+
+    training_order_write, common_written = training_order.write_shards, training_order.written
+    monkeypatch.setattr(training_order, "write_shards", write)
+    monkeypatch.setattr(training_order, "written", keep)
+    report = training_order.order_report(small, length=64, shard=shard, path=str(tmp_path / "shards")).collect()
+    assert len(passes) == min(training_order.PASSES, -(-len(report) // shard))
+    # A pass neither looks the numbers up nor computes slots, and reads the files of its shards alone.
+    for ordered, plan, _ in passes:
+        assert "Join" not in plan and "ArrowEvalPython" not in plan and "PartitionFilters: [isnotnull(pass" in plan
+    assert [s for _, _, shards in passes for s in shards] == [r["shard"] for r in report]
+    # The sequences without slots are gone by then.
+    first, second = ({f.removeprefix("file://").removeprefix("file:") for f in t.inputFiles()} for t in tables)
+    assert not any(os.path.exists(f) for f in first) and second and all(os.path.exists(f) for f in second)
+
+
 def test_sequences_give_the_texts_back(hostile):
     rows = training_order.in_training_order(hostile.where("doc_id > 1"), length=32).collect()
     encoder = training_order._encoder(public_tokenizers.path(training_order.RANKS))
