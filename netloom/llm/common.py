@@ -45,11 +45,12 @@ def written(df: DataFrame, name: str, compression: str = "snappy", by: tuple[str
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the table that `written` made and nothing reads any more."""
+def dropped(df: DataFrame, value: str | None = None) -> None:
+    """Delete the table that `written` made and nothing reads any more, or its rows of a `value`, as `column=1`."""
     paths = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
     for path in paths:
-        discard(df.sparkSession, path)
+        if value is None or path.endswith(f"/{value}"):
+            discard(df.sparkSession, path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

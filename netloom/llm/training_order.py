@@ -218,9 +218,9 @@ def order_report(
 
     The shards are written to `path`, or to a new folder of the shared one. Sequences
     are numbered once: they are stored with their slots, apart by the pass that writes
-    them, and a pass reads its own alone. The list of places is dealt into the same
-    partitions as the files; a file that has another number of records, or a record in
-    another place, is an error.
+    them; a pass reads its own alone, and they go when their shards are there. The list
+    of places is dealt into the same partitions as the files; a file that has another
+    number of records, or a record in another place, is an error.
     """
     spark = df.sparkSession
     placed, total = _placed(df, text, key, seed, length, shard)
@@ -234,11 +234,13 @@ def order_report(
     number = F.expr(f"((shard + 1L) * {PASSES} - 1) div {shards}").cast("int")
     table = written(placed.withColumn("pass", number), "order-placed", "zstd", ("pass",))
     dropped(placed)
+    places = written(table.drop("pass", "tokens").withColumnRenamed("key", "doc_id"), "order-places")
     with _shuffles_deleted(spark):
         for k, (first, end) in enumerate(zip(cuts, cuts[1:])):
             if first < end:
                 write_shards(_by_slot(table.where(F.col("pass") == k).drop("pass"), first, end), path, "append")
-    index = _by_slot(table.drop("pass", "tokens").withColumnRenamed("key", "doc_id"), 0, shards)
+                dropped(table, f"pass={k}")
+    index = _by_slot(places, 0, shards)
     records = _records(spark, path, length)
 
     def joined(pair):

@@ -196,7 +196,13 @@ def test_many_shards_are_read_in_order(spark, small, tmp_path):
 def test_sequences_are_numbered_once_whatever_the_passes(small, tmp_path, monkeypatch, shard):
     passes, tables = [], []
 
+    def files(table):
+        return [f.removeprefix("file:").replace("//", "/") for f in table.inputFiles()]
+
     def write(ordered, path, mode):
+        # What earlier passes have written is gone, the others' rows are there.
+        left = {f.split("/pass=")[1].split("/")[0] for f in files(tables[1]) if os.path.exists(f)}
+        assert len(left) == min(training_order.PASSES, shards) - len(passes)
         passes.append((ordered, ordered._jdf.queryExecution().executedPlan().toString(), [r["shard"] for r in ordered.select("shard").collect()]))
         training_order_write(ordered, path, mode)
 
@@ -207,15 +213,15 @@ def test_sequences_are_numbered_once_whatever_the_passes(small, tmp_path, monkey
     training_order_write, common_written = training_order.write_shards, training_order.written
     monkeypatch.setattr(training_order, "write_shards", write)
     monkeypatch.setattr(training_order, "written", keep)
+    shards = -(-training_order.sequences(small, length=64).count() // shard)
     report = training_order.order_report(small, length=64, shard=shard, path=str(tmp_path / "shards")).collect()
-    assert len(passes) == min(training_order.PASSES, -(-len(report) // shard))
+    assert len(passes) == min(training_order.PASSES, shards)
     # A pass neither looks the numbers up nor computes slots, and reads the files of its shards alone.
     for ordered, plan, _ in passes:
         assert "Join" not in plan and "ArrowEvalPython" not in plan and "PartitionFilters: [isnotnull(pass" in plan
     assert [s for _, _, shards in passes for s in shards] == [r["shard"] for r in report]
-    # The sequences without slots are gone by then.
-    first, second = ({f.removeprefix("file://").removeprefix("file:") for f in t.inputFiles()} for t in tables)
-    assert not any(os.path.exists(f) for f in first) and second and all(os.path.exists(f) for f in second)
+    sequences, placed, places = map(files, tables)
+    assert not any(map(os.path.exists, sequences + placed)) and all(map(os.path.exists, places)) and places
 
 
 def test_sequences_give_the_texts_back(hostile):
