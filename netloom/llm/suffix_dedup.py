@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import dropped, written
+from netloom.llm.common import dropped, slices, written
 from netloom.llm.exact_dedup import _views
 from netloom.llm.sentencepiece_codec import mixed
 
 LENGTH = 200  # bytes of a repeated string
 GRAM = 32  # bytes of the strings whose smallest hash names a window's bucket
 BUCKET = 2000  # distinct runs that one bucket's suffix order holds; larger buckets go window by window
-PIECE = 2_000_000  # bytes handled at once inside a task
+PIECE = 250_000  # bytes handled at once inside a task; the arrays beside them take about a hundred times as much
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 24) - 1)
 FIRST, NONE = "first", "none"
@@ -27,7 +27,7 @@ FIRST, NONE = "first", "none"
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base modulo 2^64 and their inverses."""
-    size = 2 * PIECE + 2 * LENGTH + 2
+    size = PIECE + LENGTH
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     ups = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, _BASE))))
     downs = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, inverse))))
@@ -68,24 +68,33 @@ def runs_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     return grams[(low[starts] & _PLACE).astype(np.int64)].view(np.int64), content.view(np.int64), starts, sizes
 
 
-RUNS = "array<struct<bucket: bigint, content: bigint, at: int, windows: int>>"
+RUNS = "line bigint, bucket bigint, content bigint, at int, windows int"
 
 
-def _runs(texts: pa.Array) -> pa.Array:
-    parts, counts = [], []
-    for data in _views(texts):
-        total = 0
-        for start in range(0, max(len(data) - LENGTH + 1, 0), PIECE):
-            found = runs_of(data[start : start + PIECE + LENGTH - 1])
-            parts.append((*found[:2], found[2] + start, found[3]))
-            total += len(found[0])
-        counts.append(total)
-    columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4)]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    rows = pa.StructArray.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "content", "at", "windows"]
-    )
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), rows)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the bytes `data` of each line, PIECE bytes at a time, long texts piece by piece."""
+
+    def done(parts: list[tuple]) -> pa.RecordBatch:
+        lines = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+        columns = [lines, *(np.concatenate([p[k] for p in parts]) for k in range(1, 5))]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["line", "bucket", "content", "at", "windows"]
+        )
+
+    for batch in slices(batches, "data", PIECE):
+        parts, size = [], 0
+        for line, data in zip(batch.column("line").to_pylist(), _views(batch.column("data"))):
+            for start in range(0, max(len(data) - LENGTH + 1, 0), PIECE):
+                piece = data[start : start + PIECE + LENGTH - 1]
+                bucket, content, at, windows = runs_of(piece)
+                parts.append((line, bucket, content, at + start, windows))
+                size += len(piece)
+                if size >= PIECE:
+                    yield done(parts)
+                    parts, size = [], 0
+        if parts:
+            yield done(parts)
 
 
 def window_ranks(data: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
@@ -138,46 +147,48 @@ def _packed(flags: np.ndarray, owner: np.ndarray, offset: np.ndarray, count: int
     return out
 
 
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows ordered by bucket as tables of near PIECE bytes; no bucket is in two tables."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        buckets = batch.column("bucket").to_numpy()
+        starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+        sizes = np.add.reduceat(pa.compute.binary_length(batch.column("bytes")).to_numpy().astype(np.int64), starts)
+        begin = 0
+        for at, bucket, more in zip(starts.tolist(), buckets[starts].tolist(), sizes.tolist()):
+            if size and bucket != last and size + more > PIECE:
+                yield pa.Table.from_batches([*held, batch.slice(begin, at - begin)])
+                held, size, begin = [], 0, at
+            size, last = size + more, bucket
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of each run with an equal window in another run of its bucket. Rows come ordered by bucket."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def done(table: pa.Table) -> pa.RecordBatch:
-        lines, at = table["line"].to_numpy(), table["at"].to_numpy()
-        order = np.lexsort((at, lines))
-        texts = table["bytes"].to_pylist()
-        ordered = [texts[k] for k in order.tolist()]
-        sizes = np.array([len(t) for t in ordered], np.int64)
-        data = np.frombuffer(b"".join(ordered), np.uint8)
+    for table in _whole_buckets(batches):
+        order = np.lexsort((table["at"].to_numpy(), table["line"].to_numpy()))
+        table = table.take(order)
+        texts = _views(table["bytes"].combine_chunks())
+        sizes = np.array([len(t) for t in texts], np.int64)
         counts = sizes - LENGTH + 1
         owner = np.repeat(np.arange(len(order)), counts)
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         windows = (np.cumsum(sizes) - sizes)[owner] + offset
-        earlier, other = repeated_windows(data, windows, LENGTH)
+        earlier, other = repeated_windows(np.concatenate(texts), windows, LENGTH)
         spans = [_packed(flags, owner, offset, len(order)) for flags in (earlier, other)]
-        return pa.RecordBatch.from_arrays(
+        yield pa.RecordBatch.from_arrays(
             [
-                pa.array(table["bucket"].to_numpy()[order]), pa.array(table["content"].to_numpy()[order]),
+                *[pa.array(table[c].to_numpy()) for c in ("bucket", "content")],
                 *[pa.array(s, pa.list_(pa.int64())) for s in spans],
             ],
             names=["bucket", "content", "earlier", "other"],
         )
 
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size > PIECE:
-            table = pa.Table.from_batches(held)
-            buckets = table["bucket"].to_numpy()
-            last = int(np.searchsorted(buckets, buckets[-1]))
-            if last:
-                yield done(table.slice(0, last))
-                held = table.slice(last).to_batches()
-                size = sum(b.nbytes for b in held)
-    if held and (table := pa.Table.from_batches(held)).num_rows:
-        yield done(table)
-
 
 def _span(start: Column, end: Column) -> Column:
     return F.shiftleft(start.cast("long"), 31) + end
@@ -256,10 +267,8 @@ def repeated_spans(df: DataFrame, text: str = "text", keep: str = NONE) -> tuple
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
     )
     table = written(base, "suffix-rows", compression="zstd")
-    every = written(
-        table.select("line", F.arrow_udf(_runs, RUNS)(F.col(f"row.`{text}`").cast("binary")).alias("runs")).select("line", F.inline("runs")),
-        "suffix-every", compression="zstd",
-    )
+    raw = table.select("line", F.col(f"row.`{text}`").cast("binary").alias("data"))
+    every = written(raw.mapInArrow(_runs, RUNS), "suffix-every", compression="zstd")
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     runs = written(every.join(shared, "bucket"), "suffix-runs", compression="zstd")
     dropped(every)
@@ -273,7 +282,6 @@ def repeated_spans(df: DataFrame, text: str = "text", keep: str = NONE) -> tuple
     if keep == NONE:
         sizes = sizes.where("rarest = 1")
     wanted = kinds.join(sizes.select("bucket", "kinds"), "bucket")
-    raw = table.select("line", F.col(f"row.`{text}`").cast("binary").alias("data"))
     cut = F.substring("data", F.col("at") + 1, F.col("windows") + (LENGTH - 1))
     pieces = written(
         wanted.join(raw, "line").select("bucket", "content", "line", "at", "kinds", cut.alias("bytes")), "suffix-pieces",

@@ -3,10 +3,12 @@
 import hashlib
 import os
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -533,6 +535,48 @@ def test_repeats_hostile(hostile):
     assert suffix_dedup.suffix_report(hostile.limit(0)).count() == 0
 
 
+def peak_mb(step):
+    """Most megabytes that numpy and Python hold at once while `step` runs."""
+    tracemalloc.start()
+    try:
+        step()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_repeats_hold_a_piece_at_once():
+    rng = np.random.default_rng(5)
+    count = 20_000
+    texts = [rng.bytes(250) for _ in range(count)]
+    texts[1::100] = texts[::100]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(count) // 2), pa.array(np.arange(count)), pa.array(np.arange(count)), pa.array(np.zeros(count, np.int32)), pa.array(texts)],
+        names=["bucket", "content", "line", "at", "bytes"],
+    )
+    got = []
+    # One batch of 5 MB, then many batches that cut buckets.
+    for batches in ([batch], [batch.slice(k, 333) for k in range(0, count, 333)]):
+        rows = []
+        held = peak_mb(lambda: rows.extend(r for b in suffix_dedup._compared(iter(batches)) for r in b.to_pylist()))
+        assert held < 100
+        got.append(sorted((r["content"], tuple(r["earlier"]), tuple(r["other"])) for r in rows))
+    span = (250,)
+    want = [(k, span if k % 100 == 1 else (), span if k % 100 < 2 else ()) for k in range(count)]
+    assert got == [want, want]
+
+
+def test_runs_of_a_long_text_hold_a_piece_at_once():
+    suffix_dedup._powers.cache_clear()
+    data = np.random.default_rng(6).bytes(3_000_000)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([None, data, data[:150]], pa.binary())], names=["line", "data"])
+    seen = []
+    assert peak_mb(lambda: seen.extend((b["line"].to_numpy(), b["at"].to_numpy(), b["windows"].to_numpy()) for b in suffix_dedup._runs(iter([batch])))) < 100
+    lines, at, windows = (np.concatenate(c) for c in zip(*seen))
+    assert set(lines.tolist()) == {2} and at[0] == 0 and (at[1:] == (at + windows)[:-1]).all()
+    assert (at + windows)[-1] == len(data) - suffix_dedup.LENGTH + 1
+
+
 # --- quality
 
 
